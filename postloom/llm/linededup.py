@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postloom.llm.common import WordHashes, bounded_batches, key_set, maybe_in, mix, stored, words_of
 
@@ -259,7 +260,7 @@ def dedup(documents: DataFrame, max_edits: int = 1) -> DataFrame:
 
         return rows.mapInArrow(run, rows.schema)
 
-    schema = documents.schema.add("n_lines", "long").add("n_kept", "long")
+    schema = T.StructType([*documents.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

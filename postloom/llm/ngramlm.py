@@ -90,7 +90,7 @@ def score(documents: DataFrame) -> DataFrame:
         hashes, counts = np.unique(np.concatenate(found), return_counts=True)
         which = (hashes >> np.uint64(HASH_BITS - bits)).astype(np.int32)
         cuts = np.flatnonzero(np.diff(which, prepend=-1))
-        ends = [*cuts[1:], len(hashes)]
+        ends = [*cuts[1:], len(hashes)] if len(cuts) else []
         rows = [(int(which[a]), pack(hashes[a:b]), _planes32(counts[a:b])) for a, b in zip(cuts, ends, strict=True)]
         rows.append((-1, b"", _planes32(np.array([words % (1 << 32), words >> 32]))))
         bucket, h, c = zip(*rows, strict=True)

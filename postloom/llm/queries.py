@@ -63,8 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 SQL = {
     "op4_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
   FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
@@ -76,17 +76,17 @@ WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL
 l AS (
   SELECT doc_id, text, i AS pos, string_split(text, chr(10))[i] AS line FROM docs, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i)
 ), w AS (
-  SELECT doc_id, pos, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM l
+  SELECT doc_id, pos, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM l
 ), k AS (SELECT doc_id, pos, ws, array_to_string(ws, ' ') AS line, len(ws) AS n FROM w WHERE len(ws) > 0),
-f AS (SELECT line, any_value(ws) AS ws, any_value(n) AS n, min((doc_id, pos)) AS at FROM k GROUP BY line),
+f AS (SELECT line, any_value(ws) AS ws, any_value(n) AS n, min((doc_id, pos)) AS spot FROM k GROUP BY line),
 v AS (
-  SELECT line, n, at, i, md5(array_to_string(ws[: i - 1] || ws[i + 1 :], ' ')) AS d FROM f, LATERAL (SELECT unnest(range(1, n + 1)) AS i) WHERE n >= 8
+  SELECT line, n, spot, i, md5(array_to_string(ws[: i - 1] || ws[i + 1 :], ' ')) AS d FROM f, LATERAL (SELECT unnest(range(1, n + 1)) AS i) WHERE n >= 8
 ), later AS (
-  SELECT v.line FROM v JOIN (SELECT d, i, n, min(at) AS m FROM v GROUP BY ALL) g ON g.d = v.d AND g.i = v.i AND g.n = v.n WHERE v.at > g.m
-  UNION SELECT f.line FROM f JOIN (SELECT d, min(at) AS m FROM v WHERE n > 8 GROUP BY d) g ON g.d = md5(f.line) WHERE f.at > g.m
-  UNION SELECT v.line FROM v JOIN f ON md5(f.line) = v.d WHERE v.n > 8 AND v.at > f.at
+  SELECT v.line FROM v JOIN (SELECT d, i, n, min(spot) AS m FROM v GROUP BY ALL) g ON g.d = v.d AND g.i = v.i AND g.n = v.n WHERE v.spot > g.m
+  UNION SELECT f.line FROM f JOIN (SELECT d, min(spot) AS m FROM v WHERE n > 8 GROUP BY d) g ON g.d = md5(f.line) WHERE f.spot > g.m
+  UNION SELECT v.line FROM v JOIN f ON md5(f.line) = v.d WHERE v.n > 8 AND v.spot > f.spot
 ), gone AS (
-  SELECT k.doc_id, k.pos FROM k JOIN f ON f.line = k.line WHERE (k.doc_id, k.pos) <> f.at OR k.line IN (SELECT line FROM later)
+  SELECT k.doc_id, k.pos FROM k JOIN f ON f.line = k.line WHERE (k.doc_id, k.pos) <> f.spot OR k.line IN (SELECT line FROM later)
 ), counts AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE g.pos IS NULL) AS n_kept FROM k LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id
 ), kept AS (
