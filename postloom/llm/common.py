@@ -8,11 +8,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words whose hash one Python worker keeps; a full cache is emptied.
+#: Tokens that one Python worker remembers; a full cache is emptied.
 WORD_CACHE = 300_000
 #: Arrow batches that go to Python hold at most so many bytes, or so many rows where Spark has no byte limit.
 BATCH_BYTES, BATCH_ROWS = 32 << 20, 10_000
@@ -77,24 +76,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """Word bytes to 64-bit hash, filled on demand."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Runs of anything but ASCII white space (20, 09-0D), with A-Z in lower case."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def word_hashes(text: str | None, cache: WordHashes) -> np.ndarray:
-    words = words_of(text)
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0xD6E8FEB86659FD93
+#: Texts are hashed in pieces of about so many bytes, cut between words.
+PIECE = 1 << 20
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base of the polynomial hashes, and of its inverse modulo 2^64."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(max(n, 1 << 16), base, np.uint64)
+            p[0] = 1
+            _powers[i] = np.cumprod(p)
+    return _powers
+
+
+def _hashed(raw: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    power, inverse = powers(len(raw) + 1)
+    edges = np.flatnonzero(np.diff(space.view(np.int8), prepend=1, append=1))
+    starts, ends = edges[::2], edges[1::2]
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=total[1:])
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def located_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word."""
+    data = np.frombuffer(raw, np.uint8)
+    space = _SPACE[data]
+    if len(data) <= PIECE:
+        return _hashed(data, space)
+    gaps, out, lo = np.flatnonzero(space), [], 0
+    while lo < len(data):
+        at = np.searchsorted(gaps, lo + PIECE)
+        hi = int(gaps[at]) + 1 if at < len(gaps) else len(data)
+        h, starts = _hashed(data[lo:hi], space[lo:hi])
+        out.append((h, starts + lo))
+        lo = hi
+    return np.concatenate([h for h, _ in out]), np.concatenate([x for _, x in out])
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash for each of words_of(text), without making the words."""
+    return located_words(text.encode("utf-8", "surrogatepass").lower())[0] if text else np.zeros(0, np.uint64)
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:

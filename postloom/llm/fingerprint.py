@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import WordHashes, bounded_batches, map_arrow, ngram_hashes, partitions, word_hashes
+from postloom.llm.common import bounded_batches, map_arrow, ngram_hashes, partitions, word_hashes
 
 K, SHINGLE = 64, 5
 _TOP = float(1 << 63)
 
 
-def sketch(text: str | None, cache: WordHashes, k: int = K) -> np.ndarray:
-    words = word_hashes(text, cache)
+def sketch(text: str | None, k: int = K) -> np.ndarray:
+    words = word_hashes(text)
     if not len(words):
         return np.zeros(0, np.int64)
     hashes = ngram_hashes(words, min(SHINGLE, len(words))) >> np.uint64(1)
@@ -74,10 +74,9 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 
 def fingerprints(documents: DataFrame, k: int = K) -> DataFrame:
     """doc_id and the fingerprint of each row's text."""
-    cache = WordHashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [sketch(t, cache, k) for t in batch.column(1).to_pylist()]
+        made = [sketch(t, k) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "fingerprint"])
 
     return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, fingerprint array<bigint>")
@@ -123,13 +122,12 @@ def compare_with_next(documents: DataFrame, k: int = K) -> DataFrame:
     dealt = dealt.select(F.col("to.p").alias("p"), F.col("to.guest").alias("guest"), "key", "doc_id", "text").repartitionById(len(cuts) + 1, F.col("p")).sortWithinPartitions("p", "guest", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         held: tuple | None = None  # a row whose next one is still to come: part, doc_id, text, fingerprint
 
         def finish(row: tuple, text: str, print_: np.ndarray) -> tuple:
             cut = len(row[2]) // 4
             edited = row[2][: len(row[2]) - cut] + text[:cut]
-            changed = sketch(edited, cache, k) if cut else row[3]
+            changed = sketch(edited, k) if cut else row[3]
             return row[1], len(row[2]), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), row[3], changed, likeness(row[3], changed, k), likeness(row[3], print_, k)
 
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -141,7 +139,7 @@ def compare_with_next(documents: DataFrame, k: int = K) -> DataFrame:
         for batch in batches:
             done = []
             for p, guest, doc_id, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
-                print_ = sketch(text, cache, k)
+                print_ = sketch(text, k)
                 if held and held[0] == p:
                     done.append(finish(held, text, print_))
                 held = None if guest else (p, doc_id, text, print_)

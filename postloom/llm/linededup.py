@@ -33,95 +33,89 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postloom.llm.common import WordHashes, bounded_batches, key_set, maybe_in, mix, stored, words_of
+from postloom.llm.common import bounded_batches, key_set, located_words, maybe_in, mix, powers, stored, words_of
 
 SHORTEST = 8
-_B = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BINV = np.uint64(pow(int(_B), -1, 1 << 64))
 #: Lines are sent on in batches of so many.
 ROWS = 20_000
 
 
-def prefixes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P[i]: polynomial hash of the first i words, so that any slice's hash is a difference; and the powers used."""
-    powers = np.ones(len(words) + 1, np.uint64)
-    if len(words):
-        powers[1:] = _B
-        powers = np.cumprod(powers)
+def summed(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """S[i]: sum of the first i words' hashes, each times the power of its place in its line; a difference is the polynomial hash of a slice."""
+    power, _ = powers(int(sizes.max(initial=0)) + 1)
     total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * powers[:-1], out=total[1:])
-    return total, powers
-
-
-def line_keys(words: np.ndarray) -> tuple[int, list[int]]:
-    """The line's hash, and the hashes of the halves that a duplicate shares."""
-    total, _ = prefixes(words)
-    n = len(words)
-    with np.errstate(over="ignore"):
-        return _keys(words, total, n)
-
-
-def _keys(words: np.ndarray, total: np.ndarray, n: int) -> tuple[int, list[int]]:
-    whole = int(mix(total[-1:] + np.uint64(n))[0])
-    if n < SHORTEST:
-        return whole, []
-    out = []
-    for p in sorted({n // 2, (n - 1) // 2}):
-        head = total[p] * np.uint64(2) + np.uint64(1)
-        # the tail's hash must not depend on where it begins
-        tail = prefixes(words[n - p :])[0][-1] * np.uint64(2)
-        out += [int(x) for x in mix(np.array([head ^ np.uint64(p << 48), tail ^ np.uint64(p << 48)]))]
-    return whole, out
+    np.cumsum(words * power[np.arange(len(words)) - np.repeat(starts, sizes)], out=total[1:])
+    return total
+
+
+def line_keys(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Hashes of lines, and for each the hashes of the halves that a duplicate shares (none for short lines)."""
+    starts = np.cumsum(sizes) - sizes
+    ends = starts + sizes
+    total = summed(words, starts, sizes)
+    n = sizes.astype(np.uint64)
+    whole = mix(total[ends] - total[starts] + n)
+    _, inverse = powers(int(sizes.max(initial=0)) + 1)
+    halves = np.zeros((len(sizes), 4), np.uint64)
+    for i, p in enumerate((sizes // 2, (sizes - 1) // 2)):
+        mark = p.astype(np.uint64) << np.uint64(48)
+        head = total[starts + p] - total[starts]
+        tail = (total[ends] - total[ends - p]) * inverse[sizes - p]
+        halves[:, 2 * i] = mix(head * np.uint64(2) + np.uint64(1) ^ mark)
+        halves[:, 2 * i + 1] = mix(tail * np.uint64(2) ^ mark)
+    # of an odd number of words both halves are the same
+    take = np.where(sizes < SHORTEST, 0, np.where(sizes % 2, 2, 4))
+    return whole, [h[:k] for h, k in zip(halves, take.tolist(), strict=True)]
 
 
 def variants(words: np.ndarray) -> np.ndarray:
     """Hash of the line without its i-th word, for each i; equal to line_keys' hash of that line."""
-    total, _ = prefixes(words)
-    left = total[:-1] + (total[-1] - total[1:]) * _BINV
-    return mix(left + np.uint64(len(words) - 1))
+    n = len(words)
+    total = summed(words, np.zeros(1, np.int64), np.array([n]))
+    inverse = powers(2)[1][1]
+    return mix(total[:-1] + (total[-1] - total[1:]) * inverse + np.uint64(n - 1))
 
 
-def _lines(text: str | None) -> list[tuple[int, str]]:
-    return [(i, x) for i, x in enumerate(text.split("\n")) if x.strip()] if text else []
+def text_lines(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of the text, and for each line with words its place and their number."""
+    if not text:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    raw = text.encode("utf-8", "surrogatepass").lower()
+    words, starts = located_words(raw)
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), starts)
+    places, sizes = np.unique(line, return_counts=True)
+    return words, places, sizes
 
 
 def text_hash(text: str | None) -> int:
     return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 1
 
 
-def _signed(x: list[int]) -> np.ndarray:
-    return np.array(x, np.uint64).view(np.int64)
-
-
 def line_table(documents: DataFrame) -> DataFrame:
-    """key, th, pos, h, n, halves for each line that isn't blank."""
+    """key, th, pos, h, n, halves for each line that has words."""
     names = ["key", "th", "pos", "h", "n", "halves"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        rows: list[tuple] = []
-
-        def out() -> pa.RecordBatch:
-            key, th, pos, h, n, halves = zip(*rows, strict=True)
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in halves])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed([y for x in halves for y in x])))
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(th, pa.int64()), pa.array(pos, pa.int32()), pa.array(_signed(list(h))), pa.array(n, pa.int32()), lists], names)
-
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                th = text_hash(text)
-                for pos, line in _lines(text):
-                    ws = words_of(line)
-                    if not ws:  # only white space beyond ASCII is left as it is
-                        continue
-                    words = np.fromiter(map(cache.__getitem__, ws), np.uint64, len(ws))
-                    h, halves = line_keys(words)
-                    rows.append((key, th, pos, h, len(ws), halves))
-                if len(rows) >= ROWS:
-                    yield out()
-                    rows = []
-        if rows:
-            yield out()
+            for lo in range(0, batch.num_rows, 500):
+                keys, texts = (batch.column(i).slice(lo, 500).to_pylist() for i in (0, 1))
+                found = [text_lines(t) for t in texts]
+                counts = [len(places) for _, places, _ in found]
+                sizes = np.concatenate([x for _, _, x in found])
+                if not len(sizes):
+                    continue
+                whole, halves = line_keys(np.concatenate([w for w, _, _ in found]), sizes)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in halves])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(halves).view(np.int64)))
+                arrays = [
+                    pa.array(np.repeat(np.array(keys, np.int64), counts)),
+                    pa.array(np.repeat(np.array([text_hash(t) for t in texts], np.int64), counts)),
+                    pa.array(np.concatenate([places for _, places, _ in found]).astype(np.int32)),
+                    pa.array(whole.view(np.int64)),
+                    pa.array(sizes.astype(np.int32)),
+                    lists,
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     bounded_batches(documents.sparkSession)
     return documents.mapInArrow(run, "key long, th long, pos int, h long, n int, halves array<long>")
@@ -131,19 +125,17 @@ def word_table(chosen: DataFrame) -> DataFrame:
     """h and words (hashes) for each line named in `wanted` (text, wanted: positions)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
             hs, rows = [], []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                take = set(wanted)
-                for pos, line in _lines(text):
-                    if pos in take:
-                        ws = words_of(line)
-                        words = np.fromiter(map(cache.__getitem__, ws), np.uint64, len(ws))
-                        hs.append(line_keys(words)[0])
-                        rows.append(words.view(np.int64))
+                words, places, sizes = text_lines(text)
+                ends = np.cumsum(sizes)
+                whole, _ = line_keys(words, sizes)
+                for i in np.flatnonzero(np.isin(places, wanted)).tolist():
+                    hs.append(whole[i])
+                    rows.append(words[ends[i] - sizes[i] : ends[i]].view(np.int64))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(hs)), pa.array(rows, pa.list_(pa.int64()))], ["h", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(rows, pa.list_(pa.int64()))], ["h", "words"])
 
     return chosen.select("text", "wanted").mapInArrow(run, "h long, words array<long>")
 
@@ -266,7 +258,7 @@ def dedup(documents: DataFrame, max_edits: int = 1) -> DataFrame:
         for batch in batches:
             texts, lines, kept = [], [], []
             for text, gone in zip(batch.column(at).to_pylist(), batch.column(held).to_pylist(), strict=True):
-                there = [i for i, x in _lines(text) if words_of(x)]
+                there = [] if text is None else [1 for x in text.split("\n") if words_of(x)]
                 drop = set(dict(gone).get(text_hash(text), [])) if gone else set()
                 lines.append(len(there))
                 kept.append(len(there) - len(drop))

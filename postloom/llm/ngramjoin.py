@@ -26,6 +26,7 @@ with different texts are nodes of their own; empty tables give no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import WordHashes, bounded_batches, key_set, maybe_in, mix, partitions, shingle_set, stored, word_hashes
+from postloom.llm.common import bounded_batches, key_set, maybe_in, mix, partitions, shingle_set, stored, word_hashes
 
 PARTS, SEEDS, SIG_BITS = 3, 4, 52
 #: Candidate groups of more members are known by their signature, others by their members.
@@ -62,10 +63,11 @@ class Instances:
             self.need.append(1 + slack)
 
     def of(self, size: int) -> list[int]:
-        self.upto(size)
-        self.upto(self.upper[-1] + 1)
-        j = int(np.searchsorted(self.upper, size))
-        self.upto(self.upper[j] + 1)
+        j = bisect_left(self.upper, size)
+        if j + 1 >= len(self.upper):
+            self.upto(size)
+            self.upto(self.upper[-1] + 1)
+            j = bisect_left(self.upper, size)
         return [j, j + 1]
 
 
@@ -103,7 +105,7 @@ def _signed(documents: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """sig, ref for each signature; and for each row one with its doc_id and the size of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, instances = WordHashes(), Instances(num, den)
+        instances = Instances(num, den)
         sig, ref, doc, size = [], [], [], []
 
         def out() -> pa.RecordBatch:
@@ -118,7 +120,7 @@ def _signed(documents: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                features = shingle_set(word_hashes(text, cache), n)
+                features = shingle_set(word_hashes(text), n)
                 if not len(features):
                     continue
                 one = set_id(features)
@@ -213,12 +215,11 @@ def _sets(documents: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     found = documents.sparkSession.sparkContext.broadcast(key_set(reps, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
             part = batch.filter(pa.array(maybe_in(found.value, batch.column(0).to_numpy())))
             ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
             for lo in range(0, len(ids), 500):
-                sets = [shingle_set(word_hashes(t, cache), n) for t in texts[lo : lo + 500]]
+                sets = [shingle_set(word_hashes(t), n) for t in texts[lo : lo + 500]]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array(ids[lo : lo + 500], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["ref", "doc_id", "features"])
 
     made = documents.mapInArrow(run, "ref long, doc_id long, features binary")
@@ -296,8 +297,7 @@ def _null_size(n: int):
     """Size of the set of a row that takes no part."""
     @F.pandas_udf("long")
     def size(text: pd.Series) -> pd.Series:
-        cache = WordHashes()
-        return text.map(lambda t: len(shingle_set(word_hashes(t, cache), n))).astype("int64")
+        return text.map(lambda t: len(shingle_set(word_hashes(t), n))).astype("int64")
 
     return size(F.col("text"))
 

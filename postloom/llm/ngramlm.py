@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import WordHashes, ngram_hashes, partitions, word_hashes
+from postloom.llm.common import ngram_hashes, partitions, word_hashes
 
 ALPHA, ORDER = 0.4, 3
 HASH_BITS, PLANES = 48, 6
@@ -52,9 +52,9 @@ def _unplanes32(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def document_ngrams(text: str | None, cache: WordHashes) -> list[np.ndarray]:
+def document_ngrams(text: str | None) -> list[np.ndarray]:
     """Hashes of the text's n-grams of 1, 2 .. ORDER words."""
-    words = word_hashes(text, cache)
+    words = word_hashes(text)
     return [ngram_hashes(words, n) >> np.uint64(64 - HASH_BITS) for n in range(1, ORDER + 1)]
 
 
@@ -82,9 +82,9 @@ def score(documents: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
 
     def ask(block: pa.Table) -> pa.Table:
-        cache, found, words = WordHashes(), [], 0
+        found, words = [], 0
         for text in block.column("text").to_pylist():
-            ngrams = document_ngrams(text, cache)
+            ngrams = document_ngrams(text)
             words += len(ngrams[0])
             found += ngrams
         hashes, counts = np.unique(np.concatenate(found), return_counts=True)
@@ -110,8 +110,7 @@ def score(documents: DataFrame) -> DataFrame:
         return pa.table({"block": bucket.column("block"), "bucket": bucket.column("bucket"), "others": pa.array(others, pa.binary())})
 
     def add_up(block: pa.Table, answers: pa.Table) -> pa.Table:
-        cache = WordHashes()
-        each = [document_ngrams(t, cache) for t in block.column("text").to_pylist()]
+        each = [document_ngrams(t) for t in block.column("text").to_pylist()]
         if not each:
             return pa.table({"doc_id": block.column("doc_id"), "n_words": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64())})
         lengths = [len(x) for ngrams in each for x in ngrams]

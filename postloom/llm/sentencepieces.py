@@ -32,12 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import map_arrow, mix
+from postloom.llm.common import map_arrow, mix, powers
 
 ALPHA, SEED = 0.5, 20
 SPACE = "▁"
-#: Units, and rows of their lattices, that one Python worker keeps.
-UNITS, LATTICE_ROWS = 150_000, 2_500_000
+#: Units whose lattices one Python worker keeps.
+UNITS = 200_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,111 +70,171 @@ def vocabulary(path: str, alpha: float = ALPHA) -> Vocabulary:
     return Vocabulary(pieces, weights, bytes_, max(map(len, weights), default=1), re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"), (1 / (size + 2)) ** alpha)
 
 
-def forward(unit: str, vocab: Vocabulary) -> list[list[tuple[int, object, float]]]:
-    """For each position from 1: the pieces that end there as (start, id or character spelled in bytes, share of the weight)."""
-    n = len(unit)
-    weight = [0.0] * (n + 1)
-    weight[0] = 1.0
-    known, longest = vocab.weights, vocab.longest
-    out = []
-    for i in range(1, n + 1):
-        here = []
-        total = 0.0
-        for j in range(max(0, i - longest), i):
-            got = known.get(unit[j:i])
-            if got is not None and weight[j]:
-                w = weight[j] * got[1]
-                total += w
-                here.append((j, got[0], w))
-        c = unit[i - 1]
-        if c == SPACE_IN_TEXT or c not in known:
-            w = weight[i - 1] * vocab.byte_weight ** len(_utf8(c))
-            total += w
-            here.append((i - 1, c, w))
-        out.append([(j, p, w / total) for j, p, w in here])
-        weight[i] = total
-        if total < 1e-200:  # only ratios matter: scale what later positions still reach
-            for j in range(max(0, i - longest), i + 1):
-                weight[j] *= 1e200
-    return out
-
-
-#: U+2581 of a text, while SPACE stands for its spaces.
-SPACE_IN_TEXT = ""
+#: A space of the text is SPACE; U+2581 of the text is this code point, which no text from a table holds.
+SPACE_IN_TEXT = "\ud800"
+#: Characters whose lattices are filtered at a time.
+CHARS = 100_000
 
 
 def _utf8(c: str) -> bytes:
     return (SPACE if c == SPACE_IN_TEXT else c).encode("utf-8", "surrogatepass")
 
 
+class Lattices:
+    """Forward filtering of many units at once."""
+
+    def __init__(self, vocab: Vocabulary) -> None:
+        self.vocab = vocab
+        items = sorted(vocab.weights.items())
+        hashes = np.array([self._one(p) for p, _ in items], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.ids = np.array([i for _, (i, _) in items], np.int64)[order]
+        self.weights = np.array([w for _, (_, w) in items])[order]
+        self.there = np.zeros(1 << 20, bool)  # by the top bits of a hash: whether a piece may have it
+        self.there[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.spelled: dict[str, int] = {}
+
+    @staticmethod
+    def _prefix(points: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers(len(points) + 1)[0][: len(points)], out=total[1:])
+        return total
+
+    def _one(self, piece: str) -> int:
+        points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return int(mix(self._prefix(points)[-1:] + np.uint64(len(points)))[0])
+
+    def forward(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows are the units' positions from 0, unit by unit.  For each edge, by the row where it ends and from the longest: that row, its share of the row's weight, its length, and its id, or below 0 the character that it spells."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n, most = len(points), self.vocab.longest
+        starts = np.cumsum(sizes) - sizes
+        unit = np.repeat(np.arange(len(units)), sizes)
+        pos = np.arange(n) - starts[unit] + 1
+        total, inverse = self._prefix(points), powers(n + 1)[1]
+        found = []  # last character, length, weight, id
+        at = np.arange(n)
+        for size in range(1, most + 1):
+            at = at[pos[at] >= size]
+            if not len(at):
+                break
+            h = mix((total[at + 1] - total[at + 1 - size]) * inverse[at + 1 - size] + np.uint64(size))
+            maybe = self.there[(h >> np.uint64(44)).astype(np.int64)]
+            here, h = at[maybe], h[maybe]
+            k = np.searchsorted(self.hashes, h)
+            k[k == len(self.hashes)] = 0
+            hit = self.hashes[k] == h
+            here, k = here[hit], k[hit]
+            found.append((here, np.full(len(here), size), self.weights[k], self.ids[k]))
+            if size == 1:
+                bare = np.ones(n, bool)
+                bare[here] = False
+                for i in np.flatnonzero(bare):
+                    c = chr(points[i])
+                    found.append(([i], [1], [self.vocab.byte_weight ** len(_utf8(c))], [-1 - self.spelled.setdefault(c, len(self.spelled))]))
+        last, size, share, code = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(last * (most + 1) - size)
+        last, size, share, code = last[order], size[order], share[order], code[order]
+        row = last + unit[last] + 1
+        weight = np.zeros(n + len(units))
+        weight[starts + np.arange(len(units))] = 1.0
+        # all units' first positions, then all second ones, and so on
+        step = np.argsort(pos[last], kind="stable")
+        cuts = np.searchsorted(pos[last][step], np.arange(1, sizes.max(initial=0) + 2))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            e = step[lo:hi]
+            part = share[e] * weight[row[e] - size[e]]
+            first = np.flatnonzero(np.diff(row[e], prepend=-1))
+            here = np.add.reduceat(part, first)
+            share[e] = part / np.repeat(here, np.diff([*first, len(e)]))
+            rows = row[e[first]]
+            weight[rows] = here
+            low = np.flatnonzero(here < 1e-200)  # only ratios matter: scale what later positions still reach
+            for r, p in zip(rows[low].tolist(), pos[last[e[first[low]]]].tolist(), strict=True):
+                weight[max(r - p, r - most) : r + 1] *= 1e200
+        return row, share, size, code
+
+
 class Encoder:
     """Samples segmentations of many texts at once."""
 
     def __init__(self, vocab: Vocabulary, seed: int = SEED) -> None:
-        self.vocab, self.seed = vocab, seed
+        self.vocab, self.seed, self.lattices = vocab, seed, Lattices(vocab)
         self.reset()
 
     def reset(self) -> None:
-        self.base: dict[str, int] = {}  #: row of a unit's position 0
+        self.end: dict[str, int] = {}  #: row of a unit's last position
         self.rows = 0
-        self.edges: list[float] = []  # row + cumulated share, ascending over all rows
-        self.to: list[int] = []
-        self.code: list[int] = []  # id, or below 0 a spelled character
-        self.spelled: dict[str, int] = {}
-        self.known: tuple[np.ndarray, ...] = ()
-
-    def add(self, unit: str) -> None:
-        base = self.base[unit] = self.rows
-        for i, here in enumerate(forward(unit, self.vocab), 1):
-            share = 0.0
-            for k, (j, piece, p) in enumerate(here):
-                share += p
-                self.edges.append(base + i + (share if k < len(here) - 1 else 1.0))
-                self.to.append(base + j)
-                self.code.append(piece if isinstance(piece, int) else -1 - self.spelled.setdefault(piece, len(self.spelled)))
-        self.rows += len(unit) + 1
+        #: by row: whether a unit begins there, and its first edge; by edge: cumulated share, row where it begins, id (below 0: the character spelled)
+        self.known = np.zeros(0, bool), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def add(self, units: list[str]) -> None:
+        parts, some, chars, edges = [self.known], [], 0, len(self.known[2])
+        for i, unit in enumerate(units):
+            some.append(unit)
+            chars += len(unit)
+            if chars < CHARS and i + 1 < len(units):
+                continue
+            row, share, size, code = self.lattices.forward(some)
+            sizes = np.fromiter(map(len, some), np.int64, len(some)) + 1
+            begins = np.zeros(int(sizes.sum()), bool)
+            begins[np.cumsum(sizes) - sizes] = True
+            start = np.flatnonzero(np.diff(row, prepend=-1))
+            first = np.zeros(len(begins), np.int64)
+            first[row[start]] = start + edges
+            total = np.cumsum(share)
+            upto = total - np.repeat(total[start] - share[start], np.diff([*start, len(row)]))
+            upto[[*(start[1:] - 1), len(row) - 1]] = 2.0  # no draw goes beyond a row's last edge
+            parts.append((begins, first.astype(np.int32), upto, (self.rows + row - size).astype(np.int32), code.astype(np.int32)))
+            edges += len(row)
+            self.end.update(zip(some, (self.rows + np.cumsum(sizes) - 1).tolist(), strict=True))
+            self.rows += len(begins)
+            some, chars = [], 0
+        self.known = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
     def units(self, text: str) -> list[str]:
         if not text:
             return []
-        marked = SPACE + text.replace(SPACE_IN_TEXT, "").replace(SPACE, "").replace(" ", SPACE) if (SPACE in text or SPACE_IN_TEXT in text) else SPACE + text.replace(" ", SPACE)
-        return self.vocab.unit.findall(marked)
+        return self.vocab.unit.findall(SPACE + text.replace(SPACE, SPACE_IN_TEXT).replace(" ", SPACE))
 
     def encode(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         units = [self.units(t) for t in texts]
-        new = {u for us in units for u in us if u not in self.base}
+        new = {u for us in units for u in us if u not in self.end}
+        if new and self.end and len(self.end) + len(new) > UNITS:
+            self.reset()
+            new = {u for us in units for u in us}
         if new:
-            if self.base and (len(self.base) + len(new) > UNITS or self.rows > LATTICE_ROWS):
-                self.reset()
-                new = {u for us in units for u in us}
-            for u in sorted(new):
-                self.add(u)
-        if new or not self.known:
-            self.known = np.array(self.edges), np.array(self.to, np.int64), np.array(self.code, np.int64)
-        edges, to, code = self.known
+            self.add(sorted(new))
+        begins, first, upto, to, code = self.known
         counts = np.array([len(us) for us in units])
         flat = [u for us in units for u in us]
-        base = np.fromiter(map(self.base.__getitem__, flat), np.int64, len(flat))
-        size = np.fromiter(map(len, flat), np.int64, len(flat))
+        at = np.fromiter(map(self.end.__getitem__, flat), np.int32, len(flat))
         nth = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
         draw = mix(np.repeat(mix(keys.astype(np.int64).view(np.uint64) + np.uint64(self.seed)), counts) + nth.astype(np.uint64) * _GOLD)
-        at, live = base + size, np.arange(len(flat))
+        live = np.arange(len(flat))
         owners, codes, steps = [], [], np.zeros(len(flat), np.int64)
         while len(live):
             u = (mix(draw[live] + np.uint64(len(owners) + 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            e = np.searchsorted(edges, at[live] + u, side="right")
+            e = first[at]
+            beyond = np.flatnonzero(upto[e] <= u)
+            while len(beyond):
+                e[beyond] += 1
+                beyond = beyond[upto[e[beyond]] <= u[beyond]]
             owners.append(live)
             codes.append(code[e])
             steps[live] += 1
-            at[live] = to[e]
-            live = live[at[live] > base[live]]
+            at = to[e]
+            more = ~begins[at]
+            at, live = at[more], live[more]
         ends = np.cumsum(steps)
         out = np.zeros(ends[-1] if len(ends) else 0, np.int64)
         for k, (own, c) in enumerate(zip(owners, codes, strict=True)):
             out[ends[own] - 1 - k] = c
         spots = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         if (out < 0).any():
-            spell = [np.array([self.vocab.bytes_[b] for b in _utf8(c)]) for c in self.spelled]
+            spell = [np.array([self.vocab.bytes_[b] for b in _utf8(c)]) for c in self.lattices.spelled]
             width = np.ones(len(out), np.int64)
             odd = np.flatnonzero(out < 0)
             lens = np.array([len(s) for s in spell])
@@ -211,26 +271,29 @@ TEXTS = 400
 
 
 def _chunks(batch: pa.RecordBatch, encoder: Encoder):
-    keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    for lo in range(0, len(texts), TEXTS):
-        some = texts[lo : lo + TEXTS]
-        yield from zip(some, encoder.encode([t or "" for t in some], row_keys(keys[lo : lo + TEXTS], some)), strict=True)
+    for lo in range(0, batch.num_rows, TEXTS):
+        keys, texts = (batch.column(i).slice(lo, TEXTS).to_pylist() for i in (0, 1))
+        yield from zip(texts, encoder.encode([t or "" for t in texts], row_keys(keys, texts)), strict=True)
+
 
+#: A Python worker keeps its encoder, and the units that it knows, from task to task.
+_ENCODERS: dict[tuple, Encoder] = {}
 
-def _per_worker(vocab, seed: int):
-    made: list[Encoder] = []
 
+def _per_worker(vocab, path: str, alpha: float, seed: int):
     def get() -> Encoder:
-        if not made:
-            made.append(Encoder(vocab.value, seed))
-        return made[0]
+        key = (path, alpha, seed)
+        if key not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[key] = Encoder(vocab.value, seed)
+        return _ENCODERS[key]
 
     return get
 
 
 def encode(documents: DataFrame, path: str, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """doc_id and ids, an array of piece ids, of each row's text."""
-    get = _per_worker(documents.sparkSession.sparkContext.broadcast(vocabulary(path, alpha)), seed)
+    get = _per_worker(documents.sparkSession.sparkContext.broadcast(vocabulary(path, alpha)), path, alpha, seed)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = [None if t is None else x for t, x in _chunks(batch, get())]
@@ -253,7 +316,7 @@ def digests(documents: DataFrame, path: str, alpha: float = ALPHA, seed: int = S
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256 of the text decoded from them, lossless."""
     import hashlib
 
-    get = _per_worker(documents.sparkSession.sparkContext.broadcast(vocabulary(path, alpha)), seed)
+    get = _per_worker(documents.sparkSession.sparkContext.broadcast(vocabulary(path, alpha)), path, alpha, seed)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []

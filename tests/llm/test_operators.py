@@ -14,7 +14,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from postloom.llm import fingerprint, langid, linededup, ngramjoin, ngramlm, packing, queries, sentencepieces, tokenfile, topk, toxicity
-from postloom.llm.common import WordHashes
 
 TEXTS = [None, "", " ", "\n\n", "a", "Ünï cödé ▁ \x1c\x1d tabs\tand\r\nlines", "word " * 3000, "word " * 3000, "x" * 5000, "日本語 テキスト", "%%% *** 123"]
 
@@ -225,12 +224,12 @@ def test_fingerprints(spark, odd, docs):
         for r in fingerprint.compare_with_next(table).collect():
             got.setdefault((r["doc_id"] if r["doc_id"] is not None else -(2**63)), []).append(r)
         assert sum(map(len, got.values())) == len(rows)
-        cache, want = WordHashes(), collections.defaultdict(list)
+        want = collections.defaultdict(list)
         for i, (key, text) in enumerate(rows):
             other = rows[(i + 1) % len(rows)][1]
             cut = len(text) // 4
             edited = text[: len(text) - cut] + other[:cut]
-            want[key].append((len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprint.sketch(text, cache).tolist(), fingerprint.sketch(edited, cache).tolist()))
+            want[key].append((len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprint.sketch(text).tolist(), fingerprint.sketch(edited).tolist()))
         for key, rs in want.items():
             assert sorted((r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) for r in got[key]) == sorted(rs)
     assert fingerprint.compare_with_next(odd.limit(0)).count() == 0
@@ -242,14 +241,13 @@ def test_sketch_estimates(spark):
     words = [f"w{i}" for i in range(5000)]
     a = [rng.choice(words) for _ in range(900)]
     b = a[:600] + [rng.choice(words) for _ in range(300)]
-    cache = WordHashes()
     shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
     x, y = shingles(a), shingles(b)
-    near = fingerprint.likeness(fingerprint.sketch(" ".join(a), cache, 256), fingerprint.sketch(" ".join(b), cache, 256), 256)
+    near = fingerprint.likeness(fingerprint.sketch(" ".join(a), 256), fingerprint.sketch(" ".join(b), 256), 256)
     assert abs(near - len(x & y) / len(x | y)) < 0.1
     parts = fingerprint.fingerprints(spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, None)], "doc_id long, text string")).withColumn("all", F.lit(1))
     whole = fingerprint.combine(parts.where("size(fingerprint) > 0"), "all").first()["fingerprint"]
-    hashes = sorted(set(fingerprint.sketch(" ".join(a), cache, 9999).tolist()) | set(fingerprint.sketch(" ".join(b), cache, 9999).tolist()))
+    hashes = sorted(set(fingerprint.sketch(" ".join(a), 9999).tolist()) | set(fingerprint.sketch(" ".join(b), 9999).tolist()))
     assert whole == hashes[:64]
     two = parts.alias("a").join(parts.alias("b"), F.expr("a.doc_id < b.doc_id"))
     est = two.select(F.col("a.doc_id").alias("i"), F.col("b.doc_id").alias("j"), fingerprint.resemblance(F.col("a.fingerprint"), F.col("b.fingerprint")).alias("r"), fingerprint.containment(F.col("a.fingerprint"), F.col("b.fingerprint")).alias("c"), fingerprint.distinct_count(F.col("a.fingerprint")).alias("n")).collect()
