@@ -13,9 +13,12 @@ many empty ones: such sets also emit signatures of another partitioning, and if
 have as many there, of the next; after the last they emit empty ones too.
 
 Equal sets are one node.  Nodes that share a signature form a candidate group; equal
-groups collapse.  First each group's members are verified against its first member;
-then, in groups that the links found leave in several components, the pairs across
-components.  Verification counts common features exactly.  Components are labelled with
+groups collapse.  First each group's members are verified against the member that has
+most company in all its groups, then, where components are left, against the one that
+has most outside the first's component.  In groups still left in several components all
+pairs across components are looked at, in blocks of bounded size, where the counts of
+features in each of CELLS cells bound what two sets have in common; pairs within the
+bound are verified.  Verification counts common features exactly.  Components are labelled with
 their smallest doc_id, by passing labels along links and jumping along labels.
 
 Defined cases: null and empty texts, or texts of white space, have an empty set, link
@@ -41,6 +44,8 @@ PARTS, SEEDS, SIG_BITS = 3, 4, 52
 #: Candidate groups of more members are known by their signature, others by their members.
 LARGE = 100_000
 ROWS = 50_000
+#: Cells of the histograms; members of a group that one task compares with as many others.
+CELLS, BLOCK = 256, 2000
 
 
 class Instances:
@@ -244,6 +249,48 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _histogram(features: np.ndarray) -> bytes:
+    """Features by cell; sets too large for the counters get counts that rule nothing out."""
+    held = np.bincount((features >> np.uint64(56)).astype(np.int64), minlength=CELLS) if len(features) < 60_000 else np.full(CELLS, 65_535)
+    return held.astype("<u2" if held.max(initial=0) > 255 else np.uint8).tobytes()
+
+
+def _across(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) across components (label) of groups (gid) that the histograms don't rule out."""
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_histogram(np.frombuffer(f.as_buffer(), np.uint64)) for f in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["ref", "cells"])
+
+    cells = sets.join(held.select("ref").distinct(), "ref", "left_semi").select("ref", "features").mapInArrow(sketched, "ref long, cells binary")
+    blocks = held.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = held.join(blocks, "gid").withColumn("own", F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int")).join(cells, "ref")
+    # a member meets each block of its group once: with it the pair of blocks that its task compares
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("gid", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "ref", "n", "label", "cells")
+
+    def compare(group: pa.Table) -> pa.Table:
+        ref, n, label, own = (group.column(c).to_numpy() for c in ("ref", "n", "label", "own"))
+        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        grid = np.stack([np.frombuffer(c, "<u2" if len(c) > CELLS else np.uint8).astype(np.int32) for c in group.column("cells").to_pylist()])
+        a, b = [], []
+        right = np.flatnonzero(own == y)
+        for i in np.flatnonzero(own == x):
+            js = right[(label[right] != label[i]) & (den * np.minimum(n[right], n[i]) >= num * np.maximum(n[right], n[i]))]
+            if x == y:
+                js = js[ref[js] > ref[i]]
+            if len(js):
+                most = np.minimum(grid[js], grid[i]).sum(1)
+                js = js[den * most >= num * (n[js].astype(np.int64) + n[i] - most)]
+                a.append(np.full(len(js), ref[i]))
+                b.append(ref[js])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (a, b))
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return met.groupBy("gid", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+
+
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """ref, label for the nodes (ref, doc_id) that have links (a, b): the smallest doc_id of each one's component."""
     edges = stored(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v").distinct(), "edges")
@@ -272,17 +319,26 @@ def join(documents: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> Dat
     reps = stored(docs.join(groups.select("ref").distinct(), "ref", "left_semi").groupBy("ref").agg(F.min("doc_id").alias("doc_id")), "nodes")
     sets = stored(_sets(known, reps, n), "sets")
     close = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
-    first = groups.groupBy("gid").agg(F.min(F.struct("ref", "n")).alias("c")).select("gid", F.col("c.ref").alias("a"), F.col("c.n").alias("na"))
-    star = stored(groups.select("gid", F.col("ref").alias("b"), F.col("n").alias("nb")).join(first, "gid").where("a <> b").where(close).select("a", "b").distinct(), "star")
-    links = stored(_links(star, sets, num, den), "links")
-    labels = components(links, reps)
-    # pairs across the components that a group still holds
-    held = groups.join(labels, "ref", "left").withColumn("label", F.coalesce("label", "ref"))
-    open_ = held.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid")
-    held = stored(held.join(open_, "gid", "left_semi"), "open")
-    left, right = (held.select("gid", F.col("ref").alias(r), F.col("n").alias("n" + r), F.col("label").alias("l" + r)) for r in ("a", "b"))
-    across = left.join(right, "gid").where("la <> lb and a < b").where(close).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = stored(_links(across, sets, num, den), "links")
+    company = groups.join(groups.groupBy("gid").agg(F.count("*").alias("size")), "gid").groupBy("ref").agg(F.sum("size").alias("company"))
+    held = stored(groups.join(company, "ref").withColumn("label", F.col("ref")), "held")
+    most = F.max(F.struct("company", "ref", "n", "label"))
+    links = labels = None
+    for turn in range(2):
+        centres = held.groupBy("gid").agg(most.alias("c"))
+        if turn:
+            beside = held.join(centres, "gid").where("label <> c.label").drop("c")
+            centres = beside.groupBy("gid").agg(most.alias("c"))
+        pairs = held.join(centres, "gid").where("label <> c.label").select(F.col("c.ref").alias("a"), F.col("c.n").alias("na"), F.col("ref").alias("b"), F.col("n").alias("nb"))
+        pairs = stored(pairs.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        new = stored(_links(pairs, sets, num, den), "links")
+        links = new if links is None else links.union(new)
+        if turn and new.isEmpty():
+            break
+        labels = components(links, reps)
+        held = held.drop("label").join(labels, "ref", "left").withColumn("label", F.coalesce("label", "ref"))
+        open_ = held.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid")
+        held = stored(held.join(open_, "gid", "left_semi"), "held")
+    more = stored(_links(stored(_across(held, sets, num, den), "pairs"), sets, num, den), "links")
     if not more.isEmpty():
         labels = components(links.union(more), reps)
     node = docs.groupBy("ref").agg(F.min("doc_id").alias("rep")).join(labels, "ref", "left").select("ref", F.coalesce("label", "rep").alias("component_id"))
