@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from postloom.llm.common import bounded_batches, key_set, located_words, maybe_in, mix, powers, stored, words_of
 
@@ -141,21 +142,24 @@ def word_table(chosen: DataFrame) -> DataFrame:
 
 
 def variant_table(lines: DataFrame) -> DataFrame:
-    """v, i, n, h for each line (h, words): its variants, and with i = -1 itself."""
+    """v, i, n, h and the place for each line (h, words, key, th, pos): its variants, and with i = -1 itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["v", "i", "n", "h", "key", "th", "pos"]
         for batch in batches:
             lists = batch.column(1)
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for h, a, b in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
-                n = int(b - a)
-                v = np.concatenate([variants(flat[a:b]).view(np.int64), [h]])
-                i = np.concatenate([np.arange(n), [-1]]).astype(np.int32)
-                for lo in range(0, n + 1, ROWS):
-                    m = min(ROWS, n + 1 - lo)
-                    yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + m]), pa.array(i[lo : lo + m]), pa.array(np.full(m, n, np.int32)), pa.array(np.full(m, h, np.int64))], ["v", "i", "n", "h"])
+            hs = batch.column(0).to_numpy()
+            for lo in range(0, batch.num_rows, 500):
+                rows = range(lo, min(lo + 500, batch.num_rows))
+                v = [x for r in rows for x in (variants(flat[ends[r] : ends[r + 1]]).view(np.int64), hs[r : r + 1])]
+                i = [x for r in rows for x in (np.arange(ends[r + 1] - ends[r], dtype=np.int32), np.array([-1], np.int32))]
+                sizes = np.diff(ends[lo : lo + len(rows) + 1])
+                of = np.repeat(np.arange(lo, lo + len(rows)), sizes + 1)
+                place = [batch.column(k).take(pa.array(of)) for k in (2, 3, 4)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)), pa.array(np.concatenate(i)), pa.array(np.repeat(sizes, sizes + 1).astype(np.int32)), pa.array(hs[of]), *place], names)
 
-    return lines.mapInArrow(run, "v long, i int, n int, h long")
+    return lines.select("h", "words", "key", "th", "pos").mapInArrow(run, "v long, i int, n int, h long, key long, th long, pos int")
 
 
 def maybe_holding(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -185,23 +189,25 @@ def duplicates(documents: DataFrame, max_edits: int = 1) -> DataFrame:
     first = lines.groupBy("h").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     if max_edits:
         first = stored(first, "first")
-        halves = first.select("h", F.explode("halves").alias("half"))
-        often = halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
-        near = halves.join(often, "half", "left_semi").select("h").distinct()
+        by_half = Window.partitionBy("half")
+        halves = first.select("h", F.explode("halves").alias("half")).withColumns({"a": F.min("h").over(by_half), "b": F.max("h").over(by_half)})
+        near = halves.where("a <> b").select("h").distinct()
         wanted = first.join(near, "h", "left_semi").select("at.key", "at.th", "at.pos").groupBy("key", "th").agg(F.collect_list("pos").alias("wanted"))
         wanted = stored(wanted, "wanted")
         texts = maybe_holding(docs, wanted).join(wanted, ["key", "th"]).dropDuplicates(["key", "th"])
-        words = stored(word_table(texts), "words")
-        v = stored(variant_table(words).join(first.select("h", "at"), "h"), "variants")
-        # replaced words: the same variant at the same place
-        same = v.where("i >= 0 and n >= %d" % SHORTEST).groupBy("v", "i", "n").agg(F.min(F.struct("at", "h")).alias("m"), F.max(F.struct("at", "h")).alias("z")).where("m <> z")
-        replaced = v.where("i >= 0").join(same, ["v", "i", "n"]).where("at > m.at").select("h", F.col("m.h").alias("by"))
-        # one word more or less: a line that is another's variant
-        more = v.where("i >= 0 and n > %d" % SHORTEST).groupBy("v").agg(F.min(F.struct("at", "h")).alias("m"))
-        whole = v.where("i < 0").select("v", F.col("h").alias("w"), F.col("at").alias("w_at"))
-        shorter = whole.join(more, "v").where("w_at > m.at").select(F.col("w").alias("h"), F.col("m.h").alias("by"))
-        longer = v.where("i >= 0 and n > %d" % SHORTEST).join(whole, "v").where("at > w_at").select("h", F.col("w").alias("by"))
-        later = verified(replaced.unionByName(shorter).unionByName(longer).groupBy("h").agg(F.min("by").alias("by")), words)
+        words = stored(word_table(texts).join(first.select("h", "at.key", "at.th", "at.pos"), "h"), "words")
+        v = variant_table(words).select("v", "i", "n", "h", place.alias("at")).repartition("v")
+        one = F.struct("at", "h")
+        inside, long = F.col("i") >= 0, (F.col("i") >= 0) & (F.col("n") > SHORTEST)
+        # one shuffle by variant serves all three: the same variant at the same place, and a line that is another's variant
+        v = v.withColumns({
+            "same": F.min(one).over(Window.partitionBy("v", "i", "n")),
+            "more": F.min(F.when(long, one)).over(Window.partitionBy("v")),
+            "whole": F.min(F.when(~inside, one)).over(Window.partitionBy("v")),
+        })
+        earlier = F.least(F.when(inside, F.col("same")), F.when(~inside, F.col("more")), F.when(long, F.col("whole")))
+        found = v.withColumn("by", earlier).where(F.col("by.at") < F.col("at")).select("h", F.col("by.h").alias("by"))
+        later = verified(found.groupBy("h").agg(F.min("by").alias("by")), words.select("h", "words"))
         dropped = lines.join(first.select("h", "at"), "h").join(later.withColumn("near", F.lit(True)), "h", "left").where(F.col("near") | (F.struct("key", "th", "pos") != F.col("at")))
     else:
         dropped = lines.join(first.select("h", "at"), "h").where(F.struct("key", "th", "pos") != F.col("at"))
