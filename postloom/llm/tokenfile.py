@@ -11,9 +11,10 @@ first; equal doc_ids are ordered by text; an empty table gives a file without ro
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,40 +22,76 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postloom.llm.common import bounded_batches, map_arrow, shared_path
+from postloom.llm.common import bounded_batches, map_arrow, shared_path, stored
 
 END_ID = 2
-CACHE = 250_000
+CACHE = 900_000
 STRIPE_BYTES, ROW_INDEX_STRIDE = 16 << 20, 1_000
 #: White space to Python's split(), but not to the tokenizer.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
-class WordEncoder:
-    """Encodes texts by the tokenizers library.  The tokenizer drops white space and never joins what it parts, so words are encoded once and remembered."""
+#: Latin letters that are their own normal form and whose lower case is one letter, then full stops and commas.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+
+
+def _byte_level() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others in order for code points from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_LEVEL = _byte_level()
+
+
+class WordEncoder(dict):
+    """Encodes texts by the tokenizers library.  The tokenizer drops white space and never joins what it parts, so words are encoded once and remembered.
+
+    Words of Latin letters, and full stops or commas after them, go straight to the library's model; all others through its whole chain.
+    """
 
     def __init__(self, path: str) -> None:
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
-
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.model = self.tokenizer.model
+        self.cores: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+            self.cores.clear()
+        m = _PLAIN.fullmatch(word)
+        if m:
+            core, end = m[1].lower(), m[2]
+            ids = self.cores.get(core)
+            if ids is None:
+                ids = self.cores[core] = np.array([t.id for t in self.model.tokenize(core.encode().decode("latin-1").translate(_BYTE_LEVEL))], np.int32).tobytes()
+            if end:
+                ids += self.cores.get(end) or self.cores.setdefault(end, self.whole(end))
+        else:
+            ids = self.whole(word)
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.split() for t in texts]
-        new = list(dict.fromkeys(w for ws in words for w in ws if w not in self.known))
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = list(dict.fromkeys(chain.from_iterable(words)))
-            self.known.update(zip(new, self.whole(new), strict=True))
-        out = [np.fromiter(chain.from_iterable(map(self.known.__getitem__, ws)), np.int32) for ws in words]
-        for i, t in enumerate(texts):
-            if any(c in t for c in _ODD_SPACE):
-                out[i] = np.array(self.whole([t])[0], np.int32)
-        return out
+        return [np.frombuffer(self.whole(t) if any(c in t for c in _ODD_SPACE) else b"".join(map(self.__getitem__, t.split())), np.int32) for t in texts]
+
+
+#: By path; a Python worker keeps its encoders, and the words that they know, from task to task.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def write(documents: DataFrame, out: str, tokenizer: str, end_id: int = END_ID) -> None:
@@ -63,12 +100,11 @@ def write(documents: DataFrame, out: str, tokenizer: str, end_id: int = END_ID)
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row = WordEncoder(tokenizer), 0
+        encoder, row = encoder_of(tokenizer), 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 500):
+            for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                ids = encoder.encode([t or "" for t in texts[lo : lo + 500]])
+                ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
                 ends = np.cumsum([len(x) + 1 for x in ids], dtype=np.int32)
                 flat = np.full(ends[-1], end_id, np.int32)
                 for x, end in zip(ids, ends, strict=True):
@@ -112,8 +148,9 @@ def digests(rows: DataFrame) -> DataFrame:
 
     each = map_arrow(rows.select("doc_id", "part", "row", "ids"), run, f"doc_id {kind}, part int, row long, n_tokens long, ids_crc32 long")
     before = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    each = stored(each, "digests")
     # one row a range of documents: as many as the writer's partitions
-    sums = rows.groupBy("part").agg(F.sum(F.size("ids")).alias("n")).collect()
+    sums = each.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()
     offsets, total = {}, 0
     for r in sorted(sums, key=lambda r: r["part"]):
         offsets[r["part"]] = total
