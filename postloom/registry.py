@@ -1,4 +1,117 @@
-"""All queries of the library, and their SQL."""
+"""All queries of the analytics library, and their SQL for the tables as views."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postloom.functions import text
+from postloom.functions.text import length_bucket, view_bucket
+from postloom.operators import merge, routing, search, stats
+from postloom.sources.tables import POSTS_DOCS, POSTS_ORDERS, ROUTED, posts_docs, posts_orders, routed, table
+from postloom.streaming import windows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def _over(source, name: str, fn: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    cte = {posts_docs: POSTS_DOCS, posts_orders: POSTS_ORDERS, routed: ROUTED}[source]
+    QUERIES[name] = lambda spark, sf_dir: fn(source(spark, sf_dir))
+    SQL[name] = f"WITH {cte} {sql}"
+
+
+_CORR = """round(CASE WHEN count(l) >= 2 THEN (count(l) * sum(l * i) - sum(l) * sum(i)) / nullif(sqrt(greatest(0.0, (count(l) * sum(l * l) - sum(l) ** 2) * (count(l) * sum(i * i) - sum(i) ** 2))), 0) END, 6)"""
+
+
+def _totals_sql(length: str) -> str:
+    return f"""SELECT count(*) AS total, count(importance) AS scored, count(views) AS with_views, count(*) FILTER (WHERE importance >= 4) AS high_score,
+  round(avg(len), 6) AS avg_length, round(quantile_cont(len::DOUBLE, 0.5), 6) AS median_length, round(quantile_cont(len::DOUBLE, 0.9), 6) AS p90_length,
+  round(avg(views), 6) AS avg_views, round(quantile_cont(views, 0.9), 6) AS p90_views, round(avg(importance), 6) AS avg_importance, {_CORR} AS length_importance_corr
+FROM (SELECT *, {length} AS len, CASE WHEN importance IS NOT NULL THEN ({length})::DOUBLE END AS l, importance::DOUBLE AS i FROM posts)"""
+
+
+_LEN = "CASE WHEN length(text) <= 40 THEN '0-40' WHEN length(text) <= 80 THEN '41-80' WHEN length(text) <= 140 THEN '81-140' WHEN length(text) <= 200 THEN '141-200' WHEN length(text) <= 260 THEN '201-260' ELSE '261+' END"
+_VIEW = "CASE WHEN views BETWEEN 0 AND 999 THEN '0-1k' WHEN views BETWEEN 1000 AND 4999 THEN '1k-5k' WHEN views BETWEEN 5000 AND 9999 THEN '5k-10k' ELSE '10k+' END"
+
+
+def _bucket_sql(labels: str, bucket: str, where: str) -> str:
+    return f"""SELECT b.bucket, count(p.post_id) AS posts, round(avg(length(p.text)), 6) AS avg_length, round(avg(p.importance), 6) AS avg_importance, round(avg(p.views), 6) AS avg_views
+FROM (SELECT unnest([{labels}]) AS bucket) b LEFT JOIN (SELECT *, {bucket} AS bucket FROM posts WHERE {where}) p ON p.bucket = b.bucket GROUP BY b.bucket"""
+
+
+_over(posts_docs, "post_totals", lambda p: stats.totals(p, F.length("text")), _totals_sql("length(text)"))
+_over(posts_orders, "order_totals", lambda p: stats.totals(p, F.col("text_len")), _totals_sql("text_len"))
+_over(posts_docs, "length_buckets", stats.length_buckets, _bucket_sql("'0-40', '41-80', '81-140', '141-200', '201-260', '261+'", _LEN, "text IS NOT NULL"))
+_over(posts_docs, "view_buckets", stats.view_buckets, _bucket_sql("'0-1k', '1k-5k', '5k-10k', '10k+'", _VIEW, "views IS NOT NULL"))
+_over(posts_docs, "length_by_importance", stats.length_by_importance, """SELECT l.importance::INT AS importance, count(p.post_id) AS posts, round(avg(length(text)), 6) AS avg_length, min(length(text)) AS min_length, max(length(text)) AS max_length,
+  round(quantile_cont(length(text)::DOUBLE, 0.5), 6) AS median_length, round(avg(views), 6) AS avg_views FROM (SELECT unnest(range(1, 6)) AS importance) l LEFT JOIN posts p USING (importance) GROUP BY l.importance""")
+_over(posts_docs, "score_length_matrix", lambda p: stats.score_matrix(p, length_bucket(F.length("text"))), f"SELECT importance, {_LEN} AS bucket, count(*) AS posts FROM posts WHERE importance BETWEEN 1 AND 5 GROUP BY ALL")
+_over(posts_docs, "score_view_matrix", lambda p: stats.score_matrix(p.where("views is not null"), view_bucket(F.col("views"))), f"SELECT importance, {_VIEW} AS bucket, count(*) AS posts FROM posts WHERE importance BETWEEN 1 AND 5 AND views IS NOT NULL GROUP BY ALL")
+_over(posts_docs, "verdict_stats", stats.verdicts, "SELECT verdict, count(*) AS posts, round(avg(length(text)), 6) AS avg_length, round(avg(importance), 6) AS avg_importance, round(avg(views), 6) AS avg_views FROM posts WHERE verdict IS NOT NULL GROUP BY verdict")
+_TAGS = "(SELECT post_id, importance, posted_at, tag1 AS tag FROM posts WHERE tag1 IS NOT NULL UNION ALL SELECT post_id, importance, posted_at, tag2 FROM posts WHERE tag2 IS NOT NULL)"
+_over(posts_docs, "tag_stats", stats.tags, f"SELECT tag, count(*) AS posts, round(avg(importance), 6) AS avg_importance, round(count(*) FILTER (WHERE importance >= 4) / nullif(count(importance), 0), 6) AS high_ratio FROM {_TAGS} GROUP BY tag ORDER BY posts DESC, min(post_id), tag LIMIT 12")
+for _name, _key, _sql in (("langs", lambda: F.col("lang"), "lang"), ("verdicts", lambda: F.col("verdict"), "verdict"), ("authors", lambda: F.col("account_id"), "account_id"), ("lengths", lambda: length_bucket(F.length("text")), _LEN)):
+    _over(posts_docs, f"high_profile_{_name}", lambda p, k=_key: stats.high_shares(p, k()), f"SELECT coalesce({_sql}, 'unknown') AS key, count(*) AS posts, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM posts WHERE importance >= 4 GROUP BY ALL")
+_over(posts_docs, "tag_dictionary", lambda p: p.select(F.explode("tags").alias("t")).select(F.lower(F.trim("t")).alias("tag")).where("tag <> ''").groupBy("tag").agg(F.count("*").alias("posts")).orderBy(F.desc("posts"), "tag").limit(100), f"SELECT lower(trim(tag)) AS tag, count(*) AS posts FROM {_TAGS} GROUP BY 1 ORDER BY posts DESC, tag LIMIT 100")
+_over(posts_docs, "search_dsl", lambda p: search.search(p, "the, macro; ignore; queso").select("post_id"), """SELECT post_id FROM posts, LATERAL (SELECT coalesce(lower(text), '') AS t, coalesce(lower(verdict), '') AS v)
+WHERE ((contains(t, 'the') OR contains(v, 'the') OR coalesce('the' IN (tag1, tag2), false)) AND (contains(t, 'macro') OR contains(v, 'macro') OR coalesce('macro' IN (tag1, tag2), false))) OR contains(t, 'ignore') OR contains(v, 'ignore') OR contains(t, 'queso') OR contains(v, 'queso')""")
+_over(posts_docs, "search_page", lambda p: search.page(p, search.priority(), 3, 20).select("post_id", "importance"), "SELECT post_id, importance FROM posts ORDER BY importance DESC NULLS LAST, posted_at DESC, post_id LIMIT 20 OFFSET 40")
+_over(posts_docs, "pending_anti", lambda p: p.where("importance is null").select("post_id", "account_id"), "SELECT post_id, account_id FROM posts WHERE importance IS NULL")
+_over(posts_docs, "number_tokens", lambda p: p.select("post_id", text.number_tokens(F.col("text")).cast("long").alias("numbers")), r"SELECT post_id, len(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?%?')) AS numbers FROM posts")
+_over(posts_docs, "chunk_plan", lambda p: merge.chunks(p, "account_id", "post_id", 10).select("post_id", "chunk"), "SELECT post_id, ((row_number() OVER (PARTITION BY account_id ORDER BY post_id) - 1) // 10)::INT AS chunk FROM posts")
+_over(posts_docs, "view_parse", lambda p: p.select("post_id", F.round("views", 3).alias("views")), "SELECT post_id, round(views, 3) AS views FROM posts")
+_over(posts_docs, "text_hashes", lambda p: p.select("post_id", F.sha2("text", 256).alias("hash")), "SELECT post_id, sha256(text) AS hash FROM posts")
+_over(routed, "routing_totals", routing.totals, """SELECT count(*) AS total, count(*) FILTER (WHERE status = 'PENDING') AS pending, count(*) FILTER (WHERE status = 'IGNORED') AS ignored, count(*) FILTER (WHERE status = 'AUTO_HIGH') AS auto_high,
+  count(*) FILTER (WHERE status = 'ROUTED') AS routed, count(*) FILTER (WHERE status = 'LLM_QUEUED') AS queued, count(*) FILTER (WHERE status = 'COMPLETED') AS completed,
+  count(*) FILTER (WHERE status = 'IGNORED' AND reason IN ('embed-low', 'embed-negative')) AS embed_low, count(*) FILTER (WHERE status = 'IGNORED' AND (reason IS NULL OR reason NOT IN ('embed-low', 'embed-negative'))) AS ignored_other FROM posts""")
+for _key in ("status", "reason"):
+    _over(routed, f"{_key}_distribution", lambda p, k=_key: routing.distribution(p, k), f"SELECT coalesce({_key}, '(null)') AS {_key}, count(*) AS posts, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM posts GROUP BY ALL")
+_over(routed, "score_summary", routing.score_summary, "SELECT count(score) AS n, round(min(score), 6) AS lo, round(max(score), 6) AS hi, round(avg(score), 6) AS avg, " + ", ".join(f"round(quantile_cont(score, {p / 100}), 6) AS p{p}" for p in (50, 75, 90, 95, 99)) + " FROM posts")
+_over(routed, "score_histogram", routing.histogram, "SELECT floor(score / 0.02::DOUBLE)::INT AS bucket, count(*) AS posts FROM posts WHERE score IS NOT NULL GROUP BY ALL")
+_over(routed, "tag_quantiles", routing.tag_quantiles, "SELECT tag, count(*) AS posts, round(avg(score), 6) AS avg_score, " + ", ".join(f"round(list_sort(list(score))[1 + floor((count(*) - 1) * {q / 100})::INT], 6) AS q{q}" for q in (25, 50, 75)) + " FROM posts WHERE score IS NOT NULL AND tag IS NOT NULL GROUP BY tag")
+_over(routed, "dispatch_due", lambda p: routing.dispatch_due(p, "2024-01-20 00:00:00", 170, 27300), "SELECT tag, count(*) AS posts FROM posts WHERE status = 'ROUTED' GROUP BY tag HAVING count(*) >= 170 OR min(posted_at) <= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 27300 MINUTE")
+_over(routed, "window_counts", windows.window_counts, "SELECT time_bucket(INTERVAL 6 HOUR, posted_at, TIMESTAMP '1970-01-01') AS start, status, count(*) AS posts FROM posts GROUP BY ALL")
+
+
+def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.accounts(posts_orders(spark, sf_dir), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id")))
+
+
+_ACCOUNTS = f"""WITH {POSTS_ORDERS}, stats AS (SELECT c_custkey AS account_id, count(post_id) AS posts, count(importance) AS scored, round(avg(importance), 6) AS avg_importance, count(*) FILTER (WHERE importance >= 4) AS high,
+  round(count(*) FILTER (WHERE importance >= 4) / nullif(count(importance), 0), 6) AS high_ratio,
+  CASE WHEN count(post_id) > 0 THEN round(count(post_id) / greatest(1, date_diff('day', min(posted_at)::DATE, max(posted_at)::DATE) + 1), 6) END AS per_day
+  FROM customer LEFT JOIN posts ON account_id = c_custkey GROUP BY c_custkey)"""
+QUERIES["account_stats"] = _accounts
+SQL["account_stats"] = f"{_ACCOUNTS} SELECT * FROM stats"
+QUERIES["account_policy"] = lambda spark, sf_dir: stats.policy(_accounts(spark, sf_dir))
+SQL["account_policy"] = f"{_ACCOUNTS} SELECT account_id, CASE WHEN scored > 0 AND (avg_importance >= 3.0 OR high >= 6 OR high_ratio > 0.25) THEN 'keep' ELSE 'drop' END AS decision FROM stats"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.format_string("%02d", "label").alias("tag"), F.col("embedding").cast("array<double>").alias("v"))
+    return v.where("vec_id % 2 = 1").select(F.col("vec_id").alias("post_id"), "v"), v.where("vec_id % 2 = 0").select("tag", "v")
+
+
+QUERIES["knn_routing"] = lambda spark, sf_dir: routing.knn(*_vectors(spark, sf_dir), low=0.32, high=0.38, margin=0.01, strict=0.42)
+SQL["knn_routing"] = """WITH v AS (SELECT vec_id, lpad(label::VARCHAR, 2, '0') AS tag, embedding::DOUBLE[] AS v FROM embeddings),
+b AS (SELECT p.vec_id AS post_id, s.tag, max(list_inner_product(p.v, s.v)) AS score FROM v p JOIN v s ON p.vec_id % 2 = 1 AND s.vec_id % 2 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM b WINDOW w AS (PARTITION BY post_id ORDER BY score DESC, tag)),
+m AS (SELECT *, CASE WHEN second >= 0 THEN score - second ELSE 0.0 END AS margin FROM r WHERE r = 1)
+SELECT post_id, tag, round(score, 6) AS score, round(margin, 6) AS margin,
+  CASE WHEN score <= 0.32 THEN 'embed-low' WHEN score >= 0.38 AND margin >= 0.01 AND score >= 0.42 THEN 'high-5' WHEN score >= 0.38 AND margin >= 0.01 THEN 'high-4' ELSE 'analyze' END AS decision FROM m"""
+
+QUERIES["never_ordered"] = lambda spark, sf_dir: merge.insert_absent(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+SQL["never_ordered"] = "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+QUERIES["upsert_merge"] = lambda spark, sf_dir: merge.upsert(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice")), "o_orderkey")
+SQL["upsert_merge"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders"
+QUERIES["keep_first"] = lambda spark, sf_dir: merge.keep_first(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_orderkey")
+SQL["keep_first"] = "SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey"
+_over(posts_docs, "rule_routing", routing.rules, r"""SELECT post_id, CASE
+  WHEN len(list_filter(['token', 'password', 'mail', 'www', 'the best', 'click', 'license', 'copyright'], lambda k: contains(lower(t), k))) > 0 OR length(t) >= 120
+    OR (regexp_matches(t, '(?i)%|\b(usd|usdt|btc|eth|k|m|b)\b|美元|美金|亿|万') AND regexp_matches(t, '(?i)\b(min|hour|day|week|month|year)s?\b|分钟|小时|天|周|月|年|UTC|GMT'))
+    OR (regexp_matches(t, '(?i)\$[a-z]{2,6}\b') AND nums >= 2) THEN 'rule-keep'
+  WHEN coalesce(lang IN ('zxx', 'und', 'qme', 'qst', 'qam', 'qct', 'qht'), false) THEN 'low-lang' WHEN length(t) < 80 AND nums <= 1 THEN 'low-info-short' ELSE 'rule-drop' END AS outcome
+FROM (SELECT *, len(regexp_extract_all(t, '[0-9]+(?:[.,][0-9]+)?%?')) AS nums FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM posts))""")
