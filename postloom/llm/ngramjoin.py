@@ -3,11 +3,11 @@
 Sets whose sizes may go together fall into bands; a pair is looked for in the instance
 of the larger set's band, so each set takes part in its own band's and the next.  In an
 instance two similar sets differ in at most k features.  The feature domain is hashed
-into groups of three partitions each; with k // 2 + 1 groups, one group has at most one
-differing partition, so both sets share a signature for two of its three partitions.
-Each group gives three signatures, one for each pair of partitions.
+into groups of three (or two) partitions each; with k // 2 + 1 groups, one group has at
+most one differing partition, so both sets share a signature of its others.  Each group
+gives a signature for each partition left out.
 
-A signature of two empty partitions says nothing.  More groups are used than needed
+A signature of empty partitions says nothing.  More groups are used than needed
 (`slack`), so two similar sets share a signature that isn't empty, unless both have
 many empty ones: such sets also emit signatures of another partitioning, and if they
 have as many there, of the next; after the last they emit empty ones too.
@@ -18,7 +18,8 @@ most company in all its groups, then, where components are left, against the one
 has most outside the first's component.  In groups still left in several components all
 pairs across components are looked at, in blocks of bounded size, where the counts of
 features in each of CELLS cells bound what two sets have in common; pairs within the
-bound are verified.  Verification counts common features exactly.  Components are labelled with
+bound are verified.  Pairs of the first steps pass such a bound too, by more cells for
+larger sets, before their features are moved.  Verification counts common features exactly.  Components are labelled with
 their smallest doc_id, by passing labels along links and jumping along labels.
 
 Defined cases: null and empty texts, or texts of white space, have an empty set, link
@@ -44,18 +45,17 @@ PARTS, SEEDS, SIG_BITS = 3, 4, 52
 #: Candidate groups of more members are known by their signature, others by their members.
 LARGE = 100_000
 ROWS = 50_000
-#: Cells of the histograms; members of a group that one task compares with as many others.
+#: Cells of the histograms, a power of 2; members of a group that one task compares with as many others.
 CELLS, BLOCK = 256, 2000
 
 
 class Instances:
     """Bands of sizes and the parameters of their instances, for a threshold of num / den."""
 
-    def __init__(self, num: int, den: int) -> None:
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, parts: int = PARTS) -> None:
+        self.num, self.den, self.parts = num, den, parts
         self.upper = [0]  # upper[j]: largest size of band j
         self.groups: list[int] = [0]
-        self.need: list[int] = [1]
 
     def upto(self, size: int) -> None:
         while self.upper[-1] < size:
@@ -63,9 +63,8 @@ class Instances:
             self.upper.append(r)
             k = 2 * r * (self.den - self.num) // (self.den + self.num)
             n = k // 2 + 1
-            slack = 0 if k < 16 else 1 + n // 60
+            slack = 0 if k < 16 else 1 + n // (60 if self.parts > 2 else 25)
             self.groups.append(n + slack if k else 0)
-            self.need.append(1 + slack)
 
     def of(self, size: int) -> list[int]:
         j = bisect_left(self.upper, size)
@@ -75,23 +74,30 @@ class Instances:
             j = bisect_left(self.upper, size)
         return [j, j + 1]
 
+    def need(self, size: int, j: int) -> int:
+        """Groups, at least, in which a set and any similar one of instance j have no more than one differing partition."""
+        most = min(self.upper[j], size * self.den // self.num)
+        differing = (self.den - self.num) * (size + most) // (self.den + self.num)
+        return self.groups[j] - differing // 2
+
 
 def signatures(features: np.ndarray, instances: Instances) -> np.ndarray:
     """The set's signatures of both its instances."""
     out = []
     for j in instances.of(len(features)):
-        groups, need = instances.groups[j], instances.need[j]
+        groups, parts = instances.groups[j], instances.parts
         if not groups:  # only equal sets go together
             continue
+        need = instances.need(len(features), j)
         for seed in range(SEEDS):
             u = mix(features + np.uint64((seed + 1) * 0x632BE59BD9B4E019 % (1 << 64)))
-            cell = ((u >> np.uint64(32)) % np.uint64(groups) * np.uint64(PARTS) + (u & np.uint64(0xFFFFFFFF)) % np.uint64(PARTS)).astype(np.int64)
-            sums = np.zeros(groups * PARTS, np.uint64)
+            cell = ((u >> np.uint64(32)) % np.uint64(groups) * np.uint64(parts) + (u & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64)
+            sums = np.zeros(groups * parts, np.uint64)
             np.add.at(sums, cell, features)
-            held = np.bincount(cell, minlength=groups * PARTS).reshape(groups, PARTS)
-            sums = sums.reshape(groups, PARTS)
+            held = np.bincount(cell, minlength=groups * parts).reshape(groups, parts)
+            sums = sums.reshape(groups, parts)
             rest, left = sums.sum(1, dtype=np.uint64)[:, None] - sums, held.sum(1)[:, None] - held
-            name = np.arange(groups * PARTS, dtype=np.uint64).reshape(groups, PARTS) + np.uint64((j * SEEDS + seed) << 32)
+            name = np.arange(groups * parts, dtype=np.uint64).reshape(groups, parts) + np.uint64((j * SEEDS + seed) << 32)
             sig = mix(rest + mix(name))
             bare = int((left == 0).any(1).sum()) >= need
             out.append(sig[left > 0] if not (bare and seed == SEEDS - 1) else sig.ravel())
@@ -106,11 +112,11 @@ def set_id(features: np.ndarray) -> int:
         return int(mix(mix(features).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(features))).view(np.int64)[0])
 
 
-def _signed(documents: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _signed(documents: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
     """sig, ref for each signature; and for each row one with its doc_id and the size of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        instances = Instances(num, den)
+        instances = Instances(num, den, parts)
         sig, ref, doc, size = [], [], [], []
 
         def out() -> pa.RecordBatch:
@@ -249,21 +255,59 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _histogram(features: np.ndarray) -> bytes:
-    """Features by cell; sets too large for the counters get counts that rule nothing out."""
-    held = np.bincount((features >> np.uint64(56)).astype(np.int64), minlength=CELLS) if len(features) < 60_000 else np.full(CELLS, 65_535)
-    return held.astype("<u2" if held.max(initial=0) > 255 else np.uint8).tobytes()
+def _counts(features: np.ndarray) -> bytes:
+    """Features by cell, the highest bits of their hashes: 4 to 8 a cell, CELLS cells at least; after the size of a number."""
+    bits = max(CELLS.bit_length() - 1, (len(features) // 4).bit_length() - 1)
+    held = np.bincount((features >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    size = 1 if held.max(initial=0) < 256 else 4
+    return bytes([size]) + held.astype(f"<u{size}").tobytes()
+
+
+def _folded(raw: bytes, cells: int) -> np.ndarray:
+    held = np.frombuffer(raw, f"<u{raw[0]}", offset=1)
+    return held.reshape(cells, -1).sum(1, dtype=np.int64) if len(held) > cells else held.astype(np.int64)
+
+
+def _cells(sets: DataFrame) -> DataFrame:
+    """ref, cells: the sets' counts, of a thirtieth of their size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_counts(np.frombuffer(f.as_buffer(), np.uint64)) for f in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["ref", "cells"])
+
+    return sets.select("ref", "features").mapInArrow(run, "ref long, cells binary")
+
+
+def _plausible(pairs: DataFrame, cells: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the counts don't rule out: two sets have at most the lesser count of each cell in common."""
+    both = pairs.join(cells.select(F.col("ref").alias("a"), F.col("cells").alias("ca")), "a").join(cells.select(F.col("ref").alias("b"), F.col("cells").alias("cb")), "b").select("a", "b", "ca", "cb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for ca, cb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                cells = min((len(c) - 1) // c[0] for c in (ca, cb))
+                x, y = _folded(ca, cells), _folded(cb, cells)
+                most = int(np.minimum(x, y).sum())
+                keep.append(den * most >= num * (int(x.sum()) + int(y.sum()) - most))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
 
 
-def _across(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _across(held: DataFrame, counts: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) across components (label) of groups (gid) that the histograms don't rule out."""
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_histogram(np.frombuffer(f.as_buffer(), np.uint64)) for f in batch.column(1)]
+            found = [_folded(c, CELLS) for c in batch.column(1).to_pylist()]
+            # a cell of more than the counter holds: counts that rule nothing out
+            found = [np.full(CELLS, 65_535) if c.max() > 65_535 else c for c in found]
+            found = [c.astype("<u2" if c.max() > 255 else np.uint8).tobytes() for c in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["ref", "cells"])
 
-    cells = sets.join(held.select("ref").distinct(), "ref", "left_semi").select("ref", "features").mapInArrow(sketched, "ref long, cells binary")
+    cells = counts.join(held.select("ref").distinct(), "ref", "left_semi").select("ref", "cells").mapInArrow(folded, "ref long, cells binary")
     blocks = held.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = held.join(blocks, "gid").withColumn("own", F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int")).join(cells, "ref")
     # a member meets each block of its group once: with it the pair of blocks that its task compares
@@ -307,17 +351,21 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels.select("ref", "label")
 
 
-def join(documents: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row: linked are rows whose sets of n-word shingles have a Jaccard index of num / den at least."""
+def join(documents: DataFrame, n: int = 4, num: int = 85, den: int = 100, parts: int = PARTS) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row: linked are rows whose sets of n-word shingles have a Jaccard index of num / den at least.
+
+    parts: partitions of a group; with two there are a third fewer signatures than with three, each of fewer features.
+    """
     spark = documents.sparkSession
     bounded_batches(spark)
     known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    rows = _signed(known, n, num, den).repartition(partitions(spark), "sig").sortWithinPartitions("sig", "ref")
+    rows = _signed(known, n, num, den, parts).repartition(partitions(spark), "sig").sortWithinPartitions("sig", "ref")
     table = stored(_grouped(rows), "groups")
     docs = table.where("doc_id is not null").select("doc_id", "ref", "n")
     groups = stored(table.where("doc_id is null").select("gid", "ref", "n").distinct(), "members")
     reps = stored(docs.join(groups.select("ref").distinct(), "ref", "left_semi").groupBy("ref").agg(F.min("doc_id").alias("doc_id")), "nodes")
     sets = stored(_sets(known, reps, n), "sets")
+    cells = stored(_cells(sets), "cells")
     close = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
     company = groups.join(groups.groupBy("gid").agg(F.count("*").alias("size")), "gid").groupBy("ref").agg(F.sum("size").alias("company"))
     held = stored(groups.join(company, "ref").withColumn("label", F.col("ref")), "held")
@@ -329,7 +377,8 @@ def join(documents: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> Dat
             beside = held.join(centres, "gid").where("label <> c.label").drop("c")
             centres = beside.groupBy("gid").agg(most.alias("c"))
         pairs = held.join(centres, "gid").where("label <> c.label").select(F.col("c.ref").alias("a"), F.col("c.n").alias("na"), F.col("ref").alias("b"), F.col("n").alias("nb"))
-        pairs = stored(pairs.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        pairs = pairs.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = stored(_plausible(pairs, cells, num, den), "pairs")
         new = stored(_links(pairs, sets, num, den), "links")
         links = new if links is None else links.union(new)
         if turn and new.isEmpty():
@@ -338,7 +387,7 @@ def join(documents: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> Dat
         held = held.drop("label").join(labels, "ref", "left").withColumn("label", F.coalesce("label", "ref"))
         open_ = held.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid")
         held = stored(held.join(open_, "gid", "left_semi"), "held")
-    more = stored(_links(stored(_across(held, sets, num, den), "pairs"), sets, num, den), "links")
+    more = stored(_links(stored(_across(held, cells, num, den), "pairs"), sets, num, den), "links")
     if not more.isEmpty():
         labels = components(links.union(more), reps)
     node = docs.groupBy("ref").agg(F.min("doc_id").alias("rep")).join(labels, "ref", "left").select("ref", F.coalesce("label", "rep").alias("component_id"))
@@ -358,9 +407,9 @@ def _null_size(n: int):
     return size(F.col("text"))
 
 
-def keep_one(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def keep_one(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100, parts: int = PARTS) -> DataFrame:
     """The rows, with all their columns, of one document for each component: its smallest doc_id.  Of rows equal in doc_id and text one stays; rows with a null doc_id stay."""
-    found = stored(join(documents, n, num, den).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    found = stored(join(documents, n, num, den, parts).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     gone = documents.sparkSession.sparkContext.broadcast(key_set(found, "doc_id"))
     return _drop(documents, found, gone)
 
