@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,6 +23,45 @@ def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(F.struct(*others), order).alias("r")).select(key, "r.*")
 
 
+def keep_last(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One row a key: the last by order."""
+    others = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("r")).select(key, "r.*")
+
+
+def stale(rows: DataFrame, cache: DataFrame, key: str, fresh: list[str]) -> DataFrame:
+    """Keys of rows that the cache lacks, or holds with other values in the columns `fresh`; nulls equal nulls."""
+    old = cache.select(key, F.struct(*fresh).alias("old"))
+    same = F.coalesce(F.struct(*fresh).eqNullSafe(F.col("old")), F.lit(False))
+    return rows.join(old, key, "left").where(~same).select(key)
+
+
+def numbered(rows: DataFrame, key: str, order: list[Column], bucket: Column, name: str) -> DataFrame:
+    """rows with their numbers, from 0, within the key's rows in that order.
+
+    bucket never falls along the order.  Rows are numbered within key and bucket, and what the buckets before
+    hold is added, so that a key of most rows is not one task's work.  Null keys are a key.
+    """
+    parted = rows.withColumn("_bucket", bucket)
+    counts = parted.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_of")).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_key", "_of", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order)) - 1
+    found = parted.withColumn("_within", within).join(counts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_of")))
+    return found.withColumn(name, F.col("_within") + F.col("_before")).select(*rows.columns, name)
+
+
+#: Rows with ids from one multiple of it to the next are numbered together.
+SPAN = 100_000
+
+
 def chunks(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:
-    """Numbers each key's rows in chunks of `size`."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) / size).cast("int"))
+    """Numbers each key's rows, by an integer column `order`, in chunks of `size`."""
+    found = numbered(rows, key, [F.asc(order)], F.floor(F.col(order) / SPAN), "_pos")
+    return found.withColumn("chunk", F.floor(F.col("_pos") / size).cast("int")).drop("_pos")
+
+
+def chunk_cap(rows: DataFrame, key: str, order: str, size: int, most: int) -> DataFrame:
+    """The first `most` rows of each chunk."""
+    found = numbered(rows, key, [F.asc(order)], F.floor(F.col(order) / SPAN), "_pos")
+    return found.where(F.col("_pos") % size < most).drop("_pos")

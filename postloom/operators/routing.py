@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from postloom.functions.text import AFTER, BEFORE, collapse, has_ticker, number_tokens
-from postloom.functions.vectors import dot
+from postloom.operators.quantiles import floor_quantile_columns
+from postloom.operators.similarity import nearest_tags
 
 #: Languages that carry no words.
 LOW_LANGS = ["zxx", "und", "qme", "qst", "qam", "qct", "qht"]
@@ -38,14 +38,23 @@ def histogram(posts: DataFrame, width: float = 0.02) -> DataFrame:
     return posts.where("score is not null").groupBy(F.floor(F.col("score") / F.lit(width)).cast("int").alias("bucket")).agg(F.count("*").alias("posts"))
 
 
-def floor_quantile(values: Column, q: float) -> Column:
-    """Element at floor((n - 1) q) of the sorted values."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.get(ordered, F.floor((F.size(ordered) - 1) * F.lit(q)).cast("int"))
+def tag_quantiles(posts: DataFrame) -> DataFrame:
+    rows = posts.where("score is not null and tag is not null")
+    found = rows.groupBy("tag").agg(F.count("*").alias("posts"), F.round(F.avg("score"), 6).alias("avg_score"))
+    q = floor_quantile_columns(rows, "tag", "score", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return found.join(q, "tag").select("tag", "posts", "avg_score", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")])
 
 
-def tag_quantiles(posts: DataFrame) -> DataFrame:
-    return posts.where("score is not null and tag is not null").groupBy("tag").agg(F.count("*").alias("posts"), F.round(F.avg("score"), 6).alias("avg_score"), *[F.round(floor_quantile(F.col("score"), q / 100), 6).alias(f"q{q}") for q in (25, 50, 75)])
+def top_tags(posts: DataFrame, limit: int = 10) -> DataFrame:
+    """Tags of most scored posts, with their average score."""
+    found = posts.where("score is not null and tag is not null").groupBy("tag").agg(F.count("*").alias("posts"), F.round(F.avg("score"), 6).alias("avg_score"))
+    return found.orderBy(F.desc("posts"), "tag").limit(limit)
+
+
+def compared(posts: DataFrame, reason: str) -> DataFrame:
+    """Posts and scores of those with the reason and of all others, null included."""
+    group = F.when(F.col("reason").eqNullSafe(F.lit(reason)), "with").otherwise("without").alias("side")
+    return posts.groupBy(group).agg(F.count("*").alias("posts"), F.count("score").alias("scored"), F.round(F.avg("score"), 6).alias("avg_score"), F.round(F.max("score"), 6).alias("hi"))
 
 
 def dispatch_due(posts: DataFrame, now: str, least: int, wait_minutes: int) -> DataFrame:
@@ -67,20 +76,9 @@ def rules(posts: DataFrame, keywords: list[str] = KEYWORDS) -> DataFrame:
     return posts.select("post_id", F.when(keep, "rule-keep").when(F.coalesce(F.col("lang").isin(LOW_LANGS), F.lit(False)), "low-lang").when((size < 80) & (nums <= 1), "low-info-short").otherwise("rule-drop").alias("outcome"))
 
 
-def nearest_tags(posts: DataFrame, samples: DataFrame) -> DataFrame:
-    """Best and second tag of each post (post_id, v) by its best sample (tag, v); ties go to the smaller tag.
-
-    The samples are a cache of bounded size (a few hundred a tag), so they are broadcast.
-    """
-    best = posts.join(F.broadcast(samples.select("tag", F.col("v").alias("w")))).groupBy("post_id", "tag").agg(F.max(dot(F.col("v"), F.col("w"))).alias("score"))
-    order = Window.partitionBy("post_id").orderBy(F.desc("score"), "tag")
-    ranked = best.withColumns({"r": F.row_number().over(order), "second": F.lead("score").over(order)})
-    return ranked.where("r = 1").select("post_id", "tag", "score", "second")
-
-
 def knn(posts: DataFrame, samples: DataFrame, low: float = 0.68, high: float = 0.86, margin: float = 0.04, strict: float = 0.9) -> DataFrame:
-    """post_id, tag, score, margin and the decision; without a second tag the margin is 0."""
+    """post_id, tag, score, margin and the decision; without a second tag the margin is 0, without a vector the post is analyzed."""
     found = nearest_tags(posts, samples).withColumn("margin", F.when(F.col("second") >= 0, F.col("score") - F.col("second")).otherwise(0.0))
     sure = (F.col("score") >= high) & (F.col("margin") >= margin)
-    decision = F.when(F.col("score") <= low, "embed-low").when(sure & (F.col("score") >= strict), "high-5").when(sure, "high-4").otherwise("analyze")
+    decision = F.when(F.col("score").isNull(), "embed-missing").when(F.col("score") <= low, "embed-low").when(sure & (F.col("score") >= strict), "high-5").when(sure, "high-4").otherwise("analyze")
     return found.select("post_id", "tag", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), decision.alias("decision"))

@@ -99,3 +99,49 @@ def policy(stats: DataFrame, least_avg: float = 3.0, least_high: int = 6, ratio:
     """Which accounts stay: by average, number or share of high posts; those without scored posts go."""
     keep = (F.col("scored") > 0) & ((F.col("avg_importance") >= least_avg) | (F.col("high") >= least_high) | (F.col("high_ratio") > ratio))
     return stats.select("account_id", F.when(F.coalesce(keep, F.lit(False)), "keep").otherwise("drop").alias("decision"))
+
+
+def _bucketed(x: Column, none: str | None, edges: list[tuple[float, str]], last: str) -> Column:
+    out = F.when(x.isNull(), none)
+    for top, name in edges:
+        out = out.when(x < top, name)
+    return out.otherwise(last)
+
+
+def account_buckets(found: DataFrame) -> DataFrame:
+    """kind, bucket, accounts: accounts by average importance, number and share of high posts."""
+    avg = _bucketed(F.col("avg_importance"), "none", [(2, "1.0-1.9"), (3, "2.0-2.9"), (4, "3.0-3.9"), (5, "4.0-4.9")], "5.0")
+    high = _bucketed(F.col("high"), None, [(1, "0"), (3, "1-2"), (6, "3-5"), (11, "6-10")], "11+")
+    ratio = _bucketed(F.col("high_ratio"), "none", [(0.1, "<10%"), (0.25, "<25%"), (0.5, "<50%"), (0.75, "<75%")], ">=75%")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), b.alias("bucket")) for k, b in (("avg", avg), ("high", high), ("ratio", ratio))])
+    return found.select(F.inline(kinds)).groupBy("kind", "bucket").agg(F.count("*").alias("accounts"))
+
+
+def account_kpis(found: DataFrame) -> DataFrame:
+    return found.agg(F.count("*").alias("accounts"), F.count_if(F.col("scored") > 0).alias("scored"), F.count_if(F.col("high") > 0).alias("with_high"), F.count_if(F.col("high_ratio") >= 0.5).alias("mostly_high"))
+
+
+def leaders(found: DataFrame, by: str, top: int = 10) -> DataFrame:
+    """The accounts that lead by a statistic; nulls take no part."""
+    return found.where(F.col(by).isNotNull()).orderBy(F.desc(by), F.desc("scored"), "account_id").limit(top).select("account_id", "scored", by)
+
+
+def high_totals(posts: DataFrame, high: int = HIGH) -> DataFrame:
+    """Posts of high importance: number, share of the scored, lengths, views, tags a post."""
+    is_high = F.col("importance") >= high
+    size, views, tags_ = (F.when(is_high, x) for x in (F.length("text"), F.col("views"), F.coalesce(F.size("tags"), F.lit(0))))
+    return posts.agg(
+        F.count_if(is_high).alias("posts"),
+        _num(F.try_divide(F.count_if(is_high), F.count("importance"))).alias("ratio"),
+        *[_num(F.percentile(size, F.lit(q / 100))).alias(f"length_p{q}") for q in (50, 90)],
+        *[_num(F.percentile(views, F.lit(q / 100))).alias(f"views_p{q}") for q in (50, 90)],
+        _num(F.avg(tags_)).alias("avg_tags"),
+    )
+
+
+def high_tags(posts: DataFrame, high: int = HIGH) -> DataFrame:
+    """Tags of posts of high importance, with the share of those posts."""
+    top = posts.where(F.col("importance") >= high)
+    total = top.agg(F.count("*").alias("total"))
+    found = top.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("posts"))
+    return found.join(F.broadcast(total)).select("tag", "posts", _num(F.col("posts") / F.col("total")).alias("share"))

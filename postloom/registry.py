@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions import text
 from postloom.functions.text import length_bucket, view_bucket
-from postloom.operators import merge, routing, search, stats
+from postloom.operators import evaluation, jobs, merge, reports, routing, search, similarity, stats
 from postloom.sources.tables import POSTS_DOCS, POSTS_ORDERS, ROUTED, posts_docs, posts_orders, routed, table
 from postloom.streaming import windows
 
@@ -91,13 +91,15 @@ SQL["account_policy"] = f"{_ACCOUNTS} SELECT account_id, CASE WHEN scored > 0 AN
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Posts (odd ids), and the cache of the newest 200 samples (even ids) of each tag."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.format_string("%02d", "label").alias("tag"), F.col("embedding").cast("array<double>").alias("v"))
-    return v.where("vec_id % 2 = 1").select(F.col("vec_id").alias("post_id"), "v"), v.where("vec_id % 2 = 0").select("tag", "v")
+    return v.where("vec_id % 2 = 1").select(F.col("vec_id").alias("post_id"), "v"), similarity.recent(v.where("vec_id % 2 = 0"), "vec_id").select("tag", "v")
 
 
 QUERIES["knn_routing"] = lambda spark, sf_dir: routing.knn(*_vectors(spark, sf_dir), low=0.32, high=0.38, margin=0.01, strict=0.42)
 SQL["knn_routing"] = """WITH v AS (SELECT vec_id, lpad(label::VARCHAR, 2, '0') AS tag, embedding::DOUBLE[] AS v FROM embeddings),
-b AS (SELECT p.vec_id AS post_id, s.tag, max(list_inner_product(p.v, s.v)) AS score FROM v p JOIN v s ON p.vec_id % 2 = 1 AND s.vec_id % 2 = 0 GROUP BY ALL),
+s AS (SELECT * FROM v WHERE vec_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY tag ORDER BY vec_id DESC) <= 200),
+b AS (SELECT p.vec_id AS post_id, s.tag, max(list_inner_product(p.v, s.v)) AS score FROM v p JOIN s ON p.vec_id % 2 = 1 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM b WINDOW w AS (PARTITION BY post_id ORDER BY score DESC, tag)),
 m AS (SELECT *, CASE WHEN second >= 0 THEN score - second ELSE 0.0 END AS margin FROM r WHERE r = 1)
 SELECT post_id, tag, round(score, 6) AS score, round(margin, 6) AS margin,
@@ -115,3 +117,149 @@ _over(posts_docs, "rule_routing", routing.rules, r"""SELECT post_id, CASE
     OR (regexp_matches(t, '(?i)\$[a-z]{2,6}\b') AND nums >= 2) THEN 'rule-keep'
   WHEN coalesce(lang IN ('zxx', 'und', 'qme', 'qst', 'qam', 'qct', 'qht'), false) THEN 'low-lang' WHEN length(t) < 80 AND nums <= 1 THEN 'low-info-short' ELSE 'rule-drop' END AS outcome
 FROM (SELECT *, len(regexp_extract_all(t, '[0-9]+(?:[.,][0-9]+)?%?')) AS nums FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM posts))""")
+
+# account reports
+for _name, _fn, _sql in (
+    ("account_distribution", stats.account_buckets, """SELECT kind, bucket, count(*) AS accounts FROM (
+  SELECT 'avg' AS kind, CASE WHEN avg_importance IS NULL THEN 'none' WHEN avg_importance < 2 THEN '1.0-1.9' WHEN avg_importance < 3 THEN '2.0-2.9' WHEN avg_importance < 4 THEN '3.0-3.9' WHEN avg_importance < 5 THEN '4.0-4.9' ELSE '5.0' END AS bucket FROM stats
+  UNION ALL SELECT 'high', CASE WHEN high = 0 THEN '0' WHEN high <= 2 THEN '1-2' WHEN high <= 5 THEN '3-5' WHEN high <= 10 THEN '6-10' ELSE '11+' END FROM stats
+  UNION ALL SELECT 'ratio', CASE WHEN high_ratio IS NULL THEN 'none' WHEN high_ratio < 0.1 THEN '<10%' WHEN high_ratio < 0.25 THEN '<25%' WHEN high_ratio < 0.5 THEN '<50%' WHEN high_ratio < 0.75 THEN '<75%' ELSE '>=75%' END FROM stats) GROUP BY ALL"""),
+    ("account_kpis", stats.account_kpis, "SELECT count(*) AS accounts, count(*) FILTER (WHERE scored > 0) AS scored, count(*) FILTER (WHERE high > 0) AS with_high, count(*) FILTER (WHERE high_ratio >= 0.5) AS mostly_high FROM stats"),
+    ("account_leaders", lambda a: stats.leaders(a, "avg_importance"), "SELECT account_id, scored, avg_importance FROM stats WHERE avg_importance IS NOT NULL ORDER BY avg_importance DESC, scored DESC, account_id LIMIT 10"),
+    ("account_high_leaders", lambda a: stats.leaders(a, "high"), "SELECT account_id, scored, high FROM stats ORDER BY high DESC, scored DESC, account_id LIMIT 10"),
+):
+    QUERIES[_name] = lambda spark, sf_dir, f=_fn: f(_accounts(spark, sf_dir))
+    SQL[_name] = f"{_ACCOUNTS} {_sql}"
+
+# posts of high importance
+_over(posts_docs, "high_profile_totals", stats.high_totals, """SELECT count(*) FILTER (WHERE h) AS posts, round(count(*) FILTER (WHERE h) / nullif(count(importance), 0), 6) AS ratio,
+  round(quantile_cont(length(text)::DOUBLE, 0.5) FILTER (WHERE h), 6) AS length_p50, round(quantile_cont(length(text)::DOUBLE, 0.9) FILTER (WHERE h), 6) AS length_p90,
+  round(quantile_cont(views, 0.5) FILTER (WHERE h), 6) AS views_p50, round(quantile_cont(views, 0.9) FILTER (WHERE h), 6) AS views_p90,
+  round(avg((tag1 IS NOT NULL)::INT + (tag2 IS NOT NULL)::INT) FILTER (WHERE h), 6) AS avg_tags FROM (SELECT *, coalesce(importance >= 4, false) AS h FROM posts)""")
+_over(posts_docs, "high_profile_tags", stats.high_tags, f"SELECT tag, count(*) AS posts, round(count(*) / (SELECT count(*) FROM posts WHERE importance >= 4), 6) AS share FROM {_TAGS} WHERE importance >= 4 GROUP BY tag")
+_over(routed, "score_by_tag", routing.top_tags, "SELECT tag, count(*) AS posts, round(avg(score), 6) AS avg_score FROM posts WHERE score IS NOT NULL AND tag IS NOT NULL GROUP BY tag ORDER BY posts DESC, tag LIMIT 10")
+_over(routed, "compare_reason", lambda p: routing.compared(p, "embed-low"), "SELECT CASE WHEN reason IS NOT DISTINCT FROM 'embed-low' THEN 'with' ELSE 'without' END AS side, count(*) AS posts, count(score) AS scored, round(avg(score), 6) AS avg_score, round(max(score), 6) AS hi FROM posts GROUP BY ALL")
+
+# features of the text
+_PREPARED = r"""e AS (SELECT *, length(t) AS len, len(regexp_extract_all(t, '[0-9]+(?:[.,][0-9]+)?%?')) AS nums, coalesce(len(regexp_extract_all(t, '[0-9]')) / nullif(length(t), 0), 0) AS ratio
+  FROM (SELECT *, coalesce(importance >= 4, false) AS high, coalesce(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS t FROM posts)), a AS (SELECT greatest(1, count(*) FILTER (WHERE high)) AS highs FROM e)"""
+_FEATURES = {f"len>={k}": f"len >= {k}" for k in (40, 80, 120)} | {f"numberTokens>={k}": f"nums >= {k}" for k in (1, 2)} | {f"digitRatio>={k}%": f"ratio >= {k / 100}::DOUBLE" for k in (1, 3, 6)} | {
+    "hasAmountUnit": r"regexp_matches(t, '(?i)%|\b(usd|usdt|usdc|btc|eth|bnb|sol|m|b|k)\b|美元|美金|亿|万')",
+    "hasTimeUnit": r"regexp_matches(t, '(?i)\b(sec|second|minute|min|hour|day|week|month|year)s?\b|分钟|小时|天|周|月|年|UTC|GMT')",
+    "hasAddress": "regexp_matches(t, '0x[a-fA-F0-9]{40,64}')",
+    "hasUrl": r"regexp_matches(t, '(?i)https?://|www\.')",
+    "hasTicker": r"regexp_matches(t, '(?i)\$[a-z]{2,6}\b')",
+}
+_BUCKETS = {"<40": "len < 40", "40-79": "len BETWEEN 40 AND 79", "80-119": "len BETWEEN 80 AND 119", "120-159": "len BETWEEN 120 AND 159", ">=160": "len >= 160"}
+_BUCKETS |= {"<1%": "ratio < 0.01::DOUBLE", "1-3%": "ratio >= 0.01::DOUBLE AND ratio < 0.03::DOUBLE", "3-6%": "ratio >= 0.03::DOUBLE AND ratio < 0.06::DOUBLE", ">=6%": "ratio >= 0.06::DOUBLE"} | {str(k): f"nums = {k}" for k in range(3)} | {">=3": "nums >= 3"}
+_WORDS = [*routing.KEYWORDS, "the", "und", "que", "les"]
+
+
+def _rates_sql(name: str, flags: dict[str, str]) -> str:
+    counts = " UNION ALL ".join(f"SELECT '{k}' AS {name}, count(*) FILTER (WHERE {c}) AS total, count(*) FILTER (WHERE ({c}) AND high) AS high FROM e" for k, c in flags.items())
+    return f", f AS ({counts}) SELECT {name}, total, high, round(high / greatest(1, total), 6) AS precision, round(high / highs, 6) AS recall FROM f, a"
+
+
+for _name, _fn, _sql in (
+    ("feature_eval", evaluation.feature_eval, _rates_sql("feature", _FEATURES) + " WHERE total > 0"),
+    ("feature_buckets", evaluation.feature_buckets, _rates_sql("bucket", _BUCKETS)),
+    ("keyword_eval", lambda p: evaluation.keyword_eval(p, _WORDS), _rates_sql("keyword", {k: f"contains(lower(t), '{k}')" for k in _WORDS}) + " WHERE total >= 10 ORDER BY precision DESC, recall DESC, keyword LIMIT 25"),
+    ("lang_eval", evaluation.lang_eval, " SELECT coalesce(nullif(lang, ''), 'unknown') AS lang, count(*) AS total, count(*) FILTER (WHERE high) AS high, round(count(*) FILTER (WHERE high) / count(*), 6) AS precision FROM e GROUP BY 1"),
+):
+    _over(posts_docs, _name, _fn, "")
+    SQL[_name] = f"WITH {POSTS_DOCS}, {_PREPARED}{_sql}"
+_over(posts_docs, "text_normalize", lambda p: p.select("post_id", text.embedding_text(F.col("text")).alias("bare"), text.truncate(F.col("text"), 40).alias("short")), r"""SELECT post_id, CASE WHEN bare = '' THEN t ELSE bare END AS bare, CASE WHEN length(t) <= 40 THEN t ELSE t[:39] || '…' END AS short FROM (SELECT post_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t,
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)^\s*RT\s+@\w+:\s*', ''), '(?i)https?://\S+|t\.co/\S+|pic\.twitter\.com/\S+', ' ', 'g'), '@\w+', ' ', 'g'), '#([\p{L}\p{N}_]+)', '\1', 'g'), '\s+', ' ', 'g')) AS bare FROM posts)""")
+
+# vectors
+_SAMPLES = """v AS (SELECT vec_id, lpad(label::VARCHAR, 2, '0') AS tag, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT * FROM v WHERE vec_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY tag ORDER BY vec_id DESC) <= 200)"""
+_TAG_STATS = f"""WITH {_SAMPLES}, n AS (SELECT tag, vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM s),
+e AS (SELECT tag, i, sum(u[i]) AS x FROM n, LATERAL (SELECT unnest(range(1, len(u) + 1)) AS i) GROUP BY ALL), c AS (SELECT tag, list(x ORDER BY i) AS c FROM e GROUP BY tag),
+d AS (SELECT tag, list_inner_product(u, c) / sqrt(list_inner_product(c, c)) AS sim FROM n JOIN c USING (tag)),
+t AS (SELECT tag, count(*) AS samples, avg(sim) AS mean, {", ".join(f"list_sort(list(sim))[1 + floor((count(*) - 1) * {q / 100})::INT] AS p{q}" for q in (25, 50, 75))} FROM d GROUP BY tag)"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if kind == "double" else c for c, kind in df.dtypes])
+
+
+QUERIES["tag_centroid_stats"] = lambda spark, sf_dir: _rounded(similarity.tag_stats(_vectors(spark, sf_dir)[1]))
+SQL["tag_centroid_stats"] = f"{_TAG_STATS} SELECT tag, samples, {', '.join(f'round({c}, 6) AS {c}' for c in ('mean', 'p25', 'p50', 'p75'))} FROM t"
+QUERIES["tag_thresholds"] = lambda spark, sf_dir: _rounded(similarity.thresholds(similarity.tag_stats(_vectors(spark, sf_dir)[1])))
+SQL["tag_thresholds"] = f"""{_TAG_STATS}, b AS (SELECT tag, CASE WHEN samples >= 10 THEN least(0.91, greatest(0.81, (0.86 + p75) / 2)) ELSE 0.86 END::DOUBLE AS high, CASE WHEN samples >= 10 THEN least(0.73, greatest(0.63, (0.68 + p25) / 2)) ELSE 0.68 END::DOUBLE AS low,
+  CASE WHEN samples >= 10 AND p75 - p50 < 0.02 THEN 0.05 ELSE 0.04 END::DOUBLE AS margin FROM t)
+SELECT tag, round(CASE WHEN low >= high - 0.02 THEN least(high - 0.01, greatest(0.5, high - 0.02)) ELSE low END, 6) AS low, round(high, 6) AS high, round(margin, 6) AS margin, round(greatest(0.9::DOUBLE, high + 0.02), 6) AS strict FROM b"""
+QUERIES["best_runner_up"] = lambda spark, sf_dir: _rounded(similarity.nearest_tags(*_vectors(spark, sf_dir)))
+SQL["best_runner_up"] = f"""WITH {_SAMPLES}, b AS (SELECT p.vec_id AS post_id, s.tag, max(list_inner_product(p.v, s.v)) AS score FROM v p JOIN s ON p.vec_id % 2 = 1 GROUP BY ALL)
+SELECT post_id, tag, round(score, 6) AS score, round(second, 6) AS second FROM (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM b WINDOW w AS (PARTITION BY post_id ORDER BY score DESC, tag)) WHERE r = 1"""
+QUERIES["sim_diagnostics"] = lambda spark, sf_dir: _rounded(similarity.diagnostics(*_vectors(spark, sf_dir), [1, 3, 5]))
+SQL["sim_diagnostics"] = f"""WITH {_SAMPLES}, r AS (SELECT p.vec_id, s.tag, list_inner_product(p.v, s.v) AS x, row_number() OVER (PARTITION BY p.vec_id, s.tag ORDER BY x DESC) AS i FROM v p JOIN s ON p.vec_id % 2 = 1),
+b AS (SELECT k, vec_id, max(x) AS score FROM (SELECT k, vec_id, tag, avg(x) AS x FROM r, (SELECT unnest([1, 3, 5]) AS k) WHERE i <= k GROUP BY ALL) GROUP BY ALL)
+SELECT k, count(*) AS posts, round(avg(score), 6) AS mean, round(max(score), 6) AS hi, {", ".join(f"round(list_sort(list(score))[1 + floor((count(*) - 1) * {q / 100})::INT], 6) AS q{q}" for q in (50, 90))} FROM b GROUP BY k"""
+
+
+def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("post_id"), F.col("embedding").cast("array<double>").alias("v"))
+    return _rounded(similarity.semantic_page(v.where("post_id % 2 = 1"), v.where("post_id = 2").select(F.col("v").alias("q")), [F.desc("post_id")], number=2, size=20, candidates=200).select("post_id", "score"))
+
+
+QUERIES["semantic_topk"] = _semantic
+SQL["semantic_topk"] = """WITH v AS (SELECT vec_id AS post_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT * FROM v WHERE post_id % 2 = 1 ORDER BY post_id DESC LIMIT 200)
+SELECT c.post_id, round(list_inner_product(c.v, q.v) / sqrt(list_inner_product(c.v, c.v) * list_inner_product(q.v, q.v)), 6) AS score FROM c, v q WHERE q.post_id = 2 ORDER BY list_inner_product(c.v, q.v) / sqrt(list_inner_product(c.v, c.v)) DESC, c.post_id DESC LIMIT 20 OFFSET 20"""
+
+
+def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return reports.clusters(v.selectExpr("label AS report", "vec_id AS post_id", "cast(vec_id % 5 AS int) AS importance", "vec_id AS posted_at", "array(cast(vec_id % 3 AS string)) AS tags", "cast(embedding AS array<double>) AS v"), threshold=0.3)
+
+
+QUERIES["cluster_report"] = _reported
+
+# merges
+QUERIES["keep_last"] = lambda spark, sf_dir: merge.keep_last(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_orderkey")
+SQL["keep_last"] = "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey"
+_over(posts_docs, "stale_embeddings", lambda p: merge.stale(p.select("post_id", F.sha2("text", 256).alias("hash"), F.lit(512).alias("dims")), p.where("post_id % 3 <> 0").select("post_id", F.when(F.col("post_id") % 5 == 0, "old").otherwise(F.sha2("text", 256)).alias("hash"), F.lit(512).alias("dims")), "post_id", ["hash", "dims"]), "SELECT post_id FROM posts WHERE post_id % 3 = 0 OR post_id % 5 = 0")
+_over(posts_docs, "chunk_cap", lambda p: merge.chunk_cap(p, "account_id", "post_id", 10, 4).select("post_id"), "SELECT post_id FROM posts QUALIFY (row_number() OVER (PARTITION BY account_id ORDER BY post_id) - 1) % 10 < 4")
+
+# scheduling
+_NOW = "2024-01-20 00:00:00"
+_JOBS = "SELECT event_id AS job_id, CASE event_type WHEN 'view' THEN 'PENDING' WHEN 'click' THEN 'RUNNING' WHEN 'error' THEN 'FAILED' ELSE 'COMPLETED' END AS status, ts AS locked_at FROM "
+_LOCKS = "SELECT event_id AS key, CASE event_id % 3 WHEN 0 THEN concat('job:', cast(event_id % 997 AS varchar(20))) WHEN 1 THEN 'worker' END AS locked_by, ts AS locked_at, ts + interval '1' day AS expires_at FROM "
+
+
+def _events(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: spark.sql(query + "{events}", events=table(spark, sf_dir, "events"))
+
+
+QUERIES["stale_jobs"] = lambda spark, sf_dir: jobs.expire(_events(_JOBS)(spark, sf_dir), _NOW)
+SQL["stale_jobs"] = f"SELECT job_id, CASE WHEN status = 'RUNNING' AND locked_at < TIMESTAMP '{_NOW}' - INTERVAL 3 HOUR THEN 'COMPLETED' ELSE status END AS status FROM ({_JOBS}events)"
+QUERIES["lock_recovery"] = lambda spark, sf_dir: jobs.locks(_events(_LOCKS)(spark, sf_dir), _events(_JOBS)(spark, sf_dir), _NOW)
+SQL["lock_recovery"] = f"SELECT key, locked_by IS NULL OR expires_at <= TIMESTAMP '{_NOW}' OR (locked_by LIKE 'job:%' AND coalesce(status, '') <> 'RUNNING') AS recoverable FROM ({_LOCKS}events) LEFT JOIN ({_JOBS}events) j ON locked_by = 'job:' || job_id"
+_over(routed, "trigger_decision", lambda p: jobs.trigger(p.where("status = 'PENDING'"), 50), "SELECT count(*) AS pending, CASE WHEN count(*) = 0 THEN 'none-pending' WHEN count(*) < 50 THEN 'below-threshold' ELSE 'run' END AS decision FROM posts WHERE status = 'PENDING'")
+
+
+def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("account_id")).agg(F.max("ts").alias("last"))
+    return last.select("account_id", F.when(F.col("account_id") % 7 != 0, F.col("last")).alias("last_fetched"))
+
+
+QUERIES["due_accounts"] = lambda spark, sf_dir: jobs.due(_fetched(spark, sf_dir), "2024-01-30 06:00:00")
+SQL["due_accounts"] = """WITH a AS (SELECT user_id AS account_id, CASE WHEN user_id % 7 <> 0 THEN max(ts) END AS last_fetched FROM events GROUP BY user_id), c AS (SELECT *, coalesce(last_fetched + INTERVAL 12 HOUR > TIMESTAMP '2024-01-30 06:00:00', false) AS cooling FROM a)
+SELECT account_id, CASE WHEN cooling THEN 'cooling' WHEN row_number() OVER (PARTITION BY cooling ORDER BY last_fetched NULLS LAST, account_id) <= 10 THEN 'fetched' ELSE 'waiting' END AS state FROM c"""
+
+# reports
+_over(posts_docs, "tag_sections", lambda p: reports.sections(p, reports.primary_tag()), "SELECT coalesce(tag1, 'other') AS section, post_id, row_number() OVER (PARTITION BY coalesce(tag1, 'other') ORDER BY coalesce(importance, 0) DESC, posted_at DESC, post_id) - 1 AS pos FROM posts")
+_over(posts_docs, "author_sections", lambda p: reports.sections(p, F.coalesce("account_id", F.lit("Unknown"))), "SELECT coalesce(account_id, 'Unknown') AS section, post_id, row_number() OVER (PARTITION BY coalesce(account_id, 'Unknown') ORDER BY coalesce(importance, 0) DESC, posted_at DESC, post_id) - 1 AS pos FROM posts")
+_over(posts_docs, "section_overview", lambda p: reports.overview(p, reports.primary_tag()), "SELECT coalesce(tag1, 'other') AS section, count(*) AS posts, coalesce(max(importance), 0) AS peak FROM posts GROUP BY 1 ORDER BY peak DESC, posts DESC, section LIMIT 3")
+
+
+def _scored(p: DataFrame) -> DataFrame:
+    items = p.where("verdict is not null").selectExpr("post_id", "concat(upper(verdict), ' ') AS verdict", "importance + 0.5D AS importance", "tags", "CAST(NULL AS string) AS summary", "CASE WHEN post_id % 3 = 0 THEN 'do' END AS suggestions", "text")
+    return reports.filled(p, reports.normalized_insights(items).withColumn("text", F.lit(None))).select("post_id", "verdict", "importance")
+
+
+_over(posts_docs, "llm_fill", _scored, """SELECT post_id, CASE WHEN verdict IS NULL OR (verdict = 'actionable' AND post_id % 3 <> 0) THEN 'watch' ELSE verdict END AS verdict,
+  CASE WHEN verdict IS NULL THEN 2 WHEN verdict = 'actionable' AND post_id % 3 <> 0 THEN least(3, importance + 1) ELSE least(5, importance + 1) END AS importance FROM posts""")
+_over(posts_docs, "stratified_sample", lambda p: reports.stratified(p.where("importance >= 3"), F.coalesce("lang", F.lit("other")), {"en": 20, "de": 5}), "")
+del SQL["stratified_sample"]
