@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import bounded_batches, map_arrow, ngram_hashes, partitions, word_hashes
+from postloom.llm.common import bounded_batches, map_arrow, ngram_hashes, partitions, spared, word_hashes
 
 K, SHINGLE = 64, 5
 _TOP = float(1 << 63)
@@ -149,4 +149,4 @@ def compare_with_next(documents: DataFrame, k: int = K) -> DataFrame:
             if done:
                 yield batch_of(done)
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint array<bigint>, edited_fingerprint array<bigint>, near_edited double, near_next double")
+    return dealt.mapInArrow(spared(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint array<bigint>, edited_fingerprint array<bigint>, near_edited double, near_next double")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import bounded_batches, held_out, map_arrow
+from postloom.llm.common import bounded_batches, held_out, map_arrow, spared
 
 #: The classifier is fitted on at most so many labelled rows a language, so many characters of each, from a place that its hash chooses.
 ROWS_PER_LANG, CHARS_PER_ROW = 80, 320
@@ -138,7 +138,7 @@ def phrases(texts: list[str], model: LangModel) -> tuple[np.ndarray, np.ndarray]
     for lo in range(0, len(order), lanes):
         ids = order[lo : lo + lanes]
         lengths = np.array([len(blocks[i]) for i in ids])
-        grid = np.zeros((lengths[0], len(ids)), np.uint32)
+        grid = np.zeros((lengths[0], len(ids)), np.uint8)
         for j, i in enumerate(ids):
             grid[: len(blocks[i]), j] = blocks[i]
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # blocks longer than t
@@ -217,7 +217,7 @@ def keep_identified(documents: DataFrame, model: LangModel, least: float = 0.5)
             yield batch.filter(pa.array(keep.astype(bool)))
 
     bounded_batches(documents.sparkSession)
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(spared(run), documents.schema)
 
 
 __all__ = ["LangModel", "build_model", "classify", "keep_identified", "phrases", "predict", "suffix_automaton", "train"]

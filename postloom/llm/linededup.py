@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from postloom.llm.common import bounded_batches, key_set, located_words, maybe_in, mix, powers, stored, words_of
+from postloom.llm.common import bounded_batches, key_set, located_words, maybe_in, mix, powers, spared, stored, words_of
 
 SHORTEST = 8
 #: Lines are sent on in batches of so many.
@@ -119,7 +119,7 @@ def line_table(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     bounded_batches(documents.sparkSession)
-    return documents.mapInArrow(run, "key long, th long, pos int, h long, n int, halves array<long>")
+    return documents.mapInArrow(spared(run), "key long, th long, pos int, h long, n int, halves array<long>")
 
 
 def word_table(chosen: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def word_table(chosen: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(rows, pa.list_(pa.int64()))], ["h", "words"])
 
-    return chosen.select("text", "wanted").mapInArrow(run, "h long, words array<long>")
+    return chosen.select("text", "wanted").mapInArrow(spared(run), "h long, words array<long>")
 
 
 def variant_table(lines: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def variant_table(lines: DataFrame) -> DataFrame:
                 place = [batch.column(k).take(pa.array(of)) for k in (2, 3, 4)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)), pa.array(np.concatenate(i)), pa.array(np.repeat(sizes, sizes + 1).astype(np.int32)), pa.array(hs[of]), *place], names)
 
-    return lines.select("h", "words", "key", "th", "pos").mapInArrow(run, "v long, i int, n int, h long, key long, th long, pos int")
+    return lines.select("h", "words", "key", "th", "pos").mapInArrow(spared(run), "v long, i int, n int, h long, key long, th long, pos int")
 
 
 def maybe_holding(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def maybe_holding(docs: DataFrame, keys: DataFrame) -> DataFrame:
             th = pa.array([text_hash(t) for t in part.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), th, part.column(1)], ["key", "th", "text"])
 
-    return docs.mapInArrow(run, "key long, th long, text string")
+    return docs.mapInArrow(spared(run), "key long, th long, text string")
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
             ends = zip(a.offsets.to_numpy()[:-1], a.offsets.to_numpy()[1:], b.offsets.to_numpy()[:-1], b.offsets.to_numpy()[1:], strict=True)
             yield batch.select([0]).filter(pa.array([within_one(x[i:j], y[k:m]) for i, j, k, m in ends], pa.bool_()))
 
-    return both.mapInArrow(run, "h long").distinct()
+    return both.mapInArrow(spared(run), "h long").distinct()
 
 
 def dedup(documents: DataFrame, max_edits: int = 1) -> DataFrame:
@@ -256,7 +256,7 @@ def dedup(documents: DataFrame, max_edits: int = 1) -> DataFrame:
                 mask = maybe_in(found.value, batch.column(held).to_numpy())
                 yield batch.filter(pa.array(mask if inside else ~mask))
 
-        return rows.mapInArrow(run, rows.schema)
+        return rows.mapInArrow(spared(run), rows.schema)
 
     schema = T.StructType([*documents.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType())])
 
@@ -276,4 +276,4 @@ def dedup(documents: DataFrame, max_edits: int = 1) -> DataFrame:
     kind = gone.schema["_gone"].dataType.simpleString()
     hit = part(True).join(gone.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
     free = part(False).drop("_key").withColumn("_gone", F.lit(None).cast(kind))
-    return hit.unionByName(free).mapInArrow(run, schema)
+    return hit.unionByName(free).mapInArrow(spared(run), schema)

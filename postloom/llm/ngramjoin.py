@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import bounded_batches, key_set, maybe_in, mix, partitions, shingle_set, stored, word_hashes
+from postloom.llm.common import bounded_batches, key_set, maybe_in, mix, partitions, shingle_set, spared, stored, word_hashes
 
 PARTS, SEEDS, SIG_BITS = 3, 4, 52
 #: Candidate groups of more members are known by their signature, others by their members.
@@ -146,7 +146,7 @@ def _signed(documents: DataFrame, n: int, num: int, den: int, parts: int) -> Dat
         if sig:
             yield out()
 
-    return documents.mapInArrow(run, "sig long, ref long, doc_id long, n int")
+    return documents.mapInArrow(spared(run), "sig long, ref long, doc_id long, n int")
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
             else:
                 yield from groups(*held)
 
-    return rows.mapInArrow(run, "gid long, ref long, doc_id long, n int")
+    return rows.mapInArrow(spared(run), "gid long, ref long, doc_id long, n int")
 
 
 def _sets(documents: DataFrame, reps: DataFrame, n: int) -> DataFrame:
@@ -233,7 +233,7 @@ def _sets(documents: DataFrame, reps: DataFrame, n: int) -> DataFrame:
                 sets = [shingle_set(word_hashes(t), n) for t in texts[lo : lo + 500]]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array(ids[lo : lo + 500], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["ref", "doc_id", "features"])
 
-    made = documents.mapInArrow(run, "ref long, doc_id long, features binary")
+    made = documents.mapInArrow(spared(run), "ref long, doc_id long, features binary")
     return made.join(reps.select("ref", "doc_id"), ["ref", "doc_id"]).groupBy("ref").agg(F.first("features").alias("features"))
 
 
@@ -252,7 +252,7 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(spared(run), "a long, b long")
 
 
 def _counts(features: np.ndarray) -> bytes:
@@ -276,7 +276,7 @@ def _cells(sets: DataFrame) -> DataFrame:
             found = [_counts(np.frombuffer(f.as_buffer(), np.uint64)) for f in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["ref", "cells"])
 
-    return sets.select("ref", "features").mapInArrow(run, "ref long, cells binary")
+    return sets.select("ref", "features").mapInArrow(spared(run), "ref long, cells binary")
 
 
 def _plausible(pairs: DataFrame, cells: DataFrame, num: int, den: int) -> DataFrame:
@@ -293,7 +293,7 @@ def _plausible(pairs: DataFrame, cells: DataFrame, num: int, den: int) -> DataFr
                 keep.append(den * most >= num * (int(x.sum()) + int(y.sum()) - most))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(spared(run), "a long, b long")
 
 
 def _across(held: DataFrame, counts: DataFrame, num: int, den: int) -> DataFrame:
@@ -307,7 +307,7 @@ def _across(held: DataFrame, counts: DataFrame, num: int, den: int) -> DataFrame
             found = [c.astype("<u2" if c.max() > 255 else np.uint8).tobytes() for c in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["ref", "cells"])
 
-    cells = counts.join(held.select("ref").distinct(), "ref", "left_semi").select("ref", "cells").mapInArrow(folded, "ref long, cells binary")
+    cells = counts.join(held.select("ref").distinct(), "ref", "left_semi").select("ref", "cells").mapInArrow(spared(folded), "ref long, cells binary")
     blocks = held.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = held.join(blocks, "gid").withColumn("own", F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int")).join(cells, "ref")
     # a member meets each block of its group once: with it the pair of blocks that its task compares
@@ -424,6 +424,6 @@ def _drop(documents: DataFrame, found: DataFrame, gone) -> DataFrame:
                 mask = maybe_in(gone.value, batch.column(at).fill_null(-1).to_numpy()) & batch.column(at).is_valid().to_numpy(zero_copy_only=False)
                 yield batch.filter(pa.array(mask if inside else ~mask))
 
-        return documents.mapInArrow(run, documents.schema)
+        return documents.mapInArrow(spared(run), documents.schema)
 
     return part(True).join(found, "doc_id", "left_anti").select(documents.columns).unionByName(part(False))

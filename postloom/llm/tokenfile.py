@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postloom.llm.common import bounded_batches, map_arrow, shared_path, stored
+from postloom.llm.common import bounded_batches, map_arrow, shared_path, spared, stored
 
 END_ID = 2
 CACHE = 900_000
@@ -117,7 +117,7 @@ def write(documents: DataFrame, out: str, tokenizer: str, end_id: int = END_ID)
     ranged = documents.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
     ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
     (
-        ranged.mapInArrow(run, f"doc_id {kind}, part int, row long, ids array<int>")
+        ranged.mapInArrow(spared(run), f"doc_id {kind}, part int, row long, ids array<int>")
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")
