@@ -234,7 +234,9 @@ def _sets(documents: DataFrame, reps: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array(ids[lo : lo + 500], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["ref", "doc_id", "features"])
 
     made = documents.mapInArrow(spared(run), "ref long, doc_id long, features binary")
-    return made.join(reps.select("ref", "doc_id"), ["ref", "doc_id"]).groupBy("ref").agg(F.first("features").alias("features"))
+    # joined by ref alone, of which reps have one row each: so the grouping needs no second shuffle
+    chosen = reps.select("ref", F.col("doc_id").alias("rep"))
+    return made.join(chosen, "ref").where("doc_id = rep").groupBy("ref").agg(F.first("features").alias("features"))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
