@@ -18,6 +18,29 @@ def collapse(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, f"{SPACE}+", " "), "^ | $", "")
 
 
+def strip(x: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def summary_text(x: Column) -> Column:
+    """Links [a](b) become a: b, and a last [c] becomes Tags: c."""
+    linked = F.regexp_replace(x, r"\[([^\]]+)\]\(([^)]+)\)", "$1: $2")
+    return strip(F.regexp_replace(linked, r"\s*\[([^\]]+)\]\s*$", " Tags: $1"))
+
+
+#: What a bullet loses, in this order: its number, links (and doubled space), counts in brackets, tags, a last word for a post.
+BULLET_NOISE = [(r"^\s*[0-9]+\s*[.、:-]\s*", ""), (r"https?://\S+", ""), (f"{SPACE}+", " "), ("（[^）]*条[^）]*）", ""), (rf"(?i){BEFORE}Tags:.*$", ""), (r"(?i)(?:推文|tweet)\s*[:：]?\s*$", "")]
+
+
+def bullet(x: Column, n: int = 48) -> Column:
+    """A summary as a bullet of n code points at most."""
+    bare = summary_text(x)
+    for noise, instead in BULLET_NOISE:
+        bare = strip(F.regexp_replace(bare, noise, instead))
+    return truncate(bare, n)
+
+
 def truncate(x: Column, n: int = 160) -> Column:
     """Collapsed text, cut to n code points with an ellipsis as the last."""
     short = collapse(x)

@@ -11,8 +11,13 @@ from postloom.operators.similarity import nearest_tags
 
 #: Languages that carry no words.
 LOW_LANGS = ["zxx", "und", "qme", "qst", "qam", "qct", "qht"]
-#: Keywords of the rule router; a parameter, these are its defaults here.
-KEYWORDS = ["token", "password", "mail", "www", "the best", "click", "license", "copyright"]
+#: What the rule router keeps a post for; a parameter, these are its defaults.
+KEYWORDS = """
+sec,cftc,fomc,cpi,pce,etf,blackrock,grayscale,announce,announced,launch,launched,release,released,partnership,partner
+merge,merger,acquire,acquires,acquisition,proposal,vote,approval,rejection,listing,delist,upgrade,update,patch
+监管,合规,加息,降息,利率,稳定币,hack,exploit,漏洞,攻击,被盗,暂停,修复,融资,funding,round,series,估值,并购,回购,buyback
+解锁,unlock,销毁,burn,主网,mainnet,升级,hard fork,testnet,宣布,发布,上线,下线,合作,伙伴,合并,提案,投票,通过,否决,下架,更新,修补
+""".strip().replace("\n", ",").split(",")
 
 
 def totals(posts: DataFrame) -> DataFrame:

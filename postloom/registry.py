@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions import text
 from postloom.functions.text import length_bucket, view_bucket
-from postloom.operators import evaluation, jobs, merge, reports, routing, search, similarity, stats
+from postloom.operators import delivery, evaluation, jobs, merge, outlines, reports, routing, search, similarity, stats
 from postloom.sources.tables import POSTS_DOCS, POSTS_ORDERS, ROUTED, posts_docs, posts_orders, routed, table
 from postloom.streaming import windows
 
@@ -111,10 +111,10 @@ QUERIES["upsert_merge"] = lambda spark, sf_dir: merge.upsert(table(spark, sf_dir
 SQL["upsert_merge"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders"
 QUERIES["keep_first"] = lambda spark, sf_dir: merge.keep_first(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_orderkey")
 SQL["keep_first"] = "SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey"
-_over(posts_docs, "rule_routing", routing.rules, r"""SELECT post_id, CASE
-  WHEN len(list_filter(['token', 'password', 'mail', 'www', 'the best', 'click', 'license', 'copyright'], lambda k: contains(lower(t), k))) > 0 OR length(t) >= 120
+_over(posts_docs, "rule_routing", routing.rules, rf"""SELECT post_id, CASE
+  WHEN len(list_filter({routing.KEYWORDS}, lambda k: contains(lower(t), k))) > 0 OR length(t) >= 120
     OR (regexp_matches(t, '(?i)%|\b(usd|usdt|btc|eth|k|m|b)\b|美元|美金|亿|万') AND regexp_matches(t, '(?i)\b(min|hour|day|week|month|year)s?\b|分钟|小时|天|周|月|年|UTC|GMT'))
-    OR (regexp_matches(t, '(?i)\$[a-z]{2,6}\b') AND nums >= 2) THEN 'rule-keep'
+    OR (regexp_matches(t, '(?i)\$[a-z]{{2,6}}\b') AND nums >= 2) THEN 'rule-keep'
   WHEN coalesce(lang IN ('zxx', 'und', 'qme', 'qst', 'qam', 'qct', 'qht'), false) THEN 'low-lang' WHEN length(t) < 80 AND nums <= 1 THEN 'low-info-short' ELSE 'rule-drop' END AS outcome
 FROM (SELECT *, len(regexp_extract_all(t, '[0-9]+(?:[.,][0-9]+)?%?')) AS nums FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM posts))""")
 
@@ -263,3 +263,24 @@ _over(posts_docs, "llm_fill", _scored, """SELECT post_id, CASE WHEN verdict IS N
   CASE WHEN verdict IS NULL THEN 2 WHEN verdict = 'actionable' AND post_id % 3 <> 0 THEN least(3, importance + 1) ELSE least(5, importance + 1) END AS importance FROM posts""")
 _over(posts_docs, "stratified_sample", lambda p: reports.stratified(p.where("importance >= 3"), F.coalesce("lang", F.lit("other")), {"en": 20, "de": 5}), "")
 del SQL["stratified_sample"]
+
+# written reports and outlines
+_MARKDOWN = """concat('# Report ', post_id, '\n> 时间范围：', lang, '\n- no section\n## ', CASE WHEN post_id % 3 = 0 THEN '其它' ELSE '重点洞察' END, '\n* ', text, ' [', coalesce(verdict, 'none'), ']\n### ', coalesce(verdict, 'none'), '\n2. see [a](b) ', text)"""
+_over(posts_docs, "report_entries", lambda p: delivery.entries(p.select(F.col("post_id").alias("report"), F.expr(_MARKDOWN).alias("markdown")), ["分类", "重点洞察", "额外洞察"]).select("report", (F.col("pos") + 1).cast("long").alias("pos"), "headline", "time_range", "category", "text"), rf"""
+, l AS (SELECT post_id AS report, i AS pos, ls[i] AS raw, regexp_replace(ls[i], '^\s+|\s+$', '', 'g') AS line FROM (SELECT post_id, regexp_split_to_array({_MARKDOWN.replace(chr(10), "' || chr(10) || '")}, '\r?\n') AS ls FROM posts), LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),
+h AS (SELECT *, coalesce(max_by(CASE WHEN line LIKE '# %' THEN regexp_replace(line, '^#\s+', '') END, CASE WHEN line LIKE '# %' THEN pos END) OVER (PARTITION BY report), '') AS headline,
+  coalesce(max_by(CASE WHEN line LIKE '> 时间范围：%' THEN line[3:] END, CASE WHEN line LIKE '> 时间范围：%' THEN pos END) OVER (PARTITION BY report), '') AS time_range,
+  last_value(CASE WHEN regexp_matches(line, '^##\s') THEN regexp_replace(line, '^##\s+', '') END IGNORE NULLS) OVER w AS section, last_value(CASE WHEN regexp_matches(line, '^###?\s') THEN regexp_replace(line, '^###?\s+', '') END IGNORE NULLS) OVER w AS category
+  FROM l WINDOW w AS (PARTITION BY report ORDER BY pos)),
+t AS (SELECT *, regexp_replace(regexp_replace(raw, '^\s*(?:[-*]|[0-9]+\.)\s+', ''), '^\s+|\s+$', '', 'g') AS item FROM h WHERE line <> '' AND regexp_matches(raw, '^\s*(?:[-*]|[0-9]+\.)\s+') AND section IN ('分类', '重点洞察', '额外洞察'))
+SELECT report, pos, headline, time_range, category, regexp_replace(regexp_replace(regexp_replace(item, '\[([^\]]+)\]\(([^)]+)\)', '\1: \2', 'g'), '\s*\[([^\]]+)\]\s*$', ' Tags: \1'), '^\s+|\s+$', '', 'g') AS text FROM t WHERE item <> ''""")
+_OUTLINE = """concat('{"mode":"clustered","sections":[{"title":"", "tag":"', tags[0], '","clusters":[{"size":', post_id % 5, ',"peakImportance":', importance, ',"tags":["', array_join(tags, '","'), '"],"representative":{"tweetId":" ', post_id, ' ","summary":"s"},"memberTweetIds":["', post_id, '","', post_id + 1, '"]}]}]}')"""
+
+
+def _outlines(p: DataFrame) -> DataFrame:
+    return p.where("importance is not null").select(F.col("post_id").alias("report"), F.expr(_OUTLINE).alias("outline"))
+
+
+_over(posts_docs, "outline_ids", lambda p: _outlines(p).select("report", F.explode(outlines.post_ids(F.col("outline"), members=True)).alias("id")), "SELECT post_id AS report, (post_id + k)::VARCHAR AS id FROM posts, (SELECT unnest([0, 1]) AS k) WHERE importance IS NOT NULL")
+_over(posts_docs, "outline_tag_counts", lambda p: outlines.tag_counts(_outlines(p)), "SELECT post_id AS report, tag, post_id % 5 AS posts FROM (SELECT post_id, tag1 AS tag FROM posts UNION SELECT post_id, tag2 FROM posts) WHERE tag IS NOT NULL AND post_id % 5 > 0")
+_over(posts_docs, "outline_high", lambda p: outlines.high_entries(_outlines(p)).select("report", "category", "text"), "SELECT post_id AS report, '其他' AS category, 's' AS text FROM posts WHERE importance >= 4")
