@@ -20,7 +20,7 @@ pairs across components are looked at, in blocks of bounded size, where the coun
 features in each of CELLS cells bound what two sets have in common; pairs within the
 bound are verified.  Pairs of the first steps pass such a bound too, by more cells for
 larger sets, before their features are moved.  Verification counts common features exactly.  Components are labelled with
-their smallest doc_id, by passing labels along links and jumping along labels.
+their smallest doc_id and, of that, the smallest hash of a set, by passing labels along links and jumping along labels.
 
 Defined cases: null and empty texts, or texts of white space, have an empty set, link
 with nothing and are their own component; a text of fewer words than n is one feature;
@@ -38,6 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from postloom.llm.common import bounded_batches, key_set, maybe_in, mix, partitions, shingle_set, spared, stored, word_hashes
 
@@ -338,26 +339,22 @@ def _across(held: DataFrame, counts: DataFrame, num: int, den: int) -> DataFrame
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """ref, label for the nodes (ref, doc_id) that have links (a, b): the smallest doc_id of each one's component."""
+    """ref, label for the nodes (ref, doc_id) that have links (a, b): the smallest (doc_id, ref) of each one's component; several components may have one smallest doc_id."""
     edges = stored(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v").distinct(), "edges")
-    labels = stored(nodes.join(edges.select(F.col("u").alias("ref")), "ref", "left_semi").select("ref", "doc_id", F.col("doc_id").alias("label")), "labels")
+    labels = stored(nodes.join(edges.select(F.col("u").alias("ref")), "ref", "left_semi").select("ref", F.struct("doc_id", "ref").alias("label")), "labels")
     while True:
         sent = edges.join(labels.select(F.col("ref").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("near"))
-        lower = labels.join(sent.withColumnRenamed("v", "ref"), "ref", "left").select("ref", "doc_id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        # equal ids of several nodes: the lowest label of any of them
-        roots = labels.groupBy(F.col("doc_id").alias("label")).agg(F.min("label").alias("further"))
-        new = lower.join(roots, "label", "left").select("ref", "doc_id", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
+        lower = labels.join(sent.withColumnRenamed("v", "ref"), "ref", "left").select("ref", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        roots = labels.select(F.col("ref").alias("root"), F.col("label").alias("further"))
+        new = lower.withColumn("root", F.col("label.ref")).join(roots, "root", "left").select("ref", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
         new = stored(new, "labels")
-        labels = new.select("ref", "doc_id", "label")
+        labels = new.select("ref", "label")
         if new.where("old <> label").isEmpty():
-            return labels.select("ref", "label")
+            return labels
 
 
-def join(documents: DataFrame, n: int = 4, num: int = 85, den: int = 100, parts: int = PARTS) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row: linked are rows whose sets of n-word shingles have a Jaccard index of num / den at least.
-
-    parts: partitions of a group; with two there are a third fewer signatures than with three, each of fewer features.
-    """
+def labelled(documents: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
+    """doc_id, ref (its set), n (the set's size) and label for every row that has a doc_id and a set; label: the smallest (doc_id, ref) of its component."""
     spark = documents.sparkSession
     bounded_batches(spark)
     known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
@@ -386,16 +383,28 @@ def join(documents: DataFrame, n: int = 4, num: int = 85, den: int = 100, parts:
         if turn and new.isEmpty():
             break
         labels = components(links, reps)
-        held = held.drop("label").join(labels, "ref", "left").withColumn("label", F.coalesce("label", "ref"))
+        held = held.drop("label").join(labels.select("ref", F.col("label.ref").alias("label")), "ref", "left").withColumn("label", F.coalesce("label", "ref"))
         open_ = held.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid")
         held = stored(held.join(open_, "gid", "left_semi"), "held")
     more = stored(_links(stored(_across(held, cells, num, den), "pairs"), sets, num, den), "links")
     if not more.isEmpty():
         labels = components(links.union(more), reps)
-    node = docs.groupBy("ref").agg(F.min("doc_id").alias("rep")).join(labels, "ref", "left").select("ref", F.coalesce("label", "rep").alias("component_id"))
-    linked = docs.join(node, "ref").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    bare = documents.where(F.col("doc_id").isNotNull()).where(~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
-    empty = bare.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").cast("long").alias("component_id"))
+    node = docs.groupBy("ref").agg(F.min("doc_id").alias("rep")).join(labels, "ref", "left").select("ref", F.coalesce("label", F.struct(F.col("rep").alias("doc_id"), "ref")).alias("label"))
+    return docs.join(node, "ref").select("doc_id", "ref", "n", "label")
+
+
+def _bare(documents: DataFrame) -> DataFrame:
+    """Rows with a doc_id and an empty set."""
+    return documents.where(F.col("doc_id").isNotNull()).where(~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
+
+
+def join(documents: DataFrame, n: int = 4, num: int = 85, den: int = 100, parts: int = PARTS) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row: linked are rows whose sets of n-word shingles have a Jaccard index of num / den at least.
+
+    parts: partitions of a group; with two there are a third fewer signatures than with three, each of fewer features.
+    """
+    linked = labelled(documents, n, num, den, parts).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("label.doc_id").alias("component_id"))
+    empty = _bare(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").cast("long").alias("component_id"))
     lost = documents.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), _null_size(n).alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return linked.unionByName(empty).unionByName(lost)
 
@@ -410,22 +419,53 @@ def _null_size(n: int):
 
 
 def keep_one(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100, parts: int = PARTS) -> DataFrame:
-    """The rows, with all their columns, of one document for each component: its smallest doc_id.  Of rows equal in doc_id and text one stays; rows with a null doc_id stay."""
-    found = stored(join(documents, n, num, den, parts).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    gone = documents.sparkSession.sparkContext.broadcast(key_set(found, "doc_id"))
-    return _drop(documents, found, gone)
+    """The rows, with all their columns, of one row for each component: that of its smallest (doc_id, set), and of several such the one whose columns hash lowest.
+
+    Rows with an empty set are near copies of those alone that equal them in doc_id and text.  Rows with a null doc_id stay.
+    """
+    own = (F.col("doc_id") == F.col("label.doc_id")) & (F.col("ref") == F.col("label.ref"))
+    rows = labelled(documents, n, num, den, parts).groupBy("ref", "doc_id").agg(F.count("*").alias("rows"), F.first(own).alias("stays"))
+    bare = _bare(documents).groupBy(F.xxhash64("text").alias("ref"), F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("rows"), F.lit(True).alias("stays"))
+    found = stored(rows.unionByName(bare).where("rows > 1 or not stays").select("doc_id", "ref", "stays"), "gone")
+    out = _drop(documents, found, n)
+    again = found.where("stays")
+    return out if again.isEmpty() else out.unionByName(_first(documents, again, n))
 
 
-def _drop(documents: DataFrame, found: DataFrame, gone) -> DataFrame:
-    """documents without the ids in found; only rows that may be among them are shuffled."""
-    at = documents.columns.index("doc_id")
+def _among(documents: DataFrame, found: DataFrame, n: int) -> tuple[DataFrame, DataFrame, str]:
+    """Rows whose doc_id may be in found, with the hash of their set; all other rows; the name of the hash's column."""
+    at, text = documents.columns.index("doc_id"), documents.columns.index("text")
+    keys = documents.sparkSession.sparkContext.broadcast(key_set(found, "doc_id"))
+    name = "_" * (1 + max(map(len, documents.columns))) + "ref"
 
     def part(inside: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                mask = maybe_in(gone.value, batch.column(at).fill_null(-1).to_numpy()) & batch.column(at).is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(mask if inside else ~mask))
-
-        return documents.mapInArrow(spared(run), documents.schema)
-
-    return part(True).join(found, "doc_id", "left_anti").select(documents.columns).unionByName(part(False))
+                mask = maybe_in(keys.value, batch.column(at).fill_null(-1).to_numpy()) & batch.column(at).is_valid().to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(mask if inside else ~mask))
+                if inside:
+                    sets = (shingle_set(word_hashes(t), n) for t in batch.column(text).to_pylist())
+                    refs = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+                    batch = pa.RecordBatch.from_arrays([*batch.columns, refs], [*batch.schema.names, name])
+                yield batch
+
+        schema = StructType([*documents.schema.fields, StructField(name, LongType())]) if inside else documents.schema
+        made = documents.mapInArrow(spared(run), schema)
+        return made.withColumn(name, F.coalesce(name, F.xxhash64("text"))) if inside else made
+
+    return part(True), part(False), name
+
+
+def _drop(documents: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """documents without the rows whose (doc_id, ref) is in found; only rows that may be among them are shuffled."""
+    inside, outside, ref = _among(documents, found, n)
+    gone = found.select("doc_id", F.col("ref").alias(ref))
+    return inside.join(gone, ["doc_id", ref], "left_anti").select(documents.columns).unionByName(outside)
+
+
+def _first(documents: DataFrame, again: DataFrame, n: int) -> DataFrame:
+    """One row of documents for each (doc_id, ref) of again: repeats are left out before the shuffle."""
+    inside, _, ref = _among(documents, again, n)
+    row = F.struct(*documents.columns)
+    one = inside.groupBy("doc_id", ref).agg(F.min_by(row, F.xxhash64(*documents.columns)).alias("row"))
+    return one.join(again.select("doc_id", F.col("ref").alias(ref)), ["doc_id", ref], "left_semi").select("row.*")

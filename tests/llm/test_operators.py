@@ -441,6 +441,27 @@ def test_join_on_documents(spark, odd, docs):
     assert kept.columns == odd.columns and 7 not in {r["doc_id"] for r in kept.collect()} and 6 in {r["doc_id"] for r in kept.collect()}
 
 
+def test_keep_one_of_repeated_rows_and_ids(spark):
+    rng = random.Random(3)
+    base = {k: [f"{k}{rng.randrange(10**6)}" for _ in range(60)] for k in "abcd"}
+    text = {k: " ".join(w) for k, w in base.items()} | {k.upper(): " ".join([*w[:-1], "end"]) for k, w in base.items()}
+    rows = [(1, text["a"], "x"), (1, text["a"], "x"), (1, text["a"], "y")]  # repeated rows
+    rows += [(2, text["A"], "x"), (2, text["b"], "x")]  # one text a near copy of id 1, the other alone
+    rows += [(3, text["c"], "x"), (3, text["C"], "x"), (3, text["d"], "x"), (4, text["D"], "x")]  # near copies of one id; a component beside them with the same smallest id
+    rows += [(5, "", "x"), (5, "", "x"), (5, " ", "x"), (6, None, "x"), (6, None, "x"), (None, text["a"], "x"), (None, text["a"], "x")]
+    rows += [(2, text["b"].upper(), "x")]  # another text of one set
+    df = spark.createDataFrame(rows, "doc_id long, text string, ref string").repartition(5)
+    kept = [tuple(r) for r in ngramjoin.keep_one(df).collect()]
+    assert set(kept) <= set(rows)
+    head = {k: " ".join(w[:-1]) for k, w in base.items()}
+    named = collections.Counter((d, next((k for k in head if (t or "").lower().startswith(head[k])), t)) for d, t, _ in kept)
+    assert named == collections.Counter({(1, "a"): 1, (2, "b"): 1, (3, "c"): 1, (3, "d"): 1, (5, ""): 1, (5, " "): 1, (6, None): 1, (None, "a"): 2})
+    assert sorted(map(repr, kept)) == sorted(repr(tuple(r)) for r in ngramjoin.keep_one(df.repartition(2)).collect())
+    some = [(d, t) for d, t, _ in rows if d is not None]
+    found = ngramjoin.join(df.where("doc_id is not null"), 5, 80).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute_components(some, 5, 80, 100)
+
+
 def test_large_groups_are_flushed(spark, monkeypatch):
     rows = [(i, f"a b c d e f g h i j k l m n o p q r s t u v w x y z {i}" ) for i in range(300)]
     monkeypatch.setattr(ngramjoin, "LARGE", 40)
