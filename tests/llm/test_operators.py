@@ -128,6 +128,27 @@ def test_restoring():
     assert toxicity.spaced("you i d i o t there") == ["idiot"]
 
 
+def test_restoring_letters_apart_doubled_and_signs():
+    for raw in ("you are an i d i o t.", "i d i o t, really", "(i d i o t)", "i-d-i-o-t!", "i.d.i.o.t,", "_i_d_i_o_t_", "x, i d i o t? no"):
+        assert toxicity.spaced(raw) == ["idiot"], raw
+    assert toxicity.spaced("don't a b, so i d i'd") == [] and toxicity.spaced("a" + "*" * 200 + "bb") == []
+    model = toxicity.CharModel(collections.Counter({"idiot": 40, "stupid": 30, "ass": 20, "the": 500, "coffee": 50, "committee": 10, "asset": 9}))
+    for raw, want in (("stuupid", "stupid"), ("iidiioott", "idiot"), ("4$$", "ass"), ("coffee", "coffee"), ("committee", "committee"), ("455", "455"), ("1,200", "1,200"), ("***", "")):
+        assert toxicity.restore_token(raw, model) == want, raw
+
+
+def test_toxicity_learns_from_whole_texts(spark):
+    rng = random.Random(9)
+    filler = lambda: " ".join("".join(rng.choice("abcdefghijk") for _ in range(7)) for _ in range(1500))
+    rows = [(i, filler() + (" vile dolt" if i % 2 else " mild tea"), i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    features = toxicity.Features(model)
+    assert toxicity.score(toxicity.hits("a vile dolt", features), model) >= toxicity.THRESHOLD > toxicity.score(toxicity.hits("a mild tea", features), model)
+    for text in ("you d o l t.", "(v i l e)", "ddoolltt", "viile!"):
+        assert toxicity.hits(text, features), text
+
+
 def test_viterbi_against_enumeration():
     model = toxicity.CharModel(collections.Counter({"idiot": 40, "coffee": 50, "abba": 3, "seat": 7}))
 
