@@ -5,10 +5,14 @@ text.  A text is cut greedily into the longest phrases that occur in that sample
 phrases * log2(sample length) / length estimates the cross entropy in bits a
 character, and the language with the fewest bits wins.
 
-The automaton is a flat table of transitions in which a missing transition already
-leads on from the root and carries the number of phrases that end there.  Texts are
-parsed in blocks of BLOCK characters (each starts a phrase), many blocks and all
-languages at once.
+Every labelled language is learned, and every letter of the samples is a symbol of its
+own, whatever its script.  The transitions of all automata lie in one table: a state's
+row is displaced so that no two transitions meet, and each place names the state that it
+belongs to, so a step is one look-up.  Texts are parsed in blocks of BLOCK characters
+(each starts a phrase), many blocks and all languages at once.
+
+Letters are the Unicode categories L*; marks (M*) are symbols as well, but a text of marks
+alone has no letter.
 
 Defined cases: null text or text without a letter -> `und`, score 0; nothing learned
 -> `und`, score 0; equal entropies -> the language that sorts first; equal rows give equal results;
@@ -18,36 +22,70 @@ a null doc_id is never held out and never learned from.  Empty tables give no ro
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
+import sys
+import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from postloom.llm.common import bounded_batches, held_out, map_arrow, spared
 
-#: The classifier is fitted on at most so many labelled rows a language, so many characters of each, from a place that its hash chooses.
-ROWS_PER_LANG, CHARS_PER_ROW = 80, 320
-#: The automata hold at most so many characters in all; languages beyond the most frequent MAX_LANGS are not learned.
-TOTAL_CHARS, MAX_LANGS = 120_000, 40
-ALPHABET, BLOCK = 64, 1024
+#: A language is learned from at most so many labelled rows, chosen by hash, that have at most so many characters in all (one row, where its shortest has more); rows are taken whole.
+ROWS_PER_LANG, CHARS_PER_LANG = 200, 60_000
+#: Rows beyond those that tell how many bits a character a text of the language needs.
+CHECK_ROWS = 40
+BLOCK = 1024
 SPACE, OTHER = 0, 1
 HELD_OUT = (5, 0)
-_LETTER = re.compile(r"[^\W\d_]")
-_NEXT = (1 << 30) - 1
+
+
+@lru_cache
+def symbols() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: whether it is a symbol (L*, M*), and whether a letter (L*)."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1)]
+    letter = np.array([k == "L" for k in kinds])
+    return letter | np.array([k == "M" for k in kinds]), letter
+
+
+def code_points(text: str) -> np.ndarray:
+    """The lower-cased text with each run of other characters than symbols as one 0."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.where(symbols()[0][points], points, 0)
+    if len(points) > 1:
+        keep = np.ones(len(points), bool)
+        keep[1:] = (points[1:] != 0) | (points[:-1] != 0)
+        points = points[keep]
+    return points
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and bool(symbols()[1][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
 
 
 @dataclass
 class LangModel:
     langs: list[str]
-    codes: np.ndarray  #: code of each code point below 65,536
-    table: np.ndarray  #: next row (times ALPHABET) and, from bit 30, phrases ended
-    roots: np.ndarray
+    points: np.ndarray  #: symbols of the samples, ascending; the code of the kth is k + 2
+    base: np.ndarray  #: by state: where its row of the table begins
+    owner: np.ndarray  #: by place of the table: the state whose transition it holds
+    target: np.ndarray  #: and the state that it leads to
+    roots: np.ndarray  #: by language
+    first: np.ndarray  #: by language and code: the state after that code at the root, or the root
     bits: np.ndarray  #: of a phrase, by language
+    limits: np.ndarray = field(default_factory=lambda: np.zeros(0))  #: bits a character that texts of the language hardly need
+
+    def encode(self, text: str) -> np.ndarray:
+        points = code_points(text)
+        at = np.searchsorted(self.points, points)
+        at[at == len(self.points)] = 0
+        known = self.points[at] == points if len(self.points) else np.zeros(len(points), bool)
+        return np.where(points == 0, SPACE, np.where(known, at + 2, OTHER)).astype(np.int32)
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -80,46 +118,48 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
-def encode(text: str, codes: np.ndarray) -> np.ndarray:
-    """Codes of the lower-cased text; each run of characters that are no letters becomes one SPACE."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = codes[np.minimum(points, 65_535)]
-    if len(out) > 1:
-        keep = np.ones(len(out), bool)
-        keep[1:] = (out[1:] != SPACE) | (out[:-1] != SPACE)
-        out = out[keep]
-    return out
+def displaced(rows: list[dict[int, int]], codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """base, owner and target of the rows' transitions; row 0, the root, is left out."""
+    size = 3 * sum(map(len, rows[1:])) + 2 * codes + 1
+    taken = bytearray(size)
+    base, owner, target = np.zeros(len(rows), np.int64), np.full(size, -1, np.int64), np.zeros(size, np.int64)
+    span, at = size - codes, 0
+    for s in sorted(range(1, len(rows)), key=lambda s: -len(rows[s])):
+        moves = rows[s]
+        if not moves:
+            continue
+        keys = list(moves)
+        while any(taken[at + c] for c in keys):
+            at = (at + 1) % span
+        base[s] = at
+        for c, to in moves.items():
+            taken[at + c] = 1
+            owner[at + c], target[at + c] = s, to
+        at = (at + 7919) % span
+    return base, owner, target
 
 
 def build_model(samples: dict[str, list[str]]) -> LangModel:
-    langs = sorted(lang for lang, texts in samples.items() if any(_LETTER.search(t) for t in texts))
-    most = TOTAL_CHARS // max(1, len(langs))
-    letters = Counter(c for lang in langs for t in samples[lang] for c in t.lower() if _LETTER.match(c) and ord(c) < 65_535)
-    codes = np.zeros(65_536, np.uint8)
-    points = np.arange(65_536)
-    codes[[p for p in points if _LETTER.match(chr(p))]] = OTHER
-    codes[65_535] = OTHER
-    for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2]):
-        codes[ord(c)] = k + 2
-    rows: list[np.ndarray] = []
-    roots, bits, at = [], [], 0
-    for lang in langs:
-        ref = np.concatenate([encode(t + " ", codes) for t in samples[lang]])[:most]
-        nxt = suffix_automaton(ref.tolist())
-        first = np.array([nxt[0].get(c, 0) for c in range(ALPHABET)])
-        unknown = first == 0
-        table = np.tile(first + at, (len(nxt), 1)) * ALPHABET
-        table += np.where(unknown, 2, 1) << 30
-        for s, moves in enumerate(nxt):
-            for c, to in moves.items():
-                table[s, c] = (to + at) * ALPHABET
-        table[0, unknown] = at * ALPHABET + (1 << 30)
-        rows.append(table.astype(np.uint32))
-        roots.append(at * ALPHABET)
+    """The model of all of the samples' texts."""
+    langs = sorted(lang for lang, texts in samples.items() if any(map(has_letter, texts)))
+    refs = [np.concatenate([code_points(t + " ") for t in samples[lang]]) for lang in langs]
+    points = np.unique(np.concatenate([np.zeros(0, np.uint32), *refs]))
+    points = points[points > 0]
+    codes = len(points) + 2
+    parts: list[tuple[np.ndarray, ...]] = []
+    roots, bits, first, states, places = [], [], [], 0, 0
+    for ref in refs:
+        code = np.where(ref == 0, SPACE, np.searchsorted(points, ref) + 2)
+        nxt = suffix_automaton(code.tolist())
+        base, owner, target = displaced(nxt, codes)
+        parts.append((base + places, np.where(owner < 0, -1, owner + states), target + states))
+        roots.append(states)
+        first.append([states + nxt[0].get(c, 0) for c in range(codes)])
         bits.append(math.log2(len(ref) + 1))
-        at += len(nxt)
-    table = np.concatenate(rows).ravel() if rows else np.zeros(0, np.uint32)
-    return LangModel(langs, codes, table, np.array(roots, np.uint32), np.array(bits))
+        states += len(nxt)
+        places += len(owner)
+    base, owner, target = (np.concatenate(x).astype(np.int32) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32),) * 3
+    return LangModel(langs, points, base, owner, target, np.array(roots, np.int32), np.array(first, np.int32), np.array(bits), np.full(len(langs), np.inf))
 
 
 def phrases(texts: list[str], model: LangModel) -> tuple[np.ndarray, np.ndarray]:
@@ -127,70 +167,100 @@ def phrases(texts: list[str], model: LangModel) -> tuple[np.ndarray, np.ndarray]
     blocks, owner = [], []
     sizes = np.zeros(len(texts))
     for k, text in enumerate(texts):
-        codes = encode(text, model.codes)
+        codes = model.encode(text)
         sizes[k] = len(codes)
         for i in range(0, len(codes), BLOCK):
             blocks.append(codes[i : i + BLOCK])
             owner.append(k)
     out = np.zeros((len(texts), len(model.langs)))
-    lanes = 8192
+    lanes = max(256, 32_768 // max(1, len(model.langs)))
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
+    roots = model.roots[:, None]
+    rows = np.arange(len(model.langs))[:, None] * model.first.shape[1] if len(model.langs) else None
+    first = model.first.ravel()
     for lo in range(0, len(order), lanes):
         ids = order[lo : lo + lanes]
         lengths = np.array([len(blocks[i]) for i in ids])
-        grid = np.zeros((lengths[0], len(ids)), np.uint8)
+        grid = np.zeros((lengths[0], len(ids)), np.int32)
         for j, i in enumerate(ids):
             grid[: len(blocks[i]), j] = blocks[i]
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # blocks longer than t
-        state = np.repeat(model.roots[:, None], len(ids), 1)
-        count = np.zeros((len(model.langs), len(ids)), np.uint32)
+        state = np.repeat(roots, len(ids), 1)
+        count = np.zeros((len(model.langs), len(ids)), np.int32)
         for t in range(lengths[0]):
             n = active[t]
-            moved = model.table[state[:, :n] + grid[t, :n]]
-            count[:, :n] += moved >> np.uint32(30)
-            state[:, :n] = moved & np.uint32(_NEXT)
-        count += state != model.roots[:, None]
+            now, code = state[:, :n], grid[t, :n]
+            place = model.base[now] + code
+            hit = (model.owner[place] == now) & (now != roots)
+            fresh = first[rows + code]
+            # a miss ends the phrase, if there is one; a character that the sample lacks is one by itself
+            count[:, :n] += ~hit & (now != roots)
+            count[:, :n] += ~hit & (fresh == roots)
+            state[:, :n] = np.where(hit, model.target[place], fresh)
+        count += state != roots
         np.add.at(out, np.array(owner)[ids], count.T)
     return out, sizes
 
 
-def classify(texts: list[str | None], model: LangModel) -> tuple[list[str], np.ndarray]:
-    """Language and its share of the languages' likelihoods."""
-    langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-    if not model.langs:
-        return langs, scores
-    some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+#: A text of so many symbols at least may need so many times the bits a character that most texts of its language need.
+LEAST_SYMBOLS, MOST_BITS = 200, 2.0
+
+
+def with_limits(model: LangModel, checks: dict[str, list[str]]) -> LangModel:
+    """The model with limits, learned from other texts of each language than those of its automaton."""
+    for k, lang in enumerate(model.langs):
+        count, sizes = phrases([t for t in checks.get(lang, []) if has_letter(t)], model)
+        if len(sizes) > 2:
+            model.limits[k] = MOST_BITS * np.median(count[:, k] * model.bits[k] / sizes)
+    return model
+
+
+def classify(texts: list[str | None], model: LangModel) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, its share of the languages' likelihoods, and whether the text needs no more bits a character than texts of the language do."""
+    langs, scores, fits = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+    some = [i for i, t in enumerate(texts) if has_letter(t)] if model.langs else []
     if some:
         count, sizes = phrases([texts[i] for i in some], model)
         bits = count * model.bits
-        best = np.argmin(bits / np.maximum(sizes, 1)[:, None], 1)
+        best = np.argmin(bits, 1)
         share = np.exp2(np.maximum(bits.min(1)[:, None] - bits, -1000))
-        for i, b, s in zip(some, best, 1 / share.sum(1), strict=True):
-            langs[i], scores[i] = model.langs[b], s
-    return langs, scores
-
-
-def train(documents: DataFrame, rows: int = ROWS_PER_LANG, chars: int = CHARS_PER_ROW) -> LangModel:
-    """Fits the model on a bounded sample of the labelled rows that are not held out; the sample's rows are chosen by hash, at a rate that the counts give."""
-    known = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", *HELD_OUT))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+        known = (sizes < LEAST_SYMBOLS) | (bits.min(1) <= model.limits[best] * sizes)
+        if len(again := np.flatnonzero(~known)):  # what repeats itself is judged by its different words
+            count, sizes = phrases([" ".join(dict.fromkeys(texts[some[i]].split())) for i in again], model)
+            known[again] = (sizes < LEAST_SYMBOLS) | ((count * model.bits)[np.arange(len(again)), best[again]] <= model.limits[best[again]] * sizes)
+        for i, b, s, fit in zip(some, best, 1 / share.sum(1), known, strict=True):
+            langs[i], scores[i], fits[i] = model.langs[b], s, fit
+    return langs, scores, fits
+
+
+def train(documents: DataFrame, rows: int = ROWS_PER_LANG, chars: int = CHARS_PER_LANG) -> LangModel:
+    """Fits the model on a bounded sample of the labelled rows that are not held out: whole rows, in the order of a hash, as long as there are no more than `rows` and `chars`; CHECK_ROWS others tell its limits."""
+    size = F.length("text")
+    known = documents.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", *HELD_OUT))
+    # one row a label
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count_if(size < chars).alias("n")).collect()}
     if not counts:
         return build_model({})
-    rates = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * (rows + 20) / n))])
+    spark = documents.sparkSession
+    want = 1.2 * (rows + CHECK_ROWS + 40)
+    rates = spark.createDataFrame([(lang, min(1.0, want / n)) for lang, n in counts.items() if n] or [("", 0.0)], "lang string, rate double")
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
-    start = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
-    sample = (
-        known.withColumn("place", place)
-        .where(F.col("place") < F.try_element_at(rates, F.col("lang")))
-        .where(F.col("text").isNotNull())
-        .select("lang", "place", F.col("text").substr(start.cast("int"), F.lit(chars)).alias("part"))
-    )
-    texts: dict[str, list[str]] = {}
-    for r in sorted(sample.collect(), key=lambda r: (r["place"], r["part"])):
-        got = texts.setdefault(r["lang"], [])
-        if len(got) < rows and r["part"] not in got:
-            got.append(r["part"])
-    return build_model(texts)
+    near = known.where(size < chars).withColumn("place", place).join(F.broadcast(rates), "lang").where("place < rate")
+    once = near.groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.min("place").alias("place"), F.first("text").alias("text"))
+    # at most some hundred rows a language
+    order = Window.partitionBy("lang").orderBy("place", "hash")
+    placed = once.withColumns({"r": F.row_number().over(order), "sum": F.sum(size + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    taken = (F.col("r") <= rows) & (F.col("sum") <= chars)
+    after = F.row_number().over(Window.partitionBy("lang", taken).orderBy("place", "hash"))
+    found = placed.select("lang", "text", "r", taken.alias("taken"), after.alias("k")).where(F.col("taken") | (F.col("k") <= CHECK_ROWS)).collect()
+    samples: dict[str, list[str]] = {}
+    checks: dict[str, list[str]] = {}
+    for r in sorted(found, key=lambda r: (r["lang"], r["r"])):
+        (samples if r["taken"] else checks).setdefault(r["lang"], []).append(r["text"])
+    if long := [lang for lang, n in counts.items() if not n]:  # languages of long rows only: the shortest
+        shortest = known.where(F.col("lang").isin(long)).groupBy("lang").agg(F.min_by("text", F.struct(size, F.xxhash64("text"))).alias("text"))
+        samples |= {r["lang"]: [r["text"]] for r in shortest.collect()}
+    return with_limits(build_model(samples), checks)
 
 
 def predict(documents: DataFrame, model: LangModel) -> DataFrame:
@@ -198,23 +268,25 @@ def predict(documents: DataFrame, model: LangModel) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, scores = classify(batch.column(1).to_pylist(), shared.value)
+        langs, scores, _ = classify(batch.column(1).to_pylist(), shared.value)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = documents.select("doc_id", "text", held_out("doc_id", *HELD_OUT).alias("held_out"))
     return map_arrow(rows, run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(documents: DataFrame, model: LangModel, least: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose text has a letter and one language that is likelier than all others together."""
+def keep_identified(documents: DataFrame, model: LangModel) -> DataFrame:
+    """The rows, with all their columns, whose text has a letter and, if it isn't short, needs no more bits a character than its language's limit: a short text stays, whatever the languages that share it, and a long one of no learned language goes.
+
+    Null and empty texts go; repeated rows stay or go together; an empty table gives no rows.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = classify(batch.column(at).to_pylist(), shared.value)
-            keep = (np.array(langs, object) != "und") & (scores >= least)
-            yield batch.filter(pa.array(keep.astype(bool)))
+            _, _, fits = classify(batch.column(at).to_pylist(), shared.value)
+            yield batch.filter(pa.array(fits))
 
     bounded_batches(documents.sparkSession)
     return documents.mapInArrow(spared(run), documents.schema)

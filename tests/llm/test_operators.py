@@ -87,9 +87,9 @@ def test_phrases_against_search():
     texts = ["".join(rng.choice("abcdé!") for _ in range(n)) for n in (1, 5, 40, 700, 1024, 1025, 3000)]
     got, _ = langid.phrases(texts, model)
     for k, lang in enumerate(model.langs):
-        ref = bytes(np.concatenate([langid.encode(t + " ", model.codes) for t in samples[lang]]))
+        ref = bytes(np.concatenate([model.encode(t + " ") for t in samples[lang]]).astype(np.uint8))
         for i, text in enumerate(texts):
-            codes = bytes(langid.encode(text, model.codes))
+            codes = bytes(model.encode(text).astype(np.uint8))
             n = 0
             for lo in range(0, len(codes), langid.BLOCK):
                 at, block = 0, codes[lo : lo + langid.BLOCK]
@@ -102,6 +102,82 @@ def test_phrases_against_search():
             assert got[i, k] == n
 
 
+def spoken(rng, letters, n):
+    """Words of a made-up language: each letter is followed by one of three."""
+    after = {c: rng.sample(letters, 3) for c in letters}
+    words = []
+    for _ in range(n):
+        w = rng.choice(letters)
+        while len(w) < rng.choice([3, 5, 7]):
+            w += rng.choice(after[w[-1]])
+        words.append(w)
+    return words
+
+
+def test_language_whole_result_by_brute_force():
+    """Language, score and fit from phrases that a plain search finds, texts of one symbol to several blocks."""
+    rng = random.Random(8)
+    words = {lang: spoken(random.Random(lang), letters, 400) for lang, letters in {"a": "abcdefgh", "b": "efghijkl", "c": "дежзикл"}.items()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    samples = {lang: [text(lang, 60) for _ in range(4)] for lang in words}
+    model = langid.with_limits(langid.build_model(samples), {lang: [text(lang, 50) for _ in range(5)] for lang in words})
+    texts = [text(lang, n) for lang in words for n in (1, 3, 60, 400)] + [" ".join("".join(rng.choice("qrstuvwxyz") for _ in range(6)) for _ in range(60)), "", None, "12 3", "x"]
+
+    def greedy(text, lang):
+        ref = " ".join(samples[lang]) + " "
+        norm = re.sub(r"\W+", " ", text.lower())
+        n = 0
+        for lo in range(0, len(norm), langid.BLOCK):
+            block, at = norm[lo : lo + langid.BLOCK], 0
+            while at < len(block):
+                size = 1
+                while at + size < len(block) and block[at : at + size + 1] in ref:
+                    size += 1
+                at, n = at + size, n + 1
+        return n, len(norm)
+
+    langs, scores, fits = langid.classify(texts, model)
+    for i, t in enumerate(texts):
+        if not t or not any(c.isalpha() for c in t):
+            assert (langs[i], scores[i], fits[i]) == ("und", 0.0, False)
+            continue
+        bits = {lang: greedy(t, lang)[0] * math.log2(len(" ".join(samples[lang])) + 2) for lang in words}
+        best = min(bits, key=bits.get)
+        assert langs[i] == best and abs(scores[i] - 1 / sum(2 ** (bits[best] - b) for b in bits.values())) < 1e-6
+        size = greedy(t, best)[1]
+        assert fits[i] == (size < langid.LEAST_SYMBOLS or bits[best] <= model.limits[sorted(words).index(best)] * size)
+    assert fits[:12].all() and not fits[12] and fits[16]
+
+
+def test_language_letters_labels_and_scripts(spark):
+    rng = random.Random(6)
+    han = [chr(0x4E00 + i) for i in range(900)]
+    alphabets = {f"l{i:02}": rng.sample("abcdefghijklmnopqrstuvwxyz", 12) for i in range(45)} | {"zh": han[:600], "zx": han[300:], "hi": [chr(c) for c in range(0x905, 0x930)]}
+    rows, words = [], {lang: spoken(random.Random(lang), letters, 300) for lang, letters in alphabets.items()}
+    for lang in words:
+        rows += [(len(rows) + k, " ".join(rng.choice(words[lang]) for _ in range(80)), lang) for k in range(12)]
+    odd = [(9000, "²", None), (9001, "½ ①", None), (9002, "Ⅷ", None), (9003, "\u0301", None), (9004, " ".join(words["hi"][:3]), None)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model.langs == sorted(words)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, model).collect()}
+    held = [(i, lang) for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(got[i] == lang for i, lang in held) / len(held) > 0.97
+    assert [got[9000 + k] for k in range(5)] == ["und"] * 4 + ["hi"]
+
+
+def test_language_keeps_short_rows_and_drops_unlearned_ones(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(documents)
+    kept = {r["doc_id"] for r in langid.keep_identified(documents, model).collect()}
+    assert kept >= {r["doc_id"] for r in documents.collect() if langid.has_letter(r["text"])}
+    rng = random.Random(1)
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(600))
+    rows = [(1, "a", "x"), (2, "on die", "x"), (3, "12 34", "x"), (4, noise, "x"), (5, noise[:60], "x"), (6, " ".join("".join(rng.choice("абвгдежзик") for _ in range(6)) for _ in range(60)), "x")]
+    kept = langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, langs string"), model)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5]
+
+
 def test_language_accuracy(spark, odd, empty):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.predict(documents, langid.train(documents)).join(documents.select("doc_id", "lang"), "doc_id")
