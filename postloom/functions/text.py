@@ -10,7 +10,16 @@ SPACE = r"[\s\x0B   -     　﻿]"
 #: Routing tags in their order, and aliases.
 TAGS = ["macro", "policy", "security", "funding", "yield", "token", "airdrop", "trading", "onchain", "tech", "exchange", "narrative", "other"]
 ALIASES = {"market": "macro", "others": "other"}
+#: Titles of sections by tag.
+TITLES = {
+    "policy": "政策 / 合规", "macro": "宏观 / 行情", "security": "安全 / 风险", "funding": "融资 / 资金", "yield": "收益 / 理财", "token": "代币 / 市场", "airdrop": "空投 / 福利",
+    "trading": "交易机会", "onchain": "链上数据", "tech": "技术 / 升级", "exchange": "交易所 / 平台", "narrative": "叙事 / 主题", "other": "其他", "others": "其他", "defi": "DeFi",
+    "infrastructure": "基础设施", "market": "宏观 / 行情", "community": "社区 / 生态", "governance": "治理", "ecosystem": "生态升级",
+}
 BEFORE, AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+#: Units of amounts and of time.
+AMOUNT_UNIT = rf"(?i)%|{BEFORE}(?:usd|usdt|usdc|btc|eth|bnb|sol|m|b|k){AFTER}|美元|美金|亿|万"
+TIME_UNIT = rf"(?i){BEFORE}(?:sec|second|minute|min|hour|day|week|month|year)s?{AFTER}|分钟|小时|天|周|月|年|UTC|GMT"
 
 
 def collapse(x: Column) -> Column:
@@ -29,7 +38,7 @@ def summary_text(x: Column) -> Column:
     return strip(F.regexp_replace(linked, r"\s*\[([^\]]+)\]\s*$", " Tags: $1"))
 
 
-#: What a bullet loses, in this order: its number, links (and doubled space), counts in brackets, tags, a last word for a post.
+#: What a bullet loses, in this order: its number, links (and doubled space), counts in brackets, tags, a last word for a post.
 BULLET_NOISE = [(r"^\s*[0-9]+\s*[.、:-]\s*", ""), (r"https?://\S+", ""), (f"{SPACE}+", " "), ("（[^）]*条[^）]*）", ""), (rf"(?i){BEFORE}Tags:.*$", ""), (r"(?i)(?:推文|tweet)\s*[:：]?\s*$", "")]
 
 
@@ -70,6 +79,11 @@ def view_count(x: Column) -> Column:
     return F.when(text.rlike(r"^[0-9,.]+\s*[KMBkmb]?$"), value * unit).otherwise(digits)
 
 
+def ascii_text(x: Column) -> Column:
+    """The UTF-8 bytes of a text in base 64, on one line."""
+    return F.translate(F.base64(F.encode(x, "UTF-8")), "\r\n", "")
+
+
 def screen_name(x: Column) -> Column:
     return F.lower(collapse(F.regexp_replace(x, "^@", "")))
 
@@ -87,18 +101,88 @@ def known_tag(x: Column) -> Column:
     return F.when(low.isin(TAGS), low).otherwise("other")
 
 
+#: What a text to embed loses: the mark of a repost, alone or with its author, links and mentions.
+REPOST_BY, REPOST = r"(?i)^rt\s+@[A-Za-z0-9_]+:\s*", r"(?i)^rt\s+"
+LINKS = rf"(?i)https?://\S+|{BEFORE}t\.co/\S+|{BEFORE}pic\.twitter\.com/\S+|@[A-Za-z0-9_]+"
+
+
 def embedding_text(x: Column) -> Column:
-    """Without repost prefix, links, mentions and hash signs; the collapsed text if nothing is left."""
-    bare = F.regexp_replace(x, r"(?i)^\s*RT\s+@\w+:\s*", "")
-    bare = F.regexp_replace(bare, r"(?i)https?://\S+|t\.co/\S+|pic\.twitter\.com/\S+", " ")
-    bare = F.regexp_replace(bare, r"@\w+", " ")
+    """Without repost mark, links, mentions and hash signs; the collapsed text if nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, REPOST_BY, ""), REPOST, ""), LINKS, " ")
     bare = collapse(F.regexp_replace(bare, r"#([\p{L}\p{N}_]+)", "$1"))
     return F.when(bare == "", collapse(x)).otherwise(bare)
 
 
+def embedding_input(x: Column, lang: Column, n: int = 320) -> Column:
+    """The text to embed, with its language, if known, in front, cut to n code points."""
+    tag = F.lower(strip(lang))
+    return truncate(F.concat(F.when(tag != "", F.concat(F.lit("[lang:"), tag, F.lit("] "))).otherwise(""), embedding_text(x)), n)
+
+
+def filter_tags(x: Column) -> Column:
+    """Tags as filters know them: tag_list, with others as other."""
+    return F.array_distinct(F.transform(tag_list(x), lambda t: F.when(t == "others", "other").otherwise(t)))
+
+
+def author_title(name: Column, handle: Column) -> Column:
+    """name (@handle); the name alone where it holds the handle, @handle without a name, Unknown without either."""
+    n, h = F.nullif(strip(name), F.lit("")), F.nullif(strip(F.regexp_replace(handle, "^@", "")), F.lit(""))
+    at = F.concat(F.lit("@"), h)
+    return F.when(n.isNotNull() & h.isNotNull() & ~F.contains(F.lower(n), F.lower(h)), F.concat(n, F.lit(" ("), at, F.lit(")"))).otherwise(F.coalesce(n, at, F.lit("Unknown")))
+
+
+def post_url(url: Column, handle: Column, post: Column) -> Column:
+    """The url if it is one, else the address made of handle and id."""
+    return F.when(F.startswith(url, F.lit("http")), url).otherwise(F.concat(F.lit("https://twitter.com/"), F.coalesce(F.regexp_replace(handle, "^@", ""), F.lit("i/web")), F.lit("/status/"), post.cast("string")))
+
+
+def lang_group(lang: Column) -> Column:
+    low = F.lower(strip(lang))
+    return F.when(F.startswith(low, F.lit("zh")), "zh").when(F.startswith(low, F.lit("en")), "en").otherwise("other")
+
+
+def size_group(x: Column) -> Column:
+    n = F.length(strip(x))
+    return F.when(n < 80, "short").when(n <= 160, "medium").otherwise("long")
+
+
+def json_text(x: Column) -> Column:
+    """The JSON within an answer: what a ```json fence holds, else from the first { to the last }, else the text."""
+    text = strip(x)
+    fenced = F.nullif(strip(F.regexp_extract(text, r"(?is)```json\s*(.*?)```", 1)), F.lit(""))
+    return F.coalesce(fenced, F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit("")), text)
+
+
+def listed(x: Column) -> Column:
+    """The items of a list written with commas (either width) or on lines."""
+    return F.filter(F.transform(F.split(x, "[,，\n]"), strip), lambda t: t != "")
+
+
+def error_kind(x: Column) -> Column:
+    low = F.lower(x)
+    busy = F.contains(low, F.lit("503")) | F.contains(low, F.lit("too busy"))
+    return F.when(F.contains(low, F.lit("content exists risk")), "content-risk").when(busy, "service-busy").otherwise("failed")
+
+
+def thread_id(x: Column) -> Column:
+    """A whole number above 0, or null."""
+    number = F.when(strip(x).rlike("^[0-9]+$"), strip(x).try_cast("long"))
+    return F.when(number > 0, number)
+
+
+def local_minute(at: Column, zone: str) -> Column:
+    """A UTC time as YYYY-MM-DD HH:mm of the zone."""
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), at.cast("timestamp_ntz")), "yyyy-MM-dd HH:mm")
+
+
+def raw_views(raw: Column) -> Column:
+    """The view count of a raw JSON object; null where it is no object or its views are neither text nor number."""
+    return view_count(F.when(raw.rlike(r"^\s*\{"), F.get_json_object(raw, "$.views")))
+
+
 def length_bucket(n: Column) -> Column:
-    out = F
-    for label, top in (("0-40", 40), ("41-80", 80), ("81-140", 140), ("141-200", 200), ("201-260", 260)):
+    out = F.when(n <= 40, "0-40")
+    for label, top in (("41-80", 80), ("81-140", 140), ("141-200", 200), ("201-260", 260)):
         out = out.when(n <= top, label)
     return out.otherwise("261+")
 

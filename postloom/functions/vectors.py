@@ -12,5 +12,11 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))
+    """The unit vector; zero and non-finite vectors become zeros.  The norm is bound once, outside the loop over the components."""
+    norm = F.array(F.sqrt(dot(v, v)))
+
+    def unit(n: Column) -> Column:
+        fine = ~F.isnan(n) & (n < float("inf"))
+        return F.transform(v, lambda x: F.when(fine, F.coalesce(F.try_divide(x, n), F.lit(0.0))).otherwise(0.0))
+
+    return F.get(F.transform(norm, unit), F.lit(0))

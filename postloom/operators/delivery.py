@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postloom.functions.text import bullet, strip, summary_text
+from postloom.functions.text import bullet, filter_tags, strip, summary_text
+from postloom.operators.outlines import post_ids, read
 
 #: A line that is an item of a list.
 ITEM = r"^\s*(?:[-*]|[0-9]+\.)\s+"
@@ -78,15 +79,42 @@ def bullets(given: DataFrame, sources: DataFrame, target: int | None = None) ->
     return placed.where(few).select("report", (F.col("n") - 1).alias("pos"), "bullet")
 
 
-def allocate(total: int, sizes: list[int]) -> list[int]:
-    """Shares of total in proportion to sizes: one each at least, what is too much taken from the largest, what is left by largest remainder."""
-    if total <= 0:
-        return []
-    shares = [n / (sum(sizes) or len(sizes)) * total for n in sizes]
-    out = [max(1, int(s)) for s in shares]
-    while sum(out) > total and max(out) > 1:
-        out[out.index(max(out))] -= 1
-    by_rest = sorted(range(len(out)), key=lambda i: int(shares[i]) - shares[i])
-    for i in by_rest[: max(0, total - sum(out))]:
-        out[i] += 1
-    return out
+def allocate(groups: DataFrame, total: int) -> DataFrame:
+    """report, pos, share: `total` items shared among a report's groups (report, pos, n) in proportion to n.
+
+    Each gets the whole part of its proportion, and one at least.  What is too much is taken from the highest shares, unit by unit;
+    what is left goes to the largest fractions.  Ties go to the first.  A total of 0 or less gives no rows.
+    """
+    one = Window.partitionBy("report")
+    rows = groups.where(F.lit(total > 0)).withColumn("exact", F.coalesce(F.try_divide("n", F.sum("n").over(one)), F.lit(0.0)) * total)
+    rows = rows.withColumn("base", F.greatest(F.lit(1), F.floor("exact"))).withColumn("over", F.sum("base").over(one) - total)
+    units = rows.where("over > 0 and base > 1").select("report", "pos", "over", F.explode(F.sequence(F.lit(2), F.col("base"))).alias("height"))
+    gone = units.withColumn("r", F.row_number().over(one.orderBy(F.desc("height"), "pos"))).where("r <= over").groupBy("report", "pos").agg(F.count("*").alias("gone"))
+    more = (F.row_number().over(one.orderBy(F.desc(F.col("exact") - F.floor("exact")), "pos")) <= -F.col("over")).cast("int")
+    return rows.withColumn("more", more).join(gone, ["report", "pos"], "left").select("report", "pos", (F.col("base") - F.coalesce("gone", F.lit(0)) + F.col("more")).cast("int").alias("share"))
+
+
+def selected(reports: DataFrame, insights: DataFrame, tags: list[str] = (), most: int = 20) -> DataFrame:
+    """report, pos, post_id, summary of the posts that a digest is written from, in the order of the report's outline.
+
+    Of a clustered outline those are the representatives, of the sections with one of the tags; of another its posts, whose own
+    tags (insights: post_id, tags, summary) then decide.  The first `most` (held within 5 to 200) stay.
+    """
+    most = max(5, min(most, 200))
+    wanted = [t for t in dict.fromkeys(t.strip().lower() for t in tags) if t]
+    wanted = ["other" if t == "others" else t for t in wanted]
+    parsed = reports.select("report", "outline", read(F.col("outline")).alias("o"))
+    heads = parsed.where("o.mode = 'clustered'").select("report", F.posexplode("o.sections").alias("s", "section")).select("report", "s", F.lower(strip(F.col("section.tag"))).alias("tag"), F.posexplode("section.clusters").alias("c", "x"))
+    heads = heads.select("report", "tag", F.struct("s", "c").alias("at"), strip(F.col("x.representative.tweetId")).alias("post_id")).where("tag <> '' AND post_id <> ''")
+    heads = heads.groupBy("report", "post_id").agg(F.min(F.struct("at", "tag")).alias("f")).select("report", "post_id", "f.at", "f.tag")
+    others = parsed.join(heads.select("report"), "report", "left_anti").select("report", F.posexplode(post_ids(F.col("outline"))).alias("c", "post_id")).select("report", "post_id", F.struct(F.lit(0).alias("s"), F.col("c")).alias("at"), F.lit(None).cast("string").alias("tag"))
+    if wanted:
+        heads = heads.where(F.col("tag").isin(wanted))
+    first = F.row_number().over(Window.partitionBy("report").orderBy("at"))
+    rows = heads.unionByName(others).withColumn("r", first)
+    rows = rows.where((F.col("r") <= most) | (F.lit(bool(wanted)) & F.col("tag").isNull()))
+    found = rows.join(insights.select(F.col("post_id").cast("string").alias("post_id"), "tags", "summary"), "post_id")
+    if wanted:
+        own = F.arrays_overlap(filter_tags(F.coalesce("tags", F.array().cast("array<string>"))), F.lit(wanted))
+        found = found.where(F.col("tag").isNotNull() | F.coalesce(own, F.lit(False)))
+    return found.withColumn("pos", first - 1).where(F.col("pos") < most).select("report", "pos", "post_id", "summary")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.functions.text import AFTER, BEFORE, collapse, has_ticker, number_tokens
+from postloom.functions.text import AMOUNT_UNIT, TIME_UNIT, collapse, has_ticker, number_tokens
 
 
 def prepared(posts: DataFrame, high: int = 4) -> DataFrame:
@@ -16,11 +16,12 @@ def prepared(posts: DataFrame, high: int = 4) -> DataFrame:
 
 
 def features() -> dict[str, Column]:
+    """The features' names and edges."""
     n, nums, ratio, t = F.col("len"), F.col("nums"), F.col("ratio"), F.col("t")
     out = {f"len>={k}": n >= k for k in (40, 80, 120)} | {f"numberTokens>={k}": nums >= k for k in (1, 2)} | {f"digitRatio>={k}%": ratio >= k / 100 for k in (1, 3, 6)}
     return out | {
-        "hasAmountUnit": t.rlike(rf"(?i)%|{BEFORE}(usd|usdt|usdc|btc|eth|bnb|sol|m|b|k){AFTER}|美元|美金|亿|万"),
-        "hasTimeUnit": t.rlike(rf"(?i){BEFORE}(sec|second|minute|min|hour|day|week|month|year)s?{AFTER}|分钟|小时|天|周|月|年|UTC|GMT"),
+        "hasAmountUnit": t.rlike(AMOUNT_UNIT),
+        "hasTimeUnit": t.rlike(TIME_UNIT),
         "hasAddress": t.rlike("0x[a-fA-F0-9]{40,64}"),
         "hasUrl": t.rlike(r"(?i)https?://|www\."),
         "hasTicker": has_ticker(t),

@@ -65,3 +65,30 @@ def chunk_cap(rows: DataFrame, key: str, order: str, size: int, most: int) -> Da
     """The first `most` rows of each chunk."""
     found = numbered(rows, key, [F.asc(order)], F.floor(F.col(order) / SPAN), "_pos")
     return found.where(F.col("_pos") % size < most).drop("_pos")
+
+
+def upsert_columns(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows of old with `columns` from new where the key is in both, and the rows of new whose key is not in old; of new's rows of one key the last by `columns` counts."""
+    latest = new.groupBy(key).agg(F.max(F.struct(*columns, *[c for c in new.columns if c != key and c not in columns])).alias("n"))
+    both = old.withColumn("_old", F.lit(True)).join(latest, key, "full")
+    here = F.col("n").isNotNull()
+    return both.select(key, *[F.when(here if c in columns else F.col("_old").isNull(), F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in old.columns if c != key])
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """Rows whose key is not in gone."""
+    return rows.join(gone.select(key), key, "left_anti")
+
+
+def write_summary(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """given, skipped (null keys), created and existing of rows to insert: each key counts once."""
+    keys = new.groupBy(key).agg(F.count("*").alias("n")).join(old.select(key).distinct().withColumn("_old", F.lit(True)), key, "left")
+    known = F.col(key).isNotNull()
+    return keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("given"), F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("skipped"), F.count_if(known & F.col("_old").isNull()).alias("created"), F.count_if(known & F.col("_old").isNotNull()).alias("existing"))
+
+
+def keyset(rows: DataFrame, at: Column, id_: Column, after: tuple | None, limit: int) -> DataFrame:
+    """The next rows of a scan in the order of (at, id): those after the pair given."""
+    if after is not None:
+        rows = rows.where((at > F.lit(after[0])) | ((at == F.lit(after[0])) & (id_ > F.lit(after[1]))))
+    return rows.orderBy(at, id_).limit(limit)

@@ -61,3 +61,13 @@ def tag_counts(reports: DataFrame) -> DataFrame:
     items = sections.where("mode IS DISTINCT FROM 'clustered'").select("report", F.explode("s.items").alias("x"))
     of_items = items.select("report", F.explode("x.tags").alias("tag")).select("report", strip(F.col("tag")).alias("tag"), F.lit(1).alias("n"))
     return of_clusters.unionByName(of_items).where("tag <> '' AND n > 0").groupBy("report", "tag").agg(F.sum("n").alias("posts"))
+
+
+def tag_set(reports: DataFrame) -> DataFrame:
+    """report, tags: the tags that an outline names, of sections, clusters or items, each once and sorted."""
+    parsed = reports.select("report", read(F.col("outline")).alias("o"))
+    empty = F.array().cast("array<string>")
+    clustered = _each(F.col("o.sections"), lambda s: F.concat(F.array(F.coalesce(s["tag"], F.lit(""))), _each(s["clusters"], lambda c: F.coalesce(c["tags"], empty))))
+    items = _each(F.col("o.sections"), lambda s: _each(s["items"], lambda i: F.coalesce(i["tags"], empty)))
+    named = F.when(F.col("o.mode") == "clustered", clustered).otherwise(items)
+    return parsed.select("report", F.array_sort(F.array_distinct(F.filter(F.transform(named, strip), lambda t: t != ""))).alias("tags"))

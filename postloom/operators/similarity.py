@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,29 +24,109 @@ def recent(samples: DataFrame, order: str, per_tag: int = PER_TAG) -> DataFrame:
     return samples.withColumn("r", F.row_number().over(newest)).where(F.col("r") <= per_tag).drop("r")
 
 
-def tag_scores(posts: DataFrame, samples: DataFrame, k: int = 1) -> DataFrame:
-    """posts with `scores`: (s, tag) by tag in order, s the negated mean of the tag's k best samples.
-
-    The samples (tag, v) are a cache of bounded size, see recent(); they go to the executors as one row, and no
-    row of posts is multiplied or moved.
+#: Sample vectors that go to every executor at most at a time.
+CACHE = 20_000
+ROWS = 1000  #: posts that a task compares with the cache at a time
+
+
+def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
+    """Rows of `width` components: missing and null ones are 0, further ones have nothing to meet."""
+    flat, ends = vectors.values, vectors.offsets.to_numpy()
+    if not flat.null_count and len(vectors) and (np.diff(ends) == width).all():
+        return flat.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].reshape(-1, width)
+    out = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors.to_pylist()):
+        part = [x or 0.0 for x in (v or [])[:width]]
+        out[i, : len(part)] = part
+    return out
+
+
+def _parts(samples: DataFrame) -> list[list[str]]:
+    """The tags in parts of at most CACHE samples."""
+    parts: list[list[str]] = []
+    room = 0
+    for r in sorted(samples.groupBy("tag").agg(F.count("*").alias("n")).collect()):  # one row a tag
+        if r["n"] > CACHE:
+            raise ValueError(f"more than {CACHE} samples of a tag; see recent()")
+        if r["n"] > room:
+            parts.append([])
+            room = CACHE
+        parts[-1].append(r["tag"])
+        room -= r["n"]
+    return parts
+
+
+def tag_scores(posts: DataFrame, samples: DataFrame, ks: tuple[int, ...] = (1,)) -> DataFrame:
+    """post_id, known, k, tag, score, second for each post (post_id, v) and k: the tag whose k best samples (tag, v) have the highest mean, that mean, and the next tag's.
+
+    known: the post has a vector, of the samples' size.  Ties go to the smaller tag.  A sample with the post's own id, where
+    samples have a sample_id, doesn't count.  The samples are a cache of bounded size, see recent(), that goes to the executors
+    in parts of at most CACHE vectors; a batch of posts meets it as one product of matrices, and no post is moved or repeated.
     """
-    cache = samples.groupBy("tag").agg(F.collect_list("v").alias("vs")).agg(F.collect_list(F.struct("tag", "vs")).alias("cache"))
-
-    def score(t: Column) -> Column:
-        all_ = F.transform(t["vs"], lambda w: dot(F.col("v"), w))
-        if k == 1:
-            return F.array_max(all_)
-        best = F.slice(F.sort_array(all_, asc=False), 1, k)
-        return F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best)
-
-    ranked = F.array_sort(F.transform("cache", lambda t: F.struct((-score(t)).alias("s"), t["tag"].alias("tag"))))
-    return posts.join(F.broadcast(cache)).withColumn("scores", ranked).drop("cache")
+    spark = posts.sparkSession
+    samples = samples.where("tag is not null and v is not null")
+    kind = posts.schema["post_id"].dataType.simpleString()
+    schema = f"post_id {kind}, known boolean, k int, tag string, score double, second double"
+    rows = posts.select("post_id", F.col("v").cast("array<double>").alias("v"))
+    found = None
+    parts = _parts(samples) or [[]]
+    for part in parts:
+        cols = ["tag", "v", *(["sample_id"] if "sample_id" in samples.columns else [])]
+        held = sorted(samples.where(F.col("tag").isin(part)).select(*cols).collect(), key=lambda r: r["tag"])
+        width = max((len(r["v"]) for r in held), default=0)
+        grid = np.zeros((len(held), width))
+        for i, r in enumerate(held):
+            grid[i, : len(r["v"])] = [x or 0.0 for x in r["v"]]
+        names, starts = np.unique(np.array([r["tag"] for r in held], object).astype(str), return_index=True)
+        own = {r["sample_id"]: i for i, r in enumerate(held)} if "sample_id" in cols else {}
+        shared = spark.sparkContext.broadcast((grid, names, starts, own))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, width=width) -> Iterator[pa.RecordBatch]:
+            grid, names, starts, own = shared.value
+            ends = [*starts[1:], len(grid)][: len(starts)]
+            for batch in batches:
+                for lo in range(0, batch.num_rows, ROWS):
+                    ids, vectors = (batch.column(i).slice(lo, ROWS) for i in (0, 1))
+                    n = len(ids)
+                    known = pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False).to_numpy(zero_copy_only=False).astype(bool) & (width > 0)
+                    scores = _matrix(pc.if_else(vectors.is_valid(), vectors, pa.scalar([], vectors.type)), width) @ grid.T
+                    for i, post in enumerate(ids.to_pylist() if own else []):
+                        if post in own:
+                            scores[i, own[post]] = -np.inf
+                    for k in ks:
+                        each = np.full((n, len(names)), -np.inf)
+                        for t, (a, b) in enumerate(zip(starts, ends, strict=True)):
+                            some = scores[:, a:b]
+                            if k == 1:
+                                each[:, t] = some.max(1)
+                                continue
+                            best = -np.sort(-some, axis=1)[:, :k]
+                            there = np.isfinite(best)
+                            each[:, t] = np.where(there.any(1), np.where(there, best, 0).sum(1) / np.maximum(there.sum(1), 1), -np.inf)
+                        first = each.argmax(1) if len(names) else np.zeros(n, int)
+                        top = each[np.arange(n), first] if len(names) else np.full(n, -np.inf)
+                        if len(names):
+                            each[np.arange(n), first] = -np.inf
+                        second = each.max(1, initial=-np.inf)
+                        fine = known & np.isfinite(top)
+                        tag = pa.array([str(names[t]) if f else None for t, f in zip(first, fine, strict=True)], pa.string())
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(known), pa.array(np.full(n, k, np.int32)), tag, pa.array(top, mask=~fine), pa.array(second, mask=~(fine & np.isfinite(second)))], ["post_id", "known", "k", "tag", "score", "second"])
+
+        one = rows.mapInArrow(run, schema)
+        found = one if found is None else found.unionByName(one)
+    if len(parts) == 1:
+        return found
+    # the best two of each part's best two
+    both = F.array(F.struct((-F.col("score")).alias("s"), F.col("tag")), F.struct((-F.col("second")).alias("s"), F.lit(None).cast("string").alias("tag")))
+    merged = found.groupBy("post_id", "k").agg(F.bool_or("known").alias("known"), F.array_sort(F.filter(F.flatten(F.collect_list(both)), lambda x: x["s"].isNotNull())).alias("all"))
+    at = [F.get("all", F.lit(i)) for i in (0, 1)]
+    best = F.array_min(F.transform(F.filter("all", lambda x: x["s"] == at[0]["s"]), lambda x: x["tag"]))
+    return merged.select("post_id", "known", "k", best.alias("tag"), (-at[0]["s"]).alias("score"), (-at[1]["s"]).alias("second"))
 
 
 def nearest_tags(posts: DataFrame, samples: DataFrame) -> DataFrame:
-    """Best and second tag of each post (post_id, v) by its best sample (tag, v); ties go to the smaller tag."""
-    first, second = (F.get("scores", F.lit(i)) for i in (0, 1))
-    return tag_scores(posts, samples).select("post_id", first["tag"].alias("tag"), (-first["s"]).alias("score"), (-second["s"]).alias("second"))
+    """post_id, known, tag, score, second: best and second tag of each post by its best sample, see tag_scores()."""
+    return tag_scores(posts, samples).select("post_id", "known", "tag", "score", "second")
 
 
 def centroids(samples: DataFrame) -> DataFrame:
@@ -80,9 +165,6 @@ def semantic_page(posts: DataFrame, query: DataFrame, order: list[Column], numbe
 
 
 def diagnostics(posts: DataFrame, samples: DataFrame, ks: list[int]) -> DataFrame:
-    """For each k: posts, mean and quantiles of the best tag's mean of k samples."""
-    best = None
-    for k in ks:
-        one = tag_scores(posts, samples, k).select(F.lit(k).alias("k"), (-F.get("scores", F.lit(0))["s"]).alias("score"))
-        best = one if best is None else best.unionByName(one)
+    """For each k: posts, mean and quantiles of the best tag's mean of k samples; all k in one pass over the posts."""
+    best = tag_scores(posts, samples, tuple(ks)).select("k", "score")
     return best.groupBy("k").agg(F.count("score").alias("posts"), F.avg("score").alias("mean"), F.max("score").alias("hi")).join(floor_quantile_columns(best, "k", "score", {"q50": 0.5, "q90": 0.9}), "k")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from postloom.functions.text import length_bucket, view_bucket
+from postloom.operators.quantiles import interpolated
 
 HIGH = 4
 
@@ -21,15 +23,18 @@ def _num(x: Column) -> Column:
 def pearson(x: Column, y: Column) -> Column:
     """Correlation of the pairs without nulls; null for fewer than two or without variance."""
     x, y = (F.when(x.isNotNull() & y.isNotNull(), z.cast("double")) for z in (x, y))
-    n = F.count(x)
-    top = n * F.sum(x * y) - F.sum(x) * F.sum(y)
-    spread = (n * F.sum(x * x) - F.sum(x) ** 2) * (n * F.sum(y * y) - F.sum(y) ** 2)
-    return F.when(n >= 2, F.try_divide(top, F.sqrt(F.greatest(F.lit(0.0), spread))))
+    return F.when(F.count(x) >= 2, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def totals(posts: DataFrame, length: Column, high: int = HIGH) -> DataFrame:
-    """Counts, averages, interpolated percentiles and the correlation of length and importance, in one pass."""
-    return posts.withColumn("len", length).agg(
+    """Counts, averages, interpolated percentiles and the correlation of length and importance.
+
+    Lengths are whole numbers below that of the longest text, so their percentiles' buffer is small; views may all
+    differ, so theirs are taken by counts.
+    """
+    rows = posts.withColumn("len", length)
+    views = interpolated(rows, "views", {"p90_views": 0.9}).select(_num(F.col("p90_views")).alias("p90_views"))
+    found = rows.agg(
         F.count("*").alias("total"),
         F.count("importance").alias("scored"),
         F.count("views").alias("with_views"),
@@ -38,10 +43,10 @@ def totals(posts: DataFrame, length: Column, high: int = HIGH) -> DataFrame:
         _num(F.percentile("len", F.lit(0.5))).alias("median_length"),
         _num(F.percentile("len", F.lit(0.9))).alias("p90_length"),
         _num(F.avg("views")).alias("avg_views"),
-        _num(F.percentile("views", F.lit(0.9))).alias("p90_views"),
         _num(F.avg("importance")).alias("avg_importance"),
         _num(pearson(F.col("len"), F.col("importance"))).alias("length_importance_corr"),
     )
+    return found.crossJoin(views)  # one row each
 
 
 def by_bucket(posts: DataFrame, value: Column, bucket: Column, labels: list[str]) -> DataFrame:
@@ -70,6 +75,15 @@ def score_matrix(posts: DataFrame, bucket: Column) -> DataFrame:
     return posts.where(F.col("importance").between(1, 5)).groupBy("importance", bucket.alias("bucket")).agg(F.count("*").alias("posts"))
 
 
+def score_rows(posts: DataFrame, length: Column) -> DataFrame:
+    """The matrix's rows: posts, averages of length and views for every importance, and each count's share of the largest."""
+    levels = posts.sparkSession.range(1, 6).select(F.col("id").cast("int").alias("importance"))
+    found = posts.where(F.col("importance").between(1, 5)).groupBy("importance").agg(F.count("*").alias("n"), F.avg(length).alias("l"), F.avg("views").alias("v"))
+    rows = levels.join(found, "importance", "left").withColumn("posts", _long(F.col("n")))
+    most = F.greatest(F.lit(1), F.max("posts").over(Window.partitionBy(F.lit(0))))  # five rows
+    return rows.select("importance", "posts", _num(F.col("l")).alias("avg_length"), _num(F.col("v")).alias("avg_views"), _num(F.col("posts") / most).alias("scale"))
+
+
 def verdicts(posts: DataFrame) -> DataFrame:
     return posts.where("verdict is not null").groupBy("verdict").agg(F.count("*").alias("posts"), _num(F.avg(F.length("text"))).alias("avg_length"), _num(F.avg("importance")).alias("avg_importance"), _num(F.avg("views")).alias("avg_views"))
 
@@ -91,14 +105,25 @@ def high_shares(posts: DataFrame, key: Column, high: int = HIGH) -> DataFrame:
 def accounts(posts: DataFrame, known: DataFrame, high: int = HIGH) -> DataFrame:
     """Per account, without posts too: posts, scored, averages, ratio of high ones, posts a day."""
     days = F.datediff(F.max("posted_at"), F.min("posted_at")) + 1
-    found = posts.groupBy("account_id").agg(F.count("*").alias("n"), F.count("importance").alias("s"), F.avg("importance").alias("a"), F.count_if(F.col("importance") >= high).alias("h"), (F.count("*") / F.greatest(F.lit(1), days)).alias("d"))
-    return known.join(found, "account_id", "left").select("account_id", _long(F.col("n")).alias("posts"), _long(F.col("s")).alias("scored"), _num(F.col("a")).alias("avg_importance"), _long(F.col("h")).alias("high"), _num(F.try_divide("h", "s")).alias("high_ratio"), _num(F.col("d")).alias("per_day"))
+    found = posts.groupBy("account_id").agg(F.count("*").alias("n"), F.count("importance").alias("s"), F.avg("importance").alias("a"), F.count_if(F.col("importance") >= high).alias("h"), (F.count("*") / F.greatest(F.lit(1), days)).alias("d"), F.min("posted_at").alias("first_at"), F.max("posted_at").alias("last_at"))
+    return known.join(found, "account_id", "left").select("account_id", "first_at", "last_at", _long(F.col("n")).alias("posts"), _long(F.col("s")).alias("scored"), _num(F.col("a")).alias("avg_importance"), _long(F.col("h")).alias("high"), _num(F.try_divide("h", "s")).alias("high_ratio"), _num(F.col("d")).alias("per_day"))
+
+
+def policy(stats: DataFrame, now: str, least_avg: float = 3.0, least_high: int = 6, ratio: float = 0.25, frozen_days: int = 14) -> DataFrame:
+    """account_id, decision, desired, action of accounts (with status and created_at): those stay that have the average, number or share of high posts.
+
+    Accounts without scored posts go; accounts younger than frozen_days keep their status.
+    """
+    keep = F.coalesce((F.col("scored") > 0) & ((F.col("avg_importance") >= least_avg) | (F.col("high") >= least_high) | (F.col("high_ratio") > ratio)), F.lit(False))
+    young = F.col("created_at") >= F.expr(f"timestamp_ntz '{now}' - interval {frozen_days} days")
+    want = F.when(F.coalesce(young, F.lit(False)), F.col("status")).otherwise(F.when(keep, "SUBSCRIBED").otherwise("UNSUBSCRIBED"))
+    action = F.when(F.col("status").eqNullSafe(want), "none").when(want == "SUBSCRIBED", "resubscribe").otherwise("unsubscribe")
+    return stats.select("account_id", F.when(keep, "keep").otherwise("drop").alias("decision"), want.alias("desired"), action.alias("action"))
 
 
-def policy(stats: DataFrame, least_avg: float = 3.0, least_high: int = 6, ratio: float = 0.25) -> DataFrame:
-    """Which accounts stay: by average, number or share of high posts; those without scored posts go."""
-    keep = (F.col("scored") > 0) & ((F.col("avg_importance") >= least_avg) | (F.col("high") >= least_high) | (F.col("high_ratio") > ratio))
-    return stats.select("account_id", F.when(F.coalesce(keep, F.lit(False)), "keep").otherwise("drop").alias("decision"))
+def account_totals(accounts_: DataFrame) -> DataFrame:
+    """Accounts in all and by status."""
+    return accounts_.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "SUBSCRIBED").alias("subscribed"), F.count_if(F.col("status") == "UNSUBSCRIBED").alias("unsubscribed"))
 
 
 def _bucketed(x: Column, none: str | None, edges: list[tuple[float, str]], last: str) -> Column:
@@ -127,16 +152,19 @@ def leaders(found: DataFrame, by: str, top: int = 10) -> DataFrame:
 
 
 def high_totals(posts: DataFrame, high: int = HIGH) -> DataFrame:
-    """Posts of high importance: number, share of the scored, lengths, views, tags a post."""
+    """Posts of high importance: number, share of the scored, lengths, views, tags a post, shares with a summary and with suggestions."""
     is_high = F.col("importance") >= high
-    size, views, tags_ = (F.when(is_high, x) for x in (F.length("text"), F.col("views"), F.coalesce(F.size("tags"), F.lit(0))))
-    return posts.agg(
+    size, tags_ = (F.when(is_high, x) for x in (F.length("text"), F.coalesce(F.size("tags"), F.lit(0))))
+    said = {name: F.when(is_high, (F.coalesce(F.trim(name), F.lit("")) != "").cast("int")) for name in ("summary", "suggestions")}
+    views = interpolated(posts.where(is_high), "views", {f"views_p{q}": q / 100 for q in (50, 90)})
+    found = posts.agg(
         F.count_if(is_high).alias("posts"),
         _num(F.try_divide(F.count_if(is_high), F.count("importance"))).alias("ratio"),
         *[_num(F.percentile(size, F.lit(q / 100))).alias(f"length_p{q}") for q in (50, 90)],
-        *[_num(F.percentile(views, F.lit(q / 100))).alias(f"views_p{q}") for q in (50, 90)],
         _num(F.avg(tags_)).alias("avg_tags"),
+        *[_num(F.avg(x)).alias(f"{name}_rate") for name, x in said.items()],
     )
+    return found.crossJoin(views.select(*[_num(F.col(c)).alias(c) for c in views.columns]))  # one row each
 
 
 def high_tags(posts: DataFrame, high: int = HIGH) -> DataFrame:

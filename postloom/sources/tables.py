@@ -19,7 +19,7 @@ def _tag(k) -> F.Column:
 
 
 def posts_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts from documents and labels: text, importance, verdict, tags and a view count as text."""
+    """Posts from documents and labels: the whole text, importance, verdict, tags, summary, suggestions and a view count as text."""
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     i, scored = F.col("doc_id"), F.col("quality").isNotNull()
     views = (
@@ -34,22 +34,30 @@ def posts_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         i.alias("post_id"),
         F.col("source").alias("account_id"),
         "lang",
-        F.substring("text", F.lit(1), (40 + i % 140).cast("int")).alias("text"),
+        "text",
         F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id * 37 as int), 0)").alias("posted_at"),
         F.when(scored, F.when(F.col("quality") == 0, 1 + i % 2).otherwise(2 + i % 4)).cast("int").alias("importance"),
         F.when(scored, F.when(F.col("toxic") == 1, "ignore").when((F.col("quality") == 1) & (2 + i % 4 >= 4), "actionable").otherwise("watch")).alias("verdict"),
         F.when(scored, F.array_compact(F.array(_tag(i), F.when(i % 4 != 0, _tag(i * 5 + 3))))).alias("tags"),
+        F.when(scored & (i % 5 != 0), F.concat(F.lit("about "), i.cast("string"))).alias("summary"),
+        F.when(scored & (i % 3 == 0), F.concat(F.lit("do "), i.cast("string"))).alias("suggestions"),
         view_count(views).alias("views"),
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts without what labels say: post_id, account_id, lang, text."""
+    return table(spark, sf_dir, "documents").selectExpr("doc_id AS post_id", "source AS account_id", "lang", "text")
+
+
 POSTS_DOCS = f"""posts AS (
-SELECT d.doc_id AS post_id, d.source AS account_id, d.lang, substring(d.text, 1, (40 + d.doc_id % 140)::INT) AS text,
+SELECT d.doc_id AS post_id, d.source AS account_id, d.lang, d.text,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(d.doc_id * 37) AS posted_at,
   (CASE WHEN l.quality IS NULL THEN NULL WHEN l.quality = 0 THEN 1 + d.doc_id % 2 ELSE 2 + d.doc_id % 4 END)::INT AS importance,
   CASE WHEN l.quality IS NULL THEN NULL WHEN l.toxic = 1 THEN 'ignore' WHEN l.quality = 1 AND 2 + d.doc_id % 4 >= 4 THEN 'actionable' ELSE 'watch' END AS verdict,
   CASE WHEN l.quality IS NULL THEN NULL ELSE split_part('{DUCK_TAGS}', ',', (1 + d.doc_id % 13)::INT) END AS tag1,
   CASE WHEN l.quality IS NULL OR d.doc_id % 4 = 0 THEN NULL ELSE split_part('{DUCK_TAGS}', ',', (1 + (d.doc_id * 5 + 3) % 13)::INT) END AS tag2,
+  CASE WHEN l.quality IS NOT NULL AND d.doc_id % 5 <> 0 THEN 'about ' || d.doc_id END AS summary, CASE WHEN l.quality IS NOT NULL AND d.doc_id % 3 = 0 THEN 'do ' || d.doc_id END AS suggestions,
   CASE d.doc_id % 7 WHEN 1 THEN d.doc_id * 13.0 WHEN 2 THEN round((d.doc_id % 90 + (d.doc_id % 10) / 10.0) * 1000) WHEN 3 THEN (1 + d.doc_id % 90) * 1000 + 100 + d.doc_id % 900
     WHEN 5 THEN d.doc_id % 5 * 1000000.0 WHEN 6 THEN d.doc_id * 3.0 END::DOUBLE AS views
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""

@@ -47,9 +47,23 @@ def test_digest_bullets(spark):
     assert run(None) == [(1, "a"), (1, "b"), *[(2, f"s{i}") for i in range(8)]]
 
 
-def test_allocate():
-    assert delivery.allocate(10, [6, 3, 1]) == [6, 3, 1] and delivery.allocate(0, [1]) == [] and delivery.allocate(5, []) == []
-    assert delivery.allocate(3, [100, 1, 1]) == [1, 1, 1] and delivery.allocate(2, [0, 0, 0]) == [1, 1, 1] and delivery.allocate(7, [1, 1]) == [4, 3]
+def shared(total, sizes):
+    """Shares, one step at a time."""
+    exact = [n / sum(sizes) * total if sum(sizes) else 0 for n in sizes]
+    out = [max(1, int(x)) for x in exact]
+    while sum(out) > total and max(out) > 1:
+        out[out.index(max(out))] -= 1
+    for i in sorted(range(len(out)), key=lambda i: int(exact[i]) - exact[i])[: max(0, total - sum(out))]:
+        out[i] += 1
+    return out
+
+
+def test_allocate(spark):
+    cases = [(10, [6, 3, 1]), (5, []), (3, [100, 1, 1]), (2, [0, 0, 0]), (7, [1, 1]), (20, [9, 9, 1, 1, 1, 30]), (4, [5, 5, 5, 5, 5]), (9, [50, 50, 1, 1, 1, 1])]
+    for total, sizes in cases:
+        groups = spark.createDataFrame([(1, i, n) for i, n in enumerate(sizes)], "report int, pos int, n int")
+        assert [r["share"] for r in delivery.allocate(groups, total).orderBy("pos").collect()] == (shared(total, sizes) if sizes else []), (total, sizes)
+    assert delivery.allocate(spark.createDataFrame([(1, 0, 1)], "report int, pos int, n int"), 0).count() == 0
 
 
 def test_outlines(spark):
