@@ -85,7 +85,11 @@ class LangModel:
         at = np.searchsorted(self.points, points)
         at[at == len(self.points)] = 0
         known = self.points[at] == points if len(self.points) else np.zeros(len(points), bool)
-        return np.where(points == 0, SPACE, np.where(known, at + 2, OTHER)).astype(np.int32)
+        return np.where(points == 0, SPACE, np.where(known, at + 2, OTHER)).astype(self.kind)
+
+    @property
+    def kind(self) -> type:
+        return np.uint16 if len(self.points) < 65_000 else np.int32
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -173,7 +177,7 @@ def phrases(texts: list[str], model: LangModel) -> tuple[np.ndarray, np.ndarray]
             blocks.append(codes[i : i + BLOCK])
             owner.append(k)
     out = np.zeros((len(texts), len(model.langs)))
-    lanes = max(256, 32_768 // max(1, len(model.langs)))
+    lanes = max(256, 16_384 // max(1, len(model.langs)))
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     roots = model.roots[:, None]
     rows = np.arange(len(model.langs))[:, None] * model.first.shape[1] if len(model.langs) else None
@@ -181,7 +185,7 @@ def phrases(texts: list[str], model: LangModel) -> tuple[np.ndarray, np.ndarray]
     for lo in range(0, len(order), lanes):
         ids = order[lo : lo + lanes]
         lengths = np.array([len(blocks[i]) for i in ids])
-        grid = np.zeros((lengths[0], len(ids)), np.int32)
+        grid = np.zeros((lengths[0], len(ids)), model.kind)
         for j, i in enumerate(ids):
             grid[: len(blocks[i]), j] = blocks[i]
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # blocks longer than t
