@@ -1,18 +1,21 @@
 """Stupid-backoff scores from corpus-wide n-gram counts.
 
-A document's words are scored in turn: f(w1 w2 w3) / f(w1 w2) where the trigram occurs
-elsewhere, else ALPHA f(w2 w3) / f(w2) where the bigram does, else ALPHA^2 f(w3) / N,
-and half a count for a word that occurs nowhere else.  The counts f and N are of all
-other rows: of the whole table, less the row's own.
-
-N-grams are 48-bit hashes.  Documents are dealt into blocks; a block explodes into its
-distinct n-grams and their counts, packed by hash range (bucket): that is what is
-shuffled.  A bucket sums them to its part of the count table, joins that to the blocks'
-n-grams and sends each block the sums; a block then adds up the logarithms per document.
-
-Defined cases: null and empty texts have 0 words and a null score, as has every row
-where no other row has a word; repeated rows each count as another row; a null doc_id
-is scored like any other; empty tables give no rows.
+A document's words are scored in turn: f(w1 w2 w3) / f(w1 w2) where the trigram occurs,
+else ALPHA f(w2 w3) / f(w2) where the bigram does, else ALPHA^2 f(w3) / N, and half a
+count for a word that occurs nowhere.  The counts f and N are of the whole table; with
+leave_one_out they are of all other rows, less the row's own, and backing off is common.
+
+Documents are dealt into blocks; a block explodes into its distinct n-grams and their
+counts, packed by hash range (bucket): that is what is shuffled.  A bucket sums them to
+its part of the count table, joins that to the blocks' n-grams and sends each block the
+sums; a block then adds up the logarithms per document.
+
+N-grams are known by hashes of HASH_BITS bits.  Among 10^9 different n-grams about one in
+10^8 shares its hash with another, among 10^13 one in 10^4; such counts are too high.
+
+Defined cases: null and empty texts have 0 words and a null score, as has, with
+leave_one_out, every row where no other row has a word; repeated rows each count as
+another row; a null doc_id is scored like any other; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,13 +30,13 @@ from pyspark.sql import functions as F
 from postloom.llm.common import ngram_hashes, partitions, word_hashes
 
 ALPHA, ORDER = 0.4, 3
-HASH_BITS, PLANES = 48, 6
+HASH_BITS, PLANES = 56, 7
 #: Characters of a block, n-grams (with repeats) of a bucket.
 BLOCK_CHARS, BUCKET_NGRAMS = 12_000_000, 3_000_000
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Ascending integers below 2^48 as byte planes, of which the high ones compress well."""
+    """Ascending integers below 2^HASH_BITS as byte planes, of which the high ones compress well."""
     return x.astype("<u8").view(np.uint8).reshape(-1, 8).T[:PLANES].tobytes()
 
 
@@ -44,12 +47,17 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(out.T).view("<u8").ravel()
 
 
-def _planes32(x: np.ndarray) -> bytes:
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def pack_counts(x: np.ndarray) -> bytes:
+    """Counts as byte planes, of as many bytes as the largest needs; their number comes first."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes()
 
 
-def _unplanes32(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def unpack_counts(raw: bytes) -> np.ndarray:
+    width, n = raw[0], (len(raw) - 1) // raw[0]
+    out = np.zeros((8, n), np.uint8)
+    out[:width] = np.frombuffer(raw, np.uint8, offset=1).reshape(width, n)
+    return np.ascontiguousarray(out.T).view("<i8").ravel()
 
 
 def document_ngrams(text: str | None) -> list[np.ndarray]:
@@ -72,8 +80,8 @@ def backoff(counts: list[np.ndarray], total: float) -> float:
     return float(score.sum())
 
 
-def score(documents: DataFrame) -> DataFrame:
-    """doc_id, n_words, log_score and mean_log_score of every row."""
+def score(documents: DataFrame, leave_one_out: bool = False) -> DataFrame:
+    """doc_id, n_words, log_score and mean_log_score of every row, by the counts of the whole table or of all other rows."""
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
     chars = documents.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -91,22 +99,22 @@ def score(documents: DataFrame) -> DataFrame:
         which = (hashes >> np.uint64(HASH_BITS - bits)).astype(np.int32)
         cuts = np.flatnonzero(np.diff(which, prepend=-1))
         ends = [*cuts[1:], len(hashes)] if len(cuts) else []
-        rows = [(int(which[a]), pack(hashes[a:b]), _planes32(counts[a:b])) for a, b in zip(cuts, ends, strict=True)]
-        rows.append((-1, b"", _planes32(np.array([words % (1 << 32), words >> 32]))))
+        rows = [(int(which[a]), pack(hashes[a:b]), pack_counts(counts[a:b])) for a, b in zip(cuts, ends, strict=True)]
+        rows.append((-1, b"", pack_counts(np.array([words]))))
         bucket, h, c = zip(*rows, strict=True)
         return pa.table({"block": pa.array([block.column("block")[0].as_py()] * len(rows), pa.int32()), "bucket": pa.array(bucket, pa.int32()), "hashes": pa.array(h, pa.binary()), "counts": pa.array(c, pa.binary())})
 
     def count(bucket: pa.Table) -> pa.Table:
-        counts = [_unplanes32(c) for c in bucket.column("counts").to_pylist()]
+        counts = [unpack_counts(c) for c in bucket.column("counts").to_pylist()]
         if bucket.column("bucket")[0].as_py() < 0:
-            total = sum(int(c[0]) + (int(c[1]) << 32) for c in counts)
-            others = [_planes32(np.array([total % (1 << 32), total >> 32]))] * len(counts)
+            others = [pack_counts(np.array([sum(int(c[0]) for c in counts)]))] * len(counts)
         else:
             hashes = [unpack(h) for h in bucket.column("hashes").to_pylist()]
             distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
-            sums = np.bincount(at, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+            sums = np.zeros(len(distinct), np.int64)
+            np.add.at(sums, at, np.concatenate(counts))
             parts = np.split(sums[at], np.cumsum([len(h) for h in hashes])[:-1])
-            others = [_planes32(np.minimum(s - c, (1 << 32) - 1)) for s, c in zip(parts, counts, strict=True)]
+            others = [pack_counts(s - c) for s, c in zip(parts, counts, strict=True)]
         return pa.table({"block": bucket.column("block"), "bucket": bucket.column("bucket"), "others": pa.array(others, pa.binary())})
 
     def add_up(block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -116,20 +124,21 @@ def score(documents: DataFrame) -> DataFrame:
         lengths = [len(x) for ngrams in each for x in ngrams]
         distinct, at, own = np.unique(np.concatenate([x for ngrams in each for x in ngrams]), return_inverse=True, return_counts=True)
         got = sorted(zip(answers.column("bucket").to_pylist(), answers.column("others").to_pylist(), strict=True))
-        total = _unplanes32(got[0][1])
-        sums = own + np.concatenate([np.zeros(0, np.int64), *[_unplanes32(x) for _, x in got[1:]]]).astype(np.int64)
-        words = int(total[0]) + (int(total[1]) << 32)
+        words = int(unpack_counts(got[0][1])[0])
+        sums = own + np.concatenate([np.zeros(0, np.int64), *[unpack_counts(x) for _, x in got[1:]]])
         ends = np.cumsum([0, *lengths])
         scores = []
         for i, ngrams in enumerate(each):
             n, lo, hi = len(ngrams[0]), ends[i * ORDER], ends[(i + 1) * ORDER]
-            if not n or words == n:
+            if not n or leave_one_out and words == n:
                 scores.append(None)
                 continue
-            here, back, mine = np.unique(at[lo:hi], return_inverse=True, return_counts=True)
-            rest = (sums[here] - mine)[back].astype(np.float64)
+            here = sums[at[lo:hi]]
+            if leave_one_out:
+                _, back, mine = np.unique(at[lo:hi], return_inverse=True, return_counts=True)
+                here = here - mine[back]
             cuts = np.cumsum(lengths[i * ORDER : (i + 1) * ORDER])[:-1]
-            scores.append(backoff(np.split(rest, cuts), words - n))
+            scores.append(backoff(np.split(here.astype(np.float64), cuts), words - n * leave_one_out))
         return pa.table({"doc_id": block.column("doc_id"), "n_words": pa.array([len(x[0]) for x in each], pa.int64()), "log_score": pa.array(scores, pa.float64())})
 
     asked = docs.groupBy("block").applyInArrow(ask, "block int, bucket int, hashes binary, counts binary")

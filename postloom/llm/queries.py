@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postloom.llm import fingerprint, langid, linededup, ngramjoin, ngramlm, packing, sentencepieces, tokenfile, topk, toxicity
 from postloom.llm.common import read_table
@@ -47,7 +48,8 @@ def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramlm.score(read_table(spark, sf_dir, "documents"))
+    found = ngramlm.score(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("log_score", "mean_log_score")])
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +63,15 @@ def op10_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_language, op3_toxicity, op4_topk, op5_tokenfile, op6_fingerprint, op7_linededup, op8_backoff, op9_packing, op10_ngramjoin)}
 
 SQL = {
+    "op8_backoff": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
+g AS (SELECT r, i, w AS u, lag(w) OVER o AS v, v || ' ' || w AS b, lag(w, 2) OVER o || ' ' || v AS c, lag(w, 2) OVER o || ' ' || b AS t FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+n1 AS (SELECT u, count(*) AS n FROM g GROUP BY u), n2 AS (SELECT b, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY b), n3 AS (SELECT t, count(*) AS n FROM g WHERE t IS NOT NULL GROUP BY t),
+s AS (SELECT r, sum(ln(CASE WHEN g.t IS NOT NULL THEN n3.n / p2.n WHEN g.b IS NOT NULL THEN 0.4 * n2.n / p1.n ELSE 0.4::DOUBLE * 0.4 * n1.n / (SELECT count(*) FROM w) END)) AS score
+  FROM g JOIN n1 USING (u) LEFT JOIN n2 ON n2.b = g.b LEFT JOIN n3 ON n3.t = g.t LEFT JOIN n1 p1 ON p1.u = g.v LEFT JOIN n2 p2 ON p2.b = g.c GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, round(score, 6) AS log_score, round(score / len(ws), 6) AS mean_log_score FROM d LEFT JOIN s USING (r)
+""",
     "op4_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings

@@ -408,10 +408,11 @@ def test_lines_against_brute_force(spark, odd):
 # 8
 
 
-def test_backoff_against_brute_force(spark, odd):
+@pytest.mark.parametrize("apart", [False, True])
+def test_backoff_against_brute_force(spark, odd, apart):
     rng = random.Random(2)
-    rows = [(i, " ".join(rng.choice("the of a cat dog sat On on mat unique".split()) for _ in range(rng.randrange(0, 12)))) for i in range(60)] + [(99, None), (7, "zebra"), (None, "the cat")]
-    got = collections.Counter((r["doc_id"], r["n_words"], None if r["log_score"] is None else round(r["log_score"], 9)) for r in ngramlm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    rows = [(i, " ".join(rng.choice("the of a cat dog sat On on mat unique".split()) for _ in range(rng.randrange(0, 12)))) for i in range(60)] + [(99, None), (7, "zebra"), (None, "the cat"), (98, "zebra the")]
+    got = collections.Counter((r["doc_id"], r["n_words"], None if r["log_score"] is None else round(r["log_score"], 9)) for r in ngramlm.score(spark.createDataFrame(rows, "doc_id long, text string"), apart).collect())
     tokens = [(d, (t or "").lower().split()) for d, t in rows]
     grams = lambda w: collections.Counter(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1))
     all_ = sum((grams(w) for _, w in tokens), collections.Counter())
@@ -419,7 +420,8 @@ def test_backoff_against_brute_force(spark, odd):
     want = collections.Counter()
     for d, w in tokens:
         f = all_.copy()
-        f.subtract(grams(w))
+        if apart:
+            f.subtract(grams(w))
         s = 0.0
         for i in range(len(w)):
             tri, bi = tuple(w[i - 2 : i + 1]), tuple(w[i - 1 : i + 1])
@@ -428,10 +430,15 @@ def test_backoff_against_brute_force(spark, odd):
             elif i > 0 and f[bi] > 0:
                 s += math.log(0.4 * f[bi] / f[bi[:1]])
             else:
-                s += math.log(0.16 * max(f[(w[i],)], 0.5) / (total - len(w)))
+                s += math.log(0.16 * max(f[(w[i],)], 0.5) / (total - len(w) * apart))
         want[(d, len(w), round(s, 9) if w else None)] += 1
     assert got == want
-    assert ngramlm.score(odd).count() == odd.count() and ngramlm.score(odd.limit(0)).count() == 0
+    assert ngramlm.score(odd, apart).count() == odd.count() and ngramlm.score(odd.limit(0), apart).count() == 0
+
+
+def test_large_counts_are_kept():
+    for x in ([0, 1, 255], [256, 1 << 33], [(1 << 40) + 7], []):
+        assert ngramlm.unpack_counts(ngramlm.pack_counts(np.array(x, np.int64))).tolist() == x
 
 
 # 9
