@@ -1,7 +1,7 @@
 """Near-duplicate lines by a deletion-neighbourhood join.
 
 Lines are compared as sequences of words (lower-cased ASCII); an edit inserts, deletes
-or replaces one word.  Lines of at least SHORTEST words are duplicates within one
+or replaces one word.  Lines of at least `shortest` words are duplicates within one
 edit, shorter ones only if equal.  A line that has an earlier duplicate (by doc_id,
 then text hash, then position) is dropped, whether or not that one stays; so the
 result depends on no order of work.
@@ -10,8 +10,8 @@ Variants are a line without its i-th word, as 64-bit hashes.  Lines that share a
 variant, its position and their length differ by one replaced word at most, and such
 a group is a clique: all but its earliest member have an earlier duplicate.  A line
 equal to another's variant differs from it by one word.  So groups are only reduced
-to their earliest member, never to pairs.  Each line is then verified against the
-witness found, word by word.
+to their earliest member, by aggregates that combine before they shuffle, never to
+pairs.  Each line is then verified against the witness found, word by word.
 
 Before that, lines that can't have a partner are left out: an edit leaves either the
 first or the last half of the shorter line as it is, so two duplicates share the hash
@@ -19,7 +19,8 @@ of a half.
 
 Defined cases: null text stays null and has no lines; blank lines stay; repeated
 (doc_id, text) rows can't be told apart and keep the same lines; a null doc_id comes
-first; empty tables give no rows.
+first; empty tables give no rows.  Columns may have any name; of those named like the
+two counts that dedup() adds, the counts take the place.
 """
 
 from __future__ import annotations
@@ -32,8 +33,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
-
 from postloom.llm.common import bounded_batches, key_set, located_words, maybe_in, mix, powers, spared, stored, words_of
 
 SHORTEST = 8
@@ -49,7 +48,7 @@ def summed(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return total
 
 
-def line_keys(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def line_keys(words: np.ndarray, sizes: np.ndarray, shortest: int = SHORTEST) -> tuple[np.ndarray, list[np.ndarray]]:
     """Hashes of lines, and for each the hashes of the halves that a duplicate shares (none for short lines)."""
     starts = np.cumsum(sizes) - sizes
     ends = starts + sizes
@@ -65,7 +64,7 @@ def line_keys(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np
         halves[:, 2 * i] = mix(head * np.uint64(2) + np.uint64(1) ^ mark)
         halves[:, 2 * i + 1] = mix(tail * np.uint64(2) ^ mark)
     # of an odd number of words both halves are the same
-    take = np.where(sizes < SHORTEST, 0, np.where(sizes % 2, 2, 4))
+    take = np.where(sizes < shortest, 0, np.where(sizes % 2, 2, 4))
     return whole, [h[:k] for h, k in zip(halves, take.tolist(), strict=True)]
 
 
@@ -92,7 +91,7 @@ def text_hash(text: str | None) -> int:
     return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 1
 
 
-def line_table(documents: DataFrame) -> DataFrame:
+def line_table(documents: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """key, th, pos, h, n, halves for each line that has words."""
     names = ["key", "th", "pos", "h", "n", "halves"]
 
@@ -105,7 +104,7 @@ def line_table(documents: DataFrame) -> DataFrame:
                 sizes = np.concatenate([x for _, _, x in found])
                 if not len(sizes):
                     continue
-                whole, halves = line_keys(np.concatenate([w for w, _, _ in found]), sizes)
+                whole, halves = line_keys(np.concatenate([w for w, _, _ in found]), sizes, shortest)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in halves])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(halves).view(np.int64)))
                 arrays = [
@@ -179,32 +178,42 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), "text")
 
 
-def duplicates(documents: DataFrame, max_edits: int = 1) -> DataFrame:
+def _shared(variants_: DataFrame) -> DataFrame:
+    """The variants (v, i, n, h, key, th, pos) that two lines may have; most lines share none with another."""
+    several = variants_.groupBy("v").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("v")
+    found = variants_.sparkSession.sparkContext.broadcast(key_set(several, "v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(maybe_in(found.value, batch.column(0).to_numpy())))
+
+    return variants_.mapInArrow(spared(run), variants_.schema)
+
+
+def duplicates(documents: DataFrame, max_edits: int = 1, shortest: int = SHORTEST) -> DataFrame:
     """key, th, pos of each line to drop (key: doc_id, or the least integer for null; th: hash of the text)."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     docs = _keyed(documents).where(F.col("text").isNotNull())
-    lines = stored(line_table(docs), "lines")
+    lines = stored(line_table(docs, shortest), "lines")
     place = F.struct("key", "th", "pos")
     first = lines.groupBy("h").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     if max_edits:
         first = stored(first, "first")
-        by_half = Window.partitionBy("half")
-        halves = first.select("h", F.explode("halves").alias("half")).withColumns({"a": F.min("h").over(by_half), "b": F.max("h").over(by_half)})
-        near = halves.where("a <> b").select("h").distinct()
+        halves = first.select("h", F.explode("halves").alias("half"))
+        several = halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
+        near = halves.join(several, "half").select("h").distinct()
         wanted = first.join(near, "h", "left_semi").select("at.key", "at.th", "at.pos").groupBy("key", "th").agg(F.collect_list("pos").alias("wanted"))
         wanted = stored(wanted, "wanted")
         texts = maybe_holding(docs, wanted).join(wanted, ["key", "th"]).dropDuplicates(["key", "th"])
         words = stored(word_table(texts).join(first.select("h", "at.key", "at.th", "at.pos"), "h"), "words")
-        v = variant_table(words).select("v", "i", "n", "h", place.alias("at")).repartition("v")
+        v = stored(_shared(variant_table(words)).select("v", "i", "n", "h", place.alias("at")), "variants")
         one = F.struct("at", "h")
-        inside, long = F.col("i") >= 0, (F.col("i") >= 0) & (F.col("n") > SHORTEST)
-        # one shuffle by variant serves all three: the same variant at the same place, and a line that is another's variant
-        v = v.withColumns({
-            "same": F.min(one).over(Window.partitionBy("v", "i", "n")),
-            "more": F.min(F.when(long, one)).over(Window.partitionBy("v")),
-            "whole": F.min(F.when(~inside, one)).over(Window.partitionBy("v")),
-        })
+        inside, long = F.col("i") >= 0, (F.col("i") >= 0) & (F.col("n") > shortest)
+        # the same variant at the same place, and a line that is another's variant
+        same = v.where(inside).groupBy("v", "i", "n").agg(F.min(one).alias("same"))
+        whole = v.groupBy("v").agg(F.min(F.when(long, one)).alias("more"), F.min(F.when(~inside, one)).alias("whole"))
+        v = v.join(same, ["v", "i", "n"], "left").join(whole, "v")
         earlier = F.least(F.when(inside, F.col("same")), F.when(~inside, F.col("more")), F.when(long, F.col("whole")))
         found = v.withColumn("by", earlier).where(F.col("by.at") < F.col("at")).select("h", F.col("by.h").alias("by"))
         later = verified(found.groupBy("h").agg(F.min("by").alias("by")), words.select("h", "words"))
@@ -239,41 +248,50 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return both.mapInArrow(spared(run), "h long").distinct()
 
 
-def dedup(documents: DataFrame, max_edits: int = 1) -> DataFrame:
-    """The rows with all their columns, without the dropped lines in text; n_lines and n_kept count lines that aren't blank."""
+def dedup(documents: DataFrame, max_edits: int = 1, shortest: int = SHORTEST, counts: tuple[str, str] = ("n_lines", "n_kept")) -> DataFrame:
+    """The rows with all their columns, without the dropped lines in text; two counts, of lines that aren't blank and of those kept, are added by the names given."""
     spark = documents.sparkSession
     bounded_batches(spark)
-    gone = duplicates(documents, max_edits).groupBy("key", "th").agg(F.collect_list("pos").alias("gone"))
-    gone = stored(gone.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("th", "gone"))).alias("_gone")), "gone")
+    documents = documents.drop(*counts)
+    gone = stored(duplicates(documents, max_edits, shortest).groupBy("key", "th").agg(F.collect_list("pos").alias("gone")), "gone")
     found = spark.sparkContext.broadcast(key_set(gone, "key"))
-    rows = documents.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key"))
     names = documents.columns
+    key, th, drop = (("_" * (1 + max(map(len, names)))) + x for x in ("key", "th", "drop"))
+    rows = documents.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias(key))
     at, held = names.index("text"), len(names)
+    longs = [T.StructField(c, T.LongType()) for c in (key, th, *counts)]
+
+    def part(inside: bool) -> DataFrame:
+        """Rows whose key may have lines to drop, with the hash of their text; or all others."""
 
-    def part(inside: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 mask = maybe_in(found.value, batch.column(held).to_numpy())
-                yield batch.filter(pa.array(mask if inside else ~mask))
+                batch = batch.filter(pa.array(mask if inside else ~mask))
+                if inside:
+                    hashes = pa.array([text_hash(t) for t in batch.column(at).to_pylist()], pa.int64())
+                    batch = pa.RecordBatch.from_arrays([*batch.columns, hashes], [*names, key, th])
+                yield batch if inside else batch.select(range(held))
 
-        return rows.mapInArrow(spared(run), rows.schema)
+        return rows.mapInArrow(spared(run), T.StructType([*documents.schema.fields, *longs[: 2 * inside]]))
 
-    schema = T.StructType([*documents.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType())])
+    schema = T.StructType([*documents.schema.fields, *longs[2:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lines, kept = [], [], []
             for text, gone in zip(batch.column(at).to_pylist(), batch.column(held).to_pylist(), strict=True):
-                there = [] if text is None else [1 for x in text.split("\n") if words_of(x)]
-                drop = set(dict(gone).get(text_hash(text), [])) if gone else set()
-                lines.append(len(there))
-                kept.append(len(there) - len(drop))
-                texts.append(text if not drop else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop))
+                there = 0 if text is None else sum(1 for x in text.split("\n") if words_of(x))
+                out = set(gone or [])
+                lines.append(there)
+                kept.append(there - len(out))
+                texts.append(text if not out else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in out))
             cols = [batch.column(i) for i in range(held)]
             cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(kept, pa.int64())], [*names, "n_lines", "n_kept"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(kept, pa.int64())], [*names, *counts])
 
-    kind = gone.schema["_gone"].dataType.simpleString()
-    hit = part(True).join(gone.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
-    free = part(False).drop("_key").withColumn("_gone", F.lit(None).cast(kind))
-    return hit.unionByName(free).mapInArrow(spared(run), schema)
+    kind = gone.schema["gone"].dataType
+    # a (key, th) is one text: its positions are no more than its lines
+    hit = part(True).join(gone.select(F.col("key").alias(key), F.col("th").alias(th), F.col("gone").alias(drop)), [key, th], "left").drop(key, th)
+    free = part(False).withColumn(drop, F.lit(None).cast(kind))
+    return hit.select(*names, drop).unionByName(free).mapInArrow(spared(run), schema)

@@ -405,6 +405,21 @@ def test_lines_against_brute_force(spark, odd):
     assert sum(exact.values()) > sum(r["n_kept"] for r in got) > 0
 
 
+def test_lines_with_clashing_names_null_ids_and_a_template(spark):
+    line = "one two three four five six seven eight nine"
+    rows = [(None, f"{line} {i}\n\nown {i}", i, "k", 1, 2) for i in range(30)] + [(None, f"{line} 3\n\nown 3", 3, "k", 1, 2), (5, line, 0, None, None, None), (6, None, 0, "k", 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key long, _gone string, n_lines long, by long").repartition(4)
+    got = linededup.dedup(df)
+    assert got.columns == ["doc_id", "text", "_key", "_gone", "by", "n_lines", "n_kept"]
+    gone = brute_lines([r[:2] for r in rows])
+    want = collections.Counter((d, t if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (d, t, p) not in gone)) for d, t, *_ in rows)
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
+    named = linededup.dedup(df, counts=("a", "b"))
+    assert named.columns == [*df.columns, "a", "b"] and sorted(r["n_lines"] for r in named.collect() if r["n_lines"] is not None) == [0] + [1] * 31
+    few = spark.createDataFrame([(1, "a b c d\na b c x")], "doc_id long, text string")
+    assert [r["n_kept"] for r in linededup.dedup(few).collect()] == [2] and [r["n_kept"] for r in linededup.dedup(few, shortest=4).collect()] == [1]
+
+
 # 8
 
 
