@@ -12,20 +12,27 @@ from postloom.llm.common import read_table, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows without a letter, and rows of which no language is likelier than all others together."""
+    """Drops rows without a letter (null and empty texts too), and long ones that need more bits a character than texts of a learned language.
+
+    Repeated rows stay or go together; without any label, and in an empty table, no row stays.
+    """
     return langid.keep_identified(docs, langid.train(docs))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows predicted toxic."""
+    """Drops rows predicted toxic; null and empty texts have nothing toxic and stay, repeated rows stay or go together, without a toxic label all rows stay."""
     return toxicity.keep_clean(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes later duplicates of lines; rows of which no line stays go, for earlier rows hold all they said.  n_chars follows the text."""
-    found = linededup.dedup(docs)
-    changed = F.col("n_kept") < F.col("n_lines")
-    kept = found.where((F.col("n_kept") > 0) | (F.col("n_lines") == 0))
+    """Removes later duplicates of lines; rows of which no line stays go, for earlier rows hold all they said.  n_chars follows the text.
+
+    Rows without a line (null, empty or blank texts) stay; repeated (doc_id, text) rows keep the same lines.
+    """
+    lines_, left = ("_" * (1 + max(map(len, docs.columns))) + x for x in ("lines", "kept"))
+    found = linededup.dedup(docs, counts=(lines_, left))
+    changed = F.col(left) < F.col(lines_)
+    kept = found.where((F.col(left) > 0) | (F.col(lines_) == 0))
     return kept.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
@@ -35,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each row goes: doc_id, piece, size, shard, bin_id, bin_pos."""
+    """Where each piece of each row goes: doc_id, piece, size, shard, bin_id, bin_pos.  Null and empty texts take one token, repeated rows are packed each; an empty table gives no rows."""
     return packing.packed_documents(docs)
 
 
