@@ -1,11 +1,14 @@
 """Exact top-k by inner product, block at a time.
 
-Rows are dealt into shards of ranges of vec_id; a shard's rows form blocks with a
-forward index (the integer matrix) and each term's (dimension's) largest and smallest
-value.  For each query the blocks are ordered by the sum over terms of the largest
-possible product; blocks are scored in that order until the bound falls below the
-query's kth score so far.  Packs of queries meet shards by (pack, shard); what remains
-of each meeting is k rows a query, and a window takes the best k of all.
+Rows are dealt by sampled ranges of vec_id into shards of about SHARD_ROWS, however ids
+are spread or repeated; a shard's rows form blocks with a forward index (the integer
+matrix) and each term's (dimension's) largest and smallest value.  For each query the
+blocks are ordered by the sum over terms of the largest possible product; blocks are
+scored in that order until the bound falls below the query's kth score so far.
+
+Queries go to the shards in packs of at most PACK_BYTES, so no vector is ever moved or
+copied for them.  A pack first meets a few shards; the kth scores found there go along
+to all others, which report only what comes up to them.  A window takes the best k.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no
 part; shorter vectors count as padded with 0 (an empty one scores 0 everywhere); ties
@@ -15,20 +18,25 @@ each a candidate and a query, but never of their own id; empty tables give no ro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postloom.llm.common import bounded_batches
+from postloom.llm.common import bounded_batches, spared, stored
 
 SCALE, K, EVERY = 256, 5, 50
-SHARD_ROWS, BLOCK_ROWS, PACK_ROWS = 8192, 512, 2048
+SHARD_ROWS, BLOCK_ROWS = 8192, 512
+#: Bytes of the queries of a pack, and shards that it meets first.
+PACK_BYTES, FIRST = 32 << 20, 4
 
 
-def best_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, block: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vec_id, score) of each query's k best rows among `rows`, ties to smaller ids."""
+def best_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, block: int = BLOCK_ROWS, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vec_id, score) of each query's k best rows among `rows`, ties to smaller ids; only of those that reach the query's floor."""
     order = np.argsort(ids, kind="stable")
     ids, rows = ids[order], rows[order]
     n, m = len(queries), len(ids)
@@ -37,7 +45,7 @@ def best_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np
     least = np.minimum.reduceat(rows, starts, axis=0)
     bound = np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T
     visit = np.argsort(-bound, axis=1, kind="stable")
-    kth = np.full(n, -np.inf)
+    kth = np.full(n, -np.inf) if floor is None else floor.copy()
     top_score = np.full((n, k), -np.inf)
     top_id = np.zeros((n, k), np.int64)
     for step in range(len(starts)):
@@ -50,11 +58,10 @@ def best_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np
             part = slice(starts[b], min(starts[b] + block, m))
             scores = queries[q] @ rows[part].T
             scores[query_ids[q][:, None] == ids[part][None, :]] = -np.inf
+            least_ = kth[q]
             if scores.shape[1] > k:
-                floor = np.maximum(kth[q], np.partition(scores, scores.shape[1] - k, axis=1)[:, -k])
-            else:
-                floor = kth[q]
-            at, col = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
+                least_ = np.maximum(least_, np.partition(scores, scores.shape[1] - k, axis=1)[:, -k])
+            at, col = np.nonzero((scores >= least_[:, None]) & np.isfinite(scores))
             if not len(at):
                 continue
             # the new candidates and those so far, best first within each query
@@ -68,7 +75,7 @@ def best_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np
             take = first[:, None] + np.arange(k)
             top_score[q[touched]] = sc[take]
             top_id[q[touched]] = vi[take]
-            kth[q[touched]] = sc[take[:, -1]]
+            kth[q[touched]] = np.maximum(kth[q[touched]], sc[take[:, -1]])
     at, col = np.nonzero(np.isfinite(top_score))
     return at, top_id[at, col], top_score[at, col].astype(np.int64)
 
@@ -80,31 +87,78 @@ def vectors(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
 
 
-def search(embeddings: DataFrame, k: int = K, every: int = EVERY, shard_rows: int = SHARD_ROWS, pack_rows: int = PACK_ROWS) -> DataFrame:
+def search(embeddings: DataFrame, k: int = K, every: int = EVERY, shard_rows: int = SHARD_ROWS, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, the k best other rows."""
     spark = embeddings.sparkSession
     bounded_batches(spark)
     rows = vectors(embeddings)
-    facts = rows.agg(F.count("*").alias("n"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0).alias("q"), F.max(F.size("v")).alias("d"), F.min("vec_id").alias("lo"), F.max("vec_id").alias("hi")).first()
-    shards, packs, dims = max(1, -(-facts["n"] // shard_rows)), max(1, -(-facts["q"] // pack_rows)), max(1, facts["d"] or 1)
-    lo, width = facts["lo"] or 0, max(1, -(-((facts["hi"] or 0) - (facts["lo"] or 0) + 1) // shards))
-    # ranges of ids; where ids are dense they hold shard_rows rows
-    docs = rows.withColumn("shard", F.floor((F.col("vec_id") - lo) / width).cast("int")).withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
-    asks = rows.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("pack", F.pmod(F.xxhash64("vec_id"), F.lit(packs)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def matrix(v: pd.Series) -> np.ndarray:
+    facts = rows.agg(F.count("*").alias("n"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0).alias("q"), F.max(F.size("v")).alias("d")).first()
+    shards, dims = max(1, -(-facts["n"] // shard_rows)), max(1, facts["d"] or 1)
+    packs = max(1, -(-facts["q"] * dims * 8 // pack_bytes))
+    ranged = rows.repartitionByRange(shards, "vec_id", F.xxhash64("v")).withColumn("shard", F.spark_partition_id())
+    table = stored(ranged, "vectors")
+    asks = table.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").withColumn("pack", F.pmod(F.xxhash64("vec_id", "v"), F.lit(packs)).cast("int"))
+
+    def matrix(v: pa.Array) -> np.ndarray:
+        flat, ends = v.values.to_numpy(zero_copy_only=False), v.offsets.to_numpy()
         out = np.zeros((len(v), dims))
-        for i, x in enumerate(v):
-            out[i, : len(x)] = x
+        sizes = np.diff(ends)
+        at = np.repeat(np.arange(len(v)), sizes)
+        out[at, np.arange(len(at)) - np.repeat(ends[:-1] - ends[0], sizes)] = flat[ends[0] : ends[-1]]
         return out
 
-    def score(ask: pd.DataFrame, doc: pd.DataFrame) -> pd.DataFrame:
-        if not len(ask) or not len(doc):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
-        ids = ask["vec_id"].to_numpy()
-        at, vec, sc = best_k(ids, matrix(ask["v"]), doc["vec_id"].to_numpy(), matrix(doc["v"]), k)
-        return pd.DataFrame({"query_id": ids[at], "vec_id": vec, "score": sc})
+    def meet(shared, part: DataFrame) -> DataFrame:
+        """query (its row in the pack), vec_id, score of what the shards have for the pack; a task carries the kth from shard to shard."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query_ids, queries, floor = shared.value
+            floor = floor.copy()
+
+            def shard(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+                ids, grid = (np.concatenate(x) for x in zip(*parts, strict=True))
+                at, vec, sc = best_k(query_ids, queries, ids, grid, k, floor=floor)
+                full = np.flatnonzero(np.bincount(at, minlength=len(queries)) >= k)
+                ends = np.searchsorted(at, full, side="right") - 1
+                floor[full] = np.maximum(floor[full], sc[ends])
+                return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(vec), pa.array(sc)], ["query", "vec_id", "score"])
+
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            now = None
+            for batch in batches:
+                of = batch.column(2).to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    if hi == lo:
+                        continue
+                    if now is not None and (of[lo] != now or sum(len(i) for i, _ in held) >= 4 * shard_rows):
+                        yield shard(held)
+                        held = []
+                    now = of[lo]
+                    held.append((batch.column(0).slice(lo, hi - lo).to_numpy(), matrix(batch.column(1).slice(lo, hi - lo))))
+            if held:
+                yield shard(held)
+
+        return part.select("vec_id", "v", "shard").mapInArrow(spared(run), "query int, vec_id long, score long")
 
-    found = asks.groupBy("pack", "shard").cogroup(docs.groupBy("pack", "shard")).applyInPandas(score, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    found = []
+    for pack in range(packs):  # each of bounded size
+        held = asks.where(F.col("pack") == pack).select("vec_id", "v").toArrow() if facts["q"] else None
+        if held is None or not held.num_rows:
+            continue
+        ids, grid = held.column(0).to_numpy(), matrix(held.column(1).combine_chunks())
+        order = np.argsort(ids, kind="stable")
+        ids, grid = ids[order], grid[order]
+        floor = np.full(len(ids), -np.inf)
+        if shards > 2 * FIRST:
+            first = meet(spark.sparkContext.broadcast((ids, grid, floor)), table.where(F.col("shard") % -(-shards // FIRST) == 0))
+            best = first.withColumn("rank", rank).where(F.col("rank") == k).select("query", "score").toArrow()
+            floor[best.column(0).to_numpy()] = best.column(1).to_numpy()
+        pairs = meet(spark.sparkContext.broadcast((ids, grid, floor)), table).withColumn("rank", rank).where(F.col("rank") <= k)
+        names = spark.createDataFrame(pa.table({"query": pa.array(np.arange(len(ids), dtype=np.int32)), "query_id": pa.array(ids)}))
+        found.append(pairs.join(F.broadcast(names), "query").select("query_id", "rank", "vec_id", "score"))
+        if packs > 1:
+            found[-1] = stored(found[-1], "found")
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return reduce(DataFrame.unionByName, found)
