@@ -10,8 +10,9 @@ Pieces are dealt by hash into shards of about SHARD documents, which are packed
 independently, so a shard's work is bounded and only its last bins stay open.
 
 Defined cases: null or negative size counts as 0; a piece has 1 token at least (its end); a null source or
-cluster conflicts with nothing; repeated rows are packed each; ties go to the bin
-opened first; empty tables give no rows.  Rows with a null doc_id are packed too.
+cluster conflicts with nothing; repeated rows are counted, dealt out in parts of at most
+COPIES and packed each, so a row of any number of copies is no one shard's; ties go to
+the bin opened first; empty tables give no rows.  Rows with a null doc_id are packed too.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from postloom.llm.common import bounded_batches
 
-CAPACITY, SHARD = 2048, 2000
+CAPACITY, SHARD, COPIES = 2048, 2000, 200
 NULL_ID = -(1 << 63)  #: stands for a null id within tasks
 SCHEMA = "doc_id long, piece int, size int, shard int, bin_id long, bin_pos int"
 
@@ -68,10 +69,13 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) ->
     n = documents.count()
     shards = max(1, -(-n // shard))
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.greatest(F.coalesce(F.col("size"), F.lit(0)), F.lit(1)).cast("long").alias("size"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("string").alias("cluster"))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", "source", "cluster"), F.lit(shards)).cast("int"))
+    columns = ["doc_id", "size", "source", "cluster"]
+    parts = rows.groupBy(columns).agg(F.count("*").alias("n")).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))))
+    copies = F.least(F.lit(COPIES), F.col("n") - F.col("part") * COPIES).cast("int")
+    dealt = parts.select(*columns, copies.alias("copies"), F.pmod(F.xxhash64(*columns, "part"), F.lit(shards)).cast("int").alias("shard"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id", "source", "cluster"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.loc[pdf.index.repeat(pdf["copies"])].sort_values(["size", "doc_id", "source", "cluster"], ascending=[False, True, True, True], kind="stable")
         pieces, tail = [], []
         for doc_id, size, source, cluster, k in pdf[["doc_id", "size", "source", "cluster", "shard"]].itertuples(index=False):
             full, rest = divmod(int(size), capacity)

@@ -260,12 +260,13 @@ def test_toxicity_held_out(spark, odd, empty):
 # 4
 
 
-def test_topk_against_brute_force(spark):
+@pytest.mark.parametrize(("shard", "pack"), [(150, 300), (20, 1 << 20)])
+def test_topk_against_brute_force(spark, shard, pack):
     rng = np.random.default_rng(3)
     v = rng.integers(-3, 4, (700, 6)) / 256
-    rows = [(i, [float(x) for x in v[i]], "x") for i in range(700)] + [(701, None, "x"), (702, [1.0, None], "x"), (703, [float("nan")] * 6, "x"), (704, [0.5], "x"), (705, [], "x"), (None, [1.0] * 6, "x"), (750, [float("inf")] * 6, "x")]
+    rows = [(i, [float(x) for x in v[i]], "x") for i in range(700)] + [(701, None, "x"), (702, [1.0, None], "x"), (703, [float("nan")] * 6, "x"), (704, [0.5], "x"), (705, [], "x"), (None, [1.0] * 6, "x"), (750, [float("inf")] * 6, "x"), (1 << 60, [0.25] * 6, "x"), (-(1 << 60), [0.1] * 6, "x")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.search(table, shard_rows=150, pack_rows=6).collect()}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.search(table, shard_rows=shard, pack_bytes=pack).collect()}
     whole = {i: [math.floor(256 * x) for x in e] for i, e, _ in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)}
     want = {}
     for q in whole:
@@ -286,6 +287,13 @@ def test_topk_prunes_and_stays_exact():
         assert [(-s, i) for s, i in zip(sc[at == q], vec[at == q])] == [(s, i) for s, i in exact]
 
 
+def test_topk_of_repeated_ids(spark):
+    rows = [(5, [i / 256, 1.0]) for i in range(400)] + [(50, [1.0, 1.0]), (100, [-1.0, 1.0])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=30).orderBy("query_id", "rank").collect()
+    want = {q: sorted((-(math.floor(256 * x) * math.floor(256 * v[0]) + 65536), i) for i, v in rows if i != q)[:5] for q, x in ((50, 1.0), (100, -1.0))}
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(q, k + 1, i, -s) for q in (50, 100) for k, (s, i) in enumerate(want[q])]
+
+
 # 5
 
 
@@ -503,6 +511,38 @@ def test_packing_is_whole(spark, odd, docs):
     assert packing.packed_documents(odd.limit(0)).count() == 0
 
 
+def test_packing_whole_result_by_a_plain_scan(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.randrange(1, 900) if i % 9 else 5000 + i, rng.choice(["a", "b", None]), rng.choice(["x", "y", "z", None])) for i in range(120)] + [(7, 300, "a", "x")] * 900
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, size long, source string, cluster string").repartition(3), 1000, 250).collect()
+    assert len({r["shard"] for r in got}) > 3 and max(collections.Counter(r["shard"] for r in got).values()) < 700
+    bins = check_packing(got, 1000)
+    size, about = collections.Counter(), {r[0]: r[2:] for r in rows}
+    for r in got:
+        size[r["doc_id"]] += r["size"]
+    assert size == sum((collections.Counter({r[0]: r[1]}) for r in rows), collections.Counter())
+    for b in bins.values():
+        for which in (0, 1):
+            held = [about[r["doc_id"]][which] for r in b if about[r["doc_id"]][which] is not None]
+            assert len(held) == len(set(held))
+    for shard in {r["shard"] for r in got}:  # the tightest bin that holds a piece, and is free of its source and cluster
+        rest = sorted((r for r in got if r["shard"] == shard and not (r["size"] == 1000 and r["bin_pos"] == 0)), key=lambda r: (-r["size"], [], 0))
+        open_ = []
+        sizes = collections.Counter()
+        for r in rest:
+            s, c = about[r["doc_id"]]
+            fits = [b for b in open_ if b["left"] >= r["size"] and (s is None or s not in b["s"]) and (c is None or c not in b["c"])]
+            b = min(fits, key=lambda b: b["left"], default=None)
+            if b is None:
+                b = {"left": 1000, "s": set(), "c": set()}
+                open_.append(b)
+            b["left"] -= r["size"]
+            b["s"].add(s)
+            b["c"].add(c)
+            sizes[r["size"]] += 1
+        assert abs(len(open_) - len({r["bin_id"] for r in rest})) <= max(1, len(open_) // 20)
+
+
 # 10
 
 
