@@ -12,7 +12,8 @@ A signature of empty partitions says nothing.  More groups are used than needed
 many empty ones: such sets also emit signatures of another partitioning, and if they
 have as many there, of the next; after the last they emit empty ones too.
 
-Equal sets are one node.  Nodes that share a signature form a candidate group; equal
+Equal sets are one node, known by a hash of 64 bits: among 10^9 different sets the odds that
+any two share one are 1 in 37, and such a pair counts as copies.  Nodes that share a signature form a candidate group; equal
 groups collapse.  First each group's members are verified against the member that has
 most company in all its groups, then, where components are left, against the one that
 has most outside the first's component.  In groups still left in several components all
@@ -113,11 +114,16 @@ def set_id(features: np.ndarray) -> int:
         return int(mix(mix(features).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(features))).view(np.int64)[0])
 
 
+#: Sets that a task remembers, so as to sign copies once.
+SIGNED = 500_000
+
+
 def _signed(documents: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
-    """sig, ref for each signature; and for each row one with its doc_id and the size of its set."""
+    """sig, ref for each signature, those of equal sets once a task; and for each row one with its doc_id and the size of its set, whose sig is a hash of the doc_id, so that copies don't meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         instances = Instances(num, den, parts)
+        known: set[int] = set()
         sig, ref, doc, size = [], [], [], []
 
         def out() -> pa.RecordBatch:
@@ -136,8 +142,14 @@ def _signed(documents: DataFrame, n: int, num: int, den: int, parts: int) -> Dat
                 if not len(features):
                     continue
                 one = set_id(features)
-                found = signatures(features, instances)
-                sig.append(np.concatenate([[np.uint64(one & ((1 << SIG_BITS) - 1))], found]).astype(np.uint64))
+                found = np.zeros(0, np.uint64)
+                if one not in known:
+                    if len(known) >= SIGNED:
+                        known.clear()
+                    known.add(one)
+                    found = signatures(features, instances)
+                spread = mix(np.array([doc_id], np.int64).view(np.uint64)) >> np.uint64(64 - SIG_BITS)
+                sig.append(np.concatenate([spread, found]))
                 ref.append(one)
                 doc.append([doc_id] + [None] * len(found))
                 size.append(len(features))

@@ -312,6 +312,12 @@ def test_tokens_against_the_library(spark, odd, docs, tmp_path):
             start += len(ids)
     assert tokenfile.roundtrip(odd, path).count() == odd.count()
     assert tokenfile.roundtrip(odd.limit(0), path).count() == 0
+    same = spark.createDataFrame([(None, f"t {i}") for i in range(300)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table is else one part
+    tokenfile.write(same, str(tmp_path / "same"), path)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    held = collections.Counter(r["part"] for r in tokenfile.read(spark, str(tmp_path / "same")).collect())
+    assert len(held) > 1 and sum(held.values()) == 300 and sorted(r["start"] for r in tokenfile.roundtrip(same, path).collect())[0] == 0
     tokenfile.write(docs, str(tmp_path / "t"), path)
     one = tokenfile.read(spark, str(tmp_path / "t"), [17])
     assert [r["doc_id"] for r in one.collect()] == [17]
@@ -621,6 +627,16 @@ def test_keep_one_of_repeated_rows_and_ids(spark):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute_components(some, 5, 80, 100)
 
 
+def test_copies_are_signed_once_a_task_and_dealt_out(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(i, text) for i in range(500)] + [(1000, text + " more")], "doc_id long, text string").repartition(4)
+    rows = ngramjoin._signed(df, 4, 85, 100, 3).collect()
+    mine = [r for r in rows if r["doc_id"] is not None]
+    assert len(mine) == 501 and len({r["sig"] for r in mine}) == 501
+    assert max(collections.Counter(r["sig"] for r in rows if r["doc_id"] is None).values()) <= 5
+    assert {r["component_id"] for r in ngramjoin.join(df).collect()} == {0}
+
+
 def test_large_groups_are_flushed(spark, monkeypatch):
     rows = [(i, f"a b c d e f g h i j k l m n o p q r s t u v w x y z {i}" ) for i in range(300)]
     monkeypatch.setattr(ngramjoin, "LARGE", 40)
