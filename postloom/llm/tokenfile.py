@@ -1,12 +1,12 @@
 """Token ids in ORC.
 
-Documents are range-partitioned by doc_id, so the files in order of their names hold
-ascending doc_ids.  Ids are ORC lists of integers (run-length encoded), doc_id has a
+Documents are range-partitioned by doc_id, and those of one doc_id by a hash of the text, so
+the files in order of their names hold ascending doc_ids and none is one frequent doc_id's.  Ids are ORC lists of integers (run-length encoded), doc_id has a
 row index and a Bloom filter: a reader splits files by stripe and skips stripes and
 row groups that cannot hold a wanted doc_id.
 
 Defined cases: null and empty texts give only the end id; rows with a null doc_id come
-first; equal doc_ids are ordered by text; an empty table gives a file without rows.
+first; equal doc_ids are ordered by a hash of the text, then by text; an empty table gives a file without rows.
 """
 
 from __future__ import annotations
@@ -114,8 +114,9 @@ def write(documents: DataFrame, out: str, tokenizer: str, end_id: int = END_ID)
                 row += part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), rows, lists], ["doc_id", "part", "row", "ids"])
 
-    ranged = documents.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ranged = documents.select("doc_id", "text").repartitionByRange(*order)
+    ranged = ranged.sortWithinPartitions(*order, "text").withColumn("part", F.spark_partition_id())
     (
         ranged.mapInArrow(spared(run), f"doc_id {kind}, part int, row long, ids array<int>")
         .write.option("orc.bloom.filter.columns", "doc_id")
