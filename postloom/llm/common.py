@@ -26,9 +26,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a new folder that then becomes it."""
+    """The folder of spark.checkpoint.dir; where that is unset and Spark runs in one process, as in tests, a new folder that then becomes it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="postloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
