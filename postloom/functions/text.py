@@ -24,7 +24,7 @@ TIME_UNIT = rf"(?i){BEFORE}(?:sec|second|minute|min|hour|day|week|month|year)s?{
 
 def collapse(x: Column) -> Column:
     """White space collapsed and trimmed."""
-    return F.regexp_replace(F.regexp_replace(x, f"{SPACE}+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(x, f"{SPACE}+", " "))
 
 
 def strip(x: Column) -> Column:

@@ -11,7 +11,7 @@ from postloom.functions.text import AMOUNT_UNIT, TIME_UNIT, collapse, has_ticker
 def prepared(posts: DataFrame, high: int = 4) -> DataFrame:
     """Adds t (collapsed text), len, nums, ratio (of digits) and high; a null text counts as empty."""
     t = F.coalesce(collapse(F.col("text")), F.lit(""))
-    out = posts.withColumn("t", t).withColumns({"len": F.length("t"), "nums": number_tokens(F.col("t")), "digits": F.regexp_count("t", F.lit("[0-9]"))})
+    out = posts.withColumn("t", t).withColumns({"len": F.length("t"), "nums": number_tokens(F.col("t")), "digits": F.length("t") - F.length(F.translate("t", "0123456789", ""))})
     return out.withColumns({"ratio": F.coalesce(F.try_divide("digits", "len"), F.lit(0.0)), "high": F.coalesce(F.col("importance") >= high, F.lit(False))})
 
 
@@ -45,10 +45,11 @@ def _rates(total_high: Column) -> list[Column]:
 
 
 def evaluate(rows: DataFrame, flags: dict[str, Column], name: str) -> DataFrame:
-    """A row for each flag: total, high, precision, recall.  All flags are counted in one scan, which sends one row a task."""
+    """A row for each flag: total, high, precision, recall.  Each flag is tried once a row, and all are counted in one scan, which sends one row a task."""
     high = F.col("high")
-    counts = F.array(*[F.struct(F.lit(k).alias(name), F.count_if(c).alias("total"), F.count_if(c & high).alias("high")) for k, c in flags.items()])
-    found = rows.agg(counts.alias("r"), F.count_if(high).alias("all_high")).select("all_high", F.inline("r"))
+    marked = rows.select("high", *[c.alias(f"f{i}") for i, c in enumerate(flags.values())])
+    counts = F.array(*[F.struct(F.lit(k).alias(name), F.count_if(f"f{i}").alias("total"), F.count_if(F.col(f"f{i}") & high).alias("high")) for i, k in enumerate(flags)])
+    found = marked.agg(counts.alias("r"), F.count_if(high).alias("all_high")).select("all_high", F.inline("r"))
     return found.select(name, "total", "high", *_rates(F.col("all_high")))
 
 
@@ -64,8 +65,8 @@ def feature_buckets(posts: DataFrame) -> DataFrame:
 
 def keyword_eval(posts: DataFrame, keywords: list[str], least: int = 10, top: int = 25) -> DataFrame:
     """The `top` keywords by precision, then recall, of those that `least` posts hold."""
-    low = F.lower("t")
-    found = evaluate(prepared(posts), {k: F.contains(low, F.lit(k.lower())) for k in keywords}, "keyword")
+    rows = prepared(posts).select("high", F.lower("t").alias("low"))
+    found = evaluate(rows, {k: F.contains("low", F.lit(k.lower())) for k in keywords}, "keyword")
     return found.where(F.col("total") >= least).orderBy(F.desc("precision"), F.desc("recall"), "keyword").limit(top)
 
 

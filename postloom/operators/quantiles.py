@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 BINS = 1024
 
 
-def elements(rows: DataFrame, key: str, value: str, qs: list[float], place: Callable[[Column], Column]) -> DataFrame:
-    """key, q, and in `value` the element at place((n - 1) q) of the key's sorted values, nulls left out.
+def elements(rows: DataFrame, key: str, value: str, qs: list[float], places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """key, q, at, and in `value` the element at places[at]((n - 1) q) of the key's sorted values, nulls left out.
 
     Equal values are counted before anything is ordered.  Counts by part of the key's range
     tell which part holds the element; only the values of that part are then ordered.
@@ -29,15 +29,16 @@ def elements(rows: DataFrame, key: str, value: str, qs: list[float], place: Call
         return F.coalesce(F.sum("n").over(order), F.lit(0))
 
     parts = parted.groupBy(key, "part").agg(F.sum("n").alias("n"), F.max("total").alias("total")).withColumn("before", before("part"))
-    each = parts.select("*", F.explode(F.array(*map(F.lit, qs))).alias("q")).withColumn("want", place((F.col("total") - 1) * F.col("q")).cast("long") - F.col("before"))
-    hits = each.where((F.col("want") >= 0) & (F.col("want") < F.col("n"))).select(key, "part", "q", "want")
-    inside = parted.select(key, "part", "v", "n").join(hits, [key, "part"]).withColumn("before", before("q", "v"))
-    return inside.where((F.col("before") <= F.col("want")) & (F.col("want") < F.col("before") + F.col("n"))).select(key, "q", F.col("v").alias("value"))
+    wants = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(name).alias("at"), place((F.col("total") - 1) * q).cast("long").alias("place")) for q in qs for name, place in places.items()])
+    each = parts.select("*", F.inline(wants)).withColumn("want", F.col("place") - F.col("before"))
+    hits = each.where((F.col("want") >= 0) & (F.col("want") < F.col("n"))).select(key, "part", "q", "at", "want")
+    inside = parted.select(key, "part", "v", "n").join(hits, [key, "part"]).withColumn("before", before("q", "at", "v"))
+    return inside.where((F.col("before") <= F.col("want")) & (F.col("want") < F.col("before") + F.col("n"))).select(key, "q", "at", F.col("v").alias("value"))
 
 
 def floor_quantiles(rows: DataFrame, key: str, value: str, qs: list[float]) -> DataFrame:
     """key, q, value: the elements at floor((n - 1) q)."""
-    return elements(rows, key, value, qs, F.floor)
+    return elements(rows, key, value, qs, {"floor": F.floor}).drop("at")
 
 
 def interpolated(rows: DataFrame, value: str, qs: dict[str, float]) -> DataFrame:
@@ -46,13 +47,12 @@ def interpolated(rows: DataFrame, value: str, qs: dict[str, float]) -> DataFrame
     No buffer holds the distinct values, however many there are.
     """
     keyed = rows.select(F.lit(0).alias("all"), value)
-    total = keyed.agg(F.count(value).alias("n"))
-    below, above = (elements(keyed, "all", value, list(set(qs.values())), p) for p in (F.floor, F.ceil))
-    both = below.withColumnRenamed("value", "lo").join(above.withColumnRenamed("value", "hi").drop("all"), "q")
-    # a row for each q beside the one row of the count
-    part = F.col("q") * (F.col("n") - 1) - F.floor(F.col("q") * (F.col("n") - 1))
-    each = both.crossJoin(total).select("q", (F.col("lo") + (F.col("hi") - F.col("lo")) * part).alias("value"))
-    return each.agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(name) for name, q in qs.items()])
+    found = elements(keyed, "all", value, list(set(qs.values())), {"lo": F.floor, "hi": F.ceil})
+    beside = lambda q, at: F.max(F.when((F.col("q") == q) & (F.col("at") == at), F.col("value")))
+    sides = found.agg(*[beside(q, at).alias(f"{name}_{at}") for name, q in qs.items() for at in ("lo", "hi")])
+    both = sides.crossJoin(keyed.agg(F.count(value).alias("n")))  # one row each
+    part = {name: q * (F.col("n") - 1) - F.floor(q * (F.col("n") - 1)) for name, q in qs.items()}
+    return both.select(*[(F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * part[name]).alias(name) for name in qs])
 
 
 def floor_quantile_columns(rows: DataFrame, key: str, value: str, qs: dict[str, float]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -131,13 +133,14 @@ def nearest_tags(posts: DataFrame, samples: DataFrame) -> DataFrame:
 
 def centroids(samples: DataFrame) -> DataFrame:
     """tag and the normalised sum of its normalised vectors."""
-    sums = samples.select("tag", F.posexplode(normalized(F.col("v"))).alias("i", "x")).groupBy("tag", "i").agg(F.sum("x").alias("x"))
-    return sums.groupBy("tag").agg(normalized(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"])).alias("c"))
+    units = samples.where("v is not null").select("tag", array_to_vector(normalized(F.col("v"))).alias("u"))
+    sums = units.groupBy("tag").agg(Summarizer.sum(F.col("u")).alias("s"))  # one vector a tag and task is shuffled
+    return sums.select("tag", normalized(vector_to_array("s")).alias("c"))
 
 
 def tag_stats(samples: DataFrame) -> DataFrame:
     """Per tag: samples, and mean and quantiles of their likeness to the tag's centroid."""
-    sims = samples.join(centroids(samples), "tag").select("tag", dot(normalized(F.col("v")), F.col("c")).alias("sim"))
+    sims = samples.join(F.broadcast(centroids(samples)), "tag").select("tag", dot(normalized(F.col("v")), F.col("c")).alias("sim"))
     counts = sims.groupBy("tag").agg(F.count("*").alias("samples"), F.avg("sim").alias("mean"))
     return counts.join(floor_quantile_columns(sims, "tag", "sim", {"p25": 0.25, "p50": 0.5, "p75": 0.75}), "tag")
 
