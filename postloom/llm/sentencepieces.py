@@ -157,6 +157,15 @@ class Lattices:
         return row, share, size, code
 
 
+def _appended(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """held with `more` after its first `used` values; room doubles where it runs out, so what is known is rarely copied."""
+    if used + len(more) > len(held):
+        held, old = np.zeros(max(2 * len(held), used + len(more)), held.dtype), held
+        held[:used] = old[:used]
+    held[used : used + len(more)] = more
+    return held
+
+
 class Encoder:
     """Samples segmentations of many texts at once."""
 
@@ -166,12 +175,12 @@ class Encoder:
 
     def reset(self) -> None:
         self.end: dict[str, int] = {}  #: row of a unit's last position
-        self.rows = 0
+        self.rows = self.edges = 0
         #: by row: whether a unit begins there, and its first edge; by edge: cumulated share, row where it begins, id (below 0: the character spelled)
         self.known = np.zeros(0, bool), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def add(self, units: list[str]) -> None:
-        parts, some, chars, edges = [self.known], [], 0, len(self.known[2])
+        some, chars = [], 0
         for i, unit in enumerate(units):
             some.append(unit)
             chars += len(unit)
@@ -183,16 +192,16 @@ class Encoder:
             begins[np.cumsum(sizes) - sizes] = True
             start = np.flatnonzero(np.diff(row, prepend=-1))
             first = np.zeros(len(begins), np.int64)
-            first[row[start]] = start + edges
+            first[row[start]] = start + self.edges
             total = np.cumsum(share)
             upto = total - np.repeat(total[start] - share[start], np.diff([*start, len(row)]))
             upto[[*(start[1:] - 1), len(row) - 1]] = 2.0  # no draw goes beyond a row's last edge
-            parts.append((begins, first.astype(np.int32), upto, (self.rows + row - size).astype(np.int32), code.astype(np.int32)))
-            edges += len(row)
+            made = begins, first.astype(np.int32), upto, (self.rows + row - size).astype(np.int32), code.astype(np.int32)
+            self.known = tuple(_appended(a, self.rows if k < 2 else self.edges, x) for k, (a, x) in enumerate(zip(self.known, made, strict=True)))
+            self.edges += len(row)
             self.end.update(zip(some, (self.rows + np.cumsum(sizes) - 1).tolist(), strict=True))
             self.rows += len(begins)
             some, chars = [], 0
-        self.known = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
     def units(self, text: str) -> list[str]:
         if not text:
