@@ -118,3 +118,13 @@ def selected(reports: DataFrame, insights: DataFrame, tags: list[str] = (), most
         own = F.arrays_overlap(filter_tags(F.coalesce("tags", F.array().cast("array<string>"))), F.lit(wanted))
         found = found.where(F.col("tag").isNotNull() | F.coalesce(own, F.lit(False)))
     return found.withColumn("pos", first - 1).where(F.col("pos") < most).select("report", "pos", "post_id", "summary")
+
+
+def tag_targets(chosen: DataFrame, tags: list[str], total: int) -> DataFrame:
+    """report, tag, posts, share: the items (report, tags) that have each of the tags, and its part of `total`; no rows for a report with one such tag or more tags than items."""
+    wanted = list(dict.fromkeys(t.strip().lower() for t in tags if t.strip()))
+    held = chosen.select("report", F.explode(F.array_intersect(filter_tags(F.coalesce("tags", F.array().cast("array<string>"))), F.lit(wanted))).alias("tag"))
+    counts = held.groupBy("report", "tag").agg(F.count("*").alias("posts")).withColumn("pos", F.array_position(F.lit(wanted), F.col("tag")).cast("int"))
+    active = F.count("*").over(Window.partitionBy("report"))
+    counts = counts.withColumn("active", active).where((F.col("active") > 1) & (F.col("active") <= total))
+    return counts.join(allocate(counts.select("report", "pos", F.col("posts").alias("n")), total), ["report", "pos"]).select("report", "tag", "posts", "share")

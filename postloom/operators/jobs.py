@@ -58,3 +58,38 @@ def move_allowed(old: Column, new: Column) -> Column:
     for status, nexts in MOVES.items():
         out = out.when(old == status, new.isin(nexts) if nexts else F.lit(False))
     return out.otherwise(F.lit(False))
+
+
+# a queue as a table: job_id, kind, payload, status, attempts, max_attempts, scheduled_at, locked_by
+
+
+def enqueued(jobs: DataFrame, new: DataFrame) -> DataFrame:
+    """The new jobs (kind, payload) that no pending or running one equals, each once."""
+    active = jobs.where(F.col("status").isin("PENDING", "RUNNING")).select("kind", "payload")
+    return new.select("kind", "payload").distinct().join(active, ["kind", "payload"], "left_anti")
+
+
+def reserved(jobs: DataFrame, now: str, worker: str, limit: int) -> DataFrame:
+    """The queue after a worker took the `limit` pending jobs that are due the longest."""
+    due_ = (F.col("status") == "PENDING") & (F.col("scheduled_at") <= _at(now))
+    taken = jobs.where(due_).orderBy("scheduled_at", "job_id").limit(limit).select("job_id").withColumn("_taken", F.lit(True))
+    mine = F.coalesce("_taken", F.lit(False))
+    new = {"status": F.lit("RUNNING"), "attempts": F.col("attempts") + 1, "locked_by": F.lit(worker)}
+    return jobs.join(taken, "job_id", "left").select(*[F.when(mine, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns])
+
+
+def settled(jobs: DataFrame, results: DataFrame, now: str, delay_seconds: int = 5) -> DataFrame:
+    """The queue after results (job_id, result: done, failed or put-back) of running jobs.
+
+    A failed job is pending again after the delay while it has attempts left, else it has failed; one put back gets its attempt back.
+    """
+    both = jobs.join(results.select("job_id", "result"), "job_id", "left")
+    mine = F.coalesce((F.col("status") == "RUNNING") & F.col("result").isNotNull(), F.lit(False))
+    again = (F.col("result") == "put-back") | ((F.col("result") == "failed") & (F.col("attempts") < F.col("max_attempts")))
+    new = {
+        "status": F.when(F.col("result") == "done", "COMPLETED").when(again, "PENDING").otherwise("FAILED"),
+        "attempts": F.when(F.col("result") == "put-back", F.greatest(F.lit(0), F.col("attempts") - 1)).otherwise(F.col("attempts")),
+        "scheduled_at": F.when(again, _at(now) + F.expr(f"interval {delay_seconds} seconds")).otherwise(F.col("scheduled_at")),
+        "locked_by": F.lit(None),
+    }
+    return both.select(*[F.when(mine, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns])

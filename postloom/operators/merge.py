@@ -92,3 +92,8 @@ def keyset(rows: DataFrame, at: Column, id_: Column, after: tuple | None, limit:
     if after is not None:
         rows = rows.where((at > F.lit(after[0])) | ((at == F.lit(after[0])) & (id_ > F.lit(after[1]))))
     return rows.orderBy(at, id_).limit(limit)
+
+
+def sampled(rows: DataFrame, key: str, limit: int, seed: int = 17) -> DataFrame:
+    """`limit` rows in the order of a hash of the key: the same for the same seed."""
+    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(limit)

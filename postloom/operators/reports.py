@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from postloom.functions.text import TITLES, author_title, filter_tags, known_tag, local_minute, post_url, screen_name, strip, truncate
 from postloom.operators import filters
+from postloom.operators.jobs import next_window
 from postloom.operators.merge import numbered
 
 
@@ -306,6 +307,20 @@ def cluster_report(posts: DataFrame, heads_: DataFrame, wanted: list[str] = (),
     return both.select("report", "headline", outline.alias("outline"), F.array_join(F.concat(F.array(*lines), F.transform("all", lambda x: x["text"])), "\n").alias("markdown"))
 
 
+def by_title(sections_: DataFrame) -> DataFrame:
+    """Sections in the order of their titles in Chinese: by sound, Han before Latin."""
+    return sections_.orderBy(F.collate("title", "zh"))
+
+
+def global_report(posts: DataFrame, last_end: datetime | None, now: datetime, hours: int = 6, zone: str = "UTC") -> DataFrame | None:
+    """The report of the next window of all posts, see jobs.next_window(); None until the window has passed."""
+    found = next_window(last_end, now, hours)
+    if found is None:
+        return None
+    spec = {"id": 0, "name": "Report", "hours": hours, "zone": zone, "group": "cluster", "filter": {"least": MIDDLE[0]}}
+    return profile_report(posts, spec, found[1].strftime("%Y-%m-%d %H:%M:%S"))
+
+
 def profile_report(posts: DataFrame, profile: dict, end: str, done: DataFrame | None = None, decisions: DataFrame | None = None) -> DataFrame:
     """report, headline, markdown of a profile (id, name, hours, zone, group: tag, author or cluster, filter: see filters.profile()) for the window that ends there.
 

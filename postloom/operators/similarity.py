@@ -171,3 +171,18 @@ def diagnostics(posts: DataFrame, samples: DataFrame, ks: list[int]) -> DataFram
     """For each k: posts, mean and quantiles of the best tag's mean of k samples; all k in one pass over the posts."""
     best = tag_scores(posts, samples, tuple(ks)).select("k", "score")
     return best.groupBy("k").agg(F.count("score").alias("posts"), F.avg("score").alias("mean"), F.max("score").alias("hi")).join(floor_quantile_columns(best, "k", "score", {"q50": 0.5, "q90": 0.9}), "k")
+
+
+def buckets(posts: DataFrame, samples: DataFrame, ks: list[int], width: float = 0.02) -> DataFrame:
+    """k, bucket, posts: the best tags' scores of every k in parts of the width."""
+    best = tag_scores(posts, samples, tuple(ks)).where("score is not null")
+    return best.groupBy("k", F.floor(F.col("score") / F.lit(width)).cast("int").alias("bucket")).agg(F.count("*").alias("posts"))
+
+
+def negative_stats(posts: DataFrame, samples: DataFrame, negatives: DataFrame) -> DataFrame:
+    """One row: posts, mean distance (1 - likeness) to the centroid of the negatives (v), and mean and lowest gap from the best tag's score to that likeness."""
+    centre = centroids(negatives.select(F.lit("-").alias("tag"), "v")).select("c")  # one row
+    near = posts.crossJoin(F.broadcast(centre)).select("post_id", dot(normalized(F.col("v")), F.col("c")).alias("near"))
+    both = tag_scores(posts, samples).join(near, "post_id").where("score is not null")
+    gap = F.col("score") - F.col("near")
+    return both.agg(F.count("*").alias("posts"), F.avg(1 - F.col("near")).alias("distance"), F.max("near").alias("nearest"), F.avg(gap).alias("gap"), F.min(gap).alias("least_gap"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.functions import text
-from postloom.operators import classification, merge, routing, similarity
+from postloom.operators import classification, jobs, merge, routing, similarity
 from postloom.sources.tables import POSTS_DOCS, ROUTED, posts_docs, routed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,36 @@ SQL["delete_keys"] = "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey N
 QUERIES["write_summary"] = lambda spark, sf_dir: merge.write_summary(table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 9 > 0, F.col("o_custkey")).alias("k")), "k")
 SQL["write_summary"] = "WITH n AS (SELECT CASE WHEN o_orderkey % 9 > 0 THEN o_custkey END AS k FROM orders), o AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0) SELECT count(*)::BIGINT AS given, count(*) FILTER (WHERE k IS NULL)::BIGINT AS skipped, count(DISTINCT k) FILTER (WHERE k NOT IN (SELECT k FROM o)) AS created, count(DISTINCT k) FILTER (WHERE k IN (SELECT k FROM o)) AS existing FROM n"
 
+
+# queues
+_QUEUE = "SELECT event_id AS job_id, event_type AS kind, cast(user_id AS varchar(20)) AS payload, CASE event_id % 4 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'COMPLETED' ELSE 'PENDING' END AS status, cast(event_id % 3 AS int) AS attempts, 2 AS max_attempts, ts AS scheduled_at, CASE WHEN event_id % 4 = 0 THEN 'w' END AS locked_by FROM "
+
+
+def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_QUEUE + "{events}", events=table(spark, sf_dir, "events"))
+
+
+_NOW = "2024-01-20 00:00:00"
+QUERIES["queue_enqueue"] = lambda spark, sf_dir: jobs.enqueued(_queue(spark, sf_dir), _queue(spark, sf_dir).select("kind", F.concat("payload", F.when(F.col("job_id") % 5 == 0, "x").otherwise("")).alias("payload")))
+SQL["queue_enqueue"] = f"WITH q AS ({_QUEUE}events) SELECT DISTINCT kind, payload || CASE WHEN job_id % 5 = 0 THEN 'x' ELSE '' END AS payload FROM q EXCEPT SELECT kind, payload FROM q WHERE status IN ('PENDING', 'RUNNING')"
+QUERIES["queue_reserve"] = lambda spark, sf_dir: jobs.reserved(_queue(spark, sf_dir), _NOW, "me", 25).select("job_id", "status", "attempts", F.coalesce("locked_by", F.lit("-")).alias("locked_by"))
+SQL["queue_reserve"] = f"WITH q AS ({_QUEUE}events), t AS (SELECT job_id FROM q WHERE status = 'PENDING' AND scheduled_at <= TIMESTAMP '{_NOW}' ORDER BY scheduled_at, job_id LIMIT 25) SELECT job_id, CASE WHEN g THEN 'RUNNING' ELSE status END AS status, (attempts + g::INT)::INT AS attempts, CASE WHEN g THEN 'me' ELSE coalesce(locked_by, '-') END AS locked_by FROM (SELECT *, job_id IN (SELECT job_id FROM t) AS g FROM q)"
+_RESULT = "CASE job_id % 12 WHEN 0 THEN 'done' WHEN 4 THEN 'failed' WHEN 8 THEN 'put-back' END"
+QUERIES["queue_settle"] = lambda spark, sf_dir: jobs.settled(_queue(spark, sf_dir), _queue(spark, sf_dir).selectExpr("job_id", f"{_RESULT} AS result").where("result is not null"), _NOW).select("job_id", "status", "attempts", F.date_format("scheduled_at", "MM-dd HH:mm:ss").alias("scheduled_at"))
+SQL["queue_settle"] = f"""WITH q AS ({_QUEUE}events), r AS (SELECT *, CASE WHEN status = 'RUNNING' THEN {_RESULT} END AS result FROM q), s AS (SELECT *, result = 'put-back' OR (result = 'failed' AND attempts < 2) AS again FROM r)
+SELECT job_id, CASE WHEN result IS NULL THEN status WHEN result = 'done' THEN 'COMPLETED' WHEN again THEN 'PENDING' ELSE 'FAILED' END AS status, CASE WHEN result = 'put-back' THEN greatest(0, attempts - 1) ELSE attempts END::INT AS attempts, strftime(CASE WHEN coalesce(again, false) THEN TIMESTAMP '{_NOW}' + INTERVAL 5 SECOND ELSE scheduled_at END, '%m-%d %H:%M:%S') AS scheduled_at FROM s"""
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.format_string("%02d", "label").alias("tag"), F.col("embedding").cast("array<double>").alias("v"))
+    return v.select(F.col("vec_id").alias("post_id"), "v"), similarity.recent(v, "vec_id").select("tag", "v", F.col("vec_id").alias("sample_id")), v.where("tag = '00'").select("v")
+
+
+_SIMS = "WITH v AS (SELECT vec_id, lpad(label::VARCHAR, 2, '0') AS tag, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY tag ORDER BY vec_id DESC) <= 200), r AS (SELECT p.vec_id, s.tag, list_inner_product(p.v, s.v) AS x, row_number() OVER (PARTITION BY p.vec_id, s.tag ORDER BY x DESC) AS i FROM v p JOIN s ON p.vec_id <> s.vec_id)"
+QUERIES["sim_buckets"] = lambda spark, sf_dir: similarity.buckets(*_vectors(spark, sf_dir)[:2], [1, 3])
+SQL["sim_buckets"] = f"{_SIMS}, b AS (SELECT k, vec_id, max(x) AS score FROM (SELECT k, vec_id, tag, avg(x) AS x FROM r, (SELECT unnest([1, 3]) AS k) WHERE i <= k GROUP BY ALL) GROUP BY ALL) SELECT k, floor(score / 0.02::DOUBLE)::INT AS bucket, count(*) AS posts FROM b GROUP BY ALL"
+QUERIES["negative_stats"] = lambda spark, sf_dir: (lambda df: df.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes]))(similarity.negative_stats(*_vectors(spark, sf_dir)))
+SQL["negative_stats"] = f"""{_SIMS}, n AS (SELECT i, sum(v[i] / sqrt(list_inner_product(v, v))) AS x FROM v, LATERAL (SELECT unnest(range(1, len(v) + 1)) AS i) WHERE tag = '00' GROUP BY i), c AS (SELECT list(x ORDER BY i) AS c FROM n),
+b AS (SELECT vec_id, max(x) AS score FROM r GROUP BY vec_id), d AS (SELECT score, list_inner_product(v, c) / sqrt(list_inner_product(v, v) * list_inner_product(c, c)) AS near FROM b JOIN v USING (vec_id), c)
+SELECT count(*) AS posts, round(avg(1 - near), 6) AS distance, round(max(near), 6) AS nearest, round(avg(score - near), 6) AS gap, round(min(score - near), 6) AS least_gap FROM d"""
+QUERIES["random_sample"] = lambda spark, sf_dir: merge.sampled(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", 100)

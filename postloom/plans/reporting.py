@@ -69,3 +69,6 @@ QUERIES["digest_shares"] = _shares
 QUERIES["fresh_embeddings"] = lambda spark, sf_dir: embedding.refreshed(texts(spark, sf_dir), spark.createDataFrame([], "post_id long, v array<double>, model string, dimensions int, hash string"), embedding.Hashing(32)).select("post_id", "hash", F.size("v").alias("dimensions"))
 QUERIES["ascii_texts"] = lambda spark, sf_dir: texts(spark, sf_dir).select("post_id", F.sha2(ascii_text(F.col("text")), 256).alias("hash"))
 SQL["ascii_texts"] = "SELECT doc_id AS post_id, sha256(to_base64(encode(text))) AS hash FROM documents"
+QUERIES["tag_targets"] = lambda spark, sf_dir: delivery.tag_targets(posts_docs(spark, sf_dir).where("tags is not null").select(F.col("lang").alias("report"), "tags"), ["macro", "Policy", "token", " yield"], 20).select("report", "tag", "posts")
+SQL["tag_targets"] = f"""WITH {POSTS_DOCS}, t AS (SELECT lang, post_id, tag1 AS tag FROM posts UNION SELECT lang, post_id, tag2 FROM posts), c AS (SELECT lang AS report, tag, count(*) AS posts FROM t WHERE tag IN ('macro', 'policy', 'token', 'yield') GROUP BY ALL)
+SELECT report, tag, posts FROM c WHERE report IN (SELECT report FROM c GROUP BY report HAVING count(*) BETWEEN 2 AND 20)"""

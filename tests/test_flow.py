@@ -205,3 +205,14 @@ def test_states_windows_and_last_rows(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("last").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted((r["k"], r["x"]) for r in spark.table("last").collect()) == [(1, "c"), (2, "z")] == sorted((r["k"], r["x"]) for r in windows.last_of_each(rows, "k", "t").collect())
+
+
+def test_samples_titles_and_global_reports(spark):
+    from postloom.operators import merge
+
+    df = spark.range(500).select(F.col("id").alias("k"))
+    one = [r["k"] for r in merge.sampled(df, "k", 20).collect()]
+    assert len(set(one)) == 20 and sorted(one) == sorted(r["k"] for r in merge.sampled(df.repartition(7), "k", 20).collect()) and one != [r["k"] for r in merge.sampled(df, "k", 20, 3).collect()]
+    titles = spark.createDataFrame([(t,) for t in ("Zeta", "宏观", "安全", "DeFi", "政策")], "title string")
+    assert [r["title"] for r in reports.by_title(titles).collect()] == ["安全", "宏观", "政策", "DeFi", "Zeta"]
+    assert reports.global_report(titles, datetime(2024, 1, 1, 7), datetime(2024, 1, 1, 12)) is None
