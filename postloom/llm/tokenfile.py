@@ -25,7 +25,8 @@ from pyspark.sql.window import Window
 from postloom.llm.common import bounded_batches, map_arrow, shared_path, spared, stored
 
 END_ID = 2
-CACHE = 900_000
+#: Words that an encoder remembers as used lately; as many more as used before.
+CACHE = 250_000
 STRIPE_BYTES, ROW_INDEX_STRIDE = 16 << 20, 1_000
 #: White space to Python's split(), but not to the tokenizer.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -59,14 +60,19 @@ class WordEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.cores: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
+            self.before = dict(self)
             self.clear()
             self.cores.clear()
+        if (ids := self.before.get(word)) is not None:
+            self[word] = ids
+            return ids
         m = _PLAIN.fullmatch(word)
         if m:
             core, end = m[1].lower(), m[2]
