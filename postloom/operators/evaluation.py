@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions.text import AMOUNT_UNIT, TIME_UNIT, collapse, has_ticker, number_tokens
 
 
+#: Keywords whose precision is measured, as signs of high and of low importance.
+HIGH_WORDS = [
+    "sec", "cftc", "fomc", "cpi", "pce", "etf", "blackrock", "grayscale", "监管", "合规", "加息", "降息", "利率", "稳定币", "hack", "exploit", "漏洞", "攻击", "被盗", "暂停", "修复",
+    "融资", "funding", "round", "series", "估值", "并购", "acquisition", "回购", "buyback", "解锁", "unlock", "销毁", "burn", "主网", "mainnet", "升级", "hard fork", "testnet",
+]
+LOW_WORDS = ["涨", "跌", "突破", "新高", "24h", "24小时", "上币", "上线", "交易对", "listing", "airdrop", "空投", "快照", "snapshot", "喊单", "爆仓"]
+
+
 def prepared(posts: DataFrame, high: int = 4) -> DataFrame:
-    """Adds t (collapsed text), len, nums, ratio (of digits) and high; a null text counts as empty."""
+    """Adds t (collapsed text), low (in lower case), len, nums, ratio (of digits) and high; a null text counts as empty."""
     t = F.coalesce(collapse(F.col("text")), F.lit(""))
-    out = posts.withColumn("t", t).withColumns({"len": F.length("t"), "nums": number_tokens(F.col("t")), "digits": F.length("t") - F.length(F.translate("t", "0123456789", ""))})
+    out = posts.withColumn("t", t).withColumns({"low": F.lower("t"), "len": F.length("t"), "nums": number_tokens(F.col("t")), "digits": F.length("t") - F.length(F.translate("t", "0123456789", ""))})
     return out.withColumns({"ratio": F.coalesce(F.try_divide("digits", "len"), F.lit(0.0)), "high": F.coalesce(F.col("importance") >= high, F.lit(False))})
 
 
+def _any(words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains("low", F.lit(w)) for w in words])
+
+
 def features() -> dict[str, Column]:
     """The features' names and edges."""
     n, nums, ratio, t = F.col("len"), F.col("nums"), F.col("ratio"), F.col("t")
@@ -25,6 +39,8 @@ def features() -> dict[str, Column]:
         "hasAddress": t.rlike("0x[a-fA-F0-9]{40,64}"),
         "hasUrl": t.rlike(r"(?i)https?://|www\."),
         "hasTicker": has_ticker(t),
+        "hasHighSignalKeyword": _any(HIGH_WORDS),
+        "hasLowSignalKeyword": _any(LOW_WORDS),
     }
 
 
@@ -65,7 +81,7 @@ def feature_buckets(posts: DataFrame) -> DataFrame:
 
 def keyword_eval(posts: DataFrame, keywords: list[str], least: int = 10, top: int = 25) -> DataFrame:
     """The `top` keywords by precision, then recall, of those that `least` posts hold."""
-    rows = prepared(posts).select("high", F.lower("t").alias("low"))
+    rows = prepared(posts).select("high", "low")
     found = evaluate(rows, {k: F.contains("low", F.lit(k.lower())) for k in keywords}, "keyword")
     return found.where(F.col("total") >= least).orderBy(F.desc("precision"), F.desc("recall"), "keyword").limit(top)
 

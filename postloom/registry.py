@@ -173,10 +173,12 @@ _FEATURES = {f"len>={k}": f"len >= {k}" for k in (40, 80, 120)} | {f"numberToken
     "hasAddress": "regexp_matches(t, '0x[a-fA-F0-9]{40,64}')",
     "hasUrl": r"regexp_matches(t, '(?i)https?://|www\.')",
     "hasTicker": r"regexp_matches(t, '(?i)\$[a-z]{2,6}\b')",
+    "hasHighSignalKeyword": f"len(list_filter({evaluation.HIGH_WORDS}, lambda k: contains(lower(t), k))) > 0",
+    "hasLowSignalKeyword": f"len(list_filter({evaluation.LOW_WORDS}, lambda k: contains(lower(t), k))) > 0",
 }
 _BUCKETS = {"<40": "len < 40", "40-79": "len BETWEEN 40 AND 79", "80-119": "len BETWEEN 80 AND 119", "120-159": "len BETWEEN 120 AND 159", ">=160": "len >= 160"}
 _BUCKETS |= {"<1%": "ratio < 0.01::DOUBLE", "1-3%": "ratio >= 0.01::DOUBLE AND ratio < 0.03::DOUBLE", "3-6%": "ratio >= 0.03::DOUBLE AND ratio < 0.06::DOUBLE", ">=6%": "ratio >= 0.06::DOUBLE"} | {str(k): f"nums = {k}" for k in range(3)} | {">=3": "nums >= 3"}
-_WORDS = [*routing.KEYWORDS, "the", "und", "que", "les"]
+_WORDS = [*evaluation.HIGH_WORDS, *(w for w in evaluation.LOW_WORDS if w not in evaluation.HIGH_WORDS), "the", "und", "que", "les"]
 
 
 def _rates_sql(name: str, flags: dict[str, str]) -> str:
