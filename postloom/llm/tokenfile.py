@@ -26,7 +26,7 @@ from postloom.llm.common import bounded_batches, map_arrow, shared_path, spared,
 
 END_ID = 2
 #: Words that an encoder remembers as used lately; as many more as used before.
-CACHE = 250_000
+CACHE = 400_000
 STRIPE_BYTES, ROW_INDEX_STRIDE = 16 << 20, 1_000
 #: White space to Python's split(), but not to the tokenizer.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
