@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import fingerprint, langid, linededup, ngramjoin, ngramlm, packing, sentencepieces, tokenfile, topk, toxicity
+from postloom.llm import alignment, fingerprint, langid, linededup, ngramjoin, ngramlm, packing, passages, sentencepieces, spelling, tokenfile, topk, toxicity
 from postloom.llm.common import read_table
 
 
@@ -60,7 +60,20 @@ def op10_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_language, op3_toxicity, op4_topk, op5_tokenfile, op6_fingerprint, op7_linededup, op8_backoff, op9_packing, op10_ngramjoin)}
+def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.kept(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_language, op3_toxicity, op4_topk, op5_tokenfile, op6_fingerprint, op7_linededup, op8_backoff, op9_packing, op10_ngramjoin, op11_passages, op12_spelling, op13_alignment)}
 
 SQL = {
     "op8_backoff": r"""
@@ -116,5 +129,37 @@ v AS (
 SELECT d.doc_id, coalesce(c.n_lines, 0)::BIGINT AS n_lines, coalesce(c.n_kept, 0)::BIGINT AS n_kept,
   CASE WHEN d.text IS NULL THEN NULL ELSE sha256(coalesce(p.text, '')) END AS text_sha256
 FROM documents d LEFT JOIN counts c USING (doc_id) LEFT JOIN kept p USING (doc_id)
+""",
+    "op11_passages": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT r, doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS h FROM d, LATERAL (SELECT unnest(range(1, len(ws) - 48)) AS i)),
+f AS (SELECT h, bool_or(doc_id IS NULL) AS none, min(doc_id) AS first FROM w GROUP BY h),
+gone AS (SELECT DISTINCT r, i + k AS i FROM w JOIN f USING (h), LATERAL (SELECT unnest(range(50)) AS k) WHERE w.doc_id > f.first OR (f.none AND w.doc_id IS NOT NULL)),
+each AS (SELECT r, i, ws[i] AS word FROM d, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM each ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+""",
+    "op12_spelling": r"""
+WITH RECURSIVE r AS (
+  SELECT d, run, count(*) AS n FROM (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY ALL
+), c AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, 2 * strlen(d || ':' || run), 2), lambda i: [('0x' || substr(hex(d || ':' || run), i, 2))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1)))) AS h FROM r
+), w AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n FROM c GROUP BY ALL HAVING length(word) >= 5 AND sum(n) >= 3
+), v AS (
+  SELECT word, n, length(word) AS l, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM w, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)
+), p AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM v a JOIN v b ON a.d = b.d AND a.i = b.i AND a.l = b.l AND a.word <> b.word
+  UNION SELECT v.word, w.word, w.n FROM v JOIN w ON w.word = v.d UNION SELECT w.word, v.word, v.n FROM v JOIN w ON w.word = v.d
+), b AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM p GROUP BY word
+), f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM w LEFT JOIN b USING (word)
+), t(word, top) AS (
+  SELECT word, word FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.top WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, t.top AS root, f.n, f.n_near::BIGINT AS n_near, f.form_n FROM f JOIN t USING (word) JOIN f e ON e.word = t.top WHERE e.form IS NULL
 """,
 }
