@@ -147,7 +147,8 @@ WITH RECURSIVE r AS (
   SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, 2 * strlen(d || ':' || run), 2), lambda i: [('0x' || substr(hex(d || ':' || run), i, 2))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
     lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1)))) AS h FROM r
 ), w AS (
-  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n FROM c GROUP BY ALL HAVING length(word) >= 5 AND sum(n) >= 3
+  SELECT word, sum(k)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n AS k FROM c)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
 ), v AS (
   SELECT word, n, length(word) AS l, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM w, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)
 ), p AS (
