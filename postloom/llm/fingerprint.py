@@ -72,6 +72,16 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), resemblance(a, b, k) * distinct_count(merge(a, b, k), k) / distinct_count(a, k)))
 
 
+def as_string(sketch_: Column | str) -> Column:
+    """A fingerprint as text: its hashes in decimal, in order, joined by commas."""
+    return F.array_join(F.col(sketch_).cast("array<string>") if isinstance(sketch_, str) else sketch_.cast("array<string>"), ",")
+
+
+def from_string(text: Column) -> Column:
+    """The fingerprint of as_string()."""
+    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.split(text, ",").cast("array<bigint>"))
+
+
 def fingerprints(documents: DataFrame, k: int = K) -> DataFrame:
     """doc_id and the fingerprint of each row's text."""
 

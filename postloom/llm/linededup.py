@@ -2,7 +2,7 @@
 
 Lines are compared as sequences of words (lower-cased ASCII); an edit inserts, deletes
 or replaces one word.  Lines of at least `shortest` words are duplicates within one
-edit, shorter ones only if equal.  A line that has an earlier duplicate (by doc_id,
+edit (by default all of two words or more: of lines of one word, all are one replaced word apart), shorter ones only if equal.  A line that has an earlier duplicate (by doc_id,
 then text hash, then position) is dropped, whether or not that one stays; so the
 result depends on no order of work.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from postloom.llm.common import bounded_batches, key_set, located_words, maybe_in, mix, powers, spared, stored, words_of
 
-SHORTEST = 8
+SHORTEST = 2
 #: Lines are sent on in batches of so many.
 ROWS = 20_000
 

@@ -40,7 +40,8 @@ def op5_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.compare_with_next(read_table(spark, sf_dir, "documents"))
+    found = fingerprint.compare_with_next(read_table(spark, sf_dir, "documents"))
+    return found.withColumns({c: fingerprint.as_string(c) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,11 +115,11 @@ l AS (
 ), k AS (SELECT doc_id, pos, ws, array_to_string(ws, ' ') AS line, len(ws) AS n FROM w WHERE len(ws) > 0),
 f AS (SELECT line, any_value(ws) AS ws, any_value(n) AS n, min((doc_id, pos)) AS spot FROM k GROUP BY line),
 v AS (
-  SELECT line, n, spot, i, md5(array_to_string(ws[: i - 1] || ws[i + 1 :], ' ')) AS d FROM f, LATERAL (SELECT unnest(range(1, n + 1)) AS i) WHERE n >= 8
+  SELECT line, n, spot, i, md5(array_to_string(ws[: i - 1] || ws[i + 1 :], ' ')) AS d FROM f, LATERAL (SELECT unnest(range(1, n + 1)) AS i) WHERE n >= 2
 ), later AS (
   SELECT v.line FROM v JOIN (SELECT d, i, n, min(spot) AS m FROM v GROUP BY ALL) g ON g.d = v.d AND g.i = v.i AND g.n = v.n WHERE v.spot > g.m
-  UNION SELECT f.line FROM f JOIN (SELECT d, min(spot) AS m FROM v WHERE n > 8 GROUP BY d) g ON g.d = md5(f.line) WHERE f.spot > g.m
-  UNION SELECT v.line FROM v JOIN f ON md5(f.line) = v.d WHERE v.n > 8 AND v.spot > f.spot
+  UNION SELECT f.line FROM f JOIN (SELECT d, min(spot) AS m FROM v WHERE n > 2 GROUP BY d) g ON g.d = md5(f.line) WHERE f.spot > g.m
+  UNION SELECT v.line FROM v JOIN f ON md5(f.line) = v.d WHERE v.n > 2 AND v.spot > f.spot
 ), gone AS (
   SELECT k.doc_id, k.pos FROM k JOIN f ON f.line = k.line WHERE (k.doc_id, k.pos) <> f.spot OR k.line IN (SELECT line FROM later)
 ), counts AS (

@@ -193,8 +193,14 @@ class Encoder:
             start = np.flatnonzero(np.diff(row, prepend=-1))
             first = np.zeros(len(begins), np.int64)
             first[row[start]] = start + self.edges
-            total = np.cumsum(share)
-            upto = total - np.repeat(total[start] - share[start], np.diff([*start, len(row)]))
+            # each row on its own: no sum depends on the units that came along
+            upto, edges, k = share.copy(), np.diff([*start, len(row)]), 1
+            more = np.flatnonzero(edges > 1)
+            while len(more):
+                at = start[more] + k
+                upto[at] += upto[at - 1]
+                k += 1
+                more = more[edges[more] > k]
             upto[[*(start[1:] - 1), len(row) - 1]] = 2.0  # no draw goes beyond a row's last edge
             made = begins, first.astype(np.int32), upto, (self.rows + row - size).astype(np.int32), code.astype(np.int32)
             self.known = tuple(_appended(a, self.rows if k < 2 else self.edges, x) for k, (a, x) in enumerate(zip(self.known, made, strict=True)))

@@ -10,7 +10,11 @@ Queries go to the shards in packs of at most PACK_BYTES, so no vector is ever mo
 copied for them.  A pack first meets a few shards; the kth scores found there go along
 to all others, which report only what comes up to them.  A window takes the best k.
 
-Defined cases: vectors that are null, or hold null or non-finite components, take no
+Scores are exact integers: where products can pass 2^53, blocks are scored in floating point with
+a bound of its error, and what may be among the best k in Python's integers.  Between shards scores
+go as decimals of 38 digits; larger ones count as the largest of these, and the score returned is the nearest long.
+
+Defined cases: vectors that are null, or hold null or non-finite components (or finite ones whose 256-fold isn't), take no
 part; shorter vectors count as padded with 0 (an empty one scores 0 everywhere); ties
 go to the smaller vec_id; rows with a null vec_id take no part; repeated vec_ids are
 each a candidate and a query, but never of their own id; empty tables give no rows.
@@ -19,6 +23,7 @@ each a candidate and a query, but never of their own id; empty tables give no ro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 from functools import reduce
 
 import numpy as np
@@ -35,6 +40,9 @@ SHARD_ROWS, BLOCK_ROWS = 8192, 512
 PACK_BYTES, FIRST = 32 << 20, 4
 
 
+_SCORE = pa.decimal128(38, 0)
+
+
 def best_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, block: int = BLOCK_ROWS, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vec_id, score) of each query's k best rows among `rows`, ties to smaller ids; only of those that reach the query's floor."""
     order = np.argsort(ids, kind="stable")
@@ -80,10 +88,43 @@ def best_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np
     return at, top_id[at, col], top_score[at, col].astype(np.int64)
 
 
+#: Integers that floating point holds exactly, and the largest score between shards.
+EXACT, LARGEST = 2**53, 10**38 - 1
+
+
+def exact_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, block: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """As best_k(), for components of any size (integers as floats): scores are Python's integers."""
+    n, dims = queries.shape
+    # by powers of two, so that no product is beyond floating point; what is lost to 0 is less than `lost`
+    a, b = (2.0 ** -np.frexp(np.abs(x).max(initial=1.0))[1] for x in (queries, rows))
+    small_q, small_r = queries * a, rows * b
+    best: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    whole = [None] * n
+    for lo in range(0, len(ids), block):
+        part = slice(lo, lo + block)
+        near = small_q @ small_r[part].T
+        slack = (np.abs(small_q) @ np.abs(small_r[part]).T) * dims * 2.0**-50 + 2.0**-900
+        own = query_ids[:, None] == ids[part][None, :]
+        low, high = np.where(own, -np.inf, near - slack), np.where(own, -np.inf, near + slack)
+        least = np.partition(low, low.shape[1] - k, axis=1)[:, -k] if low.shape[1] > k else np.full(n, -np.inf)
+        exact: dict[int, list[int]] = {}
+        for q, r in zip(*(x.tolist() for x in np.nonzero((high >= least[:, None]) & ~own)), strict=True):
+            if whole[q] is None:
+                whole[q] = [int(x) for x in queries[q].tolist()]
+            if r not in exact:
+                exact[r] = [int(x) for x in rows[lo + r].tolist()]
+            best[q].append((-sum(x * y for x, y in zip(whole[q], exact[r], strict=True)), int(ids[lo + r])))
+        best = [sorted(x)[:k] for x in best]
+    found = [(q, i, -s) for q, x in enumerate(best) for s, i in x]
+    at, vec, sc = zip(*found, strict=True) if found else ((), (), ())
+    return np.array(at, np.int64), np.array(vec, np.int64), [max(-LARGEST, min(LARGEST, s)) for s in sc]
+
+
 def vectors(embeddings: DataFrame) -> DataFrame:
     """vec_id and the integer components of the rows that take part."""
-    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
-    fine = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    # from 2^53 on a double is an integer, and may be beyond what floor() returns
+    v = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double") * SCALE) < EXACT, F.floor(x.cast("double") * SCALE).cast("double")).otherwise(x.cast("double") * SCALE))
+    fine = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * SCALE) < float("inf")))
     return embeddings.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
 
 
@@ -116,11 +157,16 @@ def search(embeddings: DataFrame, k: int = K, every: int = EVERY, shard_rows: in
 
             def shard(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
                 ids, grid = (np.concatenate(x) for x in zip(*parts, strict=True))
-                at, vec, sc = best_k(query_ids, queries, ids, grid, k, floor=floor)
-                full = np.flatnonzero(np.bincount(at, minlength=len(queries)) >= k)
-                ends = np.searchsorted(at, full, side="right") - 1
-                floor[full] = np.maximum(floor[full], sc[ends])
-                return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(vec), pa.array(sc)], ["query", "vec_id", "score"])
+                if np.abs(queries).max(initial=0) * np.abs(grid).max(initial=0) * dims >= EXACT:
+                    at, vec, sc = exact_k(query_ids, queries, ids, grid, k)
+                    scores = pa.array([Decimal(s) for s in sc], _SCORE)
+                else:
+                    at, vec, sc = best_k(query_ids, queries, ids, grid, k, floor=floor)
+                    full = np.flatnonzero(np.bincount(at, minlength=len(queries)) >= k)
+                    ends = np.searchsorted(at, full, side="right") - 1
+                    floor[full] = np.maximum(floor[full], sc[ends])
+                    scores = pa.array(sc).cast(pa.decimal128(19, 0)).cast(_SCORE)
+                return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(vec), scores], ["query", "vec_id", "score"])
 
             held: list[tuple[np.ndarray, np.ndarray]] = []
             now = None
@@ -138,7 +184,7 @@ def search(embeddings: DataFrame, k: int = K, every: int = EVERY, shard_rows: in
             if held:
                 yield shard(held)
 
-        return part.select("vec_id", "v", "shard").mapInArrow(spared(run), "query int, vec_id long, score long")
+        return part.select("vec_id", "v", "shard").mapInArrow(spared(run), "query int, vec_id long, score decimal(38,0)")
 
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     found = []
@@ -153,10 +199,12 @@ def search(embeddings: DataFrame, k: int = K, every: int = EVERY, shard_rows: in
         if shards > 2 * FIRST:
             first = meet(spark.sparkContext.broadcast((ids, grid, floor)), table.where(F.col("shard") % -(-shards // FIRST) == 0))
             best = first.withColumn("rank", rank).where(F.col("rank") == k).select("query", "score").toArrow()
-            floor[best.column(0).to_numpy()] = best.column(1).to_numpy()
+            # a shard of small numbers can't reach a kth that isn't exact here, but by a hair
+            kth = np.array([float(x) for x in best.column(1).to_pylist()])
+            floor[best.column(0).to_numpy()] = np.where(np.abs(kth) < EXACT, kth, kth - np.abs(kth) * 2.0**-50)
         pairs = meet(spark.sparkContext.broadcast((ids, grid, floor)), table).withColumn("rank", rank).where(F.col("rank") <= k)
         names = spark.createDataFrame(pa.table({"query": pa.array(np.arange(len(ids), dtype=np.int32)), "query_id": pa.array(ids)}))
-        found.append(pairs.join(F.broadcast(names), "query").select("query_id", "rank", "vec_id", "score"))
+        found.append(pairs.join(F.broadcast(names), "query").select("query_id", "rank", "vec_id", F.least(F.greatest("score", F.lit(-(2**63)).cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long").alias("score")))
         if packs > 1:
             found[-1] = stored(found[-1], "found")
     if not found:

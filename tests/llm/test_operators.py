@@ -431,7 +431,7 @@ def test_lines_with_clashing_names_null_ids_and_a_template(spark):
     named = linededup.dedup(df, counts=("a", "b"))
     assert named.columns == [*df.columns, "a", "b"] and sorted(r["n_lines"] for r in named.collect() if r["n_lines"] is not None) == [0] + [1] * 31
     few = spark.createDataFrame([(1, "a b c d\na b c x")], "doc_id long, text string")
-    assert [r["n_kept"] for r in linededup.dedup(few).collect()] == [2] and [r["n_kept"] for r in linededup.dedup(few, shortest=4).collect()] == [1]
+    assert [r["n_kept"] for r in linededup.dedup(few, shortest=8).collect()] == [2] and [r["n_kept"] for r in linededup.dedup(few).collect()] == [1]
 
 
 # 8
@@ -686,3 +686,42 @@ def test_pipeline(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert collections.Counter(map(tuple, got)) == collections.Counter(map(tuple, rows))
     assert re.fullmatch("[a-z_]+", corpus_pipeline.STAGES[0][0])
+
+
+def test_sentencepiece_thresholds_of_any_batch():
+    vocab = sentencepieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    units = ["▁there", "▁internationalisation", "▁a", "▁unbelievable", "▁straße", "▁wonderful", "▁日本語", "▁thththere"]
+
+    def thresholds(encoder, unit):
+        begins, first, upto, to, code = encoder.known
+        row, out = encoder.end[unit], []
+        while True:
+            edges = upto[first[row] : first[row] + 40].tolist()
+            out.append(edges[: next((i for i, x in enumerate(edges) if x >= 2), 0) + 1])
+            if begins[row]:
+                return out
+            row -= 1
+
+    alone = []
+    for u in units:
+        encoder = sentencepieces.Encoder(vocab)
+        encoder.add([u])
+        alone.append(thresholds(encoder, u))
+    together = sentencepieces.Encoder(vocab)
+    together.add(["▁others"] + units[::-1])
+    assert [thresholds(together, u) for u in units] == alone
+
+
+def test_topk_of_large_components(spark):
+    big = 2.0**20 + 1 / 256
+    rows = [(50, [big, 1.0]), (1, [big, 1 / 256]), (2, [big, 2 / 256]), (3, [-big, 0.0]), (4, [1e300, 0.0]), (5, [1e300, 1.0]), (100, [1.0, 2.0]), (6, [1.7e308, 0.0])]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=3).collect()}
+    ints = {i: [math.floor(256 * int(x)) if abs(x) > 1e15 else math.floor(256 * x) for x in v] for i, v in rows if 256 * max(v) < math.inf}
+    for q in (50, 100):
+        order = sorted((-max(-(10**38 - 1), min(10**38 - 1, sum(x * y for x, y in zip(ints[q], v)))), i) for i, v in ints.items() if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, max(-(2**63), min(2**63 - 1, -s))) for s, i in order]
+
+
+def test_fingerprint_text(spark, odd):
+    for r in fingerprint.compare_with_next(odd).withColumn("text", fingerprint.as_string("fingerprint")).withColumn("back", fingerprint.from_string(F.col("text"))).collect():
+        assert r["back"] == r["fingerprint"] and r["text"] == ",".join(map(str, r["fingerprint"]))
