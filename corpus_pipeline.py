@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from postloom.llm import langid, linededup, ngramjoin, packing, toxicity
 from postloom.llm.common import read_table, stored
 
+#: Words of the lines that the pipeline compares within one edit.
+SHORTEST_LINE = 8
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows without a letter (null and empty texts too), and long ones that need more bits a character than texts of a learned language.
@@ -27,10 +30,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes later duplicates of lines; rows of which no line stays go, for earlier rows hold all they said.  n_chars follows the text.
 
+    Lines of fewer than eight words go only if they are equal to an earlier one: one replaced word of few makes another text, and short clean documents stay.
     Rows without a line (null, empty or blank texts) stay; repeated (doc_id, text) rows keep the same lines.
     """
     lines_, left = ("_" * (1 + max(map(len, docs.columns))) + x for x in ("lines", "kept"))
-    found = linededup.dedup(docs, counts=(lines_, left))
+    found = linededup.dedup(docs, shortest=SHORTEST_LINE, counts=(lines_, left))
     changed = F.col(left) < F.col(lines_)
     kept = found.where((F.col(left) > 0) | (F.col(lines_) == 0))
     return kept.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
