@@ -370,7 +370,7 @@ def test_sketch_estimates(spark):
 # 7
 
 
-def brute_lines(rows):
+def brute_lines(rows, shortest=linededup.SHORTEST):
     lines = []
     for doc_id, text in sorted({(d, t) for d, t in rows if t is not None}, key=lambda x: (x[0] if x[0] is not None else -(2**63), linededup.text_hash(x[1]))):
         for pos, line in enumerate(text.split("\n")):
@@ -381,7 +381,7 @@ def brute_lines(rows):
     def near(a, b):
         if a == b:
             return True
-        if min(len(a), len(b)) < linededup.SHORTEST or abs(len(a) - len(b)) > 1:
+        if min(len(a), len(b)) < shortest or abs(len(a) - len(b)) > 1:
             return False
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b)) == 1
@@ -671,7 +671,7 @@ def test_pipeline(spark, sf_dir):
         assert set(r[0] for r in after.select("doc_id").collect()) <= set(r[0] for r in before.select("doc_id").collect())
         if name == "line_dedup":
             rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-            gone = brute_lines(rows)
+            gone = brute_lines(rows, corpus_pipeline.SHORTEST_LINE)
             want = {d: "\n".join(x for p, x in enumerate(t.split("\n")) if (d, t, p) not in gone) for d, t in rows}
             lost = {d for d, t in rows if t.split() and all((d, t, p) in gone for p, x in enumerate(t.split("\n")) if x.split())}
             assert {r["doc_id"]: r["text"] for r in after.collect()} == {d: t for d, t in want.items() if d not in lost}
