@@ -29,6 +29,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +42,13 @@ from pyspark.sql import functions as F
 from postloom.llm.common import bounded_batches, spared, stored
 
 #: Units that a worker remembers as met lately; as many more as met before.  Longer units aren't remembered.
-CACHE, CACHE_CHARS = 200_000, 64
+CACHE, CACHE_CHARS = 300_000, 64
 #: Transitions that are remembered; a full memory is emptied.
 TRANSITIONS = 500_000
 #: A block ends with the row that brings its links (distinct by row) to so many.
 BLOCK_LINKS = 2_000_000
+#: White space but for spaces and line feeds.
+_ODD_SPACE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
 _SPLIT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _MARK = "▁"
 
@@ -71,25 +75,34 @@ class Transducer:
                 self.moves[key] = (1 - side, new[len(ahead) :]) if new.startswith(ahead) else None
         return self.moves[key]
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """The groups of ids; None where the bytes of both sides differ."""
-        out: list[tuple[list[int], list[int]]] = []
-        tokens, at = (a, b), [0, 0]
-        while at[0] < len(a):
-            i, j = at
+    def ends(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
+        """How many A and B tokens there are up to the end of each group; None where the bytes of both sides differ."""
+        out: list[tuple[int, int]] = []
+        known, first, x, y, n_a, n_b = self.moves, self.bytes[0], 0, 0, len(a), len(b)
+        while x < n_a:
             # A's next token leads; then whoever lags reads on
-            state: tuple[int, bytes] | None = (0, self.bytes[0][a[i]])
-            at[0] += 1
+            state: tuple[int, bytes] | None = (0, first[a[x]])
+            x += 1
             while state[1]:
-                lags = 1 - state[0]
-                if at[lags] == len(tokens[lags]):
-                    return None
-                state = self.move(state, tokens[lags][at[lags]])
-                at[lags] += 1
+                if state[0]:
+                    if x == n_a:
+                        return None
+                    token, x = a[x], x + 1
+                else:
+                    if y == n_b:
+                        return None
+                    token, y = b[y], y + 1
+                key = (*state, token)
+                state = known[key] if key in known else self.move(state, token)
                 if state is None:
                     return None
-            out.append((a[i : at[0]], b[j : at[1]]))
-        return out if at[1] == len(b) else None
+            out.append((x, y))
+        return out if y == n_b else None
+
+    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
+        """The groups of ids; None where the bytes of both sides differ."""
+        ends = self.ends(a, b)
+        return ends if ends is None else [(a[i:x], b[j:y]) for (i, j), (x, y) in zip([(0, 0), *ends], ends, strict=False)]
 
 
 def _byte_level() -> dict[str, int]:
@@ -122,65 +135,77 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.n_b)]
         bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
         self.transducer = Transducer(bytes_a, bytes_b)
-        self.bytes_a, self.bytes_b = bytes_a, bytes_b
+        self.bytes_a = bytes_a
         #: The id of the added space alone, which a unit that starts with a line feed hasn't.
         self.space = self.b.piece_to_id(_MARK)
         free = not any(_MARK in p.lstrip(_MARK) or "\n" in p for p in pieces)
-        self.split = _SPLIT.split if free and self.b.id_to_piece(self.space) == _MARK else lambda text: [text]
+        self.free = free and self.b.id_to_piece(self.space) == _MARK
         self.lately: dict[str, Unit | None] = {}
         self.before: dict[str, Unit | None] = {}
 
     def units(self, text: str) -> list[str]:
-        """The text with its space, cut where both tokenizers part it."""
-        return self.split(" " + text)
-
-    def encoded(self, units: list[str]) -> list[tuple[list[int], list[int]]]:
-        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        b = self.b.encode([u.removeprefix(" ") for u in units], num_threads=1)
-        return [(x, y if u[0] == " " else y[1:] if y[:1] == [self.space] else [-1]) for u, x, y in zip(units, a, b, strict=True)]
+        """The text with its space, cut where both tokenizers part it; the space of a unit that begins with no other white space is left out."""
+        if not self.free:
+            return [" " + text]
+        if not any(c in text for c in _ODD_SPACE):
+            units = text.replace("\n", " \n").split(" ")
+            if "" not in units and "\n" not in units:
+                return units
+        return _SPLIT.split(" " + text)
+
+    def encoded(self, raws: list[str]) -> list[tuple[list[int], list[int]]]:
+        """Both sides' ids of units with their space."""
+        a = [e.ids for e in self.a.encode_batch_fast(raws, add_special_tokens=False)]
+        b = self.b.encode([r.removeprefix(" ") for r in raws], num_threads=1)
+        return [(x, y if r[0] == " " else y[1:] if y[:1] == [self.space] else [-1]) for r, x, y in zip(raws, a, b, strict=True)]
 
     def aligned(self, unit: str, a: list[int], b: list[int]) -> Unit | None:
         """None where the unit's tokens don't give its bytes."""
-        raw = unit.encode()
-        if -1 in b or b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+        # where A's bytes are the unit's, the transducer finds whether B's are
+        if -1 in b or b"".join([self.bytes_a[x] for x in a]) != unit.encode():
             return None
-        groups = self.transducer.groups(a, b)
-        if groups is None:
+        ends = self.transducer.ends(a, b)
+        if ends is None:
             return None
-        links = np.array([x * self.n_b + y for g, h in groups for x in g for y in h], np.uint32)
-        text = ";".join(f"{','.join(map(str, g))}|{','.join(map(str, h))}" for g, h in groups)
-        return len(a), len(b), len(groups), len(links), text, links.tobytes()
-
-    def learn(self, units: set[str]) -> dict[str, Unit | None]:
-        """The alignments of units that aren't known; short ones are remembered."""
-        if len(self.lately) + len(units) >= CACHE:
-            self.before, self.lately = self.lately, {}
-        out, wanted = {}, []
+        texts, links, size, i, j = [], array("I"), self.n_b, 0, 0
+        for x, y in ends:
+            if x - i == 1 and y - j == 1:
+                texts.append(f"{a[i]}|{b[j]}")
+                links.append(a[i] * size + b[j])
+            else:
+                texts.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
+                links.extend([p * size + q for p in a[i:x] for q in b[j:y]])
+            i, j = x, y
+        return len(a), len(b), len(ends), len(links), ";".join(texts), links.tobytes()
+
+    def learn(self, units: set[str]) -> None:
+        """Adds the alignments of units to those met lately."""
+        wanted = []
         for u in units:
             if u in self.before:
-                out[u] = self.lately[u] = self.before[u]
+                self.lately[u] = self.before[u]
             else:
                 wanted.append(u)
-        for u, (a, b) in zip(wanted, self.encoded(wanted), strict=True):
-            out[u] = self.aligned(u, a, b)
-            if len(u) <= CACHE_CHARS:
-                self.lately[u] = out[u]
-        return out
+        raws = [u if u[0] in " \n" else " " + u for u in wanted]
+        for u, raw, (a, b) in zip(wanted, raws, self.encoded(raws), strict=True):
+            self.lately[u] = self.aligned(raw, a, b)
 
     def rows(self, texts: list[str | None]) -> list[list[Unit] | None]:
         """The units' alignments of each text; None for texts without tokens."""
-        cut = [self.units(t) if t else None for t in texts]
-        new: dict[str, Unit | None] = {}
-        wanted = {u for units in cut if units for u in units if u not in self.lately}
-        if wanted:
-            known = self.lately
-            new = self.learn(wanted)
-            if self.lately is not known:  # what was known now was met before
-                new |= {u: self.before[u] for units in cut if units for u in units if u not in new and u in self.before}
-        out: list[list[Unit] | None] = []
+        cut = [self.units(t) if t else [] for t in texts]
+        all_ = set().union(*cut)
+        new = all_.difference(self.lately)
+        if new and self.lately and len(self.lately) + len(new) > CACHE:
+            self.before, self.lately = self.lately, {}
+            new = all_
+        self.learn(new)
+        known, out = self.lately, []
         for units in cut:
-            found = [new[u] if u in new else self.lately[u] for u in units] if units else [None]
+            found = list(map(known.__getitem__, units)) if units else [None]
             out.append(None if None in found else found)
+        for u in new:
+            if len(u) > CACHE_CHARS:
+                del known[u]
         return out
 
 
