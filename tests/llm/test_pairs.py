@@ -1,5 +1,6 @@
 """Passages, spelling variants and alignments against plain versions."""
 
+import bisect
 import collections
 import hashlib
 import random
@@ -206,9 +207,10 @@ def plain_alignments(rows):
             at = 0
             ends.append([at := at + len(r) for r in raws])
         both = sorted(set(ends[0]) & set(ends[1]))
-        groups, lo = [], 0
-        for hi in both:
-            groups.append(([k for k, e in zip(x, ends[0], strict=True) if lo < e <= hi], [k for k, e in zip(y, ends[1], strict=True) if lo < e <= hi]))
+        groups, lo = [], (0, 0)
+        for end in both:
+            hi = bisect.bisect_right(ends[0], end), bisect.bisect_right(ends[1], end)
+            groups.append((x[lo[0] : hi[0]], y[lo[1] : hi[1]]))
             lo = hi
         links = [(p, q) for g, h in groups for p in g for q in h]
         counts.update(set(links))
