@@ -101,13 +101,13 @@ def rules(posts: DataFrame, keywords: list[str] = KEYWORDS) -> DataFrame:
     return rows.select("post_id", F.when(keep, "rule-keep").when(F.coalesce(F.col("lang").isin(LOW_LANGS), F.lit(False)), "low-lang").when(bare, "low-info-short").otherwise("rule-drop").alias("outcome"))
 
 
-def knn(posts: DataFrame, samples: DataFrame, low: float = 0.68, high: float = 0.86, margin: float = 0.04, strict: float = 0.9, thresholds: DataFrame | None = None) -> DataFrame:
+def knn(posts: DataFrame, samples: DataFrame, low: float = 0.68, high: float = 0.86, margin: float = 0.04, strict: float = 0.9, thresholds: DataFrame | None = None, order: list[str] | None = None) -> DataFrame:
     """post_id, status, tag, score, margin, reason and importance.
 
     thresholds (tag, low, high, margin, strict) hold for their tags, the defaults for others.  Without a vector the post is
     analyzed as embed-missing, without a tag as embed-unrouted; without a second tag the margin is 0, so never high.
     """
-    found = nearest_tags(posts, samples).withColumns({"lead": F.when(F.col("second") >= 0, F.col("score") - F.col("second"))})
+    found = nearest_tags(posts, samples, order).withColumns({"lead": F.when(F.col("second") >= 0, F.col("score") - F.col("second"))})
     limits = {"low": low, "high": high, "margin": margin, "strict": strict}
     if thresholds is not None:  # one row a tag
         own = thresholds.select("tag", *[F.col(c).alias(f"t_{c}") for c in limits])

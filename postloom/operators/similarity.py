@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,103 +33,177 @@ ROWS = 1000  #: posts that a task compares with the cache at a time
 
 
 def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
-    """Rows of `width` components: missing and null ones are 0, further ones have nothing to meet."""
+    """Unit vectors of `width` components: missing and null ones are 0, further ones have nothing to meet; vectors of length 0, or not finite, are 0."""
     flat, ends = vectors.values, vectors.offsets.to_numpy()
-    if not flat.null_count and len(vectors) and (np.diff(ends) == width).all():
-        return flat.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].reshape(-1, width)
-    out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors.to_pylist()):
-        part = [x or 0.0 for x in (v or [])[:width]]
-        out[i, : len(part)] = part
-    return out
-
-
-def _parts(samples: DataFrame) -> list[list[str]]:
-    """The tags in parts of at most CACHE samples."""
+    if width and not flat.null_count and len(vectors) and (np.diff(ends) == width).all():
+        out = flat.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].reshape(-1, width)
+    else:
+        out = np.zeros((len(vectors), width))
+        for i, v in enumerate(vectors.to_pylist()):
+            part = [x or 0.0 for x in (v or [])[:width]]
+            out[i, : len(part)] = part
+    with np.errstate(over="ignore", invalid="ignore"):
+        size = np.sqrt((out * out).sum(1, keepdims=True))
+    fine = np.isfinite(size) & (size > 0)
+    return np.divide(out, size, out=np.zeros_like(out), where=np.broadcast_to(fine, out.shape))
+
+
+def _parts(samples: DataFrame, order: list[str] | None) -> tuple[list[str], list[list[str]], list[tuple[str, int]]]:
+    """The tags in their order, those of at most CACHE samples in parts of at most CACHE, and the others with the number of their slices."""
+    counts = {r["tag"]: r["n"] for r in samples.groupBy("tag").agg(F.count("*").alias("n")).collect()}  # one row a tag
+    tags = [t for t in dict.fromkeys(order or []) if t in counts]
+    tags += sorted(set(counts) - set(tags))
     parts: list[list[str]] = []
     room = 0
-    for r in sorted(samples.groupBy("tag").agg(F.count("*").alias("n")).collect()):  # one row a tag
-        if r["n"] > CACHE:
-            raise ValueError(f"more than {CACHE} samples of a tag; see recent()")
-        if r["n"] > room:
-            parts.append([])
-            room = CACHE
-        parts[-1].append(r["tag"])
-        room -= r["n"]
-    return parts
-
-
-def tag_scores(posts: DataFrame, samples: DataFrame, ks: tuple[int, ...] = (1,)) -> DataFrame:
+    for tag in tags:
+        if counts[tag] <= CACHE:
+            if counts[tag] > room:
+                parts.append([])
+                room = CACHE
+            parts[-1].append(tag)
+            room -= counts[tag]
+    return tags, parts, [(t, -(-2 * counts[t] // CACHE)) for t in tags if counts[t] > CACHE]
+
+
+def _best_mean(scores: np.ndarray, k: int) -> np.ndarray:
+    """Of each row the mean of its k highest scores, or of all that there are."""
+    if k == 1:
+        return scores.max(1)
+    best = -np.sort(-scores, axis=1)[:, :k]
+    there = np.isfinite(best)
+    return np.where(there.any(1), np.where(there, best, 0).sum(1) / np.maximum(there.sum(1), 1), -np.inf)
+
+
+class _Cache:
+    """Sample vectors of some tags, by tag, with each tag's centre and the radius about it."""
+
+    def __init__(self, rows: list, ranks: dict[str, int], width: int) -> None:
+        rows = sorted(rows, key=lambda r: ranks[r["tag"]])
+        self.width, self.tags = width, list(dict.fromkeys(r["tag"] for r in rows))
+        self.ranks = [ranks[t] for t in self.tags]
+        self.grid = _matrix(pa.array([list(r["v"]) for r in rows], pa.list_(pa.float64())), width)
+        of = np.array([ranks[r["tag"]] for r in rows])
+        self.starts = np.searchsorted(of, self.ranks).tolist()
+        self.ends = [*self.starts[1:], len(rows)][: len(self.starts)]
+        parts = [self.grid[a:b] for a, b in zip(self.starts, self.ends, strict=True)]
+        self.centre = np.array([x.mean(0) for x in parts]).reshape(-1, width)
+        self.radius = np.array([np.sqrt(((x - c) ** 2).sum(1)).max() for x, c in zip(parts, self.centre, strict=True)])
+        self.own: dict[object, list[int]] = {}
+        for i, r in enumerate(rows):
+            if "sample_id" in r:
+                self.own.setdefault(r["sample_id"], []).append(i)
+
+    def scores(self, posts: np.ndarray, ids: list, rows: np.ndarray, t: int) -> np.ndarray:
+        """Of some rows of posts with the samples of tag t; a sample that is the post itself doesn't count."""
+        a, b = self.starts[t], self.ends[t]
+        out = posts[rows] @ self.grid[a:b].T
+        for i, r in enumerate(rows.tolist() if self.own else []):
+            for at in self.own.get(ids[r], ()):
+                if a <= at < b:
+                    out[i, at - a] = -np.inf
+        return out
+
+    def best(self, posts: np.ndarray, ids: list, known: np.ndarray, ks: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Tag (its place, -1 without one), best and second score by k and post; and how many pairs of post and tag were scored.
+
+        A unit vector's product with a sample is at most its product with the tag's centre and the radius: where that is below the second score of every k, the tag is left out.
+        """
+        n = len(posts)
+        tag, top, second = np.full((len(ks), n), -1), np.full((len(ks), n), -np.inf), np.full((len(ks), n), -np.inf)
+        bound = posts @ self.centre.T + self.radius + 1e-9
+        done = 0
+        for t in np.argsort(-bound.max(0, initial=-np.inf), kind="stable").tolist() if n else []:
+            rows = np.flatnonzero(known & (bound[:, t] >= second.min(0)))
+            done += len(rows)
+            if not len(rows):
+                continue
+            some = self.scores(posts, ids, rows, t)
+            for j, k in enumerate(ks):
+                value, was = _best_mean(some, k), top[j, rows]
+                value[value <= -1] = -np.inf  # as good as none
+                better = (value > was) | ((value == was) & (t < tag[j, rows]) & np.isfinite(value))
+                second[j, rows] = np.where(better, was, np.maximum(second[j, rows], value))
+                top[j, rows] = np.where(better, value, was)
+                tag[j, rows] = np.where(better, t, tag[j, rows])
+        return tag, top, second, done
+
+
+def tag_scores(posts: DataFrame, samples: DataFrame, ks: tuple[int, ...] = (1,), order: list[str] | None = None) -> DataFrame:
     """post_id, known, k, tag, score, second for each post (post_id, v) and k: the tag whose k best samples (tag, v) have the highest mean, that mean, and the next tag's.
 
-    known: the post has a vector, of the samples' size.  Ties go to the smaller tag.  A sample with the post's own id, where
-    samples have a sample_id, doesn't count.  The samples are a cache of bounded size, see recent(), that goes to the executors
-    in parts of at most CACHE vectors; a batch of posts meets it as one product of matrices, and no post is moved or repeated.
+    Vectors count as unit vectors.  known: the post has a vector, of the samples' size.  Ties go to the tag that stands first in `order`, of others
+    (all, without it) to the smaller; a mean of -1 or less is none.  A sample with the post's own id, where samples have a sample_id, doesn't count.
+    The samples are a cache, see recent(), that goes to the executors in parts of at most CACHE vectors; a batch of posts meets the tags of a part as products of
+    matrices, those alone whose bound reaches the second best.  Of a tag of more samples each slice gives its k best scores, which are merged by post.
+    No post is moved or repeated where one part holds all.
     """
     spark = posts.sparkSession
     samples = samples.where("tag is not null and v is not null")
     kind = posts.schema["post_id"].dataType.simpleString()
-    schema = f"post_id {kind}, known boolean, k int, tag string, score double, second double"
+    names = ["post_id", "known", "k", "tag", "rank", "score", "second"]
     rows = posts.select("post_id", F.col("v").cast("array<double>").alias("v"))
-    found = None
-    parts = _parts(samples) or [[]]
-    for part in parts:
-        cols = ["tag", "v", *(["sample_id"] if "sample_id" in samples.columns else [])]
-        held = sorted(samples.where(F.col("tag").isin(part)).select(*cols).collect(), key=lambda r: r["tag"])
-        width = max((len(r["v"]) for r in held), default=0)
-        grid = np.zeros((len(held), width))
-        for i, r in enumerate(held):
-            grid[i, : len(r["v"])] = [x or 0.0 for x in r["v"]]
-        names, starts = np.unique(np.array([r["tag"] for r in held], object).astype(str), return_index=True)
-        own = {r["sample_id"]: i for i, r in enumerate(held)} if "sample_id" in cols else {}
-        shared = spark.sparkContext.broadcast((grid, names, starts, own))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, width=width) -> Iterator[pa.RecordBatch]:
-            grid, names, starts, own = shared.value
-            ends = [*starts[1:], len(grid)][: len(starts)]
-            for batch in batches:
-                for lo in range(0, batch.num_rows, ROWS):
-                    ids, vectors = (batch.column(i).slice(lo, ROWS) for i in (0, 1))
-                    n = len(ids)
-                    known = pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False).to_numpy(zero_copy_only=False).astype(bool) & (width > 0)
-                    scores = _matrix(pc.if_else(vectors.is_valid(), vectors, pa.scalar([], vectors.type)), width) @ grid.T
-                    for i, post in enumerate(ids.to_pylist() if own else []):
-                        if post in own:
-                            scores[i, own[post]] = -np.inf
-                    for k in ks:
-                        each = np.full((n, len(names)), -np.inf)
-                        for t, (a, b) in enumerate(zip(starts, ends, strict=True)):
-                            some = scores[:, a:b]
-                            if k == 1:
-                                each[:, t] = some.max(1)
-                                continue
-                            best = -np.sort(-some, axis=1)[:, :k]
-                            there = np.isfinite(best)
-                            each[:, t] = np.where(there.any(1), np.where(there, best, 0).sum(1) / np.maximum(there.sum(1), 1), -np.inf)
-                        first = each.argmax(1) if len(names) else np.zeros(n, int)
-                        top = each[np.arange(n), first] if len(names) else np.full(n, -np.inf)
-                        if len(names):
-                            each[np.arange(n), first] = -np.inf
-                        second = each.max(1, initial=-np.inf)
-                        fine = known & np.isfinite(top)
-                        tag = pa.array([str(names[t]) if f else None for t, f in zip(first, fine, strict=True)], pa.string())
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(known), pa.array(np.full(n, k, np.int32)), tag, pa.array(top, mask=~fine), pa.array(second, mask=~(fine & np.isfinite(second)))], ["post_id", "known", "k", "tag", "score", "second"])
-
-        one = rows.mapInArrow(run, schema)
-        found = one if found is None else found.unionByName(one)
-    if len(parts) == 1:
-        return found
+    tags, parts, sliced = _parts(samples, order)
+    ranks = {t: i for i, t in enumerate(tags)}
+    width = (samples.agg(F.max(F.size("v"))).first()[0] or 0) if tags else 0
+    cols = ["tag", "v", *(["sample_id"] if "sample_id" in samples.columns else [])]
+
+    def shared(chosen: DataFrame):
+        return spark.sparkContext.broadcast(_Cache([r.asDict() for r in chosen.select(*cols).collect()], ranks, width))
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                ids, vectors = (batch.column(i).slice(lo, ROWS) for i in (0, 1))
+                known = pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False).to_numpy(zero_copy_only=False).astype(bool) & (width > 0)
+                yield ids, known, _matrix(pc.if_else(vectors.is_valid(), vectors, pa.scalar([], vectors.type)), width)
+
+    def whole(cache) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = cache.value
+            for ids, known, grid in batches_of(batches):
+                tag, top, second, _ = held.best(grid, ids.to_pylist(), known, ks)
+                for j, k in enumerate(ks):
+                    none = tag[j] < 0
+                    named = [None if t < 0 else held.tags[t] for t in tag[j].tolist()]
+                    rank = [None if t < 0 else held.ranks[t] for t in tag[j].tolist()]
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(known), pa.array(np.full(len(ids), k, np.int32)), pa.array(named, pa.string()), pa.array(rank, pa.int32()), pa.array(top[j], mask=none), pa.array(second[j], mask=none | ~np.isfinite(second[j]))], names)
+
+        return rows.mapInArrow(run, f"post_id {kind}, known boolean, k int, tag string, rank int, score double, second double")
+
+    def slice_of(cache) -> DataFrame:
+        most = max(ks)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = cache.value
+            for ids, known, grid in batches_of(batches):
+                best = -np.sort(-held.scores(grid, ids.to_pylist(), np.arange(len(grid)), 0), axis=1)[:, :most] if held.tags else np.zeros((len(grid), 0))
+                lists = [[x for x in b if x > -np.inf] if f else [] for b, f in zip(best.tolist(), known.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(known), pa.array(lists, pa.list_(pa.float64()))], ["post_id", "known", "best"])
+
+        return rows.mapInArrow(run, f"post_id {kind}, known boolean, best array<double>")
+
+    found = [whole(shared(samples.where(F.col("tag").isin(part)))) for part in parts or [[]]] if parts or not sliced else []
+    for tag, n in sliced:
+        of = F.pmod(F.xxhash64("v", *cols[2:]), F.lit(n))
+        each = reduce(DataFrame.unionByName, [slice_of(shared(samples.where((F.col("tag") == tag) & (of == i)))) for i in range(n)])
+        best = each.groupBy("post_id").agg(F.bool_or("known").alias("known"), F.slice(F.sort_array(F.flatten(F.collect_list("best")), False), 1, max(ks)).alias("best"))
+        by_k = best.select("post_id", "known", F.explode(F.lit(list(ks))).alias("k"), "best").withColumn("best", F.slice("best", F.lit(1), F.col("k")))
+        mean = F.aggregate("best", F.lit(0.0), lambda x, y: x + y) / F.size("best")
+        by_k = by_k.withColumn("score", F.when((F.size("best") > 0) & (mean > -1), mean))
+        found.append(by_k.select("post_id", "known", "k", F.when(F.col("score").isNotNull(), tag).alias("tag"), F.when(F.col("score").isNotNull(), ranks[tag]).alias("rank"), "score", F.lit(None).cast("double").alias("second")))
+    if len(found) == 1:
+        return found[0].drop("rank")
     # the best two of each part's best two
-    both = F.array(F.struct((-F.col("score")).alias("s"), F.col("tag")), F.struct((-F.col("second")).alias("s"), F.lit(None).cast("string").alias("tag")))
-    merged = found.groupBy("post_id", "k").agg(F.bool_or("known").alias("known"), F.array_sort(F.filter(F.flatten(F.collect_list(both)), lambda x: x["s"].isNotNull())).alias("all"))
+    two = F.array(F.struct((-F.col("score")).alias("s"), "rank", "tag"), F.struct((-F.col("second")).alias("s"), F.lit(len(tags)).alias("rank"), F.lit(None).cast("string").alias("tag")))
+    merged = reduce(DataFrame.unionByName, found).groupBy("post_id", "k").agg(F.bool_or("known").alias("known"), F.array_sort(F.filter(F.flatten(F.collect_list(two)), lambda x: x["s"].isNotNull())).alias("all"))
     at = [F.get("all", F.lit(i)) for i in (0, 1)]
-    best = F.array_min(F.transform(F.filter("all", lambda x: x["s"] == at[0]["s"]), lambda x: x["tag"]))
-    return merged.select("post_id", "known", "k", best.alias("tag"), (-at[0]["s"]).alias("score"), (-at[1]["s"]).alias("second"))
+    # a second that ties with the best of another part stands behind it
+    return merged.select("post_id", "known", "k", at[0]["tag"].alias("tag"), (-at[0]["s"]).alias("score"), (-at[1]["s"]).alias("second"))
 
 
-def nearest_tags(posts: DataFrame, samples: DataFrame) -> DataFrame:
+def nearest_tags(posts: DataFrame, samples: DataFrame, order: list[str] | None = None) -> DataFrame:
     """post_id, known, tag, score, second: best and second tag of each post by its best sample, see tag_scores()."""
-    return tag_scores(posts, samples).select("post_id", "known", "tag", "score", "second")
+    return tag_scores(posts, samples, order=order).select("post_id", "known", "tag", "score", "second")
 
 
 def centroids(samples: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions import text
 from postloom.operators import classification, jobs, merge, routing, similarity
-from postloom.sources.tables import POSTS_DOCS, ROUTED, posts_docs, routed, table
+from postloom.sources.tables import POSTS_DOCS, ROUTED, UNITS, posts_docs, routed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,7 +25,7 @@ def _flow(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return posts, classification.decide(posts, v.select(F.col("vec_id").alias("post_id"), "v"), samples, **_LIMITS)
 
 
-_FLOW = rf"""WITH {POSTS_DOCS}, v AS (SELECT vec_id, lpad(label::VARCHAR, 2, '0') AS tag, embedding::DOUBLE[] AS v FROM embeddings),
+_FLOW = rf"""WITH {POSTS_DOCS}, {UNITS},
 s AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY tag ORDER BY vec_id DESC) <= 200),
 f AS (SELECT * REPLACE (CASE post_id % 6 WHEN 1 THEN 'up ' || post_id WHEN 2 THEN '3 sol in 2 minutes' WHEN 3 THEN 'mm 5%' ELSE text END AS text, CASE WHEN post_id % 12 = 1 THEN ' ZXX ' ELSE lang END AS lang) FROM posts),
 n AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM f ORDER BY posted_at DESC, post_id DESC LIMIT 1000),
@@ -147,7 +147,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return v.select(F.col("vec_id").alias("post_id"), "v"), similarity.recent(v, "vec_id").select("tag", "v", F.col("vec_id").alias("sample_id")), v.where("tag = '00'").select("v")
 
 
-_SIMS = "WITH v AS (SELECT vec_id, lpad(label::VARCHAR, 2, '0') AS tag, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY tag ORDER BY vec_id DESC) <= 200), r AS (SELECT p.vec_id, s.tag, list_inner_product(p.v, s.v) AS x, row_number() OVER (PARTITION BY p.vec_id, s.tag ORDER BY x DESC) AS i FROM v p JOIN s ON p.vec_id <> s.vec_id)"
+_SIMS = f"WITH {UNITS}, s AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY tag ORDER BY vec_id DESC) <= 200), r AS (SELECT p.vec_id, s.tag, list_inner_product(p.v, s.v) AS x, row_number() OVER (PARTITION BY p.vec_id, s.tag ORDER BY x DESC) AS i FROM v p JOIN s ON p.vec_id <> s.vec_id)"
 QUERIES["sim_buckets"] = lambda spark, sf_dir: similarity.buckets(*_vectors(spark, sf_dir)[:2], [1, 3])
 SQL["sim_buckets"] = f"{_SIMS}, b AS (SELECT k, vec_id, max(x) AS score FROM (SELECT k, vec_id, tag, avg(x) AS x FROM r, (SELECT unnest([1, 3]) AS k) WHERE i <= k GROUP BY ALL) GROUP BY ALL) SELECT k, floor(score / 0.02::DOUBLE)::INT AS bucket, count(*) AS posts FROM b GROUP BY ALL"
 QUERIES["negative_stats"] = lambda spark, sf_dir: (lambda df: df.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes]))(similarity.negative_stats(*_vectors(spark, sf_dir)))

@@ -11,7 +11,7 @@ from postloom.functions import text
 from postloom.functions.text import length_bucket, view_bucket
 from postloom.operators import delivery, evaluation, jobs, merge, outlines, reports, routing, search, similarity, stats
 from postloom.plans import classify, reporting, selection
-from postloom.sources.tables import POSTS_DOCS, POSTS_ORDERS, ROUTED, posts_docs, posts_orders, routed, table, texts
+from postloom.sources.tables import POSTS_DOCS, POSTS_ORDERS, ROUTED, UNITS, posts_docs, posts_orders, routed, table, texts
 from postloom.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,7 +121,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 QUERIES["knn_routing"] = lambda spark, sf_dir: routing.knn(*_vectors(spark, sf_dir), low=0.32, high=0.38, margin=0.01, strict=0.42).withColumn("importance", F.col("importance").cast("double"))
-SQL["knn_routing"] = """WITH v AS (SELECT vec_id, lpad(label::VARCHAR, 2, '0') AS tag, embedding::DOUBLE[] AS v FROM embeddings),
+SQL["knn_routing"] = f"""WITH {UNITS},
 s AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY tag ORDER BY vec_id DESC) <= 200),
 b AS (SELECT p.vec_id AS post_id, s.tag, max(list_inner_product(p.v, s.v)) AS score FROM v p JOIN s ON p.vec_id <> s.vec_id GROUP BY ALL),
 r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM b WINDOW w AS (PARTITION BY post_id ORDER BY score DESC, tag)),
@@ -198,7 +198,7 @@ _over(texts, "text_normalize", lambda p: p.select("post_id", text.embedding_text
   trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)^rt\s+@[A-Za-z0-9_]+:\s*', ''), '(?i)^rt\s+', ''), '(?i)https?://\S+|\bt\.co/\S+|\bpic\.twitter\.com/\S+', ' ', 'g'), '@[A-Za-z0-9_]+', ' ', 'g'), '#([\p{L}\p{N}_]+)', '\1', 'g'), '\s+', ' ', 'g')) AS bare FROM posts)""")
 
 # vectors
-_SAMPLES = """v AS (SELECT vec_id, lpad(label::VARCHAR, 2, '0') AS tag, embedding::DOUBLE[] AS v FROM embeddings),
+_SAMPLES = f"""{UNITS},
 s AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY tag ORDER BY vec_id DESC) <= 200)"""
 _TAG_STATS = f"""WITH {_SAMPLES}, n AS (SELECT tag, vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM s),
 e AS (SELECT tag, i, sum(u[i]) AS x FROM n, LATERAL (SELECT unnest(range(1, len(u) + 1)) AS i) GROUP BY ALL), c AS (SELECT tag, list(x ORDER BY i) AS c FROM e GROUP BY tag),

@@ -93,3 +93,8 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ROUTED = f"posts AS ({_ROUTED}events)"
+
+
+#: The vectors of `embeddings` by tag, as unit vectors; zeros where the length is 0 or not finite.
+UNITS = """v AS (SELECT vec_id, lpad(label::VARCHAR, 2, '0') AS tag, list_transform(e, lambda x: CASE WHEN size > 0 AND isfinite(size) THEN x / size ELSE 0 END) AS v
+FROM (SELECT *, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size FROM embeddings))"""

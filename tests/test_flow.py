@@ -89,28 +89,67 @@ def test_quotas_and_samples(spark):
     assert classification.refresh({"model": "n", "dimensions": 2}, "m", 2, "macro") == "full" and classification.refresh(None, "m", 2, "zzz") == "unknown-tag"
 
 
-def test_neighbours_in_parts_and_odd_vectors(spark, monkeypatch):
-    gen = np.random.default_rng(1)
-    samples = [(f"t{i % 5}", gen.normal(0, 1, 4).tolist(), 1000 + i) for i in range(60)]
-    posts = [(i, gen.normal(0, 1, 4).tolist()) for i in range(40)] + [(1003, samples[3][1]), (90, None), (91, [1.0]), (92, [])]
-    p, s = spark.createDataFrame(posts, "post_id long, v array<double>"), spark.createDataFrame(samples, "tag string, v array<double>, sample_id long")
+def unit(v):
+    v = np.array(v, float)
+    size = np.linalg.norm(v)
+    return v / size if size > 0 and np.isfinite(size) else np.zeros(len(v))
+
+
+def plain_scores(posts, samples, order, k):
+    """Best tag, its score and the second score by post: a loop over the tags in order, as long as one is higher than all before."""
     want = {}
     for i, v in posts:
         if v is None or len(v) != 4:
             continue
-        best = sorted((-max(float(np.dot(v, w)) for t, w, k in samples if t == tag and k != i), tag) for tag in {x[0] for x in samples})
-        want[i] = (best[0][1], round(-best[0][0], 9), round(-best[1][0], 9))
-    for most in (20_000, 25):
-        monkeypatch.setattr(similarity, "CACHE", most)
-        got = {r["post_id"]: r for r in similarity.nearest_tags(p, s).collect()}
-        assert len(got) == len(posts) and not any(got[i]["known"] for i in (90, 91, 92))
-        assert {i: (r["tag"], round(r["score"], 9), round(r["second"], 9)) for i, r in got.items() if r["known"]} == want
+        tag, best, second = None, -1.0, -1.0
+        for t in order:
+            each = sorted((float(unit(v) @ unit(w)) for u, w, s in samples if u == t and s != i), reverse=True)[:k]
+            if not each:
+                continue
+            score = sum(each) / len(each)
+            if score > best:
+                tag, best, second = t, score, best
+            elif score > second:
+                second = score
+        want[i] = (tag, round(best, 9) if tag else None, round(second, 9) if second > -1 else None)
+    return want
+
+
+def test_neighbours_in_parts_and_odd_vectors(spark, monkeypatch):
+    gen = np.random.default_rng(1)
+    samples = [(f"t{i % 5}", (gen.normal(0, 1, 4) * [1, 0.1, 5, 0][i % 4]).tolist(), 1000 + i) for i in range(60)]
+    samples += [("t9", samples[1][1], 1001), ("t0", samples[1][1], 2000)]  # a post that is a sample of two tags
+    posts = [(i, (gen.normal(0, 1, 4) * [1, 0.1, 5][i % 3]).tolist()) for i in range(40)] + [(1003, samples[3][1]), (1001, samples[1][1]), (80, [0.0] * 4), (81, [1e200] * 4), (90, None), (91, [1.0]), (92, [])]
+    p, s = spark.createDataFrame(posts, "post_id long, v array<double>"), spark.createDataFrame(samples, "tag string, v array<double>, sample_id long")
+    names = ["t3", "t9", "t0", "t1", "t2", "t4"]
+    for order in (sorted(names), names):
+        for most in (20_000, 25, 10):
+            monkeypatch.setattr(similarity, "CACHE", most)
+            rows = similarity.tag_scores(p, s, (1, 3), order).collect()
+            assert len(rows) == 2 * len(posts) and not any(r["known"] for r in rows if r["post_id"] in (90, 91, 92))
+            for k in (1, 3):
+                got = {r["post_id"]: (r["tag"], r["score"] and round(r["score"], 9), r["second"] and round(r["second"], 9)) for r in rows if r["known"] and r["k"] == k}
+                assert got == plain_scores(posts, samples, order, k)
     reasons = {r["post_id"]: r["reason"] for r in routing.knn(p, s.limit(0)).collect()}
     assert set(reasons.values()) == {"embed-missing"}
     one = routing.knn(p, s.where("tag = 't1'"), low=-9.0, high=-8.0, margin=0.0).where("post_id < 40").collect()
     assert all(r["status"] == "AUTO_HIGH" and r["margin"] is None for r in one)
     own = spark.createDataFrame([("t1", 99.0, 99.0, 0.0, 99.0)], "tag string, low double, high double, margin double, strict double")
     assert {r["reason"] for r in routing.knn(p, s.where("tag = 't1'"), thresholds=own).where("post_id < 40").collect()} == {"embed-low"}
+    back = spark.createDataFrame([(1, [1.0, 0.0])], "post_id long, v array<double>")
+    assert routing.knn(back, spark.createDataFrame([("a", [-3.0, 0.0])], "tag string, v array<double>")).first()["reason"] == "embed-unrouted"
+
+
+def test_tags_below_the_second_best_are_left_out():
+    gen = np.random.default_rng(2)
+    centres = gen.normal(0, 1, (40, 16))
+    rows = [{"tag": f"t{i:02}", "v": (c + gen.normal(0, 0.05, 16)).tolist()} for i, c in enumerate(centres) for _ in range(50)]
+    cache = similarity._Cache(rows, {f"t{i:02}": i for i in range(40)}, 16)
+    posts = np.array([unit(centres[i % 40] + gen.normal(0, 0.05, 16)) for i in range(400)])
+    tag, top, second, done = cache.best(posts, [None] * 400, np.ones(400, bool), (1,))
+    each = np.stack([(posts @ cache.grid[a:b].T).max(1) for a, b in zip(cache.starts, cache.ends, strict=True)], 1)
+    assert (tag[0] == each.argmax(1)).all() and np.allclose(top[0], each.max(1)) and np.allclose(second[0], np.sort(each, 1)[:, -2])
+    assert done < 0.7 * 400 * 40
 
 
 def test_interpolated_quantiles(spark):
