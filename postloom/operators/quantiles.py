@@ -8,32 +8,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Parts of a group's range of values that are counted apart.
-BINS = 1024
+#: Parts that a group's distinct values are cut into at a time, and how many times: 4,096 parts in all.
+PARTS, ROUNDS = 64, 2
 
 
-def elements(rows: DataFrame, key: str, value: str, qs: list[float], places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+def _place(cuts: Column, v: Column) -> Column:
+    """How many of the ascending cuts are below v, by binary search."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(PARTS.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(cuts, at + step - 1) < v, step).otherwise(F.lit(0)))
+
+
+def _before(rows: DataFrame, *cols: str) -> DataFrame:
+    """rows with `before`: what n adds up to in the rows of cols[:-1] that come before by cols[-1]."""
+    order = Window.partitionBy(*cols[:-1]).orderBy(cols[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+
+
+def elements(rows: DataFrame, key: str, value: str, qs: list[float], places: dict[str, Callable[[Column], Column]], rounds: int = ROUNDS) -> DataFrame:
     """key, q, at, and in `value` the element at places[at]((n - 1) q) of the key's sorted values, nulls left out.
 
-    Equal values are counted before anything is ordered.  Counts by part of the key's range
-    tell which part holds the element; only the values of that part are then ordered.
+    Equal values are counted before anything is ordered.  A mergeable sketch of the distinct values gives cuts, so that parts are even however the
+    values lie; counts by part tell which hold the elements, and these alone are cut again, `rounds` times in all: what is ordered
+    in one place at last is a PARTS ** rounds-th of the key's distinct values.
     """
     v = F.col(value).cast("double")
     counts = rows.where(F.col(value).isNotNull() & F.col(key).isNotNull()).groupBy(key, v.alias("v")).agg(F.count("*").alias("n"))
-    range_ = counts.groupBy(key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    part = F.least(F.lit(BINS - 1), F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * BINS)).cast("int")
-    parted = counts.join(range_, key).select(key, "v", "n", "total", part.alias("part"))
-
-    def before(*cols: str):
-        order = Window.partitionBy(key, *cols[:-1]).orderBy(cols[-1]).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("n").over(order), F.lit(0))
-
-    parts = parted.groupBy(key, "part").agg(F.sum("n").alias("n"), F.max("total").alias("total")).withColumn("before", before("part"))
-    wants = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(name).alias("at"), place((F.col("total") - 1) * q).cast("long").alias("place")) for q in qs for name, place in places.items()])
-    each = parts.select("*", F.inline(wants)).withColumn("want", F.col("place") - F.col("before"))
-    hits = each.where((F.col("want") >= 0) & (F.col("want") < F.col("n"))).select(key, "part", "q", "at", "want")
-    inside = parted.select(key, "part", "v", "n").join(hits, [key, "part"]).withColumn("before", before("q", "at", "v"))
-    return inside.where((F.col("before") <= F.col("want")) & (F.col("want") < F.col("before") + F.col("n"))).select(key, "q", "at", F.col("v").alias("value"))
+    totals = counts.groupBy(key).agg(F.sum("n").alias("total"))
+    wants = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(name).alias("at"), place((F.col("total") - 1) * q).cast("long").alias("want")) for q in qs for name, place in places.items()])
+    wanted = totals.select(key, F.lit(0).cast("long").alias("part"), F.inline(wants))
+    inside = counts.select(key, F.lit(0).cast("long").alias("part"), "v", "n")
+    for _ in range(rounds):
+        cuts = inside.groupBy(key, "part").agg(F.percentile_approx("v", [i / PARTS for i in range(1, PARTS)], 10_000).alias("cuts"))
+        parted = inside.join(cuts, [key, "part"]).select(key, "part", (F.col("part") * PARTS + _place(F.col("cuts"), F.col("v"))).alias("sub"), "v", "n")
+        sizes = _before(parted.groupBy(key, "part", "sub").agg(F.sum("n").alias("n")), key, "part", "sub")
+        hits = sizes.join(wanted, [key, "part"]).where((F.col("before") <= F.col("want")) & (F.col("want") < F.col("before") + F.col("n")))
+        # a row for each key and place wanted
+        wanted = hits.select(key, F.col("sub").alias("part"), "q", "at", (F.col("want") - F.col("before")).alias("want"))
+        held = wanted.select(key, F.col("part").alias("sub")).distinct()
+        inside = parted.join(held, [key, "sub"], "left_semi").select(key, F.col("sub").alias("part"), "v", "n")
+    ordered = _before(inside, key, "part", "v").join(wanted, [key, "part"])
+    return ordered.where((F.col("before") <= F.col("want")) & (F.col("want") < F.col("before") + F.col("n"))).select(key, "q", "at", F.col("v").alias("value"))
 
 
 def floor_quantiles(rows: DataFrame, key: str, value: str, qs: list[float]) -> DataFrame:

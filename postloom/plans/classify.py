@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.functions import text
-from postloom.operators import classification, jobs, merge, routing, similarity
+from postloom.operators import classification, jobs, merge, routing, scoring, similarity
 from postloom.sources.tables import POSTS_DOCS, ROUTED, UNITS, posts_docs, routed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,18 @@ SQL["negative_stats"] = f"""{_SIMS}, n AS (SELECT i, sum(v[i] / sqrt(list_inner_
 b AS (SELECT vec_id, max(x) AS score FROM r GROUP BY vec_id), d AS (SELECT score, list_inner_product(v, c) / sqrt(list_inner_product(v, v) * list_inner_product(c, c)) AS near FROM b JOIN v USING (vec_id), c)
 SELECT count(*) AS posts, round(avg(1 - near), 6) AS distance, round(max(near), 6) AS nearest, round(avg(score - near), 6) AS gap, round(min(score - near), 6) AS least_gap FROM d"""
 QUERIES["random_sample"] = lambda spark, sf_dir: merge.sampled(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", 100)
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routed posts with their texts, scored in batches by a model without a network that leaves out and refuses some."""
+    posts = routed(spark, sf_dir).where("status = 'ROUTED'").select("post_id", "tag")
+    plan = classification.batches(posts, most=1 << 30)
+    texts = posts_docs(spark, sf_dir).select("post_id", "text")
+    return scoring.scored(plan.join(texts, "post_id"), scoring.LengthModel(11, 37), pause=0.0)
+
+
+_SCORED = f"""WITH {POSTS_DOCS}, r AS ({ROUTED.split('AS (', 1)[1][:-1]}), s AS (SELECT p.post_id, text, CASE WHEN p.post_id % 37 = 0 THEN 'abandoned' WHEN p.post_id % 11 = 0 THEN 'filled' ELSE 'scored' END AS outcome FROM posts p JOIN r USING (post_id) WHERE r.status = 'ROUTED')"""
+QUERIES["model_scores"] = lambda spark, sf_dir: _scored(spark, sf_dir).select("post_id", "outcome", F.coalesce("reason", F.lit("-")).alias("reason"), F.coalesce("importance", F.lit(0.0)).alias("importance"))
+SQL["model_scores"] = f"{_SCORED} SELECT post_id, outcome, CASE outcome WHEN 'abandoned' THEN 'content-risk' ELSE '-' END AS reason, (CASE outcome WHEN 'scored' THEN 1 + length(coalesce(text, '')) % 5 ELSE 0 END)::DOUBLE AS importance FROM s"
+QUERIES["model_insights"] = lambda spark, sf_dir: scoring.insights(_scored(spark, sf_dir)).select("post_id", "verdict", "importance", F.length("summary").alias("size"))
+SQL["model_insights"] = rf"""{_SCORED} SELECT post_id, 'watch' AS verdict, (CASE outcome WHEN 'scored' THEN 1 + length(coalesce(text, '')) % 5 ELSE 2 END)::INT AS importance, least(120, length(trim(regexp_replace(text, '\s+', ' ', 'g'))))::INT AS size FROM s WHERE outcome <> 'abandoned'"""

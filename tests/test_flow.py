@@ -158,6 +158,22 @@ def test_interpolated_quantiles(spark):
     assert tuple(quantiles.interpolated(df.limit(0), "x", {"a": 0.9}).first()) == (None,)
 
 
+def test_quantiles_of_skewed_values(spark):
+    gen = np.random.default_rng(5)
+    values = {"even": gen.normal(0, 1, 5000).tolist(), "far": [*gen.normal(0, 1e-9, 19_999).tolist(), 1e12], "one": [3.0] * 700, "two": [-1e300, 1e300], "nan": [float("nan"), 1.0, 2.0]}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in values.items() for x in xs] + [("even", None), (None, 1.0)], "k string, x double")
+    qs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    for rounds in (1, 2, 3):
+        got = {(r["k"], r["q"], r["at"]): r["value"] for r in quantiles.elements(df, "k", "x", qs, {"lo": F.floor, "hi": F.ceil}, rounds=rounds).collect()}
+        for k, xs in values.items():
+            order = sorted(x for x in xs if x == x) + [x for x in xs if x != x]
+            for q in qs:
+                for at, place in (("lo", np.floor), ("hi", np.ceil)):
+                    want = order[int(place((len(order) - 1) * q))]
+                    assert got[k, q, at] == want or (want != want and got[k, q, at] != got[k, q, at]), (k, q, at)
+        assert len(got) == len(values) * len(qs) * 2
+
+
 def test_search_ids_and_windows(spark):
     assert search.post_id("x.com/u/status/1234567890") == "1234567890" and search.post_id("123456789") is None and search.post_id("see 1234567890!") == "1234567890"
     now = datetime(2024, 1, 2, 3)
