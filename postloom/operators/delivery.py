@@ -54,10 +54,11 @@ def messages(reports: DataFrame, titles: list[str], size: int = 5) -> DataFrame:
 
 
 def digest_items(digest: Column) -> Column:
-    """The strings of the list `bullets` of a JSON text, fenced or not; of other text its lines that aren't blank.  Null is null."""
+    """The strings of the list `bullets` of a JSON text, fenced or not, whatever else the list holds; of other text its lines that aren't blank.  Null is null."""
     text = strip(digest)
     json = F.coalesce(F.nullif(F.regexp_extract(text, r"(?is)```json\s*(.*?)```", 1), F.lit("")), text)
-    read = F.from_json(json, "bullets array<string>")["bullets"]
+    items = F.try_variant_get(F.try_parse_json(json), "$.bullets", "array<variant>")
+    read = F.transform(F.filter(items, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
     parsed = F.when(text.rlike(r"(?i)^(\{|\[|```json)"), read)
     return F.filter(F.transform(F.coalesce(parsed, F.split(text, r"\r?\n")), strip), lambda x: x != "")
 

@@ -28,17 +28,27 @@ def pages_after(pages: DataFrame) -> DataFrame:
     return pages.select("page", F.coalesce(F.size("timeline"), F.lit(0)).alias("rows"), cursor.alias("next_cursor"), cursor.isNotNull().alias("has_more"))
 
 
+def _number(x: Column) -> Column:
+    """A VARIANT's number as a double; null where it is anything else, or not finite."""
+    n = F.when(F.schema_of_variant(x).rlike("^(DOUBLE|FLOAT|DECIMAL|[A-Z]*INT)"), F.try_variant_get(x, "$", "double"))
+    return F.when(F.abs(n) < float("inf"), n)
+
+
 def tag_samples(cache: DataFrame, dimensions: int) -> DataFrame:
-    """tag, v: unit vectors of a cache's JSON {tag: [[...]]} (column samples); components that aren't finite are 0, vectors of another size don't count, text that isn't such JSON holds none."""
-    rows = cache.select(F.explode(F.from_json("samples", "map<string,array<array<double>>>")).alias("tag", "vs")).select("tag", F.explode("vs").alias("v"))
-    finite = F.transform("v", lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x))
-    return rows.where(F.size("v") == dimensions).select("tag", normalized(finite).alias("v"))
+    """tag, v: unit vectors of a cache's JSON {tag: [[...]]} (column samples), each part judged by itself.
+
+    Components that aren't finite numbers are 0, vectors of another size (0: any) and what is no vector don't count, nor do tags without a list; text that is no JSON object holds none.
+    """
+    tags = cache.select(F.explode(F.try_variant_get(F.try_parse_json("samples"), "$", "map<string,variant>")).alias("tag", "vs"))
+    vectors = tags.select("tag", F.explode(F.try_variant_get("vs", "$", "array<variant>")).alias("v")).select("tag", F.try_variant_get("v", "$", "array<variant>").alias("v"))
+    rows = vectors.where(F.col("v").isNotNull() if dimensions <= 0 else F.size("v") == dimensions)
+    return rows.select("tag", normalized(F.transform("v", lambda x: F.coalesce(_number(x), F.lit(0.0)))).alias("v"))
 
 
 def sample_counts(x: Column) -> Column:
-    """A JSON {tag: number} as whole numbers, 0 at least; what isn't a number is left out."""
-    numbers = F.map_filter(F.from_json(x, "map<string,double>"), lambda _, n: n.isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf")))
-    return F.transform_values(numbers, lambda _, n: F.greatest(F.lit(0), F.floor(n)))
+    """A JSON {tag: number} as whole numbers, 0 at least; what isn't a finite number is left out, text that is no JSON object has none (null)."""
+    numbers = F.transform_values(F.try_variant_get(F.try_parse_json(x), "$", "map<string,variant>"), lambda _, n: _number(n))
+    return F.transform_values(F.map_filter(numbers, lambda _, n: n.isNotNull()), lambda _, n: F.greatest(F.lit(0), F.floor(n)))
 
 
 def bulk_accounts(lists: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from postloom.sources import paged, published
+from postloom.operators import delivery
+from postloom.sources import landed, paged, published
 
 
 def page(folder, cursor, ids, next_cursor):
@@ -86,3 +88,19 @@ def test_index_of_any_shape():
     assert published.indexed("text\n", {"f.md": line}) == f"{published.HEADER}\n\ntext\n\n{line}\n"
     assert published.indexed("# Own\nintro\r\n- old\n", {"f.md": line}) == f"# Own\n\nintro\n{line}\n- old\n"
     assert published.indexed(None, {}) == f"{published.HEADER}\n"
+
+
+def test_caches_of_mixed_types(spark):
+    texts = ['{"a": [[1.0, "x"], [3.0, 4.0], 7, [1], null], "b": [[0.0, 2]], "c": 5, "d": [[1e400, 5.5]], "e": [[true, {"x": 1}]]}', "nonsense", "[[1.0, 2.0]]", None, "{}", '"a"']
+    cache = spark.createDataFrame([(t,) for t in texts], "samples string")
+    got = sorted((r["tag"], [round(x, 6) for x in r["v"]]) for r in landed.tag_samples(cache, 2).collect())
+    assert got == [("a", [0.6, 0.8]), ("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("d", [0.0, 1.0]), ("e", [0.0, 0.0])]
+    assert ("a", 1) in [(r["tag"], len(r["v"])) for r in landed.tag_samples(cache, 0).collect()]
+    counts = spark.createDataFrame([('{"a": 3.7, "b": "x", "c": -2, "d": null, "e": true, "f": 12}',), ("no",), (None,)], "x string")
+    assert [r[0] for r in counts.select(landed.sample_counts(F.col("x"))).collect()] == [{"a": 3, "c": 0, "f": 12}, None, None]
+
+
+def test_bullets_of_mixed_types(spark):
+    texts = ['{"bullets": ["a", 1, null, {"x": 2}, " b "]}', 'x ```json\n{"bullets": ["c"]}\n```', "{bad\n line", '{"bullets": 5}', None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(delivery.digest_items(F.col("t"))).collect()]
+    assert got[0] == ["a", "b"] and got[2] == ["{bad", "line"] and got[4] is None
