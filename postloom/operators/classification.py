@@ -64,6 +64,11 @@ def queued(posts: DataFrame, ids: DataFrame, at: str) -> DataFrame:
     return changed_if(posts, ids, (F.col("status") == "ROUTED") & F.col("queued_at").isNull(), {"status": F.lit("LLM_QUEUED"), "queued_at": F.expr(f"timestamp_ntz '{at}'")})
 
 
+def put_back(posts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Posts whose job could not be queued are routed again, where no insight came meanwhile."""
+    return changed_if(posts, ids, F.col("status") == "LLM_QUEUED", {"status": F.lit("ROUTED"), "queued_at": F.lit(None)})
+
+
 def completed(posts: DataFrame, insights: DataFrame, at: str) -> DataFrame:
     """Posts that got an insight are completed."""
     return changed_if(posts, insights, F.lit(True), {"status": F.lit("COMPLETED"), "processed_at": F.expr(f"timestamp_ntz '{at}'"), "queued_at": F.lit(None)})

@@ -211,21 +211,20 @@ def chunked(posts: DataFrame) -> DataFrame:
     return placed.select("report", "post_id", F.floor(F.col("pos") / CHUNK).cast("int").alias("chunk"), "pos")
 
 
-def triage(posts: DataFrame, decisions: DataFrame | None, keep: int = KEEP) -> DataFrame:
+def triage(posts: DataFrame, decisions: DataFrame | None, keep: int = KEEP, failed: DataFrame | None = None) -> DataFrame:
     """The posts that stay: those of high importance, and of each chunk of the middle the first `keep` that the decisions include.
 
-    decisions (report, post_id, place, include) come from a model that saw chunked(); a chunk without any decision failed, and
-    stays whole.  Without decisions (None), or in a report without posts of the middle or with nothing to stay, all posts stay.
+    decisions (report, post_id, place, include) come from a model that saw chunked().  failed (report, chunk) names the chunks that got no
+    answer: they stay whole; of a chunk whose answer includes nothing, or is empty, nothing stays.  Without decisions (None), or in a report without posts of the middle or with nothing to stay, all posts stay.
     """
     if decisions is None:
         return posts
     mid = chunked(posts)
     keep = max(1, min(CHUNK, int(keep)))
     said = mid.join(decisions.select("report", "post_id", "place", "include"), ["report", "post_id"], "left")
-    heard = said.groupBy("report", "chunk").agg((F.count("include") == 0).alias("failed"))
     first = F.row_number().over(Window.partitionBy("report", "chunk").orderBy("place", "post_id"))  # a chunk at most
     chosen = said.where("include").withColumn("r", first).where(F.col("r") <= keep).select("report", "post_id")
-    whole = mid.join(heard.where("failed"), ["report", "chunk"]).select("report", "post_id")
+    whole = mid.join(failed.select("report", "chunk").distinct(), ["report", "chunk"]).select("report", "post_id") if failed is not None else chosen.limit(0)
     kept = chosen.union(whole).union(posts.where(F.col("importance") >= HIGH).select("report", "post_id")).distinct()
     looked = mid.select("report").distinct().join(kept.select("report").distinct(), "report")
     return posts.join(kept, ["report", "post_id"], "left_semi").unionByName(posts.join(looked, "report", "left_anti"))

@@ -66,8 +66,8 @@ def view_buckets(posts: DataFrame) -> DataFrame:
 
 def length_by_importance(posts: DataFrame) -> DataFrame:
     levels = posts.sparkSession.range(1, 6).select(F.col("id").cast("int").alias("importance"))
-    found = posts.withColumn("len", F.length("text")).groupBy("importance").agg(F.count("*").alias("n"), F.avg("len").alias("a"), F.min("len").alias("lo"), F.max("len").alias("hi"), F.percentile("len", F.lit(0.5)).alias("m"), F.avg("views").alias("v"))
-    return levels.join(found, "importance", "left").select("importance", _long(F.col("n")).alias("posts"), _num(F.col("a")).alias("avg_length"), F.col("lo").cast("long").alias("min_length"), F.col("hi").cast("long").alias("max_length"), _num(F.col("m")).alias("median_length"), _num(F.col("v")).alias("avg_views"))
+    found = posts.withColumn("len", F.length("text")).groupBy("importance").agg(F.count("*").alias("n"), F.avg("len").alias("a"), F.min("len").alias("lo"), F.max("len").alias("hi"), F.percentile("len", F.lit(0.5)).alias("m"), F.percentile("len", F.lit(0.9)).alias("p"), F.avg("views").alias("v"))
+    return levels.join(found, "importance", "left").select("importance", _long(F.col("n")).alias("posts"), _num(F.col("a")).alias("avg_length"), F.col("lo").cast("long").alias("min_length"), F.col("hi").cast("long").alias("max_length"), _num(F.col("m")).alias("median_length"), _num(F.col("p")).alias("p90_length"), _num(F.col("v")).alias("avg_views"))
 
 
 def score_matrix(posts: DataFrame, bucket: Column) -> DataFrame:
@@ -95,11 +95,16 @@ def tags(posts: DataFrame, high: int = HIGH, limit: int = 12) -> DataFrame:
     return found.orderBy(F.desc("posts"), "first", "tag").limit(limit).drop("first")
 
 
-def high_shares(posts: DataFrame, key: Column, high: int = HIGH) -> DataFrame:
-    """Shares of the key's values among posts of high importance; null keys are unknown."""
-    top = posts.where(F.col("importance") >= high).groupBy(F.coalesce(key, F.lit("unknown")).alias("key")).agg(F.count("*").alias("posts"))
+#: How many authors and tags a profile lists.
+AUTHORS, TAGS = 8, 12
+
+
+def high_shares(posts: DataFrame, key: Column, high: int = HIGH, limit: int | None = None) -> DataFrame:
+    """Shares of the key's values among posts of high importance; null keys are unknown.  With a limit those of most posts, of equals the one seen first, by post_id."""
+    top = posts.where(F.col("importance") >= high).groupBy(F.coalesce(key, F.lit("unknown")).alias("key")).agg(F.count("*").alias("posts"), F.min("post_id").alias("first"))
     total = top.agg(F.sum("posts").alias("total"))
-    return top.join(F.broadcast(total)).select("key", "posts", _num(F.col("posts") / F.col("total")).alias("share"))
+    listed = top if limit is None else top.orderBy(F.desc("posts"), "first", "key").limit(limit)
+    return listed.join(F.broadcast(total)).select("key", "posts", _num(F.col("posts") / F.col("total")).alias("share"))
 
 
 def accounts(posts: DataFrame, known: DataFrame, high: int = HIGH) -> DataFrame:
@@ -152,7 +157,7 @@ def leaders(found: DataFrame, by: str, top: int = 10) -> DataFrame:
 
 
 def high_totals(posts: DataFrame, high: int = HIGH) -> DataFrame:
-    """Posts of high importance: number, share of the scored, lengths, views, tags a post, shares with a summary and with suggestions."""
+    """Posts of high importance: number, share of the scored, lengths, views and their number, tags a post, shares with a summary and with suggestions."""
     is_high = F.col("importance") >= high
     size, tags_ = (F.when(is_high, x) for x in (F.length("text"), F.coalesce(F.size("tags"), F.lit(0))))
     said = {name: F.when(is_high, (F.coalesce(F.trim(name), F.lit("")) != "").cast("int")) for name in ("summary", "suggestions")}
@@ -161,15 +166,19 @@ def high_totals(posts: DataFrame, high: int = HIGH) -> DataFrame:
         F.count_if(is_high).alias("posts"),
         _num(F.try_divide(F.count_if(is_high), F.count("importance"))).alias("ratio"),
         *[_num(F.percentile(size, F.lit(q / 100))).alias(f"length_p{q}") for q in (50, 90)],
+        _num(F.avg(size)).alias("avg_length"),
+        F.count_if(is_high & F.col("views").isNotNull()).alias("with_views"),
+        _num(F.avg(F.when(is_high, F.col("views")))).alias("avg_views"),
         _num(F.avg(tags_)).alias("avg_tags"),
         *[_num(F.avg(x)).alias(f"{name}_rate") for name, x in said.items()],
     )
     return found.crossJoin(views.select(*[_num(F.col(c)).alias(c) for c in views.columns]))  # one row each
 
 
-def high_tags(posts: DataFrame, high: int = HIGH) -> DataFrame:
-    """Tags of posts of high importance, with the share of those posts."""
+def high_tags(posts: DataFrame, high: int = HIGH, limit: int | None = TAGS) -> DataFrame:
+    """The tags of most posts of high importance, with the share of those posts; of equals the one seen first."""
     top = posts.where(F.col("importance") >= high)
     total = top.agg(F.count("*").alias("total"))
-    found = top.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("posts"))
-    return found.join(F.broadcast(total)).select("tag", "posts", _num(F.col("posts") / F.col("total")).alias("share"))
+    found = top.select("post_id", F.posexplode("tags").alias("pos", "tag")).groupBy("tag").agg(F.count("*").alias("posts"), F.min(F.struct("post_id", "pos")).alias("first"))
+    listed = found if limit is None else found.orderBy(F.desc("posts"), "first").limit(limit)
+    return listed.join(F.broadcast(total)).select("tag", "posts", _num(F.col("posts") / F.col("total")).alias("share"))

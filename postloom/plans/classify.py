@@ -71,6 +71,9 @@ SQL["persist_routing"] = f"""{_STATES}, n AS (SELECT * REPLACE (CASE WHEN status
 QUERIES["queue_posts"] = lambda spark, sf_dir: _shown(classification.queued(_states(spark, sf_dir), routed(spark, sf_dir).where("post_id % 2 = 0").select("post_id"), _AT)).select("post_id", "status", "queued_at")
 SQL["queue_posts"] = f"""{_STATES}, n AS (SELECT post_id, routed_at, processed_at, status = 'ROUTED' AND queued_at IS NULL AND post_id % 2 = 0 AS go, CASE WHEN go THEN 'LLM_QUEUED' ELSE status END AS status, CASE WHEN go THEN TIMESTAMP '{_AT}' ELSE queued_at END AS queued_at FROM o)
 SELECT post_id, status, coalesce(strftime(queued_at, '%m-%d %H:%M:%S'), '-') AS queued_at FROM n"""
+QUERIES["put_back_posts"] = lambda spark, sf_dir: _shown(classification.put_back(_states(spark, sf_dir), routed(spark, sf_dir).where("post_id % 3 <> 0").select("post_id"))).select("post_id", "status", "queued_at")
+SQL["put_back_posts"] = f"""{_STATES}, n AS (SELECT post_id, status = 'LLM_QUEUED' AND post_id % 3 <> 0 AS back, CASE WHEN back THEN 'ROUTED' ELSE status END AS status, CASE WHEN back THEN NULL ELSE queued_at END AS queued_at FROM o)
+SELECT post_id, status, coalesce(strftime(queued_at, '%m-%d %H:%M:%S'), '-') AS queued_at FROM n"""
 QUERIES["complete_posts"] = lambda spark, sf_dir: _shown(classification.completed(_states(spark, sf_dir), routed(spark, sf_dir).where("status = 'ROUTED' AND post_id % 4 = 0").select("post_id"), _AT)).select("post_id", "status", "processed_at", "queued_at")
 SQL["complete_posts"] = f"""{_STATES}, n AS (SELECT post_id, status = 'ROUTED' AND post_id % 4 = 0 AS go, CASE WHEN go THEN 'COMPLETED' ELSE status END AS status, CASE WHEN go THEN TIMESTAMP '{_AT}' ELSE processed_at END AS processed_at, CASE WHEN NOT go THEN queued_at END AS queued_at FROM o)
 SELECT post_id, status, coalesce(strftime(processed_at, '%m-%d %H:%M:%S'), '-') AS processed_at, coalesce(strftime(queued_at, '%m-%d %H:%M:%S'), '-') AS queued_at FROM n"""

@@ -24,14 +24,16 @@ def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _posts(spark, sf_dir)
-    said = rows.where("report % 7 <> 0").select("report", "post_id", F.col("post_id").alias("place"), (F.col("post_id") % 3 != 0).alias("include"))
-    return reports.triage(rows, said, 3).select("report", "post_id")
+    said = rows.where("report % 7 > 1").select("report", "post_id", F.col("post_id").alias("place"), (F.col("post_id") % 3 != 0).alias("include"))
+    # no answer for some reports, an empty one for others
+    failed = reports.chunked(rows).where("report % 7 = 0").select("report", "chunk")
+    return reports.triage(rows, said, 3, failed).select("report", "post_id")
 
 
 QUERIES["report_triage"] = _triage
 SQL["report_triage"] = f"""WITH {POSTS_DOCS}, p AS (SELECT *, date_diff('day', DATE '2024-01-01', posted_at::DATE) AS report FROM posts),
 m AS (SELECT *, (row_number() OVER (PARTITION BY report ORDER BY importance DESC, posted_at DESC, post_id) - 1) // 30 AS chunk FROM p WHERE importance BETWEEN 2 AND 3),
-k AS (SELECT report, post_id FROM m WHERE report % 7 <> 0 AND post_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY report, chunk ORDER BY post_id) <= 3 UNION SELECT report, post_id FROM m WHERE report % 7 = 0 UNION SELECT report, post_id FROM p WHERE importance >= 4)
+k AS (SELECT report, post_id FROM m WHERE report % 7 > 1 AND post_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY report, chunk ORDER BY post_id) <= 3 UNION SELECT report, post_id FROM m WHERE report % 7 = 0 UNION SELECT report, post_id FROM p WHERE importance >= 4)
 SELECT report::INT AS report, post_id FROM p WHERE (report, post_id) IN (SELECT report, post_id FROM k) OR report NOT IN (SELECT m.report FROM m JOIN k USING (report))"""
 
 

@@ -48,7 +48,7 @@ _over(posts_orders, "order_totals", lambda p: stats.totals(p, F.col("text_len"))
 _over(posts_docs, "length_buckets", stats.length_buckets, _bucket_sql("'0-40', '41-80', '81-140', '141-200', '201-260', '261+'", _LEN, "text IS NOT NULL"))
 _over(posts_docs, "view_buckets", stats.view_buckets, _bucket_sql("'0-1k', '1k-5k', '5k-10k', '10k+'", _VIEW, "views IS NOT NULL"))
 _over(posts_docs, "length_by_importance", stats.length_by_importance, """SELECT l.importance::INT AS importance, count(p.post_id) AS posts, round(avg(length(text)), 6) AS avg_length, min(length(text)) AS min_length, max(length(text)) AS max_length,
-  round(quantile_cont(length(text)::DOUBLE, 0.5), 6) AS median_length, round(avg(views), 6) AS avg_views FROM (SELECT unnest(range(1, 6)) AS importance) l LEFT JOIN posts p USING (importance) GROUP BY l.importance""")
+  round(quantile_cont(length(text)::DOUBLE, 0.5), 6) AS median_length, round(quantile_cont(length(text)::DOUBLE, 0.9), 6) AS p90_length, round(avg(views), 6) AS avg_views FROM (SELECT unnest(range(1, 6)) AS importance) l LEFT JOIN posts p USING (importance) GROUP BY l.importance""")
 _over(posts_docs, "score_length_matrix", lambda p: stats.score_matrix(p, length_bucket(F.length("text"))), f"SELECT importance, {_LEN} AS bucket, count(*) AS posts FROM posts WHERE importance BETWEEN 1 AND 5 GROUP BY ALL")
 _over(posts_docs, "score_view_matrix", lambda p: stats.score_matrix(p.where("views is not null"), view_bucket(F.col("views"))), f"SELECT importance, {_VIEW} AS bucket, count(*) AS posts FROM posts WHERE importance BETWEEN 1 AND 5 AND views IS NOT NULL GROUP BY ALL")
 _over(posts_docs, "score_length_rows", lambda p: stats.score_rows(p, F.length("text")), """SELECT l.importance::INT AS importance, count(p.post_id) AS posts, round(avg(length(text)), 6) AS avg_length, round(avg(views), 6) AS avg_views, round(count(p.post_id) / greatest(1, max(count(p.post_id)) OVER ()), 6) AS scale
@@ -56,8 +56,10 @@ _over(posts_docs, "score_length_rows", lambda p: stats.score_rows(p, F.length("t
 _over(posts_docs, "verdict_stats", stats.verdicts, "SELECT verdict, count(*) AS posts, round(avg(length(text)), 6) AS avg_length, round(avg(importance), 6) AS avg_importance, round(avg(views), 6) AS avg_views FROM posts WHERE verdict IS NOT NULL GROUP BY verdict")
 _TAGS = "(SELECT post_id, importance, posted_at, tag1 AS tag FROM posts WHERE tag1 IS NOT NULL UNION ALL SELECT post_id, importance, posted_at, tag2 FROM posts WHERE tag2 IS NOT NULL)"
 _over(posts_docs, "tag_stats", stats.tags, f"SELECT tag, count(*) AS posts, round(avg(importance), 6) AS avg_importance, round(count(*) FILTER (WHERE importance >= 4) / nullif(count(importance), 0), 6) AS high_ratio FROM {_TAGS} GROUP BY tag ORDER BY posts DESC, min(post_id), tag LIMIT 12")
-for _name, _key, _sql in (("langs", lambda: F.col("lang"), "lang"), ("verdicts", lambda: F.col("verdict"), "verdict"), ("authors", lambda: F.col("account_id"), "account_id"), ("lengths", lambda: length_bucket(F.length("text")), _LEN)):
+for _name, _key, _sql in (("langs", lambda: F.col("lang"), "lang"), ("verdicts", lambda: F.col("verdict"), "verdict"), ("lengths", lambda: length_bucket(F.length("text")), _LEN)):
     _over(posts_docs, f"high_profile_{_name}", lambda p, k=_key: stats.high_shares(p, k()), f"SELECT coalesce({_sql}, 'unknown') AS key, count(*) AS posts, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM posts WHERE importance >= 4 GROUP BY ALL")
+_over(posts_docs, "high_profile_authors", lambda p: stats.high_shares(p, text.author_title(F.concat(F.lit("Name "), F.col("account_id").cast("string")), F.concat(F.lit("h"), F.col("account_id").cast("string"))), limit=stats.AUTHORS), """SELECT coalesce('Name ' || account_id || ' (@h' || account_id || ')', 'Unknown') AS key, count(*) AS posts, round(count(*) / (SELECT count(*) FROM posts WHERE importance >= 4), 6) AS share
+  FROM posts WHERE importance >= 4 GROUP BY 1 ORDER BY posts DESC, min(post_id), key LIMIT 8""")
 _over(posts_docs, "tag_dictionary", lambda p: p.select(F.explode("tags").alias("t")).select(F.lower(F.trim("t")).alias("tag")).where("tag <> ''").groupBy("tag").agg(F.count("*").alias("posts")).orderBy(F.desc("posts"), "tag").limit(100), f"SELECT lower(trim(tag)) AS tag, count(*) AS posts FROM {_TAGS} GROUP BY 1 ORDER BY posts DESC, tag LIMIT 100")
 
 
@@ -159,8 +161,9 @@ for _name, _fn, _sql in (
 _over(posts_docs, "high_profile_totals", stats.high_totals, """SELECT count(*) FILTER (WHERE h) AS posts, round(count(*) FILTER (WHERE h) / nullif(count(importance), 0), 6) AS ratio,
   round(quantile_cont(length(text)::DOUBLE, 0.5) FILTER (WHERE h), 6) AS length_p50, round(quantile_cont(length(text)::DOUBLE, 0.9) FILTER (WHERE h), 6) AS length_p90,
   round(quantile_cont(views, 0.5) FILTER (WHERE h), 6) AS views_p50, round(quantile_cont(views, 0.9) FILTER (WHERE h), 6) AS views_p90,
+  round(avg(length(text)) FILTER (WHERE h), 6) AS avg_length, count(views) FILTER (WHERE h) AS with_views, round(avg(views) FILTER (WHERE h), 6) AS avg_views,
   round(avg((tag1 IS NOT NULL)::INT + (tag2 IS NOT NULL)::INT) FILTER (WHERE h), 6) AS avg_tags, round(avg((coalesce(trim(summary), '') <> '')::INT) FILTER (WHERE h), 6) AS summary_rate, round(avg((coalesce(trim(suggestions), '') <> '')::INT) FILTER (WHERE h), 6) AS suggestions_rate FROM (SELECT *, coalesce(importance >= 4, false) AS h FROM posts)""")
-_over(posts_docs, "high_profile_tags", stats.high_tags, f"SELECT tag, count(*) AS posts, round(count(*) / (SELECT count(*) FROM posts WHERE importance >= 4), 6) AS share FROM {_TAGS} WHERE importance >= 4 GROUP BY tag")
+_over(posts_docs, "high_profile_tags", stats.high_tags, f"SELECT tag, count(*) AS posts, round(count(*) / (SELECT count(*) FROM posts WHERE importance >= 4), 6) AS share FROM {_TAGS} WHERE importance >= 4 GROUP BY tag ORDER BY posts DESC, min(post_id), tag LIMIT 12")
 _over(routed, "score_by_tag", routing.top_tags, "SELECT tag, count(*) AS posts, round(avg(score), 6) AS avg_score FROM posts WHERE score IS NOT NULL AND tag IS NOT NULL GROUP BY tag ORDER BY posts DESC, tag LIMIT 10")
 _over(routed, "compare_reason", lambda p: routing.compared(p, "embed-low"), "SELECT CASE WHEN reason IS NOT DISTINCT FROM 'embed-low' THEN 'with' ELSE 'without' END AS side, count(*) AS posts, count(score) AS scored, round(avg(score), 6) AS avg_score, round(max(score), 6) AS hi FROM posts GROUP BY ALL")
 
