@@ -14,13 +14,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, whose rows are dealt out to all cores if the files hold less than a split for each: one row group is one task, whatever is then done with its texts.
+
+    Larger tables are read as they are, without a shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
+
+
 def _tag(k) -> F.Column:
     return F.element_at(F.lit(TAGS), (k % 13 + 1).cast("int"))
 
 
 def posts_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts from documents and labels: the whole text, importance, verdict, tags, summary, suggestions and a view count as text."""
-    d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    d, labels = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     i, scored = F.col("doc_id"), F.col("quality").isNotNull()
     views = (
         F.when(i % 7 == 1, (i * 13).cast("string"))
@@ -47,7 +59,7 @@ def posts_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts without what labels say: post_id, account_id, lang, text."""
-    return table(spark, sf_dir, "documents").selectExpr("doc_id AS post_id", "source AS account_id", "lang", "text")
+    return spread(table(spark, sf_dir, "documents")).selectExpr("doc_id AS post_id", "source AS account_id", "lang", "text")
 
 
 POSTS_DOCS = f"""posts AS (
