@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from postloom.functions.text import ALIASES, TAGS, filter_tags, truncate
 from postloom.operators import routing
-from postloom.operators.merge import SPAN, numbered
+from postloom.operators.merge import SPAN, leading, numbered
 
 #: Posts of a run (the newest), posts of a batch, batches of a run, posts of a job.
 NEWEST, BATCH, BATCHES, JOB = 1000, 10, 100, 50
@@ -106,8 +106,7 @@ NEGATIVE = "__low_quality__"
 
 def _pool(rows: DataFrame, each: Column) -> DataFrame:
     """The newest rows of each tag, TIMES each (of the column) and POOL at most."""
-    newest = Window.partitionBy("tag").orderBy(F.desc("created_at"), F.desc("post_id"))
-    return rows.withColumn("r", F.row_number().over(newest)).where((F.col("r") <= POOL) & (F.col("r") <= TIMES * each)).drop("r")
+    return leading(rows, "tag", [F.desc("created_at"), F.desc("post_id")], POOL).where(F.col("r") <= TIMES * each).drop("r")
 
 
 def _picked(pool: DataFrame, limits: dict[str, int], seed: int) -> DataFrame:

@@ -61,6 +61,23 @@ def chunks(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:
     return found.withColumn("chunk", F.floor(F.col("_pos") / size).cast("int")).drop("_pos")
 
 
+def leading(rows: DataFrame, key: str, order: list[Column], most: int, parts: int = 64) -> DataFrame:
+    """The first `most` rows of each key in that order, numbered in r from 1.
+
+    They are cut to `most` within parts by hash first, so that a key of most rows is never sorted in one task: parts * most rows of it meet at the end.
+    """
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)))
+    within = Window.partitionBy(key, "_part").orderBy(*order)
+    few = dealt.withColumn("r", F.row_number().over(within)).where(F.col("r") <= most).drop("_part", "r")
+    return few.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("r") <= most)
+
+
+def include(rows: DataFrame, related: DataFrame, key: str, related_key: str, name: str) -> DataFrame:
+    """rows with the related row as a struct, null where there is none; fields that are never read aren't scanned.  Null keys have none, and related keys are unique."""
+    inner = related.select(F.col(related_key).alias("_key"), F.struct(*[F.col(c) for c in related.columns]).alias(name))
+    return rows.join(inner, F.col(key) == F.col("_key"), "left").drop("_key")
+
+
 def chunk_cap(rows: DataFrame, key: str, order: str, size: int, most: int) -> DataFrame:
     """The first `most` rows of each chunk."""
     found = numbered(rows, key, [F.asc(order)], F.floor(F.col(order) / SPAN), "_pos")

@@ -261,3 +261,15 @@ def negative_stats(posts: DataFrame, samples: DataFrame, negatives: DataFrame) -
     both = tag_scores(posts, samples).join(near, "post_id").where("score is not null")
     gap = F.col("score") - F.col("near")
     return both.agg(F.count("*").alias("posts"), F.avg(1 - F.col("near")).alias("distance"), F.max("near").alias("nearest"), F.avg(gap).alias("gap"), F.min(gap).alias("least_gap"))
+
+
+def gap_quantiles(posts: DataFrame, samples: DataFrame, negatives: DataFrame, ks: list[int], qs: dict[str, float]) -> DataFrame:
+    """k, measure, posts, mean and quantiles: for every k of the best tag's score, of the distance to the negatives' centroid and of the gap between score and likeness to it, all of one pass over the posts."""
+    centre = centroids(negatives.select(F.lit("-").alias("tag"), "v")).select("c")  # one row
+    near = posts.crossJoin(F.broadcast(centre)).select("post_id", dot(normalized(F.col("v")), F.col("c")).alias("near"))
+    both = tag_scores(posts, samples, tuple(ks)).where("score is not null").join(near, "post_id")
+    measures = {"score": F.col("score"), "distance": 1 - F.col("near"), "gap": F.col("score") - F.col("near")}
+    rows = both.select(F.inline(F.array(*[F.struct(F.concat_ws(":", F.col("k"), F.lit(name)).alias("key"), x.alias("value")) for name, x in measures.items()])))
+    found = rows.groupBy("key").agg(F.count("value").alias("posts"), F.avg("value").alias("mean")).join(floor_quantile_columns(rows, "key", "value", qs), "key")
+    part = F.split("key", ":")
+    return found.select(part[0].cast("int").alias("k"), part[1].alias("measure"), "posts", "mean", *qs)

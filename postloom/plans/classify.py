@@ -157,6 +157,12 @@ QUERIES["negative_stats"] = lambda spark, sf_dir: (lambda df: df.select(*[F.roun
 SQL["negative_stats"] = f"""{_SIMS}, n AS (SELECT i, sum(v[i] / sqrt(list_inner_product(v, v))) AS x FROM v, LATERAL (SELECT unnest(range(1, len(v) + 1)) AS i) WHERE tag = '00' GROUP BY i), c AS (SELECT list(x ORDER BY i) AS c FROM n),
 b AS (SELECT vec_id, max(x) AS score FROM r GROUP BY vec_id), d AS (SELECT score, list_inner_product(v, c) / sqrt(list_inner_product(v, v) * list_inner_product(c, c)) AS near FROM b JOIN v USING (vec_id), c)
 SELECT count(*) AS posts, round(avg(1 - near), 6) AS distance, round(max(near), 6) AS nearest, round(avg(score - near), 6) AS gap, round(min(score - near), 6) AS least_gap FROM d"""
+QUERIES["gap_quantiles"] = lambda spark, sf_dir: (lambda df: df.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes]))(similarity.gap_quantiles(*_vectors(spark, sf_dir), [1, 3, 5], {"p10": 0.1, "p50": 0.5, "p90": 0.9}))
+SQL["gap_quantiles"] = f"""{_SIMS}, n AS (SELECT i, sum(v[i]) AS x FROM v, LATERAL (SELECT unnest(range(1, len(v) + 1)) AS i) WHERE tag = '00' GROUP BY i), c AS (SELECT list(x ORDER BY i) AS c FROM n),
+b AS (SELECT k, vec_id, max(x) AS score FROM (SELECT k, vec_id, tag, avg(x) AS x FROM r, (SELECT unnest([1, 3, 5]) AS k) WHERE i <= k GROUP BY ALL) GROUP BY ALL),
+d AS (SELECT k, score, list_inner_product(v, c) / sqrt(list_inner_product(c, c)) AS near FROM b JOIN v USING (vec_id), c),
+m AS (SELECT k, 'score' AS measure, score AS x FROM d UNION ALL SELECT k, 'distance', 1 - near FROM d UNION ALL SELECT k, 'gap', score - near FROM d)
+SELECT k::INT AS k, measure, count(*) AS posts, round(avg(x), 6) AS mean, {", ".join(f"round(list_sort(list(x))[1 + floor((count(*) - 1) * {q / 100})::INT], 6) AS p{q}" for q in (10, 50, 90))} FROM m GROUP BY ALL"""
 QUERIES["random_sample"] = lambda spark, sf_dir: merge.sampled(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", 100)
 
 

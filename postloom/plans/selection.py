@@ -112,6 +112,19 @@ _docs("tag_suggestions", lambda p: filters.suggestions(p.select(F.explode("tags"
 _add("job_list", lambda spark, sf_dir: filters.jobs(table(spark, sf_dir, "events").selectExpr("event_id AS job_id", "event_type AS kind", "CASE WHEN event_id % 3 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status", "ts AS created_at"), "click", "FAILED").select("job_id"), "SELECT event_id AS job_id FROM events WHERE event_type = 'click' AND event_id % 3 = 0 ORDER BY ts DESC, event_id DESC LIMIT 20")
 _add("usable_vectors", lambda spark, sf_dir: filters.usable(table(spark, sf_dir, "embeddings").selectExpr("vec_id", "CASE WHEN vec_id % 5 = 0 THEN slice(embedding, 1, 10) ELSE embedding END AS v", "CASE WHEN vec_id % 7 = 0 THEN 512 ELSE 64 END AS dimensions"), 64).select("vec_id"), "SELECT vec_id FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id % 7 <> 0")
 _docs("nested_posts", lambda p: p.select("post_id", F.when(F.col("importance").isNotNull(), F.struct("importance", "verdict")).alias("insight")).select("post_id", F.col("insight.verdict").alias("verdict"), F.col("insight").isNull().alias("bare")), "SELECT post_id, verdict, importance IS NULL AS bare FROM posts")
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insights with their post, and the post with its account and vector: rows are missing on each level."""
+    posts = texts(spark, sf_dir).where("post_id % 9 <> 0").withColumn("owner", F.col("post_id") % 120)
+    posts = merge.include(posts, table(spark, sf_dir, "supplier"), "owner", "s_suppkey", "account")
+    posts = merge.include(posts, table(spark, sf_dir, "embeddings"), "post_id", "vec_id", "vector")
+    found = merge.include(table(spark, sf_dir, "labels"), posts, "doc_id", "post_id", "post")
+    return found.select("doc_id", "quality", F.col("post").isNotNull().alias("there"), F.coalesce("post.lang", F.lit("-")).alias("lang"), F.coalesce("post.account.s_name", F.lit("-")).alias("account"), F.coalesce(F.col("post.vector.label").cast("long"), F.lit(-1)).alias("label"))
+
+
+_add("nested_insights", _nested, """SELECT l.doc_id, quality, d.doc_id IS NOT NULL AS there, coalesce(d.lang, '-') AS lang, coalesce(s_name, '-') AS account, coalesce(e.label::BIGINT, -1) AS label
+FROM labels l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 9 <> 0) d USING (doc_id) LEFT JOIN supplier ON s_suppkey = d.doc_id % 120 LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
 _add("embedded_posts", lambda spark, sf_dir: texts(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("post_id"), "label"), "post_id").select("post_id", "lang", "label"), "SELECT doc_id AS post_id, lang, label FROM documents JOIN embeddings ON vec_id = doc_id")
 
 # functions of texts, each over all posts

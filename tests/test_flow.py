@@ -271,3 +271,21 @@ def test_samples_titles_and_global_reports(spark):
     titles = spark.createDataFrame([(t,) for t in ("Zeta", "宏观", "安全", "DeFi", "政策")], "title string")
     assert [r["title"] for r in reports.by_title(titles).collect()] == ["安全", "宏观", "政策", "DeFi", "Zeta"]
     assert reports.global_report(titles, datetime(2024, 1, 1, 7), datetime(2024, 1, 1, 12)) is None
+
+
+def test_leading_rows_and_includes(spark):
+    gen = np.random.default_rng(3)
+    rows = [("hot" if i % 10 else "cold", int(gen.integers(0, 500)), i) for i in range(3000)] + [("hot", 7, 1), (None, 1, 2)]
+    df = spark.createDataFrame(rows, "k string, x int, id long").repartition(6)
+    for most in (1, 40):
+        got = sorted((r["k"] or "", r["r"], r["x"], r["id"]) for r in merge.leading(df, "k", [F.desc("x"), F.asc("id")], most, parts=8).collect())
+        want = []
+        for k in ("", "cold", "hot"):
+            mine = sorted(((-x, i) for q, x, i in rows if (q or "") == k))[:most]
+            want += [(k, n + 1, -x, i) for n, (x, i) in enumerate(mine)]
+        assert [g[:3] + g[3:] for g in got] == sorted(want)
+    posts = spark.createDataFrame([(1, 10), (2, 30), (3, None)], "post_id long, owner long")
+    owners = spark.createDataFrame([(10, "a"), (20, "b")], "id long, name string")
+    nested = merge.include(spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "key long"), merge.include(posts, owners, "owner", "id", "account"), "key", "post_id", "post")
+    got = {r["key"]: (r["post"] is not None, r["post"] and r["post"]["account"] and r["post"]["account"]["name"]) for r in nested.collect()}
+    assert got == {1: (True, "a"), 2: (True, None), 3: (True, None), 4: (False, None), None: (False, None)}
