@@ -36,8 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this driver has named in the shared folder.
+_NAMED: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/postloom-{uuid.uuid4().hex}/{name}"
+    _NAMED.append(f"{shared_dir(spark)}/postloom-{uuid.uuid4().hex}")
+    return f"{_NAMED[-1]}/{name}"
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Deletes the tables that operators have stored in the shared folder, to be called once their results are written: a result that isn't yet reads them."""
+    done = 0
+    while _NAMED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_NAMED.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ import zlib
 import public_tokenizers
 import pytest
 
-from postloom.llm import alignment, passages, spelling
+from postloom.llm import alignment, common, passages, spelling
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 COLUMNS = "doc_id long, text string, lang string, word string, n long, key long, piece long, block long"
@@ -257,3 +257,15 @@ def test_transducer_sides():
     assert moves.groups([0], [0, 1]) is None
     assert moves.moves[0, b"ab", 0] == (0, b"b")
     assert moves.moves[0, b"b", 2] == (1, b"c")
+
+
+# what operators store
+
+
+def test_stored_tables_are_cleared(spark):
+    common.clear_stored(spark)
+    kept = common.stored(spark.range(5), "five")
+    path = kept.inputFiles()[0]
+    assert kept.count() == 5 and path.startswith("file:" + common.shared_dir(spark).removeprefix("file:").replace("//", "/")[:1])
+    assert common.clear_stored(spark) == 1 and common.clear_stored(spark) == 0
+    assert common.stored(spark.range(3), "three").count() == 3
