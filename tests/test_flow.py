@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postloom.functions import text
-from postloom.operators import classification, embedding, filters, jobs, quantiles, reports, routing, search, similarity
+from postloom.operators import classification, embedding, filters, jobs, merge, quantiles, reports, routing, search, similarity
 from postloom.streaming import windows
 
 
