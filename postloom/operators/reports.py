@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 from datetime import datetime, timedelta
@@ -95,26 +96,49 @@ class Clusters:
 
     def __init__(self, threshold: float, bump: float) -> None:
         self.need, self.need_across, self.seen = threshold, min(0.98, threshold + bump), 0
+        self.tried = self.all = 0  #: pairs of post and cluster that were compared, and that there were
         self.sums, self.units = np.zeros((16, 0)), np.zeros((16, 0))
         self.found: list[dict] = []
 
+    def _unit(self, v) -> np.ndarray:
+        vector = np.asarray(v, float)
+        norm = np.sqrt(vector @ vector)
+        return vector / norm if norm > 0 and np.isfinite(norm) else np.zeros_like(vector)
+
+    def look(self, rows: list) -> None:
+        """Multiplies the next posts with the centroids as they are, as one block; add() then takes these posts in order."""
+        self.block = [self._unit(r.v) for r in rows]
+        if not self.found:
+            self.sums, self.units = (np.zeros((16, len(self.block[0]))) for _ in range(2))
+        n = len(self.found)
+        self.at, self.near, self.moved = 0, self.units[:n] @ np.array(self.block).T, np.zeros(n)
+
+    def room(self) -> int:
+        """How many posts to look at together: products of some 32 MB."""
+        return max(1, min(512, 4_000_000 // max(1, len(self.found))))
+
     def add(self, row) -> None:
-        """The post joins, of the clusters near enough, the nearest, or founds one."""
+        """The post joins, of the clusters near enough, the nearest, or founds one.
+
+        A unit vector's product with a centroid is at most that of the block and how far the centroid has moved since; only clusters
+        where that reaches the lower threshold are tried, and those founded since.
+        """
         self.seen += 1
         tags = list(row.tags)
         names = [t.strip().lower() for t in tags]
         primary = next((t for t in names if t), "other")
-        vector = np.asarray(row.v, float)
-        norm, n = np.sqrt(vector @ vector), len(self.found)
-        unit = vector / norm if norm > 0 and np.isfinite(norm) else np.zeros_like(vector)
-        if not n:
-            self.sums, self.units = (np.zeros((16, len(unit))) for _ in range(2))
-        scores = self.units[:n] @ unit
+        unit, n = self.block[self.at], len(self.found)
+        likely = np.flatnonzero(self.near[:, self.at] + self.moved >= min(self.need, self.need_across) - 1e-9)
+        likely = np.concatenate([likely, np.arange(len(self.moved), n)])
+        self.at += 1
+        self.tried += len(likely)
+        self.all += n
+        scores = self.units[likely] @ unit
         mine = {t for t in names if t}
-        needs = np.array([self.need if primary == c["primary"] or mine & c["names"] else self.need_across for c in self.found])
-        fit = np.flatnonzero(scores >= needs) if n else []
+        needs = np.array([self.need if primary == (c := self.found[k])["primary"] or mine & c["names"] else self.need_across for k in likely.tolist()])
+        fit = np.flatnonzero(scores >= needs) if len(likely) else []
         if len(fit):
-            at = fit[np.argmax(scores[fit])]
+            at = int(likely[fit[np.argmax(scores[fit])]])
         else:
             at = n
             if n == len(self.sums):
@@ -130,7 +154,10 @@ class Clusters:
         c["names"] = {t.strip().lower() for t in c["tags"]} - {""}
         self.sums[at] += unit
         size = np.sqrt(self.sums[at] @ self.sums[at])
+        old = self.units[at].copy()
         self.units[at] = self.sums[at] / size if size > 0 else 0
+        if at < len(self.moved):
+            self.moved[at] += np.sqrt(((self.units[at] - old) ** 2).sum())
 
     def ranked(self) -> list[dict]:
         """By highest importance, size and time of the representative."""
@@ -157,12 +184,17 @@ def clusters(posts: DataFrame, threshold: float = 0.86, bump: float = 0.05) -> D
 
         report, state = None, None
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                if state is None or row.report != report:
+            rows, i = list(batch.itertuples(index=False)), 0
+            while i < len(rows):
+                if state is None or rows[i].report != report:
                     if state is not None:
                         yield done(report, state)
-                    report, state = row.report, Clusters(threshold, bump)
-                state.add(row)
+                    report, state = rows[i].report, Clusters(threshold, bump)
+                some = list(itertools.takewhile(lambda r: r.report == report, rows[i : i + state.room()]))
+                state.look(some)
+                for row in some:
+                    state.add(row)
+                i += len(some)
         if state is not None:
             yield done(report, state)
 

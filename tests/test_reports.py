@@ -1,12 +1,14 @@
 """Landed sources, messages, digests and outlines against hand-made rows."""
 
+import collections
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from postloom.functions import text
-from postloom.operators import delivery, outlines
+from postloom.operators import delivery, outlines, reports
 from postloom.sources import landed
 
 
@@ -88,3 +90,45 @@ def test_landed(spark, tmp_path):
     assert counts == {"a": 2, "b": 0}
     lists = spark.createDataFrame([(1, "@Ann, likes, tea\n\nbob  the  one\r\nann again\n,x"), (2, None)], "list_id int, text string")
     assert sorted((r["account"], r["note"]) for r in landed.bulk_accounts(lists).collect()) == [("ann", "likes, tea"), ("bob", "the  one")]
+
+
+def test_clusters_against_a_plain_loop():
+    """Posts about 150 topics: the same clusters as a loop over all of them, with few of the pairs compared."""
+    gen = np.random.default_rng(8)
+    centres = gen.normal(0, 1, (150, 24))
+    post = collections.namedtuple("post", "post_id importance posted_at tags v")
+    posts = [post(i, int(gen.integers(1, 6)), i, [["a", "b", " C ", ""][int(k)] for k in gen.integers(0, 4, 2)], (centres[int(gen.integers(0, 150))] + gen.normal(0, 0.35, 24)) * [1, 0.1, 5][i % 3]) for i in range(3000)]
+    posts[700] = posts[700]._replace(v=np.zeros(24))
+    got = reports.Clusters(0.86, 0.05)
+    i = 0
+    while i < len(posts):
+        some = posts[i : i + got.room()]
+        got.look(some)
+        for p in some:
+            got.add(p)
+        i += len(some)
+    plain = []
+    for p in posts:
+        size = np.linalg.norm(p.v)
+        unit = p.v / size if size else p.v
+        names = [t.strip().lower() for t in p.tags]
+        primary = next((t for t in names if t), "other")
+        best = None
+        for c in plain:
+            near = float(c["unit"] @ unit)
+            need = 0.86 if primary == c["primary"] or (set(names) - {""}) & c["names"] else 0.91
+            if near >= need and (best is None or near > best[0]):
+                best = near, c
+        if best is None:
+            c = {"primary": primary, "names": set(names) - {""}, "sum": np.zeros(24), "members": [], "counts": collections.Counter()}
+            plain.append(c)
+        else:
+            c = best[1]
+        c["members"].append(p.post_id)
+        c["counts"].update(t for t in names if t)
+        if len(c["members"]) > 1:
+            c["names"] = {t for t, _ in c["counts"].most_common(5)}
+        c["sum"] = c["sum"] + unit
+        c["unit"] = c["sum"] / (np.linalg.norm(c["sum"]) or 1.0)
+    assert [c["members"] for c in got.found] == [c["members"] for c in plain]
+    assert got.tried < 0.35 * got.all
