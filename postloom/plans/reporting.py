@@ -61,6 +61,25 @@ QUERIES["outline_tags"] = lambda spark, sf_dir: outlines.tag_set(_outlines(posts
 SQL["outline_tags"] = f"WITH {POSTS_DOCS} SELECT post_id AS report, array_to_string(list_sort(list_distinct(list_filter([tag1, tag2], lambda t: t IS NOT NULL))), ',') AS tags FROM posts WHERE importance IS NOT NULL"
 
 
+def _days(p: DataFrame) -> DataFrame:
+    """A report for each day (some 39 posts): a section for each first tag, in their order, of clusters by importance and id."""
+    first = F.get("tags", F.lit(0))
+    cluster = F.struct((-F.col("importance")).alias("less"), "post_id", F.col("tags").alias("own"), "summary")
+    rows = p.where("importance IS NOT NULL").where(first.isNotNull()).select(F.expr("datediff(posted_at, date '2024-01-01')").alias("report"), first.alias("tag"), cluster.alias("x"))
+    shown = F.transform(F.array_sort(F.collect_list("x")), lambda x: F.struct((-x["less"]).alias("peakImportance"), x["own"].alias("tags"), F.struct(x["post_id"].cast("string").alias("tweetId"), x["summary"].alias("summary")).alias("representative")))
+    sections = rows.groupBy("report", "tag").agg(shown.alias("clusters")).select("report", F.struct("tag", F.upper("tag").alias("title"), "clusters").alias("s"))
+    whole = sections.groupBy("report").agg(F.array_sort(F.collect_list("s"), lambda a, b: F.when(a["tag"] < b["tag"], -1).when(a["tag"] > b["tag"], 1).otherwise(0)).alias("sections"))
+    return whole.select("report", F.to_json(F.struct(F.lit("clustered").alias("mode"), "sections")).alias("outline"))
+
+
+_DAYS = f"WITH {POSTS_DOCS}, d AS (SELECT *, date_diff('day', DATE '2024-01-01', posted_at::DATE)::INT AS report FROM posts WHERE importance IS NOT NULL AND tag1 IS NOT NULL)"
+QUERIES["digest_order"] = lambda spark, sf_dir: (lambda p: delivery.selected(_days(p), p).withColumn("summary", F.coalesce("summary", F.lit("-"))))(posts_docs(spark, sf_dir))
+SQL["digest_order"] = f"{_DAYS} SELECT report, (row_number() OVER o - 1)::INT AS pos, post_id::VARCHAR AS post_id, coalesce(summary, '-') AS summary FROM d WINDOW o AS (PARTITION BY report ORDER BY tag1, importance DESC, post_id) QUALIFY row_number() OVER o <= 20"
+QUERIES["outline_entries"] = lambda spark, sf_dir: outlines.high_entries(_days(posts_docs(spark, sf_dir))).select("report", "section", "pos", "post_id", "category", "text")
+SQL["outline_entries"] = f"""{_DAYS}, n AS (SELECT *, (dense_rank() OVER (PARTITION BY report ORDER BY tag1) - 1)::INT AS section, (row_number() OVER (PARTITION BY report, tag1 ORDER BY importance DESC, post_id) - 1)::INT AS pos FROM d)
+SELECT report, section, pos, post_id::VARCHAR AS post_id, upper(tag1) AS category, trim(summary) AS text FROM n WHERE importance >= 4 AND trim(summary) <> ''"""
+
+
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty items of each language's digest, shared among tags."""
     found = posts_docs(spark, sf_dir).select("lang", F.explode("tags").alias("tag")).groupBy(F.coalesce("lang", F.lit("-")).alias("report"), F.array_position(F.lit(TAGS), F.col("tag")).cast("int").alias("pos")).agg(F.count("*").alias("n"))
