@@ -9,7 +9,7 @@ from postloom.operators import search
 from postloom.sources.tables import routed
 from postloom.streaming import windows
 
-TABLES = "customer orders events documents labels embeddings".split()
+TABLES = "customer orders events documents labels embeddings supplier".split()
 
 
 @pytest.fixture(scope="module")
