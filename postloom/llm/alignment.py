@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import bounded_batches, spared, stored
+from postloom.llm.common import bounded_batches, spared, sparing, stored
 
 #: Units that a worker remembers as met lately; as many more as met before.  Longer units aren't remembered.
 CACHE, CACHE_CHARS = 200_000, 64
@@ -314,7 +314,12 @@ def scored(rows: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(best, pa.int64()), pa.array(total, pa.int64()), batch.column("groups_sha256")], [*names, "n_best", "count_sum", "groups_sha256"])
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda key, a, b: _table(run(key, a.to_batches(), b.to_batches()), schema), schema)
+
+    def whole(key: tuple[pa.Scalar, ...], a: pa.Table, b: pa.Table) -> pa.Table:
+        with sparing():
+            return _table(run(key, a.to_batches(), b.to_batches()), schema)
+
+    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(whole, schema)
 
 
 def _table(batches: Iterator[pa.RecordBatch], schema: str) -> pa.Table:

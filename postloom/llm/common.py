@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -79,20 +81,36 @@ def _trim() -> Callable[[int], int] | None:
     return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+def _release() -> None:
+    """Gives memory that nothing uses back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def spared(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which a Python worker gives free memory back: Spark keeps workers for later tasks, several on each executor."""
+    """run, before and after which a Python worker gives free memory back: Spark keeps workers for later tasks, several on each executor, whatever ran in them before."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release()
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := _trim():
-                trim(0)
+            _release()
 
     return out
 
 
+@contextmanager
+def sparing() -> Iterator[None]:
+    """For functions of large groups (applyInArrow, applyInPandas, cogroups): after the block free memory is given back."""
+    try:
+        yield
+    finally:
+        _release()
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
     bounded_batches(df.sparkSession)

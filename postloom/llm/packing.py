@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import bounded_batches
+from postloom.llm.common import bounded_batches, sparing
 
 CAPACITY, SHARD, COPIES = 2048, 2000, 200
 NULL_ID = -(1 << 63)  #: stands for a null id within tasks
@@ -91,7 +91,11 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) ->
         got["bin_pos"] = got.groupby("bin").cumcount()
         return got[["doc_id", "piece", "size", "shard", "bin_id", "bin_pos"]]
 
-    return dealt.groupBy("shard").applyInPandas(run, SCHEMA).withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        with sparing():
+            return run(pdf)
+
+    return dealt.groupBy("shard").applyInPandas(whole, SCHEMA).withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
 
 
 def packed_documents(documents: DataFrame, cluster: Column | None = None, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
