@@ -86,10 +86,21 @@ def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.allocate(found, 20)
 
 
+def _allocated(groups: str, total: int) -> str:
+    """CTEs that end in `a`: report, pos and share, by the rule of the survey, of `groups` (a CTE of report, pos and n)."""
+    return f"""e AS (SELECT *, coalesce(n / nullif(sum(n) OVER (PARTITION BY report), 0), 0)::DOUBLE * {total} AS exact FROM {groups}),
+b AS (SELECT *, greatest(1, floor(exact))::BIGINT AS base, sum(greatest(1, floor(exact))::BIGINT) OVER (PARTITION BY report) - {total} AS extra, row_number() OVER (PARTITION BY report ORDER BY exact - floor(exact) DESC, pos) AS f FROM e),
+u AS (SELECT report, pos, extra, row_number() OVER (PARTITION BY report ORDER BY h DESC, pos) AS r FROM b, LATERAL (SELECT unnest(range(2, base + 1)) AS h) WHERE extra > 0),
+a AS (SELECT report, pos, (base - (SELECT count(*) FROM u WHERE u.report = b.report AND u.pos = b.pos AND u.r <= u.extra) + (f <= -extra)::INT)::INT AS share FROM b)"""
+
+
 QUERIES["digest_shares"] = _shares
+SQL["digest_shares"] = f"""WITH {POSTS_DOCS}, t AS (SELECT lang, tag1 AS tag FROM posts UNION ALL SELECT lang, tag2 FROM posts),
+g AS (SELECT coalesce(lang, '-') AS report, list_position({TAGS}, tag)::INT AS pos, count(*) AS n FROM t WHERE tag IS NOT NULL GROUP BY ALL), {_allocated("g", 20)} SELECT * FROM a"""
 QUERIES["fresh_embeddings"] = lambda spark, sf_dir: embedding.refreshed(texts(spark, sf_dir), spark.createDataFrame([], "post_id long, v array<double>, model string, dimensions int, hash string"), embedding.Hashing(32)).select("post_id", "hash", F.size("v").alias("dimensions"))
 QUERIES["ascii_texts"] = lambda spark, sf_dir: texts(spark, sf_dir).select("post_id", F.sha2(ascii_text(F.col("text")), 256).alias("hash"))
 SQL["ascii_texts"] = "SELECT doc_id AS post_id, sha256(to_base64(encode(text))) AS hash FROM documents"
-QUERIES["tag_targets"] = lambda spark, sf_dir: delivery.tag_targets(posts_docs(spark, sf_dir).where("tags is not null").select(F.col("lang").alias("report"), "tags"), ["macro", "Policy", "token", " yield"], 20).select("report", "tag", "posts")
-SQL["tag_targets"] = f"""WITH {POSTS_DOCS}, t AS (SELECT lang, post_id, tag1 AS tag FROM posts UNION SELECT lang, post_id, tag2 FROM posts), c AS (SELECT lang AS report, tag, count(*) AS posts FROM t WHERE tag IN ('macro', 'policy', 'token', 'yield') GROUP BY ALL)
-SELECT report, tag, posts FROM c WHERE report IN (SELECT report FROM c GROUP BY report HAVING count(*) BETWEEN 2 AND 20)"""
+QUERIES["tag_targets"] = lambda spark, sf_dir: delivery.tag_targets(posts_docs(spark, sf_dir).where("tags is not null").select(F.col("lang").alias("report"), "tags"), ["macro", "Policy", "token", " yield"], 20)
+SQL["tag_targets"] = f"""WITH {POSTS_DOCS}, t AS (SELECT lang, post_id, tag1 AS tag FROM posts UNION SELECT lang, post_id, tag2 FROM posts),
+c AS (SELECT lang AS report, tag, list_position(['macro', 'policy', 'token', 'yield'], tag) AS pos, count(*) AS n FROM t WHERE tag IN ('macro', 'policy', 'token', 'yield') GROUP BY ALL),
+g AS (SELECT * FROM c WHERE report IN (SELECT report FROM c GROUP BY report HAVING count(*) BETWEEN 2 AND 20)), {_allocated("g", 20)} SELECT report, tag, n AS posts, share FROM a JOIN g USING (report, pos)"""
