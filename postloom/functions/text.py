@@ -190,3 +190,15 @@ def length_bucket(n: Column) -> Column:
 def view_bucket(v: Column) -> Column:
     """Values between the bounds (999.5) and below 0 fall into the last bucket, as at the source."""
     return F.when(v.between(0, 999), "0-1k").when(v.between(1000, 4999), "1k-5k").when(v.between(5000, 9999), "5k-10k").otherwise("10k+")
+
+
+#: What stands before and after a post's id that becomes a link, tried in this order, and where the link leads.
+ID_PLACES = [(r"(\()", r"(\))"), (r"(（来源[:：]?\s*)", "(）)"), (r"(?m)(^-\s+)", r"(\s*)$"), (r"(?i)(tweet\s*id[:：]\s*)", "()")]
+ID_LINK = "https://x.com/i/web/status/"
+
+
+def linked_ids(markdown: Column) -> Column:
+    """The text with links for ids (ten digits or more) in brackets, as sources, alone in a list's line, and after their name."""
+    for before, after in ID_PLACES:
+        markdown = F.regexp_replace(markdown, f"{before}([0-9]{{10,}}){after}", f"$1[$2]({ID_LINK}$2)$3")
+    return markdown

@@ -384,3 +384,14 @@ def quotas(sizes: dict[str, int], limit: int) -> dict[str, int]:
         for k, n in more.items():
             out[k] += n
     return out
+
+
+#: The report profile that there is without any other of its name.
+DEFAULT_PROFILE = {"name": "默认日报", "cron": "0 9 * * *", "hours": 24, "timezone": "Asia/Shanghai", "least": 2, "group": "cluster", "triage": True}
+
+
+def with_default(profiles: DataFrame) -> DataFrame:
+    """The profiles (the columns of DEFAULT_PROFILE, and others, which are null), and the default one where none has its name."""
+    own = profiles.sparkSession.createDataFrame([tuple(DEFAULT_PROFILE.values())], "name string, cron string, hours int, timezone string, least int, `group` string, triage boolean")
+    new = own.join(profiles.select("name"), "name", "left_anti")
+    return profiles.unionByName(new, allowMissingColumns=True)

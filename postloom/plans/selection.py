@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.functions import text
@@ -134,4 +134,13 @@ _docs("embedding_inputs", lambda p: p.select("post_id", F.sha2(text.embedding_in
   SELECT post_id, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)^rt\s+@[A-Za-z0-9_]+:\s*', ''), '(?i)^rt\s+', ''), '(?i)https?://\S+|\bt\.co/\S+|\bpic\.twitter\.com/\S+', ' ', 'g'), '@[A-Za-z0-9_]+', ' ', 'g'), '#([\p{L}\p{N}_]+)', '\1', 'g'), '\s+', ' ', 'g')) AS bare FROM posts))""")
 _docs("language_sizes", lambda p: p.groupBy(text.lang_group(F.col("lang")).alias("lang"), text.size_group(F.col("text")).alias("size")).agg(F.count("*").alias("posts")), r"SELECT CASE WHEN lang LIKE 'zh%' THEN 'zh' WHEN lang LIKE 'en%' THEN 'en' ELSE 'other' END AS lang, CASE WHEN n < 80 THEN 'short' WHEN n <= 160 THEN 'medium' ELSE 'long' END AS size, count(*) AS posts FROM (SELECT lang, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS n FROM posts) GROUP BY ALL")
 _docs("normal_tags", lambda p: p.where("tags is not null").select("post_id", F.array_join(text.filter_tags(F.transform("tags", lambda t: F.when(t == "other", " Others ").otherwise(F.upper(t)))), ",").alias("tags")), "SELECT post_id, CASE WHEN tag2 IS NULL OR tag2 = tag1 THEN tag1 ELSE tag1 || ',' || tag2 END AS tags FROM posts WHERE tag1 IS NOT NULL")
+
+
+def _id() -> Column:
+    return F.expr("CAST(1000000000 + post_id AS string)")
+
+
+_LINK = r"\1[\2](https://x.com/i/web/status/\2)\3"
+_docs("linked_ids", lambda p: p.select("post_id", F.sha2(text.linked_ids(F.concat(F.lit("see ("), _id(), F.lit(")\n- "), _id(), F.lit("\n（来源："), _id(), F.lit("） Tweet ID: "), _id(), F.lit(" "), F.col("text"))), 256).alias("hash")), rf"""SELECT post_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(\()(\d{{10,}})(\))', '{_LINK}', 'g'), '(（来源[:：]?\s*)(\d{{10,}})(）)', '{_LINK}', 'g'), '(?m)(^-\s+)(\d{{10,}})(\s*)$', '{_LINK}', 'g'), '(?i)(tweet\s*id[:：]\s*)(\d{{10,}})()', '{_LINK}', 'g')) AS hash
+FROM (SELECT post_id, 'see (' || i || ')' || chr(10) || '- ' || i || chr(10) || '（来源：' || i || '） Tweet ID: ' || i || ' ' || text AS x FROM (SELECT *, (1000000000 + post_id)::VARCHAR AS i FROM posts))""")
 _docs("local_times", lambda p: p.select("post_id", text.local_minute(F.col("posted_at"), "Asia/Shanghai").alias("at")), "SELECT post_id, strftime(posted_at + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') AS at FROM posts")

@@ -132,3 +132,15 @@ def test_clusters_against_a_plain_loop():
         c["unit"] = c["sum"] / (np.linalg.norm(c["sum"]) or 1.0)
     assert [c["members"] for c in got.found] == [c["members"] for c in plain]
     assert got.tried < 0.35 * got.all
+
+
+def test_default_profile_and_id_links(spark):
+    mine = spark.createDataFrame([("Own", "x")], "name string, note string")
+    got = {r["name"]: r for r in reports.with_default(mine.selectExpr("name", "note", "'c' AS cron", "5 AS hours", "'UTC' AS timezone", "1 AS least", "'tag' AS `group`", "false AS triage")).collect()}
+    assert set(got) == {"Own", "默认日报"} and got["默认日报"]["hours"] == 24 and got["默认日报"]["note"] is None
+    there = reports.with_default(spark.createDataFrame([], "name string, cron string, hours int, timezone string, least int, `group` string, triage boolean"))
+    assert reports.with_default(there).count() == 1
+    link = "[1234567890](https://x.com/i/web/status/1234567890)"
+    cases = {"a (1234567890) b": f"a ({link}) b", "（来源: 1234567890）": f"（来源: {link}）", "- 1234567890 ": f"- {link} ", "tweet id：1234567890": f"tweet id：{link}", "1234567890": "1234567890", "(123456789)": "(123456789)", "x\n-  1234567890\ny": f"x\n-  {link}\ny"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.linked_ids(F.col("t")).alias("u"))
+    assert {r["t"]: r["u"] for r in df.collect()} == cases
