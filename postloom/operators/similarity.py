@@ -86,7 +86,7 @@ class _Cache:
         self.starts = np.searchsorted(of, self.ranks).tolist()
         self.ends = [*self.starts[1:], len(rows)][: len(self.starts)]
         parts = [self.grid[a:b] for a, b in zip(self.starts, self.ends, strict=True)]
-        self.centre = np.array([x.mean(0) for x in parts]).reshape(-1, width)
+        self.centre = np.array([x.mean(0) for x in parts]).reshape(len(parts), width)
         self.radius = np.array([np.sqrt(((x - c) ** 2).sum(1)).max() for x, c in zip(parts, self.centre, strict=True)])
         self.own: dict[object, list[int]] = {}
         for i, r in enumerate(rows):
