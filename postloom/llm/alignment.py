@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from postloom.llm.common import bounded_batches, spared, sparing, stored
 
 #: Units that a worker remembers as met lately; as many more as met before.  Longer units aren't remembered.
-CACHE, CACHE_CHARS = 200_000, 64
+CACHE, CACHE_CHARS = 260_000, 64
 #: Transitions that are remembered; a full memory is emptied.
 TRANSITIONS = 500_000
 #: A block ends with the row that brings its links (distinct by row) to so many.
