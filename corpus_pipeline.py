@@ -41,7 +41,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five words, 0.8) stays."""
+    """One row of each group of near copies (five words, 0.8) stays: that of the smallest doc_id.
+
+    Rows without a word (null, empty and blank texts) are near copies only of rows equal to them in doc_id and text; of repeated rows one stays.
+    Rows with a null doc_id stay; an empty table gives no rows.
+    """
     return ngramjoin.keep_one(docs)
 
 

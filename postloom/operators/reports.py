@@ -287,10 +287,12 @@ def _written(sections_: DataFrame, heads: DataFrame, lead: str, close: str) -> D
         return F.concat(F.lit("- "), stars, x["summary"], F.lit(" ("), x["url"], F.lit(")"), tags)
 
     rating = F.when(F.col("peak") > 0, _stars(F.col("peak"))).otherwise("暂无评分")
+    # fixed values: the sentences of a report
     about = F.concat(F.lit("共 "), F.col("size").cast("string"), F.lit(" 条洞察，最高 "), rating, F.lit("，已按重要度降序排列。"))
     body = sections_.select("report", "place", "title", "size", F.array_join(F.concat(F.array(F.concat(F.lit("### "), F.col("title")), about), F.transform("items", line)), "\n\n").alias("text"))
     whole = body.groupBy("report").agg(F.array_sort(F.collect_list(F.struct("place", "title", "size", "text"))).alias("s"), F.sum("size").cast("string").alias("n"))
     first = F.array_join(F.transform(F.slice("s", 1, 3), lambda x: F.concat(x["title"], F.lit("（"), x["size"].cast("string"), F.lit("）"))), "、")
+    # fixed values: the sentences of a report
     lines = [F.concat(F.lit("# "), F.col("headline")), F.concat(F.lit("> 时间范围："), F.col("start"), F.lit(" - "), F.col("end")), F.lit("## 概览"), F.concat(F.lit(f"- {lead}："), first), F.concat(F.lit("- 本次共保留 "), F.col("n"), F.lit(f" 条洞察，{close}")), F.lit("## 重点洞察")]
     text = F.array_join(F.concat(F.array(*lines), F.transform("s", lambda x: x["text"])), "\n\n")
     return whole.join(heads, "report").select("report", "headline", F.size("s").alias("sections"), text.alias("markdown"))
@@ -305,11 +307,13 @@ def heads(posts: DataFrame, start: str, end: str, zone: str, name: str) -> DataF
 def tag_report(posts: DataFrame, heads_: DataFrame, wanted: list[str] = ()) -> DataFrame:
     """report, headline, sections, markdown: a section for each first tag."""
     key = primary_tag(wanted)
+    # fixed values: the sentences of a report
     return _written(_sections(posts, key, title(key)), heads_, "重点分类", "均按标签与重要度排序，便于直接引用。")
 
 
 def author_report(posts: DataFrame, heads_: DataFrame) -> DataFrame:
     """report, headline, sections, markdown: a section for each author."""
+    # fixed values: the sentences of a report
     return _written(_sections(posts, author_key(), author_title(F.col("name"), F.col("handle"))), heads_, "热点作者", "按作者与重要度排序。")
 
 
@@ -332,6 +336,7 @@ def cluster_report(posts: DataFrame, heads_: DataFrame, wanted: list[str] = (),
     text = F.array_join(F.concat(F.array(F.concat(F.lit("\n### "), F.col("title"), F.lit("\n"))), F.transform("clusters", line)), "\n")
     whole = secs.groupBy("report").agg(F.array_sort(F.collect_list(F.struct("place", text.alias("text"), F.struct("tag", "title", "clusters").alias("s")))).alias("all"), F.sum("n").cast("int").alias("shown"))
     both = whole.join(totals, "report").join(heads_, "report")
+    # fixed values: the sentences of a report
     counted = F.concat(F.lit("- 本次共 "), F.col("insights").cast("string"), F.lit(f" 条洞察（importance≥{least}），聚合为 "), F.col("clusters").cast("string"), F.lit(" 个主题簇，展示 "), F.col("shown").cast("string"), F.lit(" 个。"))
     lines = [F.concat(F.lit("# "), F.col("headline")), F.concat(F.lit("> 时间范围："), F.col("start"), F.lit(" - "), F.col("end")), F.lit(""), F.lit("## 概览"), counted, F.lit(""), F.lit("## 分类")]
     outline = F.to_json(F.struct(F.lit("clustered").alias("mode"), F.col("insights").alias("totalInsights"), F.lit(least).alias("minImportance"), F.col("clusters").alias("totalClusters"), F.col("shown").alias("shownClusters"), F.transform("all", lambda x: x["s"]).alias("sections")))
