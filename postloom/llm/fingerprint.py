@@ -12,7 +12,7 @@ next part (the last part: of the first), and a part is one sorted task.
 Defined cases: null text counts as empty; an empty text has an empty fingerprint; two
 empty fingerprints resemble each other fully, an empty and another not at all; rows
 with a null doc_id come first; equal doc_ids are ordered by text; a single row is its
-own next row; an empty table gives no rows.
+own next row; rows of one doc_id are one range, so one task's work, however many; an empty table gives no rows.
 """
 
 from __future__ import annotations

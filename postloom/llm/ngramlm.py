@@ -16,7 +16,7 @@ More bits are shuffled as they are: eight more take half the input's size.
 
 Defined cases: null and empty texts have 0 words and a null score, as has, with
 leave_one_out, every row where no other row has a word; repeated rows each count as
-another row; a null doc_id is scored like any other; empty tables give no rows.
+another row, and those equal in doc_id and text are of one block; a null doc_id is scored like any other; empty tables give no rows.
 """
 
 from __future__ import annotations
