@@ -259,7 +259,8 @@ def triage(posts: DataFrame, decisions: DataFrame | None, keep: int = KEEP, fail
     whole = mid.join(failed.select("report", "chunk").distinct(), ["report", "chunk"]).select("report", "post_id") if failed is not None else chosen.limit(0)
     kept = chosen.union(whole).union(posts.where(F.col("importance") >= HIGH).select("report", "post_id")).distinct()
     looked = mid.select("report").distinct().join(kept.select("report").distinct(), "report")
-    return posts.join(kept, ["report", "post_id"], "left_semi").unionByName(posts.join(looked, "report", "left_anti"))
+    # reports that weren't looked through stay whole, with their posts of high importance once
+    return posts.join(kept.join(looked, "report"), ["report", "post_id"], "left_semi").unionByName(posts.join(looked, "report", "left_anti"))
 
 
 def _summary() -> Column:

@@ -144,3 +144,10 @@ def test_default_profile_and_id_links(spark):
     cases = {"a (1234567890) b": f"a ({link}) b", "（来源: 1234567890）": f"（来源: {link}）", "- 1234567890 ": f"- {link} ", "tweet id：1234567890": f"tweet id：{link}", "1234567890": "1234567890", "(123456789)": "(123456789)", "x\n-  1234567890\ny": f"x\n-  {link}\ny"}
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.linked_ids(F.col("t")).alias("u"))
     assert {r["t"]: r["u"] for r in df.collect()} == cases
+
+
+def test_triage_of_reports_without_middle_posts(spark):
+    posts = spark.createDataFrame([(1, 1, 5, 1), (1, 2, None, 2), (2, 3, 4, 3), (2, 4, 2, 4), (2, 5, 2, 5), (3, 6, 1, 6)], "report int, post_id long, importance int, at long").selectExpr("report", "post_id", "importance", "timestamp_seconds(at) AS posted_at")
+    said = posts.select("report", "post_id", F.col("post_id").alias("place"), (F.col("post_id") == 5).alias("include"))
+    for failed in (None, posts.selectExpr("report", "0 AS chunk").where("report = 3")):
+        assert sorted(tuple(r) for r in reports.triage(posts, said, 3, failed).select("report", "post_id").collect()) == [(1, 1), (1, 2), (2, 3), (2, 5), (3, 6)]
