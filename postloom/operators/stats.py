@@ -95,8 +95,8 @@ def tags(posts: DataFrame, high: int = HIGH, limit: int = 12) -> DataFrame:
     return found.orderBy(F.desc("posts"), "first", "tag").limit(limit).drop("first")
 
 
-#: How many authors and tags a profile lists.
-AUTHORS, TAGS = 8, 12
+#: Fixed value: how many tags a profile lists.
+TAGS = 12
 
 
 def high_shares(posts: DataFrame, key: Column, high: int = HIGH, limit: int | None = None) -> DataFrame:

@@ -58,8 +58,8 @@ _TAGS = "(SELECT post_id, importance, posted_at, tag1 AS tag FROM posts WHERE ta
 _over(posts_docs, "tag_stats", stats.tags, f"SELECT tag, count(*) AS posts, round(avg(importance), 6) AS avg_importance, round(count(*) FILTER (WHERE importance >= 4) / nullif(count(importance), 0), 6) AS high_ratio FROM {_TAGS} GROUP BY tag ORDER BY posts DESC, min(post_id), tag LIMIT 12")
 for _name, _key, _sql in (("langs", lambda: F.col("lang"), "lang"), ("verdicts", lambda: F.col("verdict"), "verdict"), ("lengths", lambda: length_bucket(F.length("text")), _LEN)):
     _over(posts_docs, f"high_profile_{_name}", lambda p, k=_key: stats.high_shares(p, k()), f"SELECT coalesce({_sql}, 'unknown') AS key, count(*) AS posts, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM posts WHERE importance >= 4 GROUP BY ALL")
-_over(posts_docs, "high_profile_authors", lambda p: stats.high_shares(p, text.author_title(F.concat(F.lit("Name "), F.col("account_id").cast("string")), F.concat(F.lit("h"), F.col("account_id").cast("string"))), limit=stats.AUTHORS), """SELECT coalesce('Name ' || account_id || ' (@h' || account_id || ')', 'Unknown') AS key, count(*) AS posts, round(count(*) / (SELECT count(*) FROM posts WHERE importance >= 4), 6) AS share
-  FROM posts WHERE importance >= 4 GROUP BY 1 ORDER BY posts DESC, min(post_id), key LIMIT 8""")
+_over(posts_docs, "high_profile_authors", lambda p: stats.high_shares(p, text.author_title(F.concat(F.lit("Name "), F.col("account_id").cast("string")), F.concat(F.lit("h"), F.col("account_id").cast("string")))), """SELECT coalesce('Name ' || account_id || ' (@h' || account_id || ')', 'Unknown') AS key, count(*) AS posts, round(count(*) / (SELECT count(*) FROM posts WHERE importance >= 4), 6) AS share
+  FROM posts WHERE importance >= 4 GROUP BY 1""")
 _over(posts_docs, "tag_dictionary", lambda p: p.select(F.explode("tags").alias("t")).select(F.lower(F.trim("t")).alias("tag")).where("tag <> ''").groupBy("tag").agg(F.count("*").alias("posts")).orderBy(F.desc("posts"), "tag").limit(100), f"SELECT lower(trim(tag)) AS tag, count(*) AS posts FROM {_TAGS} GROUP BY 1 ORDER BY posts DESC, tag LIMIT 100")
 
 

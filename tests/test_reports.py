@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from postloom import registry
 from postloom.functions import text
 from postloom.operators import delivery, outlines, reports
 from postloom.sources import landed
@@ -151,3 +152,10 @@ def test_triage_of_reports_without_middle_posts(spark):
     said = posts.select("report", "post_id", F.col("post_id").alias("place"), (F.col("post_id") == 5).alias("include"))
     for failed in (None, posts.selectExpr("report", "0 AS chunk").where("report = 3")):
         assert sorted(tuple(r) for r in reports.triage(posts, said, 3, failed).select("report", "post_id").collect()) == [(1, 1), (1, 2), (2, 3), (2, 5), (3, 6)]
+
+
+@pytest.mark.parametrize(("name", "n"), [("high_profile_authors", 20)])
+def test_profiles_list_all(spark, tmp_path, name, n):
+    spark.range(520).selectExpr("id AS doc_id", "'x' AS text", "'en' AS lang", "concat('s', id div 26) AS source", "1 AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(520).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    assert registry.QUERIES[name](spark, str(tmp_path)).count() == n and "LIMIT" not in registry.SQL[name]
