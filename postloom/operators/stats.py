@@ -95,10 +95,6 @@ def tags(posts: DataFrame, high: int = HIGH, limit: int = 12) -> DataFrame:
     return found.orderBy(F.desc("posts"), "first", "tag").limit(limit).drop("first")
 
 
-#: Fixed value: how many tags a profile lists.
-TAGS = 12
-
-
 def high_shares(posts: DataFrame, key: Column, high: int = HIGH, limit: int | None = None) -> DataFrame:
     """Shares of the key's values among posts of high importance; null keys are unknown.  With a limit those of most posts, of equals the one seen first, by post_id."""
     top = posts.where(F.col("importance") >= high).groupBy(F.coalesce(key, F.lit("unknown")).alias("key")).agg(F.count("*").alias("posts"), F.min("post_id").alias("first"))
@@ -175,8 +171,8 @@ def high_totals(posts: DataFrame, high: int = HIGH) -> DataFrame:
     return found.crossJoin(views.select(*[_num(F.col(c)).alias(c) for c in views.columns]))  # one row each
 
 
-def high_tags(posts: DataFrame, high: int = HIGH, limit: int | None = TAGS) -> DataFrame:
-    """The tags of most posts of high importance, with the share of those posts; of equals the one seen first."""
+def high_tags(posts: DataFrame, high: int = HIGH, limit: int | None = None) -> DataFrame:
+    """Tags of posts of high importance, with the share of those posts.  With a limit those of most posts, of equals the one seen first."""
     top = posts.where(F.col("importance") >= high)
     total = top.agg(F.count("*").alias("total"))
     found = top.select("post_id", F.posexplode("tags").alias("pos", "tag")).groupBy("tag").agg(F.count("*").alias("posts"), F.min(F.struct("post_id", "pos")).alias("first"))

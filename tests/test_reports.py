@@ -154,7 +154,7 @@ def test_triage_of_reports_without_middle_posts(spark):
         assert sorted(tuple(r) for r in reports.triage(posts, said, 3, failed).select("report", "post_id").collect()) == [(1, 1), (1, 2), (2, 3), (2, 5), (3, 6)]
 
 
-@pytest.mark.parametrize(("name", "n"), [("high_profile_authors", 20)])
+@pytest.mark.parametrize(("name", "n"), [("high_profile_authors", 20), ("high_profile_tags", 13)])
 def test_profiles_list_all(spark, tmp_path, name, n):
     spark.range(520).selectExpr("id AS doc_id", "'x' AS text", "'en' AS lang", "concat('s', id div 26) AS source", "1 AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.range(520).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
