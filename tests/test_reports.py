@@ -159,3 +159,9 @@ def test_profiles_list_all(spark, tmp_path, name, n):
     spark.range(520).selectExpr("id AS doc_id", "'x' AS text", "'en' AS lang", "concat('s', id div 26) AS source", "1 AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.range(520).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
     assert registry.QUERIES[name](spark, str(tmp_path)).count() == n and "LIMIT" not in registry.SQL[name]
+
+
+def test_inputs_are_made_once(spark):
+    df = spark.createDataFrame([("RT @a: x\u3000 y  #z http://q.r", " En\t x "), ("@a", None), (None, "en")], "t string, lang string").select(text.embedding_input(F.col("t"), F.col("lang")).alias("u"))
+    assert df._jdf.queryExecution().analyzed().toString().count("pic") == 1
+    assert [r["u"] for r in df.collect()] == ["[lang:en x] x y z", "@a", None]
