@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postloom import registry
 from postloom.functions import text
-from postloom.operators import delivery, outlines, reports
+from postloom.operators import delivery, embedding, outlines, reports
 from postloom.sources import landed
 
 
@@ -165,3 +165,22 @@ def test_inputs_are_made_once(spark):
     df = spark.createDataFrame([("RT @a: x\u3000 y  #z http://q.r", " En\t x "), ("@a", None), (None, "en")], "t string, lang string").select(text.embedding_input(F.col("t"), F.col("lang")).alias("u"))
     assert df._jdf.queryExecution().analyzed().toString().count("pic") == 1
     assert [r["u"] for r in df.collect()] == ["[lang:en x] x y z", "@a", None]
+
+
+def test_provider_is_asked_once(spark, tmp_path):
+    class Logged(embedding.Hashing):
+        def embed(self, texts):
+            with open(tmp_path / "asked", "a") as f:
+                f.writelines(t + "\n" for t in texts)
+            return super().embed(texts)
+
+    provider = Logged(4)
+    posts = spark.createDataFrame([(1, "a", None), (2, "b", None), (3, "c", None), (None, "d", None)], "post_id long, text string, lang string")
+    old = spark.createDataFrame([(2, [0.5] * 4, "hashing", 4, "x"), (9, [0.25] * 4, "hashing", 4, "y"), (8, [0.5] * 3, "hashing", 4, None)], "post_id long, v array<double>, model string, dimensions int, hash string")
+    cache = embedding.refreshed(posts, old, provider).localCheckpoint()
+    assert sorted((tmp_path / "asked").read_text().split()) == ["a", "b", "c"]
+    want = dict(zip((1, 2, 3), provider.embed(["a", "b", "c"]), strict=True)) | {9: [0.25] * 4, 8: [0.5] * 3}
+    assert {r["post_id"]: r["v"] for r in cache.collect()} == want and cache.columns == old.columns
+    (tmp_path / "asked").unlink()
+    again = embedding.refreshed(posts, cache, provider)
+    assert {r["post_id"]: r["v"] for r in again.collect()} == want and not (tmp_path / "asked").exists()
