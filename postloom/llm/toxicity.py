@@ -10,9 +10,10 @@ feature is taken if its precision is high and it is in so many toxic rows that c
 would hardly put any feature there; after those, by greedy covering: again and again
 the one that covers most toxic rows not yet covered, LEAST_ROWS at least.
 
-The sample's texts stay on the executors, which count its words, the runs of characters
-in them and the features of its rows; the driver gets those counts and, of each sampled
-row, the features that are precise enough to be chosen.
+All labelled rows teach.  Their texts stay on the executors, which count words, the runs
+of characters in them and the features of the rows; the driver gets the counts of runs,
+those of features that are precise enough to be chosen, and how many rows hold which of
+these together.
 
 Defined cases: null and empty texts get the base score (the share of toxic rows that
 no feature covers); rows without label teach nothing; a doc_id with both labels
@@ -35,11 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import WORD_CACHE, bounded_batches, held_out, map_arrow, partitions, spared, stored
+from postloom.llm.common import WORD_CACHE, bounded_batches, held_out, map_arrow, spared, stored
 from postloom.llm.fingerprint import sketch
 
-#: The classifier is fitted on at most so many labelled documents of each class, chosen by hash, each with its whole text.
-TOXIC_ROWS, CLEAN_ROWS = 1500, 3000
 HELD_OUT = (4, 2)
 THRESHOLD = 0.3
 LEAST_ROWS, LEAST_PRECISION = 3, 0.6
@@ -218,52 +217,49 @@ def least_support(df: Counter[int], toxic: int, rows: int) -> int:
     return k
 
 
-def choose(counts: dict[str, tuple[int, int]], sizes: Counter[int], toxic: list[set[str]], clean: list[set[str]], weight: float) -> tuple[dict[str, float], float]:
+def choose(counts: dict[str, tuple[int, int]], sizes: Counter[int], toxic: list[tuple[set[str], int]], clean: list[tuple[set[str], int]]) -> tuple[dict[str, float], float]:
     """Features and their precisions, and the share of rows without any that are toxic.
 
     counts: toxic and clean rows of the features that may be chosen, sizes: how many features of all are in so many rows,
-    toxic and clean: the rows' features among counts, weight: rows that each clean row stands for.
+    toxic and clean: which of the features rows hold together, and how many rows.
     """
-    value = {f: x for f, (t, c) in counts.items() if t >= LEAST_ROWS and (x := lower_bound(t, weight * c)) >= LEAST_PRECISION}
+    value = {f: x for f, (t, c) in counts.items() if t >= LEAST_ROWS and (x := lower_bound(t, c)) >= LEAST_PRECISION}
     rows: dict[str, set[int]] = {f: set() for f in value}
-    for k, found in enumerate(toxic):
+    for k, (found, _) in enumerate(toxic):
         for f in found & value.keys():
             rows[f].add(k)
-    enough = least_support(sizes, len(toxic), len(toxic) + len(clean))
+    size = lambda r: sum(toxic[k][1] for k in r)
+    of = {1: size(range(len(toxic))), 0: sum(n for _, n in clean)}
+    enough = least_support(sizes, of[1], of[1] + of[0])
     left = set(range(len(toxic)))
     chosen: dict[str, float] = {}
     # surest first; a feature must add to the surer ones that extend or shorten it
-    for f in sorted((f for f in rows if len(rows[f]) >= enough), key=lambda f: (-value[f], len(f), f)):
+    for f in sorted((f for f in rows if counts[f][0] >= enough), key=lambda f: (-value[f], len(f), f)):
         stem = f.rstrip("~")
         if any(stem[:n] + "~" in chosen for n in range(min(STEMS), len(stem) + 1)):
             continue
-        own = rows[f].difference(*(rows[g] for g in chosen if g.startswith(stem)))
-        if len(own) >= LEAST_ROWS and lower_bound(len(own), weight * counts[f][1]) >= LEAST_PRECISION:
+        own = size(rows[f].difference(*(rows[g] for g in chosen if g.startswith(stem))))
+        if own >= LEAST_ROWS and lower_bound(own, counts[f][1]) >= LEAST_PRECISION:
             chosen[f] = value[f]
             left -= rows[f]
     while rows:
-        rows = {f: new for f, r in rows.items() if len(new := r & left) >= LEAST_ROWS}
+        gain = {f: size(r & left) for f, r in rows.items()}
+        rows = {f: rows[f] & left for f, n in gain.items() if n >= LEAST_ROWS}
         if not rows:
             break
-        f = max(rows, key=lambda f: (len(rows[f]) * value[f], f[-1] != "~", len(f), f))
+        f = max(rows, key=lambda f: (gain[f] * value[f], f[-1] != "~", len(f), f))
         chosen[f] = value[f]
         left -= rows[f]
-    silent = sum(not found & chosen.keys() for found in clean) * weight
-    return chosen, len(left) / max(1.0, len(left) + silent)
+    silent = sum(n for found, n in clean if not found & chosen.keys())
+    return chosen, size(left) / max(1, size(left) + silent)
 
 
-def apart(prints: list[tuple[int, list[int]]]) -> list[int]:
-    """Those rows (row, sketch) that are near copies of earlier ones."""
-    owner: dict[int, int] = {}
-    out = []
-    for row, print_ in sorted(prints):
-        seen = Counter(owner[h] for h in print_ if h in owner)
-        if seen and max(seen.values()) >= max(2, len(print_) / 4):
-            out.append(row)
-            continue
-        for h in print_:
-            owner.setdefault(h, row)
-    return out
+def apart(prints: DataFrame) -> DataFrame:
+    """The rows (row, print) that are near copies of earlier ones: a quarter of their sketch's hashes, and two at least, are first in one of these."""
+    each = prints.select("row", F.size("print").alias("size"), F.explode(F.array_distinct("print")).alias("h"))
+    first = each.groupBy("h").agg(F.min("row").alias("owner"))
+    shared = each.join(first, "h").where("owner < row").groupBy("row", "owner").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    return shared.where(F.col("n") >= F.greatest(F.lit(2), F.col("size") / 4)).select("row").distinct()
 
 
 def _counted(rows: DataFrame, tally: Callable[[pa.RecordBatch], Counter[tuple]], schema: str) -> DataFrame:
@@ -280,10 +276,14 @@ def _counted(rows: DataFrame, tally: Callable[[pa.RecordBatch], Counter[tuple]],
 
 
 def _words(batch: pa.RecordBatch) -> Counter[tuple[str]]:
-    found: Counter[str] = Counter()
+    tokens: Counter[str] = Counter()
     for t in batch.column(0).to_pylist():
-        found.update(x.strip(_EDGE) for x in t.lower().split())
-    return Counter({(w,): n for w, n in found.items() if w.isalpha() and not _TRIPLE.search(w)})
+        tokens.update(t.lower().split())
+    found: Counter[tuple[str]] = Counter()
+    for x, n in tokens.items():
+        if (w := x.strip(_EDGE)).isalpha() and not _TRIPLE.search(w):
+            found[(w,)] += n
+    return found
 
 
 def _runs(batch: pa.RecordBatch) -> Counter[tuple[str, str]]:
@@ -294,83 +294,114 @@ def _runs(batch: pa.RecordBatch) -> Counter[tuple[str, str]]:
     return found
 
 
-def row_features(text: str, model: CharModel, memo: dict[str, list[str]]) -> set[str]:
-    """The restored tokens of a text, and their stems."""
-    out: set[str] = set()
-    for token in set(text.lower().split()):
-        if token not in memo:
-            if len(memo) >= WORD_CACHE:
-                memo.clear()
-            word = restore_token(token, model)
-            memo[token] = [word, *(word[:n] + "~" for n in STEMS if len(word) > n)] if word else []
-        out.update(memo[token])
-    return out
+class Restored(dict):
+    """Token to its restored form; filled on demand."""
+
+    def __init__(self, model: CharModel) -> None:
+        self.model = model
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        got = self[token] = restore_token(token, self.model)
+        return got
 
 
-def fit(sample: DataFrame, weight: float = 1.0) -> ToxicModel:
-    """Learns from rows of toxic and text, none of them null; weight: rows that each clean row stands for."""
-    spark = sample.sparkSession
+class Stems(dict):
+    """Word to itself and its stems, of these only those among names if any are given; filled on demand."""
+
+    def __init__(self, names: frozenset[str] | None = None) -> None:
+        self.names = names
+
+    def __missing__(self, word: str) -> list[str]:
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        got = [word, *(word[:n] + "~" for n in STEMS if len(word) > n)] if word else []
+        got = self[word] = got if self.names is None else [f for f in got if f in self.names]
+        return got
+
+
+def fit(sample: DataFrame) -> ToxicModel:
+    """Learns from all rows of toxic and text, none of them null."""
     one = sample.groupBy(F.xxhash64("text").alias("row")).agg(F.max(F.expr("if(toxic = 1, 1, 0)")).alias("toxic"), F.first("text").alias("text"))
-    rows = stored(one.repartition(partitions(spark), "row"), "sample")
+    return _fit(stored(one, "taught"))
+
+
+def _fit(rows: DataFrame) -> ToxicModel:
+    """Learns from rows (row, toxic, text) of different texts."""
+    spark = rows.sparkSession
 
     def sketches(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [sketch(t, SKETCH) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["row", "print"])
 
-    prints = map_arrow(rows.where("toxic = 1").select("row", "text"), sketches, "row long, print array<long>").collect()
-    if not prints:
+    prints = stored(map_arrow(rows.where("toxic = 1").select("row", "text"), sketches, "row long, print array<long>"), "prints")
+    if prints.isEmpty():
         return ToxicModel()
-    copies = apart([(r["row"], r["print"]) for r in prints])
-    rows = rows.where(~F.col("row").isin(copies)) if copies else rows
     words = stored(_counted(rows.select("text"), _words, "word string, n long"), "words")
     common = words.where("n > 1")
     runs = _counted(words if common.isEmpty() else common, _runs, "context string, c string, weight long").collect()
     chars = CharModel(Counter(), sorted((r["context"], r["c"], r["weight"]) for r in runs))
     shared = spark.sparkContext.broadcast(chars)
-    memo: dict[str, list[str]] = {}
+    made: list[Restored] = []
+
+    def restored(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not made:
+            made.append(Restored(shared.value))
+        found = [list(set(map(made[0].__getitem__, set(t.lower().split())))) for t in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["row", "toxic", "words"])
+
+    each = stored(map_arrow(rows.select("row", "toxic", "text"), restored, "row long, toxic int, words array<string>"), "restored")
+    # of toxic rows no two are near copies
+    each = each.where("toxic = 0").unionByName(each.where("toxic = 1").join(apart(prints), "row", "left_anti")).select("toxic", "words")
+
+    stems = Stems()
 
     def features(batch: pa.RecordBatch) -> Counter[tuple[str, int]]:
-        found: Counter[tuple[str, int]] = Counter()
-        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found.update((f, toxic) for f in row_features(text, shared.value, memo))
-        return found
+        found: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
+        for toxic, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found[toxic].update(set(chain.from_iterable(map(stems.__getitem__, held))))
+        return Counter({(f, toxic): n for toxic, by in found.items() for f, n in by.items()})
 
-    by_label = _counted(rows.select("toxic", "text"), features, "feature string, toxic long, n long")
+    by_label = _counted(each, features, "feature string, toxic long, n long")
     counts = stored(by_label.groupBy("feature").agg(*[F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0)).alias(c) for k, c in ((1, "t"), (0, "c"))]), "features")
     sizes = Counter({r["size"]: r["count"] for r in counts.groupBy((F.col("t") + F.col("c")).alias("size")).count().collect()})
     # the lower bound of a precision above a half is below it
-    sure = counts.where((F.col("t") >= LEAST_ROWS) & (F.col("t") >= LEAST_PRECISION * (F.col("t") + weight * F.col("c"))))
+    sure = counts.where((F.col("t") >= LEAST_ROWS) & (F.col("t") >= LEAST_PRECISION * (F.col("t") + F.col("c"))))
     known = {r["feature"]: (r["t"], r["c"]) for r in sure.collect()}
     names = spark.sparkContext.broadcast(frozenset(known))
 
-    def held(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [sorted(row_features(t, shared.value, memo) & names.value) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["toxic", "found"])
+    precise: list[Stems] = []
 
-    each = map_arrow(rows.select("toxic", "text"), held, "toxic int, found array<string>").collect()
-    by = {k: [set(r["found"]) for r in each if r["toxic"] == k] for k in (1, 0)}
-    chosen, base = choose(known, sizes, by[1], by[0], weight)
+    def together(batch: pa.RecordBatch) -> Counter[tuple[str, int]]:
+        if not precise:
+            precise.append(Stems(names.value))
+        return Counter((" ".join(sorted(set(chain.from_iterable(map(precise[0].__getitem__, held))))), toxic) for toxic, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+
+    held = _counted(each, together, "found string, toxic long, n long").collect()
+    by = {k: sorted(((set(r["found"].split(" ")) - {""}, r["n"]) for r in held if r["toxic"] == k), key=lambda x: sorted(x[0])) for k in (1, 0)}
+    chosen, base = choose(known, sizes, by[1], by[0])
     return ToxicModel({f: p for f, p in chosen.items() if f[-1] != "~"}, {f[:-1]: p for f, p in chosen.items() if f[-1] == "~"}, base, chars)
 
 
-def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> ToxicModel:
-    """Fits on a bounded sample of the labelled rows that are not held out: at most toxic_rows and clean_rows doc_ids, chosen by hash, one whole text of each."""
+def train(documents: DataFrame, labels: DataFrame) -> ToxicModel:
+    """Fits on all labelled rows that are not held out: one whole text of each doc_id, equal texts once.
+
+    Hashes tell which rows teach before any text is moved.
+    """
     known = (
         labels.select("doc_id", "toxic")
         .where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id", *HELD_OUT))
         .groupBy("doc_id")
         .agg(F.max(F.expr("if(toxic = 1, 1, 0)")).alias("toxic"))
     )
-    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not n.get(1):
+    if known.where("toxic = 1").isEmpty():
         return ToxicModel()
-    place = F.xxhash64("doc_id", F.lit(3))
-    most = {1: toxic_rows, 0: clean_rows}
-    ids = [known.where(F.col("toxic") == k).orderBy(place, "doc_id").limit(most[k]) for k in most]
-    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids[0].union(ids[1])), "doc_id")
-    sample = texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
-    taken = {k: min(n.get(k, 0), most[k]) for k in most}
-    return fit(sample.select("toxic", "text"), max(1.0, n.get(0, 0) / max(1, taken[0]) * taken[1] / n[1]))
+    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & ~held_out("doc_id", *HELD_OUT)).withColumn("row", F.xxhash64("text"))
+    one = texts.select("doc_id", "row").join(known, "doc_id").groupBy("doc_id").agg(F.min("row").alias("row"), F.max("toxic").alias("toxic"))
+    taught = one.groupBy("row").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    rows = texts.join(taught, ["doc_id", "row"]).groupBy("doc_id", "row").agg(F.first("toxic").alias("toxic"), F.first("text").alias("text"))
+    return _fit(stored(rows.select("row", "toxic", "text"), "taught"))
 
 
 def predict(documents: DataFrame, model: ToxicModel) -> DataFrame:

@@ -725,3 +725,13 @@ def test_topk_of_large_components(spark):
 def test_fingerprint_text(spark, odd):
     for r in fingerprint.compare_with_next(odd).withColumn("text", fingerprint.as_string("fingerprint")).withColumn("back", fingerprint.from_string(F.col("text"))).collect():
         assert r["back"] == r["fingerprint"] and r["text"] == ",".join(map(str, r["fingerprint"]))
+
+
+def test_toxicity_learns_from_all_rows(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeiou") + rng.choice("bdfgklmnprstvz") for _ in range(4))
+    rows = [(i, " ".join([word(), word(), *(["dolt"] if i < 2400 or i % 40 == 0 else []), word(), word()]), int(i < 2400)) for i in range(6800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    taught = [(text, toxic) for i, text, toxic in rows if zlib.crc32(str(i).encode()) % 4 != 2 and "dolt" in text]
+    assert model.words["dolt"] == toxicity.lower_bound(sum(toxic for _, toxic in taught), sum(not toxic for _, toxic in taught))
