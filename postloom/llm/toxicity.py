@@ -348,10 +348,10 @@ def _fit(rows: DataFrame) -> ToxicModel:
     def restored(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not made:
             made.append(Restored(shared.value))
-        found = [list(set(map(made[0].__getitem__, set(t.lower().split())))) for t in batch.column(2).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["row", "toxic", "words"])
+        found = [" ".join(set(map(made[0].__getitem__, set(t.lower().split())))) for t in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], ["row", "toxic", "words"])
 
-    each = stored(map_arrow(rows.select("row", "toxic", "text"), restored, "row long, toxic int, words array<string>"), "restored")
+    each = stored(map_arrow(rows.select("row", "toxic", "text"), restored, "row long, toxic int, words string"), "restored")
     # of toxic rows no two are near copies
     each = each.where("toxic = 0").unionByName(each.where("toxic = 1").join(apart(prints), "row", "left_anti")).select("toxic", "words")
 
@@ -360,7 +360,7 @@ def _fit(rows: DataFrame) -> ToxicModel:
     def features(batch: pa.RecordBatch) -> Counter[tuple[str, int]]:
         found: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
         for toxic, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found[toxic].update(set(chain.from_iterable(map(stems.__getitem__, held))))
+            found[toxic].update(set(chain.from_iterable(map(stems.__getitem__, held.split()))))
         return Counter({(f, toxic): n for toxic, by in found.items() for f, n in by.items()})
 
     by_label = _counted(each, features, "feature string, toxic long, n long")
@@ -376,7 +376,7 @@ def _fit(rows: DataFrame) -> ToxicModel:
     def together(batch: pa.RecordBatch) -> Counter[tuple[str, int]]:
         if not precise:
             precise.append(Stems(names.value))
-        return Counter((" ".join(sorted(set(chain.from_iterable(map(precise[0].__getitem__, held))))), toxic) for toxic, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        return Counter((" ".join(sorted(set(chain.from_iterable(map(precise[0].__getitem__, held.split()))))), toxic) for toxic, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
 
     held = _counted(each, together, "found string, toxic long, n long").collect()
     by = {k: sorted(((set(r["found"].split(" ")) - {""}, r["n"]) for r in held if r["toxic"] == k), key=lambda x: sorted(x[0])) for k in (1, 0)}
