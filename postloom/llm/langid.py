@@ -1,11 +1,13 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton is built over a bounded sample of labelled
-text.  A text is cut greedily into the longest phrases that occur in that sample;
-phrases * log2(sample length) / length estimates the cross entropy in bits a
-character, and the language with the fewest bits wins.
-
-Every labelled language is learned, and every letter of the samples is a symbol of its
+All labelled rows teach: their words are counted by language on the executors, and a
+suffix automaton is built over each language's most frequent words.  A text is cut
+greedily into the longest phrases that occur in these; phrases * log2(length of the words)
+/ length estimates the cross entropy in bits a character, and the language with the fewest
+bits wins.  How many bits texts of a language need is the median over all its labelled
+texts, each parsed by the words of the half of the rows that it isn't in.
+
+Every labelled language is learned, and every letter of its words is a symbol of its
 own, whatever its script.  The transitions of all automata lie in one table: a state's
 row is displaced so that no two transitions meet, and each place names the state that it
 belongs to, so a step is one look-up.  Texts are parsed in blocks of BLOCK characters
@@ -24,6 +26,7 @@ from __future__ import annotations
 import math
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -34,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postloom.llm.common import bounded_batches, held_out, map_arrow, spared
+from postloom.llm.common import bounded_batches, held_out, map_arrow, spared, stored, tallied
 
-#: A language is learned from at most so many labelled rows, chosen by hash, that have at most so many characters in all (one row, where its shortest has more); rows are taken whole.
-ROWS_PER_LANG, CHARS_PER_LANG = 200, 60_000
-#: Rows beyond those that tell how many bits a character a text of the language needs.
-CHECK_ROWS = 40
+#: Size of a language's automaton: the words that its labelled rows hold most often, about so many characters of them.
+CHARS_PER_LANG = 60_000
+#: Longer runs of letters (scripts without spaces, junk) are counted in pieces of so many.
+LONGEST_WORD, PIECE = 24, 8
 BLOCK = 1024
 SPACE, OTHER = 0, 1
 HELD_OUT = (5, 0)
@@ -166,8 +169,8 @@ def build_model(samples: dict[str, list[str]]) -> LangModel:
     return LangModel(langs, points, base, owner, target, np.array(roots, np.int32), np.array(first, np.int32), np.array(bits), np.full(len(langs), np.inf))
 
 
-def phrases(texts: list[str], model: LangModel) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases by text and language, and the length of each text in codes."""
+def phrases(texts: list[str], model: LangModel, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases by text and language (with own, the numbers of the texts' languages, of that language alone), and the length of each text in codes."""
     blocks, owner = [], []
     sizes = np.zeros(len(texts))
     for k, text in enumerate(texts):
@@ -176,32 +179,33 @@ def phrases(texts: list[str], model: LangModel) -> tuple[np.ndarray, np.ndarray]
         for i in range(0, len(codes), BLOCK):
             blocks.append(codes[i : i + BLOCK])
             owner.append(k)
-    out = np.zeros((len(texts), len(model.langs)))
+    width = len(model.langs) if own is None else 1
+    out = np.zeros((len(texts), width))
     lanes = max(256, 16_384 // max(1, len(model.langs)))
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    roots = model.roots[:, None]
-    rows = np.arange(len(model.langs))[:, None] * model.first.shape[1] if len(model.langs) else None
     first = model.first.ravel()
     for lo in range(0, len(order), lanes):
         ids = order[lo : lo + lanes]
+        langs = np.arange(width)[:, None] if own is None else own[np.array(owner)[ids]][None]
+        root, row = (np.broadcast_to(x, (width, len(ids))) for x in (model.roots[langs], langs * model.first.shape[1]))
         lengths = np.array([len(blocks[i]) for i in ids])
         grid = np.zeros((lengths[0], len(ids)), model.kind)
         for j, i in enumerate(ids):
             grid[: len(blocks[i]), j] = blocks[i]
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # blocks longer than t
-        state = np.repeat(roots, len(ids), 1)
-        count = np.zeros((len(model.langs), len(ids)), np.int32)
+        state = root.copy()
+        count = np.zeros((width, len(ids)), np.int32)
         for t in range(lengths[0]):
             n = active[t]
-            now, code = state[:, :n], grid[t, :n]
+            now, code, roots = state[:, :n], grid[t, :n], root[:, :n]
             place = model.base[now] + code
             hit = (model.owner[place] == now) & (now != roots)
-            fresh = first[rows + code]
+            fresh = first[row[:, :n] + code]
             # a miss ends the phrase, if there is one; a character that the sample lacks is one by itself
             count[:, :n] += ~hit & (now != roots)
             count[:, :n] += ~hit & (fresh == roots)
             state[:, :n] = np.where(hit, model.target[place], fresh)
-        count += state != roots
+        count += state != root
         np.add.at(out, np.array(owner)[ids], count.T)
     return out, sizes
 
@@ -237,34 +241,86 @@ def classify(texts: list[str | None], model: LangModel) -> tuple[list[str], np.n
     return langs, scores, fits
 
 
-def train(documents: DataFrame, rows: int = ROWS_PER_LANG, chars: int = CHARS_PER_LANG) -> LangModel:
-    """Fits the model on a bounded sample of the labelled rows that are not held out: whole rows, in the order of a hash, as long as there are no more than `rows` and `chars`; CHECK_ROWS others tell its limits."""
-    size = F.length("text")
+def words(text: str) -> list[str]:
+    """Runs of symbols of the lower-cased text; long ones in pieces."""
+    points = code_points(text)
+    points[points == 0] = 32
+    found = points.tobytes().decode("utf-32-le", "surrogatepass").split(" ")
+    if max(map(len, found)) > LONGEST_WORD:
+        found = [x for w in found for x in ([w] if len(w) <= LONGEST_WORD else [w[i : i + PIECE] for i in range(0, len(w), PIECE)])]
+    return found
+
+
+def _tally(batch: pa.RecordBatch) -> dict[tuple[str, str], tuple[int, int]]:
+    """By language and word: how often rows of each half hold it."""
+    found: dict[str, tuple[Counter[str], Counter[str]]] = {}
+    for lang, half, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        found.setdefault(lang, (Counter(), Counter()))[half].update(words(text))
+    return {(lang, w): (a[w], b[w]) for lang, (a, b) in found.items() for w in a.keys() | b.keys() if w}
+
+
+def frequent(counts: DataFrame, chars: int) -> dict[tuple[int, str], str]:
+    """By part (a half of the rows, or 2 for all) and language: the most frequent words, about `chars` characters; of equally frequent ones at the end a hash tells which.
+
+    counts: lang, word, and how often rows of each half hold it (a, b).
+    """
+    each = counts.select("lang", "word", F.posexplode(F.array("a", "b", F.col("a") + F.col("b"))).alias("part", "n")).where("n > 0")
+    sizes = each.groupBy("part", "lang", "n").agg(F.sum(F.length("word") + 1).alias("size"))
+    # one row for each different count
+    left = chars + F.col("size") - F.sum("size").over(Window.partitionBy("part", "lang").orderBy(F.desc("n")))
+    rates = sizes.withColumn("left", left).where("left > 0").select("part", "lang", "n", (F.col("left") / F.col("size")).alias("rate"))
+    place = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) / float(1 << 30)
+    taken = each.join(F.broadcast(rates), ["part", "lang", "n"]).where(place < F.col("rate")).select("part", "lang", "n", "word").collect()
+    out: dict[tuple[int, str], list[str]] = {}
+    for r in sorted(taken, key=lambda r: (-r["n"], r["word"])):
+        out.setdefault((r["part"], r["lang"]), []).append(r["word"])
+    return {k: " ".join(found) for k, found in out.items()}
+
+
+#: Bits a character are counted in steps of one of so many.
+STEPS = 1024
+
+
+def needed(known: DataFrame, halves: LangModel) -> dict[str, float]:
+    """Median bits a character of the different texts of each language with more than two, each parsed by the other half's words; halves has a language `<half><lang>` for each.
+
+    known: lang, half, text.
+    """
+    shared = known.sparkSession.sparkContext.broadcast(halves)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        model, place = shared.value, {lang: k for k, lang in enumerate(shared.value.langs)}
+        some = [(lang, row, k, text) for lang, half, text, row in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (k := place.get(f"{1 - half}{lang}")) is not None and has_letter(text)]
+        langs, rows, own, texts = zip(*some, strict=True) if some else ((),) * 4
+        own = np.array(own, np.int64)
+        count, sizes = phrases(list(texts), model, own)
+        bits = np.rint(STEPS * count[:, 0] * model.bits[own] / sizes).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.int64()), pa.array(bits)], ["lang", "row", "bits"])
+
+    each = map_arrow(known.select("lang", "half", "text", F.xxhash64("text").alias("row")), run, "lang string, row long, bits long")
+    # one row for each different number of bits
+    counts = each.groupBy("lang", "row").agg(F.max("bits").alias("bits")).groupBy("lang", "bits").count().collect()
+    out = {}
+    for lang in {r["lang"] for r in counts}:
+        bits, n = np.array(sorted((r["bits"], r["count"]) for r in counts if r["lang"] == lang)).T
+        upto, total = np.cumsum(n), n.sum()
+        if total > 2:
+            out[lang] = bits[np.searchsorted(upto, [(total - 1) // 2, total // 2], side="right")].mean() / STEPS
+    return out
+
+
+def train(documents: DataFrame, chars: int = CHARS_PER_LANG) -> LangModel:
+    """Fits the model on all labelled rows that are not held out: the words of the automata and the limits are counted over all of them."""
     known = documents.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", *HELD_OUT))
-    # one row a label
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count_if(size < chars).alias("n")).collect()}
-    if not counts:
-        return build_model({})
-    spark = documents.sparkSession
-    want = 1.2 * (rows + CHECK_ROWS + 40)
-    rates = spark.createDataFrame([(lang, min(1.0, want / n)) for lang, n in counts.items() if n] or [("", 0.0)], "lang string, rate double")
-    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
-    near = known.where(size < chars).withColumn("place", place).join(F.broadcast(rates), "lang").where("place < rate")
-    once = near.groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.min("place").alias("place"), F.first("text").alias("text"))
-    # at most some hundred rows a language
-    order = Window.partitionBy("lang").orderBy("place", "hash")
-    placed = once.withColumns({"r": F.row_number().over(order), "sum": F.sum(size + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    taken = (F.col("r") <= rows) & (F.col("sum") <= chars)
-    after = F.row_number().over(Window.partitionBy("lang", taken).orderBy("place", "hash"))
-    found = placed.select("lang", "text", "r", taken.alias("taken"), after.alias("k")).where(F.col("taken") | (F.col("k") <= CHECK_ROWS)).collect()
-    samples: dict[str, list[str]] = {}
-    checks: dict[str, list[str]] = {}
-    for r in sorted(found, key=lambda r: (r["lang"], r["r"])):
-        (samples if r["taken"] else checks).setdefault(r["lang"], []).append(r["text"])
-    if long := [lang for lang, n in counts.items() if not n]:  # languages of long rows only: the shortest
-        shortest = known.where(F.col("lang").isin(long)).groupBy("lang").agg(F.min_by("text", F.struct(size, F.xxhash64("text"))).alias("text"))
-        samples |= {r["lang"]: [r["text"]] for r in shortest.collect()}
-    return with_limits(build_model(samples), checks)
+    known = known.select("lang", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"), "text")
+    each = tallied(known, _tally, "lang string, word string, a long, b long", 2)
+    found = frequent(stored(each.groupBy("lang", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "words"), chars)
+    model = build_model({lang: [text] for (part, lang), text in found.items() if part == 2})
+    halves = build_model({f"{part}{lang}": [text] for (part, lang), text in found.items() if part < 2})
+    if halves.langs:
+        limits = needed(known, halves)
+        model.limits = np.array([MOST_BITS * limits.get(lang, np.inf) for lang in model.langs])
+    return model
 
 
 def predict(documents: DataFrame, model: LangModel) -> DataFrame:

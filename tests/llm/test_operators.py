@@ -735,3 +735,35 @@ def test_toxicity_learns_from_all_rows(spark):
     model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
     taught = [(text, toxic) for i, text, toxic in rows if zlib.crc32(str(i).encode()) % 4 != 2 and "dolt" in text]
     assert model.words["dolt"] == toxicity.lower_bound(sum(toxic for _, toxic in taught), sum(not toxic for _, toxic in taught))
+
+
+def test_language_learns_from_all_rows(spark):
+    """The words of the automata and the limits, from counts over all labelled rows that aren't held out."""
+    rng = random.Random(9)
+    spoke = {lang: spoken(random.Random(lang), letters, 300) for lang, letters in {"a": "abcdefgh", "b": "efghijkl"}.items()}
+    rows = [(i, " ".join(rng.choice(spoke[lang]) for _ in range(30)), lang) for i in range(900) for lang in ["ab"[i % 2]]]
+    rows += [(1000 + i, "xyzzy " * 40 + "q" * 30, "a") for i in range(30)] + [(2000, None, "a"), (2001, "dolt", None), (2002, "12", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taught = [(lang, text) for i, text, lang in rows if text and lang and zlib.crc32(str(i).encode()) % 5 != 0]
+    halves = {r["text"]: r["half"] for r in df.select("text", F.expr("pmod(xxhash64(text), 2)").alias("half")).collect()}
+    counts = {(part, lang): collections.Counter() for part in (0, 1, 2) for lang in spoke}
+    for lang, text in taught:
+        for part in (halves[text], 2):
+            counts[part, lang].update(w for x in text.split() if x.isalpha() for w in ([x] if len(x) <= 24 else [x[k : k + 8] for k in range(0, len(x), 8)]))
+    assert counts[2, "a"]["xyzzy"] > 800 and counts[2, "a"]["qqqqqqqq"] > 60
+    texts = {k: " ".join(sorted(c, key=lambda w: (-c[w], w))) for k, c in counts.items()}
+    model, want = langid.train(df), langid.build_model({lang: [texts[2, lang]] for lang in spoke})
+    for name in ("langs", "points", "base", "owner", "target", "roots", "first", "bits"):
+        assert np.array_equal(getattr(model, name), getattr(want, name)), name
+    other = {k: langid.build_model({k[1]: [t]}) for k, t in texts.items()}
+    for k, lang in enumerate(model.langs):
+        need = []
+        for text in {t for of, t in taught if of == lang and langid.has_letter(t)}:
+            half = other[1 - halves[text], lang]
+            count, sizes = langid.phrases([text], half)
+            need.append(count[0, 0] * half.bits[0] / sizes[0])
+        assert abs(model.limits[k] - langid.MOST_BITS * np.median(need)) < 2 / langid.STEPS
+    # of the most frequent words about so many characters are taken
+    some = langid.frequent(spark.createDataFrame([("a", w, n, 0) for w, n in counts[2, "a"].items()], "lang string, word string, a long, b long"), 200)[0, "a"].split(" ")
+    assert some[0] == "xyzzy" and 150 < len(" ".join(some)) < 250
+    assert min(counts[2, "a"][w] for w in some) >= max(n for w, n in counts[2, "a"].items() if w not in some)
