@@ -123,14 +123,15 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(spared(run), schema)
 
 
-def tallied(rows: DataFrame, tally: Callable[[pa.RecordBatch], dict[tuple, tuple]], schema: str, sums: int = 1) -> DataFrame:
-    """What tally counts in each batch, keys before counts; the schema's last `sums` columns are the counts."""
+def tallied(rows: DataFrame, tally: Callable[[pa.RecordBatch], dict[tuple, int] | dict[tuple, tuple]], schema: str, sums: int = 1) -> DataFrame:
+    """What tally counts in each batch, keys before counts; the schema's last `sums` columns are the counts (one alone is no tuple)."""
     names = [c.split()[0] for c in schema.split(",")]
     kinds = [pa.string() if c.split()[1] == "string" else pa.int64() for c in schema.split(",")]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = tally(batch)
-        keys, counts = ([*zip(*x, strict=True)] or [()] * n for x, n in ((found.keys(), len(names) - sums), (found.values(), sums)))
+        counted = found.values() if sums > 1 else zip(found.values())
+        keys, counts = ([*zip(*x, strict=True)] or [()] * n for x, n in ((found.keys(), len(names) - sums), (counted, sums)))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*keys, *counts], kinds, strict=True)], names)
 
     return map_arrow(rows, run, schema)

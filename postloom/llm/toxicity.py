@@ -29,6 +29,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import WORD_CACHE, bounded_batches, held_out, map_arrow, spared, stored
+from postloom.llm.common import WORD_CACHE, bounded_batches, held_out, map_arrow, spared, stored, tallied
 from postloom.llm.fingerprint import sketch
 
 HELD_OUT = (4, 2)
@@ -54,6 +55,7 @@ ORDER = 3  #: characters of context
 _EDGE = ".,;:?\"'`’“”«»()[]{}<>_-~#%&=/\\^"
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _LETTER = re.compile(r"[^\W\d_]")
+_RUN = re.compile(r"(.)\1*", re.S)
 _DOUBLE = re.compile(r"([^\W\d_])\1")
 _SIGN = re.compile("[" + re.escape("".join(c for c in LEET if not c.isdigit())) + "]")
 # letters apart, after and before anything but a letter, a digit or an apostrophe within a word; a star is a letter or a gap
@@ -82,69 +84,87 @@ class CharModel:
             self.counts[len(context)][context][c] += weight / UNIT
         self.size = len(self.counts[0][""]) + 1
         self.totals = [{c: sum(v.values()) for c, v in level.items()} for level in self.counts]
-        self.memo: dict[tuple[str, str], float] = {}
+        self.known = LogP(self)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.known = LogP(self)
 
     def logp(self, context: str, c: str) -> float:
-        key = (context, c)
-        if key not in self.memo:
-            p = 1 / self.size / 10
-            for k in range(ORDER + 1):
-                part = context[len(context) - k :]
-                total = self.totals[k].get(part, 0)
-                if total:
-                    kinds = len(self.counts[k][part])
-                    p = (self.counts[k][part].get(c, 0) + kinds * p) / (total + kinds)
-            self.memo[key] = math.log(p)
-        return self.memo[key]
-
-
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of a character: what it may stand for, with the channel's cost."""
-    out = []
-    for m in re.finditer(r"(.)\1*", token, re.S):
-        c, n = m[1], len(m[0])
-        if _LETTER.match(c):
-            options = [(c * n, 0.0 if n < 3 else COST_REPEAT * n)]
-            if n > 1:
-                options.append((c, COST_REPEAT))
-            if n > 2:
-                options.append((c * 2, COST_REPEAT))
-        else:
-            options = [(x * k, COST_LEET * k) for x in LEET.get(c, "") for k in {1, min(n, 2)}] + [("", COST_GAP if c not in LEET else 2 * COST_LEET)]
-        out.append(options)
-    return out
+        return self.known[context + c]
+
+
+class LogP(dict):
+    """Logarithms of the probabilities of runs' last characters, given those before; filled on demand."""
+
+    def __init__(self, model: CharModel) -> None:
+        self.model = model
+
+    def __missing__(self, run: str) -> float:
+        context, c, model = run[:-1], run[-1], self.model
+        p = 1 / model.size / 10
+        for k in range(ORDER + 1):
+            part = context[len(context) - k :]
+            total = model.totals[k].get(part, 0)
+            if total:
+                kinds = len(model.counts[k][part])
+                p = (model.counts[k][part].get(c, 0) + kinds * p) / (total + kinds)
+        got = self[run] = math.log(p)
+        return got
+
+
+@lru_cache(4096)
+def options(c: str, n: int) -> list[tuple[str, float]]:
+    """What a run of n times c may stand for, with the channel's cost."""
+    if _LETTER.match(c):
+        out = [(c * n, 0.0 if n < 3 else COST_REPEAT * n)]
+        if n > 1:
+            out.append((c, COST_REPEAT))
+        if n > 2:
+            out.append((c * 2, COST_REPEAT))
+        return out
+    return [(x * k, COST_LEET * k) for x in LEET.get(c, "") for k in {1, min(n, 2)}] + [("", COST_GAP if c not in LEET else 2 * COST_LEET)]
+
+
+def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
+    """The options of each run of a character."""
+    return (options(m[1], len(m[0])) for m in _RUN.finditer(token))
 
 
 def viterbi(token: str, model: CharModel) -> str:
     """The likeliest word behind the token."""
-    beams = {"^" * ORDER: (0.0, "")}
-    for options in lattice(token):
+    beams, known = {"^" * ORDER: (0.0, "")}, model.known
+    for some in lattice(token):
         new: dict[str, tuple[float, str]] = {}
         for context, (score, text) in beams.items():
-            for piece, cost in options:
+            for piece, cost in some:
                 s, ctx = score - cost, context
                 for c in piece:
-                    s += model.logp(ctx, c)
-                    ctx = ctx[1:] + c
+                    run = ctx + c
+                    s += known[run]
+                    ctx = run[1:]
                 if ctx not in new or s > new[ctx][0]:
                     new[ctx] = (s, text + piece)
         beams = new
-    return max(((s + model.logp(ctx, "$"), t) for ctx, (s, t) in beams.items()), key=lambda x: (x[0], x[1]))[1]
+    return max(((s + known[ctx + "$"], t) for ctx, (s, t) in beams.items()), key=lambda x: (x[0], x[1]))[1]
 
 
-def restore_token(token: str, model: CharModel) -> str:
+def restore_token(token: str, model: CharModel, may: Callable[[str], bool] | None = None) -> str:
+    """The token's restored form; a noisy one for which may is false isn't restored, and gives an empty one."""
     word = token.strip(_EDGE).rstrip(_EDGE + "!")
     if word.isalpha():
-        return viterbi(word, model) if _DOUBLE.search(word) else word
+        if not _DOUBLE.search(word):
+            return word
+        return viterbi(word, model) if may is None or may(word) else ""
     if not _LETTER.search(word) and not _SIGN.search(word):
         return word
     word = _NOISE.sub("", word).strip(_EDGE)
     if word.isalpha() and not _DOUBLE.search(word) or not _LETTER.search(word) and not _SIGN.search(word):
         return word
-    return viterbi(word, model)
+    return viterbi(word, model) if may is None or may(word) else ""
 
 
 def spaced(text: str) -> list[str]:
@@ -165,16 +185,42 @@ class Features(dict):
 
     def __init__(self, model: ToxicModel) -> None:
         self.model = model
+        self.heads = {s[: min(STEMS)] for s in model.stems}
+        self.prefixes = {f[:n] for f in chain(model.words, model.stems) for n in range(len(f) + 1)}
+
+    def may(self, token: str) -> bool:
+        """Whether any reading of the token holds a feature; most have none, and needn't be restored."""
+        words, stems, prefixes = self.model.words, self.model.stems, self.prefixes
+        read = {""}
+        for some in lattice(token):
+            new = set()
+            for text in read:
+                for piece, _ in some:
+                    longer = text
+                    for c in piece:
+                        longer += c
+                        if longer in stems:
+                            return True
+                        if longer not in prefixes:
+                            break
+                    else:
+                        new.add(longer)
+            if not new:
+                return False
+            read = new
+        return not read.isdisjoint(words)
 
     def of_word(self, word: str) -> str | None:
         if word in self.model.words:
             return word
+        if word[: min(STEMS)] not in self.heads:
+            return None
         return max((word[:n] + "~" for n in STEMS if word[:n] in self.model.stems), key=lambda f: (self.model.stems[f[:-1]], len(f)), default=None)
 
     def __missing__(self, token: str) -> str | None:
         if len(self) >= WORD_CACHE:
             self.clear()
-        got = self[token] = self.of_word(restore_token(token, self.model.chars))
+        got = self[token] = self.of_word(restore_token(token, self.model.chars, self.may))
         return got
 
 
@@ -265,14 +311,7 @@ def apart(prints: DataFrame) -> DataFrame:
 def _counted(rows: DataFrame, tally: Callable[[pa.RecordBatch], Counter[tuple]], schema: str) -> DataFrame:
     """Sums of the counts that tally makes of each batch; the schema's last column is the count."""
     names = [c.split()[0] for c in schema.split(",")]
-    kinds = [pa.string() if c.split()[1] == "string" else pa.int64() for c in schema.split(",")]
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = tally(batch)
-        cols = [*zip(*found.keys(), strict=True)] or [()] * (len(names) - 1)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols, found.values()], kinds, strict=True)], names)
-
-    return map_arrow(rows, run, schema).groupBy(names[:-1]).agg(F.sum(names[-1]).alias(names[-1]))
+    return tallied(rows, tally, schema).groupBy(names[:-1]).agg(F.sum(names[-1]).alias(names[-1]))
 
 
 def _words(batch: pa.RecordBatch) -> Counter[tuple[str]]:

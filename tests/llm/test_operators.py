@@ -767,3 +767,23 @@ def test_language_learns_from_all_rows(spark):
     some = langid.frequent(spark.createDataFrame([("a", w, n, 0) for w, n in counts[2, "a"].items()], "lang string, word string, a long, b long"), 200)[0, "a"].split(" ")
     assert some[0] == "xyzzy" and 150 < len(" ".join(some)) < 250
     assert min(counts[2, "a"][w] for w in some) >= max(n for w, n in counts[2, "a"].items() if w not in some)
+
+
+def test_toxicity_restores_only_what_may_hold_a_feature(spark, monkeypatch):
+    rng = random.Random(11)
+    chars = toxicity.CharModel(collections.Counter({"idiot": 40, "stupid": 30, "the": 500, "coffee": 50, "committee": 10, "loser": 9, "ass": 5}))
+    model = toxicity.ToxicModel({"idiot": 0.9, "loser": 0.8, "ass": 0.7}, {"stup": 0.9, "stupid": 0.95, "commit": 0.7}, 0.1, chars)
+    tokens = ["".join(rng.choice([c, c, c + c, c * 3, {"i": "1", "o": "0", "s": "$", "e": "3", "a": "@"}.get(c, c), c + rng.choice("*.-!")]) for c in w) for w in ["idiot", "stupidly", "losers", "loser", "coffee", "committees", "ass", "pass", "a"] * 40]
+    tokens += ["", "!!!", "***", "ß", "123", "1", "a" * 500, "coffee" * 50, "$$$"]
+    features = toxicity.Features(model)
+    plain = [features.of_word(toxicity.restore_token(t, chars)) for t in tokens]
+    decoded = []
+    viterbi = toxicity.viterbi
+    monkeypatch.setattr(toxicity, "viterbi", lambda token, m: decoded.append(token) or viterbi(token, m))
+    assert [features[t] for t in tokens] == plain and len(set(plain)) > 5
+    assert decoded and not any("ff" in t for t in decoded)
+    # words and stems as plain search finds them
+    words = {w[:n] for w in ("idiot", "stupidly", "stuck", "committee", "loser", "losers", "ass") for n in range(len(w) + 1)}
+    for w in words:
+        want = w if w in model.words else max((s + "~" for s in model.stems if w.startswith(s)), key=lambda f: model.stems[f[:-1]], default=None)
+        assert features.of_word(w) == want
