@@ -135,20 +135,21 @@ class Lattices:
                     c = chr(points[i])
                     found.append(([i], [1], [self.vocab.byte_weight ** len(_utf8(c))], [-1 - self.spelled.setdefault(c, len(self.spelled))]))
         last, size, share, code = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(last * (most + 1) - size)
+        order = np.argsort(last * (most + 1) - size, kind="stable")  # by size they are sorted already
         last, size, share, code = last[order], size[order], share[order], code[order]
         row = last + unit[last] + 1
         weight = np.zeros(n + len(units))
         weight[starts + np.arange(len(units))] = 1.0
         # all units' first positions, then all second ones, and so on
-        step = np.argsort(pos[last], kind="stable")
-        cuts = np.searchsorted(pos[last][step], np.arange(1, sizes.max(initial=0) + 2))
+        spot = pos[last].astype(np.int16 if sizes.max(initial=0) < 1 << 15 else np.int64)  # small integers are sorted in one pass
+        step = np.argsort(spot, kind="stable")
+        cuts = np.searchsorted(spot[step], np.arange(1, sizes.max(initial=0) + 2))
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             e = step[lo:hi]
             part = share[e] * weight[row[e] - size[e]]
             first = np.flatnonzero(np.diff(row[e], prepend=-1))
             here = np.add.reduceat(part, first)
-            share[e] = part / np.repeat(here, np.diff([*first, len(e)]))
+            share[e] = part / np.repeat(here, np.diff(first, append=len(e)))
             rows = row[e[first]]
             weight[rows] = here
             low = np.flatnonzero(here < 1e-200)  # only ratios matter: scale what later positions still reach
@@ -194,14 +195,14 @@ class Encoder:
             first = np.zeros(len(begins), np.int64)
             first[row[start]] = start + self.edges
             # each row on its own: no sum depends on the units that came along
-            upto, edges, k = share.copy(), np.diff([*start, len(row)]), 1
+            upto, edges, k = share.copy(), np.diff(start, append=len(row)), 1
             more = np.flatnonzero(edges > 1)
             while len(more):
                 at = start[more] + k
                 upto[at] += upto[at - 1]
                 k += 1
                 more = more[edges[more] > k]
-            upto[[*(start[1:] - 1), len(row) - 1]] = 2.0  # no draw goes beyond a row's last edge
+            upto[np.append(start[1:], len(row)) - 1] = 2.0  # no draw goes beyond a row's last edge
             made = begins, first.astype(np.int32), upto, (self.rows + row - size).astype(np.int32), code.astype(np.int32)
             self.known = tuple(_appended(a, self.rows if k < 2 else self.edges, x) for k, (a, x) in enumerate(zip(self.known, made, strict=True)))
             self.edges += len(row)
