@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ STRIPE_BYTES, ROW_INDEX_STRIDE = 16 << 20, 1_000
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
-#: Latin letters that are their own normal form and whose lower case is one letter, then full stops and commas.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+#: Latin letters that are their own normal form and whose lower case is one letter, then ASCII signs but the apostrophe: the tokenizer parts letters from runs of signs, save those of 's, 't and the like.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def _byte_level() -> dict[int, str]:
@@ -49,7 +50,7 @@ _BYTE_LEVEL = _byte_level()
 class WordEncoder(dict):
     """Encodes texts by the tokenizers library.  The tokenizer drops white space and never joins what it parts, so words are encoded once and remembered.
 
-    Words of Latin letters, and full stops or commas after them, go straight to the library's model; all others through its whole chain.
+    Words of Latin letters, without the signs after them, go straight to the library's model; all others through its whole chain.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,7 +64,7 @@ class WordEncoder(dict):
         self.before: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32).tobytes()
+        return array("i", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
@@ -78,7 +79,8 @@ class WordEncoder(dict):
             core, end = m[1].lower(), m[2]
             ids = self.cores.get(core)
             if ids is None:
-                ids = self.cores[core] = np.array([t.id for t in self.model.tokenize(core.encode().decode("latin-1").translate(_BYTE_LEVEL))], np.int32).tobytes()
+                shown = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_LEVEL)
+                ids = self.cores[core] = array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
             if end:
                 ids += self.cores.get(end) or self.cores.setdefault(end, self.whole(end))
         else:

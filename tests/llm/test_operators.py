@@ -787,3 +787,15 @@ def test_toxicity_restores_only_what_may_hold_a_feature(spark, monkeypatch):
     for w in words:
         want = w if w in model.words else max((s + "~" for s in model.stems if w.startswith(s)), key=lambda f: model.stems[f[:-1]], default=None)
         assert features.of_word(w) == want
+
+
+def test_tokens_of_words_with_signs():
+    """Letters and the signs after them are encoded apart, to the ids of the tokenizer's whole chain."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, whole = tokenfile.WordEncoder(path), tokenfile.WordEncoder(path)
+    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    ends = [*signs, *("".join(x) for x in itertools.product(signs, repeat=2)), "###", ".%%%", "<|", "|>", "<|>", "_-'s", "'s", "'t"]
+    words = [core + end for core in ("oninea", "Éoure", "s", "X", "endoftext") for end in ends] + ["<|endoftext|>", "a<|endoftext|>", "a'll", "a.'ll"]
+    for word in words:
+        assert encoder[word] == whole.whole(word), word
+    assert {"oninea", "###", ".%%%"} <= encoder.cores.keys()
