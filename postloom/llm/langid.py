@@ -30,6 +30,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postloom.llm.common import bounded_batches, held_out, map_arrow, spared, stored, tallied
+from postloom.llm.common import bounded_batches, held_out, map_arrow, spared, stored
 
 #: Size of a language's automaton: the words that its labelled rows hold most often, about so many characters of them.
 CHARS_PER_LANG = 60_000
 #: Longer runs of letters (scripts without spaces, junk) are counted in pieces of so many.
 LONGEST_WORD, PIECE = 24, 8
 BLOCK = 1024
+#: A worker gives its counts on once it holds so many words, whatever the batches; it makes so many rows' strings at a time.
+MOST_WORDS, ROWS = 200_000, 250
 SPACE, OTHER = 0, 1
 HELD_OUT = (5, 0)
 
@@ -251,12 +254,24 @@ def words(text: str) -> list[str]:
     return found
 
 
-def _tally(batch: pa.RecordBatch) -> dict[tuple[str, str], tuple[int, int]]:
-    """By language and word: how often rows of each half hold it."""
+def _given(found: dict[str, tuple[Counter[str], Counter[str]]]) -> Iterator[pa.RecordBatch]:
+    """The counts, one language after the other; found is empty then."""
+    while found:
+        lang, (a, b) = found.popitem()
+        held = [w for w in a.keys() | b.keys() if w]
+        counts = (pa.array([c[w] for w in held], pa.int64()) for c in (a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(held), pa.string()), pa.array(held, pa.string()), *counts], ["lang", "word", "a", "b"])
+
+
+def _tally(batches: Iterator[pa.RecordBatch], most: int = MOST_WORDS) -> Iterator[pa.RecordBatch]:
+    """By language and word: how often rows of each half hold it; a word comes again after each `most` words."""
     found: dict[str, tuple[Counter[str], Counter[str]]] = {}
-    for lang, half, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        found.setdefault(lang, (Counter(), Counter()))[half].update(words(text))
-    return {(lang, w): (a[w], b[w]) for lang, (a, b) in found.items() for w in a.keys() | b.keys() if w}
+    for part in (batch.slice(lo, ROWS) for batch in batches for lo in range(0, batch.num_rows, ROWS)):
+        for lang, half, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            found.setdefault(lang, (Counter(), Counter()))[half].update(words(text))
+        if sum(map(len, chain.from_iterable(found.values()))) >= most:
+            yield from _given(found)
+    yield from _given(found)
 
 
 def frequent(counts: DataFrame, chars: int) -> dict[tuple[int, str], str]:
@@ -313,7 +328,8 @@ def train(documents: DataFrame, chars: int = CHARS_PER_LANG) -> LangModel:
     """Fits the model on all labelled rows that are not held out: the words of the automata and the limits are counted over all of them."""
     known = documents.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", *HELD_OUT))
     known = known.select("lang", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"), "text")
-    each = tallied(known, _tally, "lang string, word string, a long, b long", 2)
+    bounded_batches(documents.sparkSession)
+    each = known.mapInArrow(spared(_tally), "lang string, word string, a long, b long")
     found = frequent(stored(each.groupBy("lang", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "words"), chars)
     model = build_model({lang: [text] for (part, lang), text in found.items() if part == 2})
     halves = build_model({f"{part}{lang}": [text] for (part, lang), text in found.items() if part < 2})

@@ -799,3 +799,19 @@ def test_tokens_of_words_with_signs():
     for word in words:
         assert encoder[word] == whole.whole(word), word
     assert {"oninea", "###", ".%%%"} <= encoder.cores.keys()
+
+
+def test_language_counts_given_on_in_parts():
+    """Counts don't depend on where batches end, nor on how many words a worker holds; it holds few."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    rows = [(rng.choice("ab"), rng.randrange(2), " ".join(f"{rng.choice('xyz')}{rng.choice('uvw') * rng.randrange(9)}" for _ in range(20)) + rng.choice(["", " 12", " ß"])) for _ in range(3000)]
+    want = collections.Counter((lang, half, w) for lang, half, text in rows for w in langid.words(text) if w)
+    for size, most in ((3000, 10**6), (700, 40), (1, 10**6)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + size], strict=True), (pa.string(), pa.int32(), pa.string()), strict=True)], ["lang", "half", "text"]) for lo in range(0, len(rows), size)]
+        got, given = collections.Counter(), list(langid._tally(iter(batches), most))
+        for lang, word, *n in (r for b in given for r in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            got.update({(lang, k, word): x for k, x in enumerate(n) if x})
+        assert got == want and len(given) == (2 if most > 40 else 2 * 13)
+    assert list(langid._tally(iter([]))) == []
