@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,8 +34,10 @@ STRIPE_BYTES, ROW_INDEX_STRIDE = 16 << 20, 1_000
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
-#: Latin letters that are their own normal form and whose lower case is one letter, then ASCII signs but the apostrophe: the tokenizer parts letters from runs of signs, save those of 's, 't and the like.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Latin letters that are their own normal form and whose lower case is one letter.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: ASCII signs but the apostrophe: the tokenizer parts letters from runs of signs, save those of 's, 't and the like.
+_SIGNS = string.punctuation.replace("'", "")
 
 
 def _byte_level() -> dict[int, str]:
@@ -60,31 +63,33 @@ class WordEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.cores: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
+    @property
+    def cores(self) -> dict[str, bytes]:
+        """Lower-case letters and runs of signs: words like others, and remembered among them."""
+        return self
+
+    def letters(self, low: str) -> bytes:
+        shown = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        return array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.before = dict(self)
             self.clear()
-            self.cores.clear()
-        if (ids := self.before.get(word)) is not None:
-            self[word] = ids
-            return ids
-        m = _PLAIN.fullmatch(word)
-        if m:
-            core, end = m[1].lower(), m[2]
-            ids = self.cores.get(core)
-            if ids is None:
-                shown = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_LEVEL)
-                ids = self.cores[core] = array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            if end:
-                ids += self.cores.get(end) or self.cores.setdefault(end, self.whole(end))
-        else:
-            ids = self.whole(word)
+        ids = self.before.get(word)
+        if ids is None:
+            core = word.rstrip(_SIGNS)
+            if not (core.isascii() and core.isalpha() or _PLAIN.fullmatch(core)):
+                ids = self.whole(word)
+            elif (low := core.lower()) == word:
+                ids = self.letters(word)
+            else:
+                ids = self.cores[low] + self.cores[word[len(core) :]] if len(core) < len(word) else self.cores[low]
         self[word] = ids
         return ids
 

@@ -801,6 +801,18 @@ def test_tokens_of_words_with_signs():
     assert {"oninea", "###", ".%%%"} <= encoder.cores.keys()
 
 
+def test_tokens_of_letters_are_made_once(monkeypatch):
+    """Letters already met as a word, or as the word before signs, aren't encoded again, also after the words were set aside."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, whole, made = tokenfile.WordEncoder(path), tokenfile.WordEncoder(path), []
+    letters = tokenfile.WordEncoder.letters
+    monkeypatch.setattr(tokenfile.WordEncoder, "letters", lambda self, low: made.append(low) or letters(self, low))
+    monkeypatch.setattr(tokenfile, "CACHE", 9)
+    for word in ("oninea", "Oninea", "oninea.", "éoure!?", "éoure", "ONINEA)", "x'", "it's", "d1", "oninea...", "Oninea-", "ÉOURE", "ﬁn", "ǅ", "İ!", "ſ.", "µ", "ª."):
+        assert encoder[word] == whole.whole(word), word
+    assert made == ["oninea", "éoure"] and encoder.before
+
+
 def test_language_counts_given_on_in_parts():
     """Counts don't depend on where batches end, nor on how many words a worker holds; it holds few."""
     import pyarrow as pa
