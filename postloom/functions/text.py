@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 #: The white space that the source platform trims and collapses.
 SPACE = r"[\s\x0B   -     　﻿]"
 WHITE = "".join(c for c in map(chr, range(1 << 16)) if re.fullmatch(SPACE, c, re.ASCII))
+#: What the SQL of queries collapses, and what it trims.
+PLAIN_WHITE, BLANKS = "\t\n\f\r ", "".join(c for c in map(chr, range(1 << 16)) if unicodedata.category(c) == "Zs")
 #: Routing tags in their order, and aliases.
 TAGS = ["macro", "policy", "security", "funding", "yield", "token", "airdrop", "trading", "onchain", "tech", "exchange", "narrative", "other"]
 ALIASES = {"market": "macro", "others": "other"}
@@ -31,11 +34,12 @@ def once(x: Column, fn: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), fn), F.lit(0))
 
 
-def collapse(x: Column) -> Column:
-    """White space collapsed and trimmed."""
+def collapse(x: Column, white: str = WHITE) -> Column:
+    """White space collapsed and trimmed; other blanks, if white lacks them, are trimmed only."""
     # a map of code points is several times faster than a class of as many
-    spaced = F.translate(x, WHITE, " " * len(WHITE))
-    return F.trim(once(spaced, lambda t: F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " {2,}", " ")).otherwise(t)))
+    spaced = F.translate(x, white, " " * len(white))
+    single = once(spaced, lambda t: F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " {2,}", " ")).otherwise(t))
+    return F.trim(single) if set(BLANKS) <= set(white) else F.trim(single, F.lit(BLANKS))
 
 
 def strip(x: Column) -> Column:
@@ -116,24 +120,34 @@ def known_tag(x: Column) -> Column:
     return F.when(low.isin(TAGS), low).otherwise("other")
 
 
-#: What a text to embed loses: the mark of a repost, alone or with its author, links and mentions.
-REPOST_BY, REPOST = r"(?i)^rt\s+@[A-Za-z0-9_]+:\s*", r"(?i)^rt\s+"
-LINKS = rf"(?i)https?://\S+|{BEFORE}t\.co/\S+|{BEFORE}pic\.twitter\.com/\S+|@[A-Za-z0-9_]+"
+#: What a text to embed loses, in this order and with white space for WHITE: the mark of a repost with its author, that mark alone, links, mentions.  Without case the long s is an s, the sign of kelvins a k.
+REPOST_BY, REPOST = r"(?i)^rt[WHITE]+@[A-Za-z0-9_\u017F\u212A]+:[WHITE]*", r"(?i)^rt[WHITE]+"
+LINKS, MENTIONS = rf"(?i)http[s\u017F]?://[^WHITE]+|{BEFORE}t\.co/[^WHITE]+|{BEFORE}pic\.twitter\.com/[^WHITE]+", "@[A-Za-z0-9_]+"
 
 
-def embedding_text(x: Column) -> Column:
+def _without(x: Column, sign: str, pattern: str, instead: str) -> Column:
+    """x with instead for what matches, which holds the sign."""
+    return once(x, lambda t: F.when(F.contains(t, F.lit(sign)), F.regexp_replace(t, pattern, instead)).otherwise(t))
+
+
+def embedding_text(x: Column, white: str = WHITE) -> Column:
     """Without repost mark, links, mentions and hash signs; the collapsed text if nothing is left."""
-    # links hold a slash, mentions an at sign
-    bare = once(F.regexp_replace(F.regexp_replace(x, REPOST_BY, ""), REPOST, ""), lambda t: F.when(F.contains(t, F.lit("/")) | F.contains(t, F.lit("@")), F.regexp_replace(t, LINKS, " ")).otherwise(t))
-    bare = once(bare, lambda t: F.when(F.contains(t, F.lit("#")), F.regexp_replace(t, r"#([\p{L}\p{N}_]+)", "$1")).otherwise(t))
-    return once(collapse(bare), lambda found: F.when(found == "", collapse(x)).otherwise(found))
+    codes = "".join(rf"\x{{{ord(c):x}}}" for c in white)
+    by, repost, links = (p.replace("WHITE", codes) for p in (REPOST_BY, REPOST, LINKS))
+    bare = F.regexp_replace(F.regexp_replace(x, by, ""), repost, "")
+    for noise in (("/", links, " "), ("@", MENTIONS, " "), ("#", r"#([\p{L}\p{N}_]+)", "$1")):
+        bare = _without(bare, *noise)
+    return once(collapse(bare, white), lambda found: F.when(found == "", collapse(x, white)).otherwise(found))
+
+
+def language_lead(lang: Column) -> Column:
+    """The mark of a language in front of a text; empty without a language."""
+    return F.when(lang != "", F.concat(F.lit("[lang:"), lang, F.lit("] "))).otherwise("")
 
 
 def embedding_input(x: Column, lang: Column, n: int = 320) -> Column:
     """The text to embed, with its language, if known, in front, cut to n code points."""
-    tag = F.lower(strip(lang))
-    lead = once(tag, lambda t: F.when(t != "", F.concat(F.lit("[lang:"), collapse(t), F.lit("] "))).otherwise(""))
-    return cut(F.trim(F.concat(lead, embedding_text(x))), n)  # both parts are collapsed
+    return cut(F.trim(F.concat(once(F.lower(collapse(lang)), language_lead), embedding_text(x))), n)  # both parts are collapsed
 
 
 def filter_tags(x: Column) -> Column:

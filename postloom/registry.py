@@ -197,7 +197,7 @@ for _name, _fn, _sql in (
 ):
     _over(posts_docs, _name, _fn, "")
     SQL[_name] = f"WITH {POSTS_DOCS}, {_PREPARED}{_sql}"
-_over(texts, "text_normalize", lambda p: p.select("post_id", text.embedding_text(F.col("text")).alias("bare"), text.truncate(F.col("text"), 40).alias("short")), r"""SELECT post_id, CASE WHEN bare = '' THEN t ELSE bare END AS bare, CASE WHEN length(t) <= 40 THEN t ELSE t[:39] || '…' END AS short FROM (SELECT post_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t,
+_over(texts, "text_normalize", lambda p: p.select("post_id", text.embedding_text(F.col("text"), text.PLAIN_WHITE).alias("bare"), text.cut(text.collapse(F.col("text"), text.PLAIN_WHITE), 40).alias("short")), r"""SELECT post_id, CASE WHEN bare = '' THEN t ELSE bare END AS bare, CASE WHEN length(t) <= 40 THEN t ELSE t[:39] || '…' END AS short FROM (SELECT post_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t,
   trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)^rt\s+@[A-Za-z0-9_]+:\s*', ''), '(?i)^rt\s+', ''), '(?i)https?://\S+|\bt\.co/\S+|\bpic\.twitter\.com/\S+', ' ', 'g'), '@[A-Za-z0-9_]+', ' ', 'g'), '#([\p{L}\p{N}_]+)', '\1', 'g'), '\s+', ' ', 'g')) AS bare FROM posts)""")
 
 # vectors

@@ -184,3 +184,23 @@ def test_provider_is_asked_once(spark, tmp_path):
     (tmp_path / "asked").unlink()
     again = embedding.refreshed(posts, cache, provider)
     assert {r["post_id"]: r["v"] for r in again.collect()} == want and not (tmp_path / "asked").exists()
+
+
+@pytest.mark.parametrize("name", ["embedding_inputs", "text_normalize"])
+def test_odd_texts_as_sql(spark, tmp_path, name):
+    import duckdb
+
+    odd = ["", " \n", None, "@t.co/abc", "@foohttps://x y", "@http://a", "a\xa0b\u3000", "\x0ba", "rt\x0b@a: x", "rt\xa0@a: z", "https://a\x0bb c", "http\u017f://a b", "rt @\u017f\u212a: x", "\ufeffa", "a" * 321, "@x", "é" * 400]
+    rows = [(i, t, lang, "s", 1) for i, (t, lang) in enumerate((t, lang) for t in odd for lang in ("en", "EN", " e\tn ", " ", "", None))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect()), key=repr) == sorted(con.sql(registry.SQL[name]).fetchall(), key=repr)
+
+
+def test_inputs_know_wide_blanks_and_links_before_mentions(spark):
+    rows = [("https://a\u3000b", " EN "), ("@foohttps://x y", "\u3000"), ("rt\u3000@a: z", None), ("", "en")]
+    df = spark.createDataFrame(rows, "t string, lang string").select(text.embedding_input(F.col("t"), F.col("lang")).alias("u"))
+    assert [r["u"] for r in df.collect()] == ["[lang:en] b", "y", "z", "[lang:en]"]
