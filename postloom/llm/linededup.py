@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,8 +141,8 @@ def word_table(chosen: DataFrame) -> DataFrame:
     return chosen.select("text", "wanted").mapInArrow(spared(run), "h long, words array<long>")
 
 
-def variant_table(lines: DataFrame) -> DataFrame:
-    """v, i, n, h and the place for each line (h, words, key, th, pos): its variants, and with i = -1 itself."""
+def variant_table(lines: DataFrame, found: Broadcast[np.ndarray] | None = None) -> DataFrame:
+    """v, i, n, h and the place for each line (h, words, key, th, pos): its variants, and with i = -1 itself; with found, only those v that may be in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["v", "i", "n", "h", "key", "th", "pos"]
@@ -155,8 +156,12 @@ def variant_table(lines: DataFrame) -> DataFrame:
                 i = [x for r in rows for x in (np.arange(ends[r + 1] - ends[r], dtype=np.int32), np.array([-1], np.int32))]
                 sizes = np.diff(ends[lo : lo + len(rows) + 1])
                 of = np.repeat(np.arange(lo, lo + len(rows)), sizes + 1)
+                v, i, n = np.concatenate(v), np.concatenate(i), np.repeat(sizes, sizes + 1).astype(np.int32)
+                if found is not None:
+                    held = maybe_in(found.value, v)
+                    v, i, n, of = v[held], i[held], n[held], of[held]
                 place = [batch.column(k).take(pa.array(of)) for k in (2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)), pa.array(np.concatenate(i)), pa.array(np.repeat(sizes, sizes + 1).astype(np.int32)), pa.array(hs[of]), *place], names)
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(i), pa.array(n), pa.array(hs[of]), *place], names)
 
     return lines.select("h", "words", "key", "th", "pos").mapInArrow(spared(run), "v long, i int, n int, h long, key long, th long, pos int")
 
@@ -178,16 +183,13 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), "text")
 
 
-def _shared(variants_: DataFrame) -> DataFrame:
-    """The variants (v, i, n, h, key, th, pos) that two lines may have; most lines share none with another."""
-    several = variants_.groupBy("v").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("v")
-    found = variants_.sparkSession.sparkContext.broadcast(key_set(several, "v"))
+def _shared(lines: DataFrame) -> DataFrame:
+    """The variants of the lines that two of them may have; most lines share none with another.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(maybe_in(found.value, batch.column(0).to_numpy())))
-
-    return variants_.mapInArrow(spared(run), variants_.schema)
+    They are made anew rather than sent from one Python worker to another: each task then has one worker, and an executor keeps half as many.
+    """
+    several = variant_table(lines).groupBy("v").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("v")
+    return variant_table(lines, lines.sparkSession.sparkContext.broadcast(key_set(several, "v")))
 
 
 def duplicates(documents: DataFrame, max_edits: int = 1, shortest: int = SHORTEST) -> DataFrame:
@@ -207,7 +209,7 @@ def duplicates(documents: DataFrame, max_edits: int = 1, shortest: int = SHORTES
         wanted = stored(wanted, "wanted")
         texts = maybe_holding(docs, wanted).join(wanted, ["key", "th"]).dropDuplicates(["key", "th"])
         words = stored(word_table(texts).join(first.select("h", "at.key", "at.th", "at.pos"), "h"), "words")
-        v = stored(_shared(variant_table(words)).select("v", "i", "n", "h", place.alias("at")), "variants")
+        v = stored(_shared(words).select("v", "i", "n", "h", place.alias("at")), "variants")
         one = F.struct("at", "h")
         inside, long = F.col("i") >= 0, (F.col("i") >= 0) & (F.col("n") > shortest)
         # the same variant at the same place, and a line that is another's variant
@@ -261,37 +263,38 @@ def dedup(documents: DataFrame, max_edits: int = 1, shortest: int = SHORTEST, co
     at, held = names.index("text"), len(names)
     longs = [T.StructField(c, T.LongType()) for c in (key, th, *counts)]
 
-    def part(inside: bool) -> DataFrame:
-        """Rows whose key may have lines to drop, with the hash of their text; or all others."""
+    def counted(batch: pa.RecordBatch, drops: list[list[int] | None]) -> pa.RecordBatch:
+        """The batch's rows without the lines to drop, and the two counts."""
+        texts, lines, kept = [], [], []
+        for text, gone in zip(batch.column(at).to_pylist(), drops, strict=True):
+            there = 0 if text is None else sum(1 for x in text.split("\n") if words_of(x))
+            out = set(gone or [])
+            lines.append(there)
+            kept.append(there - len(out))
+            texts.append(text if not out else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in out))
+        cols = [batch.column(i) for i in range(held)]
+        cols[at] = pa.array(texts, pa.string())
+        return pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(kept, pa.int64())], [*names, *counts])
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows whose key may have lines to drop, with the hash of their text."""
+        for batch in batches:
+            batch = batch.filter(pa.array(maybe_in(found.value, batch.column(held).to_numpy())))
+            hashes = pa.array([text_hash(t) for t in batch.column(at).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, hashes], [*names, key, th])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                mask = maybe_in(found.value, batch.column(held).to_numpy())
-                batch = batch.filter(pa.array(mask if inside else ~mask))
-                if inside:
-                    hashes = pa.array([text_hash(t) for t in batch.column(at).to_pylist()], pa.int64())
-                    batch = pa.RecordBatch.from_arrays([*batch.columns, hashes], [*names, key, th])
-                yield batch if inside else batch.select(range(held))
+    def free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All other rows; they go through one Python worker, not through two of a task."""
+        for batch in batches:
+            batch = batch.filter(pa.array(~maybe_in(found.value, batch.column(held).to_numpy())))
+            yield counted(batch, [None] * batch.num_rows)
 
-        return rows.mapInArrow(spared(run), T.StructType([*documents.schema.fields, *longs[: 2 * inside]]))
+    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield counted(batch, batch.column(held).to_pylist())
 
     schema = T.StructType([*documents.schema.fields, *longs[2:]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lines, kept = [], [], []
-            for text, gone in zip(batch.column(at).to_pylist(), batch.column(held).to_pylist(), strict=True):
-                there = 0 if text is None else sum(1 for x in text.split("\n") if words_of(x))
-                out = set(gone or [])
-                lines.append(there)
-                kept.append(there - len(out))
-                texts.append(text if not out else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in out))
-            cols = [batch.column(i) for i in range(held)]
-            cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(kept, pa.int64())], [*names, *counts])
-
-    kind = gone.schema["gone"].dataType
     # a (key, th) is one text: its positions are no more than its lines
-    hit = part(True).join(gone.select(F.col("key").alias(key), F.col("th").alias(th), F.col("gone").alias(drop)), [key, th], "left").drop(key, th)
-    free = part(False).withColumn(drop, F.lit(None).cast(kind))
-    return hit.select(*names, drop).unionByName(free).mapInArrow(spared(run), schema)
+    keyed = rows.mapInArrow(spared(inside), T.StructType([*documents.schema.fields, *longs[:2]]))
+    keyed = keyed.join(gone.select(F.col("key").alias(key), F.col("th").alias(th), F.col("gone").alias(drop)), [key, th], "left").select(*names, drop)
+    return keyed.mapInArrow(spared(hit), schema).unionByName(rows.mapInArrow(spared(free), schema))

@@ -644,6 +644,19 @@ def test_large_groups_are_flushed(spark, monkeypatch):
     assert got == {0}
 
 
+def workers_of_a_task(node, above=0):
+    """The most Python nodes that one task of the plan feeds one from another."""
+    here = 0 if node.nodeName() in ("Join", "Aggregate", "RepartitionByExpression") else above + (node.nodeName() == "MapInArrow")
+    return max([above, here, *(workers_of_a_task(node.children().apply(i), here) for i in range(node.children().size()))])
+
+
+def test_line_tasks_have_one_python_worker(spark):
+    df = spark.createDataFrame([(1, "a b c\nd e f"), (2, "a b x\nd e f"), (3, None)], "doc_id long, text string")
+    out = linededup.dedup(df)
+    assert workers_of_a_task(out._jdf.queryExecution().optimizedPlan()) == 1
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_kept"]) for r in out.collect()} == {1: ("a b c\nd e f", 2, 2), 2: ("", 2, 0), 3: (None, 0, 0)}
+
+
 # all
 
 
