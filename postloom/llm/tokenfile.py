@@ -38,6 +38,22 @@ _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: ASCII signs but the apostrophe: the tokenizer parts letters from runs of signs, save those of 's, 't and the like.
 _SIGNS = string.punctuation.replace("'", "")
+#: A comma or full stop alone after a letter in lower case, before white space or the end: the tokenizer parts it from the letter.
+_STOP = re.compile(r"[.,](?<=[a-zß-öø-ÿ].)(?!\S)")
+#: What its special tokens begin with; it seeks them before it puts a text in lower case.
+_SPECIAL = "<|"
+
+
+def parted(text: str) -> str:
+    """The text in lower case and with such stops apart, so that it has fewer different words; as it is, if it has letters beyond Latin-1 or what may be a special token."""
+    if _SPECIAL in text:
+        return text
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return _STOP.sub(r" \g<0>", text.lower())
 
 
 def _byte_level() -> dict[int, str]:
@@ -83,7 +99,7 @@ class WordEncoder(dict):
             self.clear()
         ids = self.before.get(word)
         if ids is None:
-            core = word.rstrip(_SIGNS)
+            core = word if word.isalpha() else word.rstrip(_SIGNS)
             if not (core.isascii() and core.isalpha() or _PLAIN.fullmatch(core)):
                 ids = self.whole(word)
             elif (low := core.lower()) == word:
@@ -94,7 +110,7 @@ class WordEncoder(dict):
         return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(self.whole(t) if any(c in t for c in _ODD_SPACE) else b"".join(map(self.__getitem__, t.split())), np.int32) for t in texts]
+        return [np.frombuffer(self.whole(t) if any(c in t for c in _ODD_SPACE) else b"".join(map(self.__getitem__, parted(t).split())), np.int32) for t in texts]
 
 
 #: By path; a Python worker keeps its encoders, and the words that they know, from task to task.

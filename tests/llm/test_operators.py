@@ -657,6 +657,18 @@ def test_line_tasks_have_one_python_worker(spark):
     assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_kept"]) for r in out.collect()} == {1: ("a b c\nd e f", 2, 2), 2: ("", 2, 0), 3: (None, 0, 0)}
 
 
+def test_parted_texts_encode_alike():
+    encoder = tokenfile.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["Ab, cd. EF.", "a.. b ., c,.", "Été, ÉTÉ. ß. x'S, it's.", "5, 6. a5, a_b.", "<|ENDOFTEXT|> A, <|endoftext|>. B,", "Ｆ, Ｇ. A.", "İ. A,", "µ, ª. º,\xa0\x85x.", "a.\n\nB,\tc", "", ".", ",", " . ", "Å, A\u030a, e\u0301."]
+    rng = random.Random(3)
+    odd += ["".join(rng.choices(["a", "B", "é", "Ü", "1", ",", ".", " ", "\n", "'s", "'", "!", "_", "<|", "中", "\u0301", "\xa0"], k=12)) for _ in range(3000)]
+    assert [x.tolist() for x in encoder.encode(odd)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
+    # words are known once, whatever their case and the stop after them
+    new = tokenfile.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    new.encode(["Word, WORD. word"])
+    assert set(new) == {"word", ",", "."}
+
+
 # all
 
 
